@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.records import SCOPE
 from ..session import new_table_path, task_count, written
-from .dedupe import FilterSize, first_seen, screen, two_stage_verdicts, with_outcome
+from .dedupe import OUTCOMES, FilterSize, first_seen, screen, two_stage_verdicts, with_outcome
 
 NEW, DUPLICATE, FALSE_HIT = 0, 1, 2
+OUTCOME_BY_CODE = dict(enumerate(OUTCOMES))
 _DIGEST = 32  # bytes per fingerprint in a saved window
 
 
