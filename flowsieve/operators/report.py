@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.records import SCOPE
 
 # Fixed values of the cost model.
-DOWNSTREAM_SECONDS = 50e-6  # per accepted record
-SHORTEST_SECONDS = 0.0001
+DOWNSTREAM_MICROS = 50  # per accepted record
+SHORTEST_MICROS = 100
 RATE_TOLERANCE = 5.0  # points a trial may differ from the exact rate
 BYTES_PER_FINGERPRINT = 32
 BYTES_PER_QUEUE_SLOT = 8
@@ -21,13 +21,29 @@ def count_where(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("bigint")
 
 
+def rounded_division(part: Column, whole: Column) -> Column:
+    """part / whole to the nearest integer, ties to even, in integers only.
+
+    Rates are rounded this way because a tie is then a tie: 72.385 as a double
+    lies on either side of itself, depending on who multiplies it.
+    """
+    part, whole = part.cast("bigint"), whole.cast("bigint")
+    quotient = F.call_function("div", part, whole)
+    twice = 2 * (part - quotient * whole)
+    up = (twice > whole) | ((twice == whole) & (quotient % 2 == 1))
+    return quotient + F.when(up, 1).otherwise(0)
+
+
 def percent(part: Column, whole: Column) -> Column:
-    return F.bround(F.lit(100.0) * part / F.greatest(whole, F.lit(1)), 2)
+    """100 * part / whole at two decimals; 0 where there are no rows."""
+    return rounded_division(part * 10_000, F.greatest(whole, F.lit(1))) / 100
 
 
 def ratio(part: Column, whole: Column) -> Column:
-    """Zero where the denominator is zero; ties round to even."""
-    return F.bround(F.when(whole == 0, F.lit(0.0)).otherwise(part / F.greatest(whole, F.lit(1))), 4)
+    """part / whole at four decimals; 0 where the denominator is zero."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(
+        rounded_division(part * 10_000, F.greatest(whole, F.lit(1))) / 10_000
+    )
 
 
 # ------------------------------------------------------------------ dedupe
@@ -77,13 +93,13 @@ def comparison(flagged: Mapping[str, DataFrame]) -> DataFrame:
     time belongs to the bench.
     """
     rows = [dedupe_stats(df).withColumn("algorithm", F.lit(name)) for name, df in flagged.items()]
-    cost = F.col("evaluations") * F.lit(DOWNSTREAM_SECONDS)
+    total, accepted = F.col("total_records"), F.col("evaluations")
+    micros = accepted * DOWNSTREAM_MICROS
+    tenths = rounded_division(total * (10_000_000 // DOWNSTREAM_MICROS), F.greatest(accepted, F.lit(SHORTEST_MICROS // DOWNSTREAM_MICROS)))
     return (
         reduce(DataFrame.unionByName, rows)
-        .withColumn("downstream_s", F.bround(cost, 4))
-        .withColumn(
-            "downstream_rec_s", F.bround(F.col("total_records") / F.greatest(cost, F.lit(SHORTEST_SECONDS)), 1)
-        )
+        .withColumn("downstream_s", rounded_division(micros, F.lit(100)) / 10_000)
+        .withColumn("downstream_rec_s", tenths / 10)
     )
 
 
@@ -92,7 +108,7 @@ def efficiency_report(stats: DataFrame, elapsed_seconds: float) -> DataFrame:
     total = F.col("total_records")
     return stats.select(
         "total_records",
-        F.bround(total / F.greatest(F.lit(elapsed_seconds), F.lit(SHORTEST_SECONDS)), 2).alias("throughput_rec_s"),
+        F.bround(total / F.lit(max(elapsed_seconds, SHORTEST_MICROS / 1e6)), 2).alias("throughput_rec_s"),
         F.bround(F.lit(elapsed_seconds * 1e6) / F.greatest(total, F.lit(1)), 2).alias("avg_latency_us"),
         F.col("dedupe_rate_pct").alias("dedup_rate_pct"),
         percent(F.col("false_positives"), total).alias("bloom_fp_rate_pct"),

@@ -23,245 +23,35 @@ the chain: bounded tasks in sequence, since the dependence itself is a sequence.
 
 from __future__ import annotations
 
-import hashlib
 import json
-import struct
-from collections import deque
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import partial
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.records import SCOPE
 from ..session import new_table_path, task_count, written
-from .dedupe import OUTCOMES, FilterSize, first_seen, screen, two_stage_verdicts, with_outcome
-
-NEW, DUPLICATE, FALSE_HIT = 0, 1, 2
-OUTCOME_BY_CODE = dict(enumerate(OUTCOMES))
-_DIGEST = 32  # bytes per fingerprint in a saved window
-
-
-def _pack(*groups: Iterable[bytes]) -> bytes:
-    blobs = [b"".join(g) for g in groups]
-    return struct.pack(f"<{len(blobs)}Q", *[len(b) for b in blobs]) + b"".join(blobs)
-
-
-def _unpack(blob: bytes, count: int) -> list[bytes]:
-    sizes = struct.unpack_from(f"<{count}Q", blob)
-    parts, at = [], 8 * count
-    for size in sizes:
-        parts.append(blob[at : at + size])
-        at += size
-    return parts
-
-
-def _split(blob: bytes) -> list[bytes]:
-    return [blob[i : i + _DIGEST] for i in range(0, len(blob), _DIGEST)]
-
-
-class FifoWindow:
-    """The last `window` accepted fingerprints; a hit does not refresh its place."""
-
-    def __init__(self, window: int):
-        self.window, self.order, self.held = window, deque(), set()
-
-    def step(self, fp: bytes) -> int:
-        if fp in self.held:
-            return DUPLICATE
-        if self.window > 0:
-            if len(self.order) >= self.window:
-                self.held.discard(self.order.popleft())
-            self.order.append(fp)
-            self.held.add(fp)
-        return NEW
-
-    def save(self) -> bytes:
-        return _pack(self.order)
-
-    def load(self, blob: bytes) -> None:
-        self.order = deque(_split(_unpack(blob, 1)[0]))
-        self.held = set(self.order)
-
-
-class BitFilter:
-    """Fixed-size filter over 32-byte digests; positions as in `filter_positions`."""
-
-    def __init__(self, bits: int, hashes: int, data: bytes | None = None):
-        self.size, self.hashes = bits, hashes
-        self.data = bytearray(data) if data is not None else bytearray((bits + 7) // 8)
-
-    def _positions(self, fp: bytes) -> Iterator[int]:
-        digest = fp
-        for j in range(self.hashes):
-            if j and j % 8 == 0:
-                digest = hashlib.sha256(fp.hex().encode() + f"#{j // 8}".encode()).digest()
-            at = 4 * (j % 8)
-            yield int.from_bytes(digest[at : at + 4], "big") % self.size
-
-    def __contains__(self, fp: bytes) -> bool:
-        return all(self.data[p >> 3] >> (p & 7) & 1 for p in self._positions(fp))
-
-    def add(self, fp: bytes) -> None:
-        for p in self._positions(fp):
-            self.data[p >> 3] |= 1 << (p & 7)
-
-
-class ScreenedWindow:
-    """An exact FIFO cache behind a filter that is emptied every `generation`.
-
-    The filter is ideal (a set) unless `size` gives real bits. `exact=False`
-    trusts the filter alone. Emptying the filter loses repeats: a fingerprint
-    still cached but unknown to the new filter enters a second time, and when
-    its older copy leaves the queue the cache entry goes with it.
-
-    At insertion (`on_arrival=False`) the filter is emptied after the lookup and
-    every accepted row enters it; on arrival it is emptied before the lookup,
-    the cache makes room before the lookup too, and rows accepted after a false
-    hit are not counted as insertions.
-    """
-
-    def __init__(
-        self, window: int, generation: int, size: tuple[int, int] | None, exact: bool = True, on_arrival: bool = False
-    ):
-        self.window, self.generation, self.size = window, generation, size
-        self.exact, self.on_arrival = exact, on_arrival
-        self.order, self.held, self.inserted = deque(), set(), 0
-        self.screen = self._empty()
-
-    def _empty(self):
-        return set() if self.size is None else BitFilter(*self.size)
-
-    def _make_room(self) -> None:
-        if self.order and len(self.order) >= self.window:
-            self.held.discard(self.order.popleft())
-
-    def _turn_over(self) -> None:
-        if self.generation and self.inserted >= self.generation:
-            self.screen, self.inserted = self._empty(), 0
-
-    def step(self, fp: bytes) -> int:
-        if self.on_arrival:
-            self._make_room()
-            self._turn_over()
-        hit = fp in self.screen
-        if hit and (not self.exact or fp in self.held):
-            return DUPLICATE
-        if not self.on_arrival:
-            self._make_room()
-            self._turn_over()
-        if not hit or not self.on_arrival:
-            self.screen.add(fp)
-            self.inserted += 1
-        if self.exact and self.window > 0:
-            self.order.append(fp)
-            self.held.add(fp)
-        return FALSE_HIT if hit else NEW
-
-    def save(self) -> bytes:
-        screen = sorted(self.screen) if self.size is None else [bytes(self.screen.data)]
-        return _pack(self.order, sorted(self.held), screen, [struct.pack("<Q", self.inserted)])
-
-    def load(self, blob: bytes) -> None:
-        order, held, screen, inserted = _unpack(blob, 4)
-        self.order, self.held = deque(_split(order)), set(_split(held))
-        self.screen = set(_split(screen)) if self.size is None else BitFilter(*self.size, data=screen)
-        self.inserted = struct.unpack("<Q", inserted)[0]
-
-
-# ------------------------------------------------------------ ordered scan
-
-# Row kinds of a scan table: rows settled at once, rows of a piece's first
-# scope (a later round may revise them), parts of the final window, summaries.
-_SETTLED, _HEAD, _WINDOW, _SUMMARY = 0, 1, 2, 3
-_SCAN_SCHEMA = "kind int, piece int, seq bigint, fp binary, verdict int"
-_ARROW_SCHEMA = pa.schema(
-    [("kind", pa.int32()), ("piece", pa.int32()), ("seq", pa.int64()), ("fp", pa.binary()), ("verdict", pa.int32())]
+from . import window_state
+from .dedupe import FilterSize, first_seen, screen, two_stage_verdicts, with_outcome
+from .window_state import (
+    DUPLICATE,
+    FALSE_HIT,
+    HEAD,
+    NEW,
+    SCAN_SCHEMA,
+    SETTLED,
+    SUMMARY,
+    WINDOW,
+    FifoWindow,
+    NewWindow,
+    ScreenedWindow,
+    continue_scope,
+    rescan_heads,
+    scan_pieces,
 )
-_PART_BYTES = 1 << 20
-_FLUSH_ROWS = 10_000
-
-
-class _Output:
-    """Collects scan rows and hands them on in Arrow batches."""
-
-    def __init__(self):
-        self.rows: list[tuple] = []
-
-    def add(self, kind, piece, seq, fp, verdict) -> None:
-        self.rows.append((kind, piece, seq, fp, verdict))
-
-    def full(self) -> bool:
-        return len(self.rows) >= _FLUSH_ROWS
-
-    def batch(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) if self.rows else [()] * 5
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, _ARROW_SCHEMA)]
-        self.rows = []
-        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
-
-    def window(self, piece: int, blob: bytes) -> str:
-        for part, at in enumerate(range(0, len(blob), _PART_BYTES)):
-            self.add(_WINDOW, piece, part, blob[at : at + _PART_BYTES], None)
-        return hashlib.sha256(blob).hexdigest()
-
-    def summary(self, piece: int, **facts) -> None:
-        self.add(_SUMMARY, piece, None, json.dumps(facts).encode(), None)
-
-
-def _scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth: int) -> Iterator[pa.RecordBatch]:
-    """First scan of one sorted piece, from an empty window."""
-    piece = TaskContext.get().partitionId()
-    out, window, first, current, head = _Output(), None, None, None, True
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for scope, seq, fp in zip(zip(*columns[:depth]), columns[depth], columns[depth + 1]):
-            if scope != current:
-                head = current is None
-                first = scope if head else first
-                current, window = scope, new_window()
-            verdict = window.step(fp)
-            if head:
-                out.add(_HEAD, piece, seq, fp, verdict)
-            elif verdict != DUPLICATE:
-                out.add(_SETTLED, piece, seq, None, verdict)
-            if out.full():
-                yield out.batch()
-    if current is not None:
-        end = out.window(piece, window.save())
-        start = hashlib.sha256(new_window().save()).hexdigest()
-        out.summary(piece, first=list(first), last=list(current), whole=head, start=start, end=end)
-    yield out.batch()
-
-
-def _rescan_heads(batches: Iterator[pa.RecordBatch], new_window: Callable, whole: set[int]) -> Iterator[pa.RecordBatch]:
-    """Scan first scopes again; each piece's window parts precede its rows."""
-    out, piece, window, parts, start = _Output(), None, None, [], None
-
-    def finish():
-        if piece in whole:
-            out.summary(piece, start=start, end=out.window(piece, window.save()))
-        elif piece is not None:
-            out.summary(piece, start=start)
-
-    for batch in batches:
-        for kind, of, seq, fp in zip(*[batch.column(c).to_pylist() for c in ("kind", "piece", "seq", "fp")]):
-            if of != piece:
-                finish()
-                piece, window, parts = of, None, []
-            if kind == _WINDOW:
-                parts.append(fp)
-                continue
-            if window is None:
-                blob = b"".join(parts)
-                window, start, parts = new_window(), hashlib.sha256(blob).hexdigest(), []
-                window.load(blob)
-            out.add(_HEAD, piece, seq, fp, window.step(fp))
-            if out.full():
-                yield out.batch()
-    finish()
-    yield out.batch()
+
+cloudpickle.register_pickle_by_value(window_state)
 
 
 class _Chain:
@@ -298,7 +88,7 @@ class _Chain:
 
 
 def _read_summaries(table: DataFrame) -> dict[int, dict]:
-    rows = table.where(F.col("kind") == _SUMMARY).select("piece", "fp").collect()
+    rows = table.where(F.col("kind") == SUMMARY).select("piece", "fp").collect()
     return {r["piece"]: json.loads(bytes(r["fp"])) for r in rows}
 
 
@@ -316,13 +106,13 @@ def scan_in_order(
     order = [*scope, "seq"]
 
     def table(round_no: int) -> DataFrame:
-        return spark.read.schema(_SCAN_SCHEMA).parquet(f"{base}/round={round_no}")
+        return spark.read.schema(SCAN_SCHEMA).parquet(f"{base}/round={round_no}")
 
     scanned = (
         rows.select(*scope, "seq", "fp")
         .repartitionByRange(count, *order)
         .sortWithinPartitions(*order)
-        .mapInArrow(partial(_scan_pieces, new_window=new_window, depth=len(scope)), _SCAN_SCHEMA)
+        .mapInArrow(partial(scan_pieces, new_window=new_window, depth=len(scope)), SCAN_SCHEMA)
     )
     scanned.write.parquet(f"{base}/round=0")
     chain = _Chain(_read_summaries(table(0)))
@@ -337,38 +127,38 @@ def scan_in_order(
         )
         rounds = sorted({chain.window_round[chain.before[p]] for p in todo})
         windows = (
-            spark.read.schema(_SCAN_SCHEMA + ", round int")
+            spark.read.schema(SCAN_SCHEMA + ", round int")
             .option("basePath", base)
             .parquet(*[f"{base}/round={r}" for r in rounds])
-            .where(F.col("kind") == _WINDOW)
+            .where(F.col("kind") == WINDOW)
             .withColumnRenamed("piece", "of")
             .join(F.broadcast(needs), ["of", "round"])
             .select("kind", "piece", "seq", "fp")
         )
         heads = (
             table(0)
-            .where((F.col("kind") == _HEAD) & F.col("piece").isin(todo))
-            .select((F.col("kind") + _SUMMARY).alias("kind"), "piece", "seq", "fp")
+            .where((F.col("kind") == HEAD) & F.col("piece").isin(todo))
+            .select((F.col("kind") + SUMMARY).alias("kind"), "piece", "seq", "fp")
         )
-        whole = {p for p in todo if chain.facts[p]["whole"]}
+        facts = {p: (tuple(chain.facts[p]["first"]), chain.facts[p]["whole"]) for p in todo}
         (
             windows.unionByName(heads)
             .repartitionByRange(len(todo), "piece")
             .sortWithinPartitions("piece", "kind", "seq")
-            .mapInArrow(partial(_rescan_heads, new_window=new_window, whole=whole), _SCAN_SCHEMA)
+            .mapInArrow(partial(rescan_heads, new_window=new_window, facts=facts), SCAN_SCHEMA)
             .write.parquet(f"{base}/round={round_no}")
         )
         for piece, facts in _read_summaries(table(round_no)).items():
             chain.update(round_no, piece, facts)
 
-    settled = table(0).where(F.col("kind") == _SETTLED).select("seq", "verdict")
-    heads = table(0).where(F.col("kind") == _HEAD)
+    settled = table(0).where(F.col("kind") == SETTLED).select("seq", "verdict")
+    heads = table(0).where(F.col("kind") == HEAD)
     if round_no:
         latest = spark.createDataFrame(sorted(chain.rows_round.items()), "piece int, round int")
         heads = (
-            spark.read.schema(_SCAN_SCHEMA + ", round int")
+            spark.read.schema(SCAN_SCHEMA + ", round int")
             .parquet(base)
-            .where(F.col("kind") == _HEAD)
+            .where(F.col("kind") == HEAD)
             .join(F.broadcast(latest), ["piece", "round"])  # a row per piece
         )
     return settled.unionByName(heads.where(F.col("verdict") != DUPLICATE).select("seq", "verdict"))
@@ -380,7 +170,7 @@ def scan_in_order(
 def _verdicts(
     df: DataFrame,
     new_window: Callable,
-    settled_up_to: int,
+    settled_up_to: int | Column,
     native: Callable[[DataFrame], DataFrame],
     scope: Sequence[str],
     seq: str,
@@ -415,7 +205,7 @@ def dedupe_scoped_fifo(
     pieces: int | None = None,
 ) -> DataFrame:
     """A repeat of one of the last `window` accepted fingerprints of its scope."""
-    found = _verdicts(df, partial(FifoWindow, window), window, _all_new, scope, seq, pieces)
+    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, _all_new, scope, seq, pieces)
     return _flag(df, found, seq, outcome=False)
 
 
@@ -435,7 +225,8 @@ def dedupe_scoped_rotating(
     """
     bits = None if size is None else (size.bits, size.hashes)
     native = _all_new if size is None else partial(two_stage_verdicts, by=scope, size=size)
-    found = _verdicts(df, partial(ScreenedWindow, window, window, bits), window, native, scope, seq, pieces)
+    make = NewWindow(partial(ScreenedWindow, window, window, bits))
+    found = _verdicts(df, make, window, native, scope, seq, pieces)
     return _flag(df, found, seq, outcome=True)
 
 
@@ -464,7 +255,7 @@ def dedupe_worker_rotating(
 ) -> DataFrame:
     """`dedupe_worker_window` behind a filter emptied on the first arrival after
     `generation` insertions."""
-    make = partial(ScreenedWindow, window, generation, None, on_arrival=True)
+    make = NewWindow(partial(ScreenedWindow, window, generation, None, on_arrival=True))
     found = _verdicts(df, make, min(window, generation) - 1, _all_new, (worker,), seq, pieces)
     return _flag(df, found, seq, outcome=True)
 
@@ -482,6 +273,49 @@ def dedupe_filter_tumbling(
     def native(firsts: DataFrame) -> DataFrame:
         return screen(firsts, scope, size).where(~F.col("filter_hit")).select("seq", F.lit(NEW).alias("verdict"))
 
-    make = partial(ScreenedWindow, 0, window, (size.bits, size.hashes), exact=False)
+    make = NewWindow(partial(ScreenedWindow, 0, window, (size.bits, size.hashes), exact=False))
     found = _verdicts(df, make, window, native, scope, seq, pieces)
     return _flag(df, found, seq, outcome=False)
+
+
+# ------------------------------------------------------------------- sweeps
+
+
+def fifo_setting(window: int) -> tuple[Callable, int]:
+    return partial(FifoWindow, window), window
+
+
+def rotating_setting(window: int) -> tuple[Callable, int]:
+    return partial(ScreenedWindow, window, window, None), window
+
+
+def worker_setting(window: int, generation: int = 0) -> tuple[Callable, int]:
+    """As `dedupe_worker_window`, or `dedupe_worker_rotating` with a generation."""
+    if not generation:
+        return fifo_setting(window - 1)
+    return partial(ScreenedWindow, window, generation, None, on_arrival=True), min(window, generation) - 1
+
+
+def sweep_counts(
+    rows: DataFrame, settings: Mapping[str, tuple[Callable, int]], scope: Sequence[str] = SCOPE, pieces: int | None = None
+) -> DataFrame:
+    """Records, accepted rows and false hits per setting, in one run for all.
+
+    `rows` holds each record once per setting, under `setting`, which becomes
+    part of the scope: the source is read once and one shuffle serves the sweep.
+    """
+    names = sorted(settings)
+    code = reduce(lambda c, i: c.when(F.col("setting") == names[i], i), range(len(names)), F)
+    limit = reduce(lambda c, n: c.when(F.col("setting") == n, settings[n][1]), names, F)
+    numbered = rows.select("setting", *scope, "fp", (F.col("seq") * len(names) + code).alias("seq"))
+    make = NewWindow({n: m for n, (m, _) in settings.items()})
+    found = _verdicts(numbered, make, limit, _all_new, ["setting", *scope], "seq", pieces)
+    accepted = (
+        found.withColumn("setting", F.array(*map(F.lit, names))[(F.col("seq") % len(names)).cast("int")])
+        .groupBy("setting")
+        .agg(
+            F.count("*").alias("evaluations"),
+            F.sum(F.when(F.col("verdict") == FALSE_HIT, 1).otherwise(0)).cast("bigint").alias("false_positives"),
+        )
+    )
+    return rows.groupBy("setting").agg(F.count("*").alias("total_records")).join(accepted, "setting")

@@ -32,8 +32,15 @@ def number(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
+def rounded(part: str, whole: str) -> str:
+    """Integer division to the nearest, ties to even."""
+    part, whole = f"CAST({part} AS BIGINT)", f"CAST({whole} AS BIGINT)"
+    q, twice = f"({part} // {whole})", f"(2 * ({part} % {whole}))"
+    return f"({q} + CASE WHEN {twice} > {whole} OR ({twice} = {whole} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+
+
 def pct(part: str, whole: str) -> str:
-    return f"round_even(CAST(100 AS DOUBLE) * {part} / greatest({whole}, 1), 2)"
+    return f"{rounded(f'{part} * 10000', f'greatest({whole}, 1)')} / CAST(100 AS DOUBLE)"
 
 
 def positions(fp: str, size: FilterSize) -> str:
@@ -189,7 +196,8 @@ def confusion(truth: str, prediction: str) -> str:
 
 def report(by: str = "") -> str:
     def share(part, whole):
-        return f"round_even(CASE WHEN {whole} = 0 THEN 0.0 ELSE ({part}) / CAST({whole} AS DOUBLE) END, 4)"
+        nearest = rounded(f"({part}) * 10000", f"greatest({whole}, 1)")
+        return f"CASE WHEN {whole} = 0 THEN CAST(0 AS DOUBLE) ELSE {nearest} / CAST(10000 AS DOUBLE) END"
 
     return f"""{by}{share('tp + tn', '(tp + fp + fn + tn)')} AS accuracy, {share('tp', '(tp + fp)')} AS precision,
       {share('tp', '(tp + fn)')} AS recall, {share('2 * tp', '(2 * tp + fp + fn)')} AS f1_score,
@@ -444,8 +452,8 @@ def oracle_sql() -> dict[str, str]:
         "partitioned filter+exact": (scoped, "0"),
     }
     sql["dedupe_comparison"] = f"{two_stage} " + " UNION ALL ".join(
-        f"""SELECT *, '{name}' AS algorithm, round_even(evaluations * CAST(0.00005 AS DOUBLE), 4) AS downstream_s,
-          round_even(total_records / greatest(evaluations * CAST(0.00005 AS DOUBLE), CAST(0.0001 AS DOUBLE)), 1) AS downstream_rec_s
+        f"""SELECT *, '{name}' AS algorithm, {rounded('evaluations * 50', '100')} / CAST(10000 AS DOUBLE) AS downstream_s,
+          {rounded('total_records * 200000', 'greatest(evaluations, 2)')} / CAST(10 AS DOUBLE) AS downstream_rec_s
           FROM ({stats(f'({rows})', '', false_hits)})"""
         for name, (rows, false_hits) in branches.items()
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.records import SCOPE
 from ..operators.dedupe import (
     FilterSize,
     dedupe_filter_only,
@@ -17,8 +18,8 @@ from ..operators.dedupe import (
     screen_each,
 )
 from ..operators.report import comparison, count_where, dedupe_stats, percent, trial_log
-from ..operators.routing import dedupe_partitioned, dedupe_two_level, route, worker_column
-from ..operators.windowed import dedupe_scoped_fifo, dedupe_scoped_rotating, dedupe_worker_rotating, dedupe_worker_window
+from ..operators.routing import dedupe_two_level, route, worker_column
+from ..operators.windowed import fifo_setting, rotating_setting, sweep_counts, worker_setting
 from ..operators.workload import duplicate_pressure
 from ..session import written
 
@@ -46,63 +47,86 @@ SEARCH_SETTINGS = ((0.01, 1000, 1), (0.01, 5000, 1), (0.05, 1000, 1), (0.05, 500
 CONFIRM_RATE = 0.5
 
 
-def run_configuration(
-    view: DataFrame, workers: int, routing: str, capacity: int | None, generation: int, exact: str | None, window: int
-) -> DataFrame:
-    """The view with is_dup under one configuration.
+def _copies(view: DataFrame, settings: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """Each record once per setting, with the columns that the setting gives it."""
+    rows = [
+        F.struct(F.lit(name).alias("setting"), *[col.alias(c) for c, col in columns.items()])
+        for name, columns in settings.items()
+    ]
+    return view.withColumn("_s", F.explode(F.array(*rows))).select("*", "_s.*").drop("_s")
 
-    A filter that is never emptied has no misses, so in front of a local exact
-    check it changes cost, not verdicts; those of the window stand.
-    """
-    routed = route(view, workers, routing)
-    if exact is None:
-        if capacity is None:
-            return dedupe_none(routed)
-        return dedupe_filter_only(routed, FilterSize.for_rate(capacity, ERROR_RATE), ["worker_id"])
-    if exact == "global":
-        return dedupe_two_level(routed)
-    if generation:
-        return dedupe_worker_rotating(routed, window, generation)
-    return dedupe_worker_window(routed, window)
+
+def _local_config(workers: int, routing: str, generation: int, window: int):
+    return {"worker_id": worker_column(workers, routing)}, worker_setting(window, generation)
 
 
 def config_matrix(view: DataFrame, window: int = 100_000) -> DataFrame:
-    """Records, drops and drop rate of every configuration."""
-    rows = []
-    for name, settings in CONFIGURATIONS.items():
-        stats = dedupe_stats(run_configuration(view, *settings, window=window))
-        rows.append(
-            stats.select(
-                F.lit(name).alias("config"),
-                F.lit(settings[0]).alias("workers"),
-                "total_records",
-                F.col("duplicates").alias("dropped"),
-                F.col("dedupe_rate_pct").alias("dup_rate_pct"),
-            )
-        )
-    return reduce(DataFrame.unionByName, rows)
+    """Records, drops and drop rate of every configuration.
+
+    A filter that is never emptied has no misses, so in front of a local exact
+    check it changes cost, not verdicts. All configurations with a local check
+    go through one run.
+    """
+    local = {
+        name: _local_config(workers, routing, generation, window)
+        for name, (workers, routing, _, generation, exact) in CONFIGURATIONS.items()
+        if exact == "local"
+    }
+    copies = _copies(view, {name: columns for name, (columns, _) in local.items()})
+    counts = sweep_counts(copies, {name: setting for name, (_, setting) in local.items()}, ["worker_id"])
+    rows = [
+        counts.select("setting", "total_records", (F.col("total_records") - F.col("evaluations")).alias("duplicates"))
+    ]
+    for name, (workers, routing, capacity, _, exact) in CONFIGURATIONS.items():
+        if exact == "local":
+            continue
+        routed = route(view, workers, routing)
+        if exact == "global":
+            flagged = dedupe_two_level(routed)
+        elif capacity:
+            flagged = dedupe_filter_only(routed, FilterSize.for_rate(capacity, ERROR_RATE), ["worker_id"])
+        else:
+            flagged = dedupe_none(routed)
+        rows.append(dedupe_stats(flagged).select(F.lit(name).alias("setting"), "total_records", "duplicates"))
+    workers = reduce(lambda c, n: c.when(F.col("config") == n, CONFIGURATIONS[n][0]), CONFIGURATIONS, F)
+    return (
+        reduce(DataFrame.unionByName, rows)
+        .withColumnsRenamed({"setting": "config", "duplicates": "dropped"})
+        .withColumn("workers", workers)
+        .withColumn("dup_rate_pct", percent(F.col("dropped"), F.col("total_records")))
+    )
 
 
 def window_sweep(view: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Dedupe rate per window size, for both window semantics."""
-    rows = []
-    for w in windows:
-        for name, operator in (("fifo", dedupe_scoped_fifo), ("rotating", dedupe_scoped_rotating)):
-            stats = dedupe_stats(operator(view, w))
-            rows.append(stats.select(F.lit(name).alias("semantics"), F.lit(w).alias("window_size"), "*"))
-    return reduce(DataFrame.unionByName, rows)
+    """Dedupe rate per window size, for both window semantics, in one run."""
+    kinds = {"fifo": fifo_setting, "rotating": rotating_setting}
+    settings = {f"{kind}/{w}": make(w) for kind, make in kinds.items() for w in windows}
+    counts = sweep_counts(_copies(view, {name: {} for name in settings}), settings)
+    name = F.split("setting", "/")
+    duplicates = F.col("total_records") - F.col("evaluations")
+    return counts.select(
+        name[0].alias("semantics"),
+        name[1].cast("int").alias("window_size"),
+        "total_records",
+        duplicates.alias("duplicates"),
+        "false_positives",
+        "evaluations",
+        percent(duplicates, F.col("total_records")).alias("dedupe_rate_pct"),
+    )
 
 
 def partition_sweep(view: DataFrame, workers: Sequence[int] = (1, 2, 4), window: int = 50_000) -> DataFrame:
     """Counters per worker count: routing by tenant must not change them."""
-    rows = []
-    for n in workers:
-        flagged = dedupe_partitioned(view, n, window)
-        busy = F.countDistinct("worker_id").alias("workers_used")
-        used = flagged.agg(busy, F.count("*").alias("total_records"), count_where(F.col("is_dup")).alias("duplicates"))
-        rows.append(used.select(F.lit(n).alias("workers"), "*"))
-    return reduce(DataFrame.unionByName, rows).withColumn(
-        "dedupe_rate_pct", percent(F.col("duplicates"), F.col("total_records"))
+    copies = _copies(view, {str(n): {"worker_id": worker_column(n)} for n in workers})
+    counts = sweep_counts(copies, {str(n): rotating_setting(window) for n in workers}, ["worker_id", *SCOPE])
+    used = copies.groupBy("setting").agg(F.countDistinct("worker_id").alias("workers_used"))
+    duplicates = F.col("total_records") - F.col("evaluations")
+    return counts.join(used, "setting").select(
+        F.col("setting").cast("int").alias("workers"),
+        "workers_used",
+        "total_records",
+        duplicates.alias("duplicates"),
+        percent(duplicates, F.col("total_records")).alias("dedupe_rate_pct"),
     )
 
 

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.records import SCOPE
 from ..functions.rules import signature_rule
+from ..operators.dedupe import OUTCOMES
 from ..operators.report import dedupe_stats
-from ..operators.windowed import OUTCOME_BY_CODE, FifoWindow, ScreenedWindow
-
-
-def _step(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, new_window: Callable
-) -> Iterator[pd.DataFrame]:
-    """Continue one scope's window over the rows of a micro-batch, in order."""
-    window = new_window()
-    if state.exists:
-        window.load(state.get[0])
-    rows = pd.concat(list(frames)).sort_values("seq")
-    codes = [window.step(bytes.fromhex(fp)) for fp in rows["fp"]]
-    state.update((window.save(),))
-    rows["outcome"] = [OUTCOME_BY_CODE[c] for c in codes]
-    rows["is_dup"] = rows["outcome"] == OUTCOME_BY_CODE[1]
-    yield rows
+from ..operators.windowed import FifoWindow, ScreenedWindow, continue_scope
 
 
 def _windowed(stream: DataFrame, new_window: Callable, scope: Sequence[str]) -> DataFrame:
@@ -37,7 +22,7 @@ def _windowed(stream: DataFrame, new_window: Callable, scope: Sequence[str]) ->
         stream.select(*columns)
         .groupBy(*scope)
         .applyInPandasWithState(
-            partial(_step, new_window=new_window),
+            partial(continue_scope, new_window=new_window, outcomes=OUTCOMES),
             f"{fields}, outcome string, is_dup boolean",
             "window binary",
             "append",
