@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.records import SCOPE
+from ..functions.records import SCOPE, hex_digits
 from .ordering import dense_index
 
 # Verdict names of the two-stage check, by code.
@@ -128,14 +128,15 @@ class FilterSize:
 
 
 def filter_positions(fp: Column, size: FilterSize) -> Column:
-    """Bit positions of a hex digest: its 8-digit slices, modulo the size.
+    """Bit positions of a digest: its four-byte slices, modulo the size.
 
     A digest has eight slices; more come from re-hashing it with a number.
     """
     slices = []
     for j in range(size.hashes):
-        digest = fp if j < 8 else F.sha2(F.concat(fp, F.lit(f"#{j // 8}")), 256)
-        slices.append(F.conv(F.substring(digest, 8 * (j % 8) + 1, 8), 16, 10).cast("bigint") % F.lit(size.bits))
+        digest = fp if j < 8 else F.unhex(F.sha2(F.concat(hex_digits(fp), F.lit(f"#{j // 8}")), 256))
+        part = F.hex(F.substring(digest, 4 * (j % 8) + 1, 4))
+        slices.append(F.conv(part, 16, 10).cast("bigint") % F.lit(size.bits))
     return F.array(*slices)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.records import SCOPE, md5_slot
+from ..functions.records import SCOPE, hex_digits, md5_slot
 from .dedupe import first_seen
 from .report import dedupe_stats
 from .windowed import dedupe_scoped_rotating
@@ -19,7 +19,7 @@ def worker_column(workers: int, strategy: str = "tenant", salt: int = 42, seq: s
     if strategy == "tenant":
         key = F.col("tenant")
     elif strategy == "hash":
-        key = F.col("fp")
+        key = hex_digits(F.col("fp"))
     elif strategy == "random":
         key = F.concat_ws(":", F.lit(salt).cast("string"), F.col(seq).cast("string"))
     else:

@@ -270,7 +270,7 @@ def continue_scope(key: tuple, frames, state, new_window: Callable, outcomes: tu
     if state.exists:
         window.load(state.get[0])
     rows = pd.concat(list(frames)).sort_values("seq")
-    codes = [window.step(bytes.fromhex(fp)) for fp in rows["fp"]]
+    codes = [window.step(bytes(fp)) for fp in rows["fp"]]
     state.update((window.save(),))
     rows["outcome"] = [outcomes[c] for c in codes]
     rows["is_dup"] = [c == DUPLICATE for c in codes]

@@ -99,7 +99,7 @@ def scan_in_order(
     pieces: int | None = None,
     speculative_rounds: int = 2,
 ) -> DataFrame:
-    """(seq, verdict) of the accepted rows of `rows` (scope..., seq, fp binary)."""
+    """(seq, verdict) of the accepted rows of `rows` (scope..., seq, fp)."""
     spark = rows.sparkSession
     base = new_table_path(spark, "scan")
     count = pieces or task_count(spark)
@@ -184,7 +184,7 @@ def _verdicts(
         return native(firsts)
     large = written(large, "large-scopes")
     small = native(firsts.join(large, list(scope), "left_anti"))
-    rows = narrow.join(large, list(scope), "left_semi").withColumn("fp", F.unhex("fp"))
+    rows = narrow.join(large, list(scope), "left_semi")
     return small.unionByName(scan_in_order(rows, new_window, scope, pieces))
 
 

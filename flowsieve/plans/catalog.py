@@ -14,6 +14,7 @@ from ..functions.records import (
     fingerprint,
     flow_fingerprint,
     flow_view,
+    hex_digits,
     parse_event_time,
     scope_columns,
 )
@@ -41,6 +42,10 @@ HOT_PIECES = 6
 SCALED = [f"z_{f}" for f in FEATURES]
 
 
+def _fp():
+    return hex_digits(F.col("fp")).alias("fp")
+
+
 def _verdict(df: DataFrame, *more: str) -> DataFrame:
     return df.select("seq", "tenant", "is_dup", *more)
 
@@ -55,7 +60,7 @@ def q_flow_view(spark, sf):
         "seq",
         "tenant",
         "log_type",
-        "fp",
+        _fp(),
         F.col("Source IP").alias("source"),
         F.col("Destination IP").alias("destination"),
         as_text(view, "Total Length of Fwd Packets").alias("fwd_bytes"),
@@ -63,7 +68,7 @@ def q_flow_view(spark, sf):
 
 
 def q_flow_head_n(spark, sf):
-    return head_rows(event_view(spark, sf), HEAD)
+    return head_rows(event_view(spark, sf), HEAD).select("seq", "tenant", "log_type", _fp())
 
 
 def q_clean_flows(spark, sf):
@@ -97,9 +102,9 @@ def q_flow_fingerprint(spark, sf):
     nine = [column_name(flows, [n]) for n in NINE_FIELDS]
     return flows.select(
         "seq",
-        flow_fingerprint(flows).alias("fp"),
-        flow_fingerprint(flows, "-").alias("fp_dash"),
-        fingerprint(flows, nine).alias("fp_nine"),
+        hex_digits(flow_fingerprint(flows)).alias("fp"),
+        hex_digits(flow_fingerprint(flows, "-")).alias("fp_dash"),
+        hex_digits(fingerprint(flows, nine)).alias("fp_nine"),
     )
 
 
@@ -132,15 +137,15 @@ def q_dedupe_scoped_exact(spark, sf):
 
 
 def q_dedupe_passed(spark, sf):
-    return d.passed(d.dedupe_scoped_exact(event_view(spark, sf))).select("seq", "tenant", "fp")
+    return d.passed(d.dedupe_scoped_exact(event_view(spark, sf))).select("seq", "tenant", _fp())
 
 
 def q_dedupe_dropped(spark, sf):
-    return d.dropped(d.dedupe_scoped_exact(event_view(spark, sf))).select("seq", "tenant", "fp")
+    return d.dropped(d.dedupe_scoped_exact(event_view(spark, sf))).select("seq", "tenant", _fp())
 
 
 def q_dedupe_keep_first(spark, sf):
-    return d.keep_first(event_view(spark, sf), ["tenant", "log_type", "fp"]).select("seq", "tenant", "fp")
+    return d.keep_first(event_view(spark, sf), ["tenant", "log_type", "fp"]).select("seq", "tenant", _fp())
 
 
 def q_dedupe_scoped_fifo(spark, sf):
@@ -283,7 +288,7 @@ def q_filter_error_sweep(spark, sf):
 
 def q_duplicate_pressure(spark, sf):
     loaded = duplicate_pressure(event_view(spark, sf).select("seq", "tenant", "fp"), 0.5)
-    return loaded.select("seq", "origin", "tenant", "fp")
+    return loaded.select("seq", "origin", "tenant", _fp())
 
 
 def _event_numbers(spark, sf) -> tuple[DataFrame, int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.records import flow_view
+from ..functions.records import flow_view, hex_digits
 from ..operators.report import percent
 from ..plans.event_flows import event_flows
 from ..session import new_table_path, task_count
@@ -59,7 +59,7 @@ def stream_rotating(spark, sf):
 
 def stream_ttl_dedupe(spark, sf):
     out = _drained(stream_ttl(_flow_stream(spark, sf, ["ts"]), "6 hours"))
-    return out.select("seq", "tenant", "fp")
+    return out.select("seq", "tenant", hex_digits(F.col("fp")).alias("fp"))
 
 
 def stream_signature_rules(spark, sf):
