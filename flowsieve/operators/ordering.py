@@ -6,12 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import task_count, written
+from ..session import written
 
 # monotonically_increasing_id() is (partition << 33) + row number in partition.
 _ROW_BITS = 33
 
 
+def in_order(df: DataFrame, order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """Range partitioned and sorted: partition by partition, the global order.
+
+    Without `pieces` adaptive execution merges neighbouring small ranges, which
+    keeps the order and fits the number of tasks to the data.
+    """
+    ranged = df.repartitionByRange(pieces, *order) if pieces else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
+
+
 def dense_index(
     df: DataFrame, order: Sequence[str], out: str = "idx", pieces: int | None = None
 ) -> tuple[DataFrame, int]:
@@ -24,10 +34,8 @@ def dense_index(
     `order` should be unique per row, else ties are numbered arbitrarily.
     """
     spark = df.sparkSession
-    n_pieces = pieces or task_count(spark)
     placed = written(
-        df.repartitionByRange(n_pieces, *order)
-        .sortWithinPartitions(*order)
+        in_order(df, order, pieces)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_piece", F.shiftright("_at", _ROW_BITS).cast("int")),
         "ordered",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 from pyspark.sql.window import WindowSpec
 
@@ -99,9 +101,6 @@ def custom_forecast(
     `predict` maps a batch of sequences (rows x length x features) to the next
     vectors (rows x features), both numpy arrays; it runs on Arrow batches.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def score(windows: pd.Series) -> pd.Series:
         batch = np.stack([np.stack(w) for w in windows]) if len(windows) else np.empty((0, length, len(features)))

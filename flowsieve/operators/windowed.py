@@ -31,9 +31,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.records import SCOPE
-from ..session import new_table_path, task_count, written
+from ..session import new_table_path, written
 from . import window_state
 from .dedupe import FilterSize, first_seen, screen, two_stage_verdicts, with_outcome
+from .ordering import in_order
 from .window_state import (
     DUPLICATE,
     FALSE_HIT,
@@ -102,16 +103,12 @@ def scan_in_order(
     """(seq, verdict) of the accepted rows of `rows` (scope..., seq, fp)."""
     spark = rows.sparkSession
     base = new_table_path(spark, "scan")
-    count = pieces or task_count(spark)
-    order = [*scope, "seq"]
 
     def table(round_no: int) -> DataFrame:
         return spark.read.schema(SCAN_SCHEMA).parquet(f"{base}/round={round_no}")
 
     scanned = (
-        rows.select(*scope, "seq", "fp")
-        .repartitionByRange(count, *order)
-        .sortWithinPartitions(*order)
+        in_order(rows.select(*scope, "seq", "fp"), [*scope, "seq"], pieces)
         .mapInArrow(partial(scan_pieces, new_window=new_window, depth=len(scope)), SCAN_SCHEMA)
     )
     scanned.write.parquet(f"{base}/round=0")

@@ -29,17 +29,17 @@ def local_session(cores: str = "8", app: str = "flowsieve", **conf) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables.
 
-    Taken from `spark.checkpoint.dir`. Only a local master may go without it,
-    since a folder of one machine is lost with that machine.
+    Taken from `spark.checkpoint.dir`, or from the checkpoint folder the
+    application has set. Only a local master may go without either, since a
+    folder of one machine is lost with that machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="flowsieve-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowsieve-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -13,6 +13,7 @@ from .dedupe import batch_stats, stream_scoped_fifo, stream_scoped_rotating, str
 
 _WINDOW = 16
 _BATCHES = 4
+_FILE_ROWS = 1000
 
 
 def _flow_stream(spark, sf: str, columns: list[str]) -> DataFrame:
@@ -22,9 +23,10 @@ def _flow_stream(spark, sf: str, columns: list[str]) -> DataFrame:
     the one before it, as a fixed number of files: a micro-batch is one range.
     """
     view = flow_view(event_flows(spark, sf), keep=columns)
-    path, files = new_table_path(spark, "arrivals"), task_count(spark)
+    path = new_table_path(spark, "arrivals")
     low, high = view.agg(F.min("seq"), F.max("seq")).first()
     step = (high - low) // _BATCHES + 1
+    files = min(task_count(spark), step // _FILE_ROWS + 1)
     for start in range(low, high + 1, step):
         batch = view.where((F.col("seq") >= start) & (F.col("seq") < start + step))
         batch.repartition(files).write.mode("append").parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -56,7 +57,9 @@ def main(sf_dir: str, only: list[str]) -> int:
     import __spark_entry__ as entry
     from flowsieve.session import local_session
 
-    spark, con, failed = local_session(), connect(sf_dir), 0
+    partitions = os.environ.get("PARTITIONS", "8")
+    spark = local_session(**{"spark.sql.shuffle.partitions": partitions})
+    con, failed = connect(sf_dir), 0
     sql = entry.oracle_sql()
     for name, query in entry.queries().items():
         if only and name not in only:
