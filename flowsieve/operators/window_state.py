@@ -12,7 +12,9 @@ import struct
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 
 NEW, DUPLICATE, FALSE_HIT = 0, 1, 2
@@ -43,15 +45,19 @@ class FifoWindow:
     def __init__(self, window: int):
         self.window, self.order, self.held = window, deque(), set()
 
-    def step(self, fp: bytes) -> int:
-        if fp in self.held:
-            return DUPLICATE
-        if self.window > 0:
-            if len(self.order) >= self.window:
-                self.held.discard(self.order.popleft())
-            self.order.append(fp)
-            self.held.add(fp)
-        return NEW
+    def steps(self, fps: list[bytes]) -> list[int]:
+        order, held, window, out = self.order, self.held, self.window, []
+        for fp in fps:
+            if fp in held:
+                out.append(DUPLICATE)
+                continue
+            out.append(NEW)
+            if window > 0:
+                if len(order) >= window:
+                    held.discard(order.popleft())
+                order.append(fp)
+                held.add(fp)
+        return out
 
     def save(self) -> bytes:
         return _pack(self.order)
@@ -135,6 +141,9 @@ class ScreenedWindow:
             self.held.add(fp)
         return FALSE_HIT if hit else NEW
 
+    def steps(self, fps: list[bytes]) -> list[int]:
+        return [self.step(fp) for fp in fps]
+
     def save(self) -> bytes:
         screen = sorted(self.screen) if self.size is None else [bytes(self.screen.data)]
         return _pack(self.order, sorted(self.held), screen, [struct.pack("<Q", self.inserted)])
@@ -166,59 +175,75 @@ _ARROW_SCHEMA = pa.schema(
     [("kind", pa.int32()), ("piece", pa.int32()), ("seq", pa.int64()), ("fp", pa.binary()), ("verdict", pa.int32())]
 )
 _PART_BYTES = 1 << 20
-_FLUSH_ROWS = 10_000
 
 
-class _Output:
-    """Collects scan rows and hands them on in Arrow batches."""
+def _batch(kind: int, piece: int, seq, fp=None, verdict=None) -> pa.RecordBatch:
+    n = len(seq)
+    columns = [
+        np.full(n, kind, "int32"),
+        np.full(n, piece, "int32"),
+        seq,
+        pa.nulls(n, pa.binary()) if fp is None else fp,
+        pa.nulls(n, pa.int32()) if verdict is None else verdict,
+    ]
+    arrays = [pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, _ARROW_SCHEMA)]
+    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
 
-    def __init__(self):
-        self.rows: list[tuple] = []
 
-    def add(self, kind, piece, seq, fp, verdict) -> None:
-        self.rows.append((kind, piece, seq, fp, verdict))
+def _window_parts(piece: int, blob: bytes) -> pa.RecordBatch:
+    parts = [blob[i : i + _PART_BYTES] for i in range(0, len(blob), _PART_BYTES)]
+    return _batch(WINDOW, piece, np.arange(len(parts)), pa.array(parts, pa.binary()))
 
-    def full(self) -> bool:
-        return len(self.rows) >= _FLUSH_ROWS
 
-    def batch(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) if self.rows else [()] * 5
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, _ARROW_SCHEMA)]
-        self.rows = []
-        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
+def _summary(piece: int, **facts) -> pa.RecordBatch:
+    return _batch(SUMMARY, piece, np.zeros(1, "int64"), pa.array([json.dumps(facts).encode()], pa.binary()))
 
-    def window(self, piece: int, blob: bytes) -> str:
-        for part, at in enumerate(range(0, len(blob), _PART_BYTES)):
-            self.add(WINDOW, piece, part, blob[at : at + _PART_BYTES], None)
-        return hashlib.sha256(blob).hexdigest()
 
-    def summary(self, piece: int, **facts) -> None:
-        self.add(SUMMARY, piece, None, json.dumps(facts).encode(), None)
+def _digest(blob: bytes) -> str:
+    return hashlib.sha256(blob).hexdigest()
+
+
+def _runs(columns: list[pa.Array]) -> list[int]:
+    """Row numbers where one of the columns changes, with both ends."""
+    n = len(columns[0])
+    change = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        change |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(change) + 1).tolist(), n]
 
 
 def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth: int) -> Iterator[pa.RecordBatch]:
-    """First scan of one sorted piece, from an empty window."""
+    """First scan of one sorted piece, from an empty window.
+
+    Input columns: `depth` scope columns, seq, fp.
+    """
     piece = TaskContext.get().partitionId()
-    out, window, first, current, head = _Output(), None, None, None, True
+    window, first, current = None, None, None
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for scope, seq, fp in zip(zip(*columns[:depth]), columns[depth], columns[depth + 1]):
+        if not batch.num_rows:
+            continue
+        scopes, seq, fp = batch.columns[:depth], batch.column(depth), batch.column(depth + 1)
+        fps, verdicts, heads = fp.to_pylist(), [], 0
+        edges = _runs(scopes)
+        for start, end in zip(edges, edges[1:]):
+            scope = tuple(c[start].as_py() for c in scopes)
             if scope != current:
-                head = current is None
-                first = scope if head else first
+                first = scope if current is None else first
                 current, window = scope, new_window(scope)
-            verdict = window.step(fp)
-            if head:
-                out.add(HEAD, piece, seq, fp, verdict)
-            elif verdict != DUPLICATE:
-                out.add(SETTLED, piece, seq, None, verdict)
-            if out.full():
-                yield out.batch()
+            verdicts += window.steps(fps[start:end])
+            if scope == first:
+                heads = end
+        verdicts = np.array(verdicts, "int32")
+        if heads:
+            yield _batch(HEAD, piece, seq[:heads], fp[:heads], verdicts[:heads])
+        kept = np.flatnonzero(verdicts[heads:] != DUPLICATE) + heads
+        yield _batch(SETTLED, piece, seq.take(pa.array(kept)), None, verdicts[kept])
     if current is not None:
-        end = out.window(piece, window.save())
-        start = hashlib.sha256(new_window(first).save()).hexdigest()
-        out.summary(piece, first=list(first), last=list(current), whole=head, start=start, end=end)
-    yield out.batch()
+        blob = window.save()
+        yield _window_parts(piece, blob)
+        empty = _digest(new_window(first).save())
+        whole = first == current
+        yield _summary(piece, first=list(first), last=list(current), whole=whole, start=empty, end=_digest(blob))
 
 
 def rescan_heads(
@@ -228,35 +253,37 @@ def rescan_heads(
 
     `facts` gives each piece's first scope and whether it is the only one.
     """
-    out, piece, window, parts, start = _Output(), None, None, [], None
+    piece, window, parts, begin = None, None, [], None
 
-    def finish():
+    def finish() -> Iterator[pa.RecordBatch]:
         if piece is None:
             return
         if facts[piece][1]:
-            out.summary(piece, start=start, end=out.window(piece, window.save()))
+            blob = window.save()
+            yield _window_parts(piece, blob)
+            yield _summary(piece, start=begin, end=_digest(blob))
         else:
-            out.summary(piece, start=start)
+            yield _summary(piece, start=begin)
 
     for batch in batches:
-        for kind, of, seq, fp in zip(*[batch.column(c).to_pylist() for c in ("kind", "piece", "seq", "fp")]):
-            if of != piece:
-                finish()
-                piece, window, parts = of, None, []
-            if kind == WINDOW:
-                parts.append(fp)
+        if not batch.num_rows:
+            continue
+        kind, of, seq, fp = (batch.column(c) for c in ("kind", "piece", "seq", "fp"))
+        edges = _runs([of, kind])
+        for start, end in zip(edges, edges[1:]):
+            if of[start].as_py() != piece:
+                yield from finish()
+                piece, window, parts = of[start].as_py(), None, []
+            if kind[start].as_py() == WINDOW:
+                parts += fp[start:end].to_pylist()
                 continue
             if window is None:
                 blob = b"".join(parts)
-                window, start, parts = new_window(facts[piece][0]), hashlib.sha256(blob).hexdigest(), []
+                window, begin, parts = new_window(facts[piece][0]), _digest(blob), []
                 window.load(blob)
-            out.add(HEAD, piece, seq, fp, window.step(fp))
-            if out.full():
-                yield out.batch()
-    finish()
-    yield out.batch()
-
-
+            verdicts = np.array(window.steps(fp[start:end].to_pylist()), "int32")
+            yield _batch(HEAD, piece, seq[start:end], fp[start:end], verdicts)
+    yield from finish()
 
 
 # ---------------------------------------------------------------- streaming
@@ -270,7 +297,7 @@ def continue_scope(key: tuple, frames, state, new_window: Callable, outcomes: tu
     if state.exists:
         window.load(state.get[0])
     rows = pd.concat(list(frames)).sort_values("seq")
-    codes = [window.step(bytes(fp)) for fp in rows["fp"]]
+    codes = window.steps([bytes(fp) for fp in rows["fp"]])
     state.update((window.save(),))
     rows["outcome"] = [outcomes[c] for c in codes]
     rows["is_dup"] = [c == DUPLICATE for c in codes]

@@ -70,7 +70,13 @@ class _Chain:
         self.rows_round = dict.fromkeys(self.pieces, 0)
         self.window_round = dict.fromkeys(self.pieces, 0)
 
+    def unsettled(self) -> list[int]:
+        """Pieces that have a predecessor and may have to run again."""
+        return sorted(self.before)
+
     def pending(self, frontier_only: bool) -> list[int]:
+        """Pieces to run again: those that started from another window than
+        their predecessor's last; `frontier_only` waits until that is final."""
         final_end, todo = {}, []
         for p in self.pieces:
             q = self.before.get(p)
@@ -132,11 +138,20 @@ def scan_in_order(
             .join(F.broadcast(needs), ["of", "round"])
             .select("kind", "piece", "seq", "fp")
         )
-        heads = (
-            table(0)
-            .where((F.col("kind") == HEAD) & F.col("piece").isin(todo))
-            .select((F.col("kind") + SUMMARY).alias("kind"), "piece", "seq", "fp")
-        )
+        if round_no == speculative_rounds + 1:
+            # From here on few pieces run per round: give each its own folder,
+            # so that a round opens only the files it needs.
+            apart = new_table_path(spark, "heads")
+            left = chain.unsettled()
+            table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(left)).repartition(
+                len(left), "piece"
+            ).write.partitionBy("piece").parquet(apart)
+        if round_no > speculative_rounds:
+            reader = spark.read.schema(SCAN_SCHEMA).option("basePath", apart)
+            heads = reader.parquet(*[f"{apart}/piece={p}" for p in todo])
+        else:
+            heads = table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(todo))
+        heads = heads.select((F.col("kind") + SUMMARY).alias("kind"), "piece", "seq", "fp")
         facts = {p: (tuple(chain.facts[p]["first"]), chain.facts[p]["whole"]) for p in todo}
         (
             windows.unionByName(heads)

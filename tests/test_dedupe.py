@@ -289,11 +289,11 @@ def test_saved_windows_load_again():
         lambda: ScreenedWindow(4, 3, None, on_arrival=True),
     ):
         through, halves = make(), make()
-        whole = [through.step(f) for f in fps]
-        first = [halves.step(f) for f in fps[:30]]
+        whole = [v for f in fps for v in through.steps([f])]
+        first = halves.steps(fps[:30])
         again = make()
         again.load(halves.save())
-        assert whole == first + [again.step(f) for f in fps[30:]]
+        assert whole == first + again.steps(fps[30:])
 
 
 def test_filter_rate_is_near_its_setting(arrivals):
