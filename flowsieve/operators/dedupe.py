@@ -140,15 +140,17 @@ def filter_positions(fp: Column, size: FilterSize) -> Column:
     return F.array(*slices)
 
 
-def screen_each(
-    firsts: DataFrame, by: Sequence[str], sizes: Mapping[str, FilterSize], seq: str = "seq"
+def filter_misses(
+    rows: DataFrame, by: Sequence[str], sizes: Mapping[str, FilterSize], seq: str = "seq"
 ) -> DataFrame:
-    """First arrivals with `filter_hit`, once per named filter size (`setting`).
-
-    Repeats set no new bit, so first arrivals alone fill the filter; and a hit
-    finds its bits set, so inserting it or not is the same. A bit is set at the
-    smallest `seq` that maps to it, and a record hits iff the latest of its
-    bits was set before it arrived. This equals record-by-record insertion.
+    """(setting, by..., seq) of the rows a filter does not know on arrival, for
+    each named filter size.
+
+    A row is unknown iff it is the first to set one of its bits. Whether rows
+    that hit are inserted or not is the same, as their bits are set already, so
+    the first row per bit follows from a minimum, combined before the shuffle,
+    and equals record-by-record insertion. Repeats never set a bit: `rows` may
+    be the table or its first arrivals.
     """
     settings = F.array(
         *[
@@ -156,30 +158,23 @@ def screen_each(
             for name, size in sizes.items()
         ]
     )
-    by = ["setting", *by]
-    each = firsts.withColumn("_s", F.explode(settings)).withColumn("setting", F.col("_s.setting"))
-    bits = each.select(*by, seq, F.explode("_s.bits").alias("bit"))
-    set_at = bits.groupBy(*by, "bit").agg(F.min(seq).alias("set_at"))
-    hits = (
-        bits.join(set_at, [*by, "bit"])
-        .groupBy(*by, seq)
-        .agg(F.max("set_at").alias("set_at"))
-        .select(*by, seq, (F.col("set_at") < F.col(seq)).alias("filter_hit"))
+    bits = (
+        rows.select(*by, seq, F.explode(settings).alias("_s"))
+        .select(F.col("_s.setting").alias("setting"), *by, seq, F.explode("_s.bits").alias("bit"))
     )
-    return each.drop("_s").join(hits, [*by, seq])
+    setters = bits.groupBy("setting", *by, "bit").agg(F.min(seq).alias(seq))
+    return setters.select("setting", *by, seq).distinct()
 
 
-def screen(firsts: DataFrame, by: Sequence[str], size: FilterSize, seq: str = "seq") -> DataFrame:
-    """First arrivals with `filter_hit`: did earlier ones set all their bits?"""
-    return screen_each(firsts, by, {"": size}, seq).drop("setting")
+def _misses(rows: DataFrame, by: Sequence[str], size: FilterSize, seq: str) -> DataFrame:
+    return filter_misses(rows, by, {"": size}, seq).select(seq)
 
 
 def dedupe_filter_only(
     df: DataFrame, size: FilterSize, by: Sequence[str] = SCOPE, seq: str = "seq"
 ) -> DataFrame:
     """A filter hit is a duplicate: no misses, some unique rows lost."""
-    screened = screen(first_seen(df, [*by, "fp"], seq), by, size, seq)
-    return flag_duplicates(df, screened.where(~F.col("filter_hit")), seq)
+    return flag_duplicates(df, _misses(df, by, size, seq), seq)
 
 
 def with_outcome(df: DataFrame, verdicts: DataFrame, seq: str = "seq") -> DataFrame:
@@ -194,9 +189,15 @@ def with_outcome(df: DataFrame, verdicts: DataFrame, seq: str = "seq") -> DataFr
     )
 
 
+def filter_verdicts(firsts: DataFrame, by: Sequence[str], size: FilterSize, seq: str = "seq") -> DataFrame:
+    """(seq, verdict) of rows that a filter alone accepts."""
+    return _misses(firsts, by, size, seq).withColumn("verdict", F.lit(0))
+
+
 def two_stage_verdicts(firsts: DataFrame, by: Sequence[str], size: FilterSize, seq: str = "seq") -> DataFrame:
     """(seq, verdict) of rows a filter plus exact check accepts: 0 new, 2 false hit."""
-    return screen(firsts, by, size, seq).select(seq, F.when(F.col("filter_hit"), 2).otherwise(0).alias("verdict"))
+    unknown = filter_verdicts(firsts, by, size, seq)
+    return firsts.select(seq).join(unknown, seq, "left").withColumn("verdict", F.coalesce("verdict", F.lit(2)))
 
 
 def dedupe_two_stage(

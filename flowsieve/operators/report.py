@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.records import SCOPE
 
@@ -49,18 +49,28 @@ def ratio(part: Column, whole: Column) -> Column:
 # ------------------------------------------------------------------ dedupe
 
 
-def dedupe_stats(flagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Records, duplicates, false filter hits, accepted rows and the rate."""
+def _counts(flagged: DataFrame) -> list[Column]:
     false_hit = F.col("outcome") == "filter_false_positive" if "outcome" in flagged.columns else F.lit(False)
-    counts = flagged.groupBy(*by).agg(
+    return [
         F.count("*").alias("total_records"),
         count_where(F.col("is_dup")).alias("duplicates"),
         count_where(false_hit).alias("false_positives"),
         count_where(~F.col("is_dup")).alias("evaluations"),
-    )
+    ]
+
+
+def dedupe_stats(flagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Records, duplicates, false filter hits, accepted rows and the rate."""
+    counts = flagged.groupBy(*by).agg(*_counts(flagged))
     return counts.withColumn("dedupe_rate_pct", percent(F.col("duplicates"), F.col("total_records")))
 
 
+def observed(flagged: DataFrame) -> tuple[DataFrame, Observation]:
+    """The frame, and its counters once it has been written: no second pass."""
+    watch = Observation("dedupe")
+    return flagged.observe(watch, *_counts(flagged)), watch
+
+
 def scan_cost(stats: DataFrame) -> DataFrame:
     """Comparisons of a linear-scan cache: the k-th accepted row costs k.
 

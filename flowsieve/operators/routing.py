@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.records import SCOPE, hex_digits, md5_slot
-from .dedupe import first_seen
+from .dedupe import first_seen, register_dedupe
 from .report import dedupe_stats
 from .windowed import dedupe_scoped_rotating
 
@@ -68,3 +68,7 @@ def dedupe_two_level(df: DataFrame, seq: str = "seq") -> DataFrame:
         .withColumn("is_dup", F.coalesce("_dup", F.lit(True)))
         .drop("_local", "_dup")
     )
+
+
+register_dedupe("partitioned", dedupe_partitioned)
+register_dedupe("two_level", dedupe_two_level)

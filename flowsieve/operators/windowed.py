@@ -31,9 +31,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.records import SCOPE
-from ..session import new_table_path, written
+from ..session import new_table_path, task_count, written
 from . import window_state
-from .dedupe import FilterSize, first_seen, screen, two_stage_verdicts, with_outcome
+from .dedupe import FilterSize, filter_verdicts, register_dedupe, two_stage_verdicts, with_outcome
 from .ordering import in_order
 from .window_state import (
     DUPLICATE,
@@ -179,24 +179,42 @@ def scan_in_order(
 # --------------------------------------------------------------- operators
 
 
+# Rows per piece: enough windows to forget where the scan began, and enough
+# work to be worth a task.
+_PIECE_WINDOWS = 8
+_PIECE_ROWS = 20_000
+
+
 def _verdicts(
     df: DataFrame,
     new_window: Callable,
+    window: int,
     settled_up_to: int | Column,
     native: Callable[[DataFrame], DataFrame],
     scope: Sequence[str],
     seq: str,
     pieces: int | None,
 ) -> DataFrame:
-    """(seq, verdict) of accepted rows; `native` serves scopes that never evict."""
+    """(seq, verdict) of accepted rows; `native` serves scopes that never evict,
+    which are those of up to `settled_up_to` fingerprints."""
     narrow = df.select(*scope, "fp", F.col(seq).alias("seq"))
-    firsts = written(first_seen(narrow, [*scope, "fp"]), "firsts")
-    large = firsts.groupBy(*scope).agg(F.count("*").alias("n")).where(F.col("n") > settled_up_to).drop("n")
-    if large.isEmpty():
+    firsts = written(
+        narrow.groupBy(*scope, "fp").agg(F.min("seq").alias("seq"), F.count("*").alias("rows")), "firsts"
+    )
+    large = (
+        firsts.groupBy(*scope)
+        .agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+        .where(F.col("n") > settled_up_to)
+        .drop("n")
+    )
+    rows_to_scan = large.agg(F.sum("rows")).first()[0]
+    if rows_to_scan is None:
         return native(firsts)
-    large = written(large, "large-scopes")
+    large = written(large.drop("rows"), "large-scopes")
     small = native(firsts.join(large, list(scope), "left_anti"))
     rows = narrow.join(large, list(scope), "left_semi")
+    per_piece = max(_PIECE_WINDOWS * window, _PIECE_ROWS)
+    pieces = pieces or max(1, min(task_count(df.sparkSession), rows_to_scan // per_piece))
     return small.unionByName(scan_in_order(rows, new_window, scope, pieces))
 
 
@@ -217,7 +235,7 @@ def dedupe_scoped_fifo(
     pieces: int | None = None,
 ) -> DataFrame:
     """A repeat of one of the last `window` accepted fingerprints of its scope."""
-    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, _all_new, scope, seq, pieces)
+    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, window, _all_new, scope, seq, pieces)
     return _flag(df, found, seq, outcome=False)
 
 
@@ -238,7 +256,7 @@ def dedupe_scoped_rotating(
     bits = None if size is None else (size.bits, size.hashes)
     native = _all_new if size is None else partial(two_stage_verdicts, by=scope, size=size)
     make = NewWindow(partial(ScreenedWindow, window, window, bits))
-    found = _verdicts(df, make, window, native, scope, seq, pieces)
+    found = _verdicts(df, make, window, window, native, scope, seq, pieces)
     return _flag(df, found, seq, outcome=True)
 
 
@@ -268,7 +286,7 @@ def dedupe_worker_rotating(
     """`dedupe_worker_window` behind a filter emptied on the first arrival after
     `generation` insertions."""
     make = NewWindow(partial(ScreenedWindow, window, generation, None, on_arrival=True))
-    found = _verdicts(df, make, min(window, generation) - 1, _all_new, (worker,), seq, pieces)
+    found = _verdicts(df, make, window, min(window, generation) - 1, _all_new, (worker,), seq, pieces)
     return _flag(df, found, seq, outcome=True)
 
 
@@ -282,14 +300,22 @@ def dedupe_filter_tumbling(
 ) -> DataFrame:
     """Filter membership alone, the filter emptied every `window` insertions."""
 
-    def native(firsts: DataFrame) -> DataFrame:
-        return screen(firsts, scope, size).where(~F.col("filter_hit")).select("seq", F.lit(NEW).alias("verdict"))
-
+    native = partial(filter_verdicts, by=scope, size=size)
     make = NewWindow(partial(ScreenedWindow, 0, window, (size.bits, size.hashes), exact=False))
-    found = _verdicts(df, make, window, native, scope, seq, pieces)
+    found = _verdicts(df, make, window, window, native, scope, seq, pieces)
     return _flag(df, found, seq, outcome=False)
 
 
+for _name, _policy in {
+    "scoped_fifo": dedupe_scoped_fifo,
+    "scoped_rotating": dedupe_scoped_rotating,
+    "worker_window": dedupe_worker_window,
+    "worker_rotating": dedupe_worker_rotating,
+    "filter_tumbling": dedupe_filter_tumbling,
+}.items():
+    register_dedupe(_name, _policy)
+
+
 # ------------------------------------------------------------------- sweeps
 
 
@@ -321,7 +347,8 @@ def sweep_counts(
     limit = reduce(lambda c, n: c.when(F.col("setting") == n, settings[n][1]), names, F)
     numbered = rows.select("setting", *scope, "fp", (F.col("seq") * len(names) + code).alias("seq"))
     make = NewWindow({n: m for n, (m, _) in settings.items()})
-    found = _verdicts(numbered, make, limit, _all_new, ["setting", *scope], "seq", pieces)
+    widest = max(n for _, n in settings.values())
+    found = _verdicts(numbered, make, widest, limit, _all_new, ["setting", *scope], "seq", pieces)
     accepted = (
         found.withColumn("setting", F.array(*map(F.lit, names))[(F.col("seq") % len(names)).cast("int")])
         .groupBy("setting")

@@ -15,7 +15,7 @@ from ..operators.dedupe import (
     dedupe_none,
     dedupe_two_stage,
     first_seen,
-    screen_each,
+    filter_misses,
 )
 from ..operators.report import comparison, count_where, dedupe_stats, percent, trial_log
 from ..operators.routing import dedupe_two_level, route, worker_column
@@ -135,11 +135,17 @@ def filter_error_sweep(
 ) -> DataFrame:
     """Measured share of first arrivals that a filter wrongly knows."""
     sizes = {f"{e}/{c}": FilterSize.for_rate(c, e) for e in error_rates for c in capacities}
-    screened = screen_each(first_seen(view, [*by, "fp"]), by, sizes)
-    return (
-        screened.groupBy("setting")
-        .agg(F.count("*").alias("unique_records"), count_where(F.col("filter_hit")).alias("false_positives"))
-        .withColumn("fp_rate_pct", percent(F.col("false_positives"), F.col("unique_records")))
+    firsts = first_seen(view, [*by, "fp"])
+    known = filter_misses(firsts, by, sizes).groupBy("setting").agg(F.count("*").alias("misses"))
+    unique = F.col("unique_records")
+    total = firsts.agg(F.count("*").alias("unique_records")).withColumn(
+        "setting", F.explode(F.array(*map(F.lit, sizes)))
+    )
+    return known.join(total, "setting").select(
+        "setting",
+        unique.alias("unique_records"),
+        (unique - F.col("misses")).alias("false_positives"),
+        percent(unique - F.col("misses"), unique).alias("fp_rate_pct"),
     )
 
 
@@ -171,27 +177,28 @@ def search_trials(view: DataFrame, rates: Sequence[float] = DUPLICATE_RATES) ->
     )
     placed = pressured.select("duplicate_rate", "fp", "seq", F.explode(places).alias("p"))
     firsts = written(first_seen(placed.select("duplicate_rate", "p.*", "fp", "seq"), [*by, "fp"]), "firsts")
-    screened = []
+    misses = []
     for workers_match, settings in (
         (F.col("workers") == 1, [s for s in SEARCH_SETTINGS if s[2] == 1]),
         (F.col("workers") > 1, [s for s in SEARCH_SETTINGS if s[2] > 1]),
     ):
         sizes = {f"{e}/{c}": FilterSize.for_rate(c, e) for e, c, _ in settings}
-        screened.append(screen_each(firsts.where(workers_match), by, sizes))
-    setting = F.split("setting", "/")
-    trials = (
-        reduce(DataFrame.unionByName, screened)
+        misses.append(filter_misses(firsts.where(workers_match), by, sizes))
+    known = (
+        reduce(DataFrame.unionByName, misses)
         .groupBy("duplicate_rate", "workers", "setting")
-        .agg(F.count("*").alias("evaluations"), count_where(F.col("filter_hit")).alias("false_positives"))
-        .select(
-            "duplicate_rate",
-            F.when(F.col("workers") == 1, "filter+exact").otherwise("partitioned filter+exact").alias("mode"),
-            setting[0].cast("double").alias("error_rate"),
-            setting[1].cast("int").alias("capacity"),
-            "workers",
-            "evaluations",
-            "false_positives",
-        )
+        .agg(F.count("*").alias("misses"))
+    )
+    accepted = firsts.groupBy("duplicate_rate", "workers").agg(F.count("*").alias("evaluations"))
+    setting = F.split("setting", "/")
+    trials = known.join(accepted, ["duplicate_rate", "workers"]).select(
+        "duplicate_rate",
+        F.when(F.col("workers") == 1, "filter+exact").otherwise("partitioned filter+exact").alias("mode"),
+        setting[0].cast("double").alias("error_rate"),
+        setting[1].cast("int").alias("capacity"),
+        "workers",
+        "evaluations",
+        (F.col("evaluations") - F.col("misses")).alias("false_positives"),
     )
     nothing = F.lit(0).cast("bigint")
     exact = (

@@ -338,3 +338,32 @@ def test_registered_policies(arrivals):
     assert verdicts(d.dedupe(df, "scoped_exact")) == [False, True, False]
     d.register_dedupe("drop all", lambda x: x.withColumn("is_dup", F.lit(True)))
     assert verdicts(d.dedupe(df, "drop all")) == [True] * 3
+
+
+def test_every_policy_is_registered():
+    import flowsieve.operators.routing  # noqa: F401
+
+    assert set(d._POLICIES) >= {
+        "none",
+        "global_exact",
+        "scoped_exact",
+        "scoped_fifo",
+        "scoped_rotating",
+        "worker_window",
+        "worker_rotating",
+        "filter_only",
+        "filter_tumbling",
+        "two_stage",
+        "arrival_lookback",
+        "ttl",
+        "partitioned",
+        "two_level",
+    }
+
+
+def test_counters_come_with_a_write(arrivals, tmp_path):
+    from flowsieve.operators.report import observed
+
+    df, watch = observed(d.dedupe_scoped_exact(arrivals(one("aab"))))
+    df.write.parquet(str(tmp_path / "out"))
+    assert watch.get == {"total_records": 3, "duplicates": 1, "false_positives": 0, "evaluations": 2}
