@@ -167,6 +167,12 @@ def md5_slot(key: Column, slots: int) -> Column:
     return value.cast("int")
 
 
+def floor_div(a: Column, b: int) -> Column:
+    """a / b rounded down, in integers (a double would not tell large neighbours apart)."""
+    divisor = F.lit(b).cast("bigint")
+    return F.call_function("div", a - F.pmod(a, divisor), divisor)
+
+
 def hash_number(*parts: Column) -> Column:
     """A repeatable 60-bit number from parts, equal in any engine with md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")

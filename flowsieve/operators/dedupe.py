@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.records import SCOPE, hex_digits
+from ..functions.records import SCOPE, floor_div, hex_digits
 from .ordering import dense_index
 
 # Verdict names of the two-stage check, by code.
@@ -72,7 +72,7 @@ def _spaced(rows: DataFrame, by: Sequence[str], width: int, first: Column) -> Da
     in its own block and as history of the next, and one aggregation decides.
     A key with very many rows is reduced to a row per block before the shuffle.
     """
-    block = F.floor(F.col("at") / F.lit(width)).cast("bigint")
+    block = floor_div(F.col("at"), width)
     nothing = F.lit(None).cast("bigint")
     sides = F.array(
         F.struct(block.alias("block"), F.col("at").alias("own"), F.col("seq").alias("seq"), nothing.alias("before")),

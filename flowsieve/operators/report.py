@@ -65,6 +65,25 @@ def dedupe_stats(flagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.withColumn("dedupe_rate_pct", percent(F.col("duplicates"), F.col("total_records")))
 
 
+def exact_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`dedupe_stats` of an exact dedupe on `by`, without flagging any row.
+
+    A key of n rows has n - 1 duplicates, so one aggregation of the keys is all.
+    """
+    total, unique = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint"), F.count("*")
+    return (
+        df.groupBy(*by)
+        .agg(F.count("*").alias("n"))
+        .agg(
+            total.alias("total_records"),
+            (total - unique).alias("duplicates"),
+            F.lit(0).cast("bigint").alias("false_positives"),
+            unique.alias("evaluations"),
+        )
+        .withColumn("dedupe_rate_pct", percent(F.col("duplicates"), F.col("total_records")))
+    )
+
+
 def observed(flagged: DataFrame) -> tuple[DataFrame, Observation]:
     """The frame, and its counters once it has been written: no second pass."""
     watch = Observation("dedupe")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 from pyspark.sql.window import WindowSpec
 
+from ..functions.records import floor_div
+
 # Fixed value: rows of history per sequence.
 HISTORY = 10
 _BUCKET = 4096
@@ -48,7 +50,7 @@ def with_history(
     """
     if bucket < length:
         raise ValueError("a bucket must be at least as long as the history")
-    home = F.floor(F.col(idx) / bucket).cast("bigint")
+    home = floor_div(F.col(idx), bucket)
     late = F.col(idx) % bucket >= bucket - length
     expanded = df.withColumn("_bucket", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))))
     before = Window.partitionBy(by, "_bucket").orderBy(idx).rowsBetween(-length, -1)

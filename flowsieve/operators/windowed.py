@@ -201,21 +201,21 @@ def _verdicts(
     firsts = written(
         narrow.groupBy(*scope, "fp").agg(F.min("seq").alias("seq"), F.count("*").alias("rows")), "firsts"
     )
-    large = (
-        firsts.groupBy(*scope)
-        .agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
-        .where(F.col("n") > settled_up_to)
-        .drop("n")
-    )
-    rows_to_scan = large.agg(F.sum("rows")).first()[0]
+    scopes = firsts.groupBy(*scope).agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    evicts = F.col("n") > settled_up_to
+    rows_to_scan, all_rows = scopes.agg(F.sum(F.when(evicts, F.col("rows"))), F.sum("rows")).first()
     if rows_to_scan is None:
         return native(firsts)
-    large = written(large.drop("rows"), "large-scopes")
-    small = native(firsts.join(large, list(scope), "left_anti"))
-    rows = narrow.join(large, list(scope), "left_semi")
+    if rows_to_scan == all_rows:
+        rows, small = narrow, None
+    else:
+        large = written(scopes.where(evicts).select(*scope), "large-scopes")
+        rows = narrow.join(large, list(scope), "left_semi")
+        small = native(firsts.join(large, list(scope), "left_anti"))
     per_piece = max(_PIECE_WINDOWS * window, _PIECE_ROWS)
     pieces = pieces or max(1, min(task_count(df.sparkSession), rows_to_scan // per_piece))
-    return small.unionByName(scan_in_order(rows, new_window, scope, pieces))
+    scanned = scan_in_order(rows, new_window, scope, pieces)
+    return scanned if small is None else small.unionByName(scanned)
 
 
 def _all_new(firsts: DataFrame) -> DataFrame:

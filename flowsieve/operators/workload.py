@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window
 
-from ..functions.records import hash_number
+from ..functions.records import floor_div, hash_number
 from .ordering import dense_index
 
 # A cell holds one burst of each length 1..50.
@@ -76,7 +76,7 @@ def synthetic_flows(
         else:
             numbers = rows.select("i").where(F.col("i") < cells * _BURSTS)
         bursts = numbers.select(
-            F.floor(F.col("i") / _BURSTS).cast("bigint").alias("cell"),
+            floor_div(F.col("i"), _BURSTS).alias("cell"),
             (F.col("i") % _BURSTS + 1).alias("length"),
             hash_number(F.lit(f"burst{seed}"), F.col("i")).alias("h"),
             pick(F.col("i")).alias("u"),

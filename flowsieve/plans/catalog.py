@@ -221,11 +221,11 @@ def q_dedupe_ttl(spark, sf):
 
 
 def q_dedupe_stats(spark, sf):
-    return r.dedupe_stats(d.dedupe_scoped_exact(event_view(spark, sf)))
+    return r.exact_stats(event_view(spark, sf), ["tenant", "log_type", "fp"])
 
 
 def q_dedupe_scan_cost(spark, sf):
-    return r.scan_cost(r.dedupe_stats(d.dedupe_global_exact(event_view(spark, sf))))
+    return r.scan_cost(r.exact_stats(event_view(spark, sf), ["fp"]))
 
 
 def q_dedupe_state_size(spark, sf):

@@ -340,6 +340,15 @@ def test_registered_policies(arrivals):
     assert verdicts(d.dedupe(df, "drop all")) == [True] * 3
 
 
+def test_counting_keys_gives_the_counters_of_the_flags(arrivals):
+    from flowsieve.operators.report import exact_stats
+
+    df = arrivals(stream(200, 3, 12, 77))
+    flagged = dedupe_stats(d.dedupe_scoped_exact(df)).first()
+    assert exact_stats(df, ["tenant", "log_type", "fp"]).first().asDict() == flagged.asDict()
+    assert exact_stats(df.where("seq < 0"), ["fp"]).first()["total_records"] == 0
+
+
 def test_every_policy_is_registered():
     import flowsieve.operators.routing  # noqa: F401
 
