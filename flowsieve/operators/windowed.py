@@ -70,22 +70,23 @@ class _Chain:
         self.rows_round = dict.fromkeys(self.pieces, 0)
         self.window_round = dict.fromkeys(self.pieces, 0)
 
-    def unsettled(self) -> list[int]:
-        """Pieces that have a predecessor and may have to run again."""
-        return sorted(self.before)
-
-    def pending(self, frontier_only: bool) -> list[int]:
-        """Pieces to run again: those that started from another window than
-        their predecessor's last; `frontier_only` waits until that is final."""
-        final_end, todo = {}, []
+    def pending(self, frontier_only: bool) -> tuple[list[int], list[int]]:
+        """Pieces to run again now, and all whose start is not final yet.
+
+        A piece runs again if it started from another window than its
+        predecessor's last; `frontier_only` waits until that one is final.
+        """
+        final_end, todo, unsettled = {}, [], []
         for p in self.pieces:
             q = self.before.get(p)
             matches = q is None or self.facts[p]["start"] == self.facts[q]["end"]
             final_start = q is None or (matches and final_end[q])
             final_end[p] = final_start or not self.facts[p]["whole"]
+            if not final_start:
+                unsettled.append(p)
             if not matches and (final_end[q] or not frontier_only):
                 todo.append(p)
-        return todo
+        return todo, unsettled
 
     def update(self, round_no: int, piece: int, facts: dict) -> None:
         self.facts[piece] = {**self.facts[piece], **facts}
@@ -104,9 +105,13 @@ def scan_in_order(
     new_window: Callable,
     scope: Sequence[str],
     pieces: int | None = None,
-    speculative_rounds: int = 2,
+    speculative_rounds: int = 0,
 ) -> DataFrame:
-    """(seq, verdict) of the accepted rows of `rows` (scope..., seq, fp)."""
+    """(seq, verdict) of the accepted rows of `rows` (scope..., seq, fp).
+
+    In a speculative round every piece that started wrong runs again at once,
+    from the best window known; after those, only pieces whose start is final.
+    """
     spark = rows.sparkSession
     base = new_table_path(spark, "scan")
 
@@ -120,8 +125,11 @@ def scan_in_order(
     scanned.write.parquet(f"{base}/round=0")
     chain = _Chain(_read_summaries(table(0)))
 
-    round_no = 0
-    while todo := chain.pending(frontier_only=round_no >= speculative_rounds):
+    round_no, apart = 0, None
+    while True:
+        todo, unsettled = chain.pending(frontier_only=round_no >= speculative_rounds)
+        if not todo:
+            break
         round_no += 1
         # Windows to start from, with the piece that needs each: a row per piece.
         needs = spark.createDataFrame(
@@ -138,19 +146,18 @@ def scan_in_order(
             .join(F.broadcast(needs), ["of", "round"])
             .select("kind", "piece", "seq", "fp")
         )
-        if round_no == speculative_rounds + 1:
-            # From here on few pieces run per round: give each its own folder,
+        if apart is None and round_no > speculative_rounds and len(unsettled) > len(todo):
+            # More rounds of few pieces follow: give each piece its own folder,
             # so that a round opens only the files it needs.
             apart = new_table_path(spark, "heads")
-            left = chain.unsettled()
-            table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(left)).repartition(
-                len(left), "piece"
+            table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(unsettled)).repartition(
+                len(unsettled), "piece"
             ).write.partitionBy("piece").parquet(apart)
-        if round_no > speculative_rounds:
+        if apart is None:
+            heads = table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(todo))
+        else:
             reader = spark.read.schema(SCAN_SCHEMA).option("basePath", apart)
             heads = reader.parquet(*[f"{apart}/piece={p}" for p in todo])
-        else:
-            heads = table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(todo))
         heads = heads.select((F.col("kind") + SUMMARY).alias("kind"), "piece", "seq", "fp")
         facts = {p: (tuple(chain.facts[p]["first"]), chain.facts[p]["whole"]) for p in todo}
         (
@@ -183,6 +190,9 @@ def scan_in_order(
 # work to be worth a task.
 _PIECE_WINDOWS = 8
 _PIECE_ROWS = 20_000
+# FIFO windows tend to agree after a while wherever they began; the phase of a
+# filter generation does not, so its pieces wait for a final start at once.
+_FIFO_ROUNDS = 2
 
 
 def _verdicts(
@@ -194,6 +204,7 @@ def _verdicts(
     scope: Sequence[str],
     seq: str,
     pieces: int | None,
+    speculative_rounds: int = 0,
 ) -> DataFrame:
     """(seq, verdict) of accepted rows; `native` serves scopes that never evict,
     which are those of up to `settled_up_to` fingerprints."""
@@ -214,7 +225,7 @@ def _verdicts(
         small = native(firsts.join(large, list(scope), "left_anti"))
     per_piece = max(_PIECE_WINDOWS * window, _PIECE_ROWS)
     pieces = pieces or max(1, min(task_count(df.sparkSession), rows_to_scan // per_piece))
-    scanned = scan_in_order(rows, new_window, scope, pieces)
+    scanned = scan_in_order(rows, new_window, scope, pieces, speculative_rounds)
     return scanned if small is None else small.unionByName(scanned)
 
 
@@ -235,7 +246,7 @@ def dedupe_scoped_fifo(
     pieces: int | None = None,
 ) -> DataFrame:
     """A repeat of one of the last `window` accepted fingerprints of its scope."""
-    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, window, _all_new, scope, seq, pieces)
+    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, window, _all_new, scope, seq, pieces, _FIFO_ROUNDS)
     return _flag(df, found, seq, outcome=False)
 
 

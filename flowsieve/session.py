@@ -42,8 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_paths: list[str] = []
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables this process has written; returns how many there were.
+
+    For use once the results that read them have been stored.
+    """
+    hadoop, released = spark._jvm.org.apache.hadoop.fs.Path, 0
+    while _paths:
+        path = hadoop(_paths.pop())
+        released += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return released
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from flowsieve.operators.ordering import chronological_split, dense_index
 from flowsieve.operators.sequences import mean_forecast
 from flowsieve.plans import catalog
 from flowsieve.plans.event_flows import event_flows, event_view
-from flowsieve.session import shared_dir
+from flowsieve.session import release_tables, shared_dir, written
 
 
 def plan(df):
@@ -40,6 +40,14 @@ def test_filters_reach_the_scan(spark, sf):
     assert "GreaterThan(event_id,10)" in text
 
 
+def test_written_tables_can_be_released(spark):
+    table = written(spark.range(5), "test")
+    path = table.inputFiles()[0]
+    assert table.count() == 5 and release_tables(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 class _Session:
     """Just what `shared_dir` asks of a session."""
 
