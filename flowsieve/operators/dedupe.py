@@ -56,7 +56,12 @@ def dedupe_scoped_exact(df: DataFrame, scope: Sequence[str] = SCOPE, seq: str =
 
 
 def keep_first(df: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
-    """Only the accepted rows, when no flag is needed on the others."""
+    """Only the accepted rows, when no flag is needed on the others.
+
+    A frame of nothing but the key and `seq` is the aggregation itself.
+    """
+    if set(df.columns) == {*by, seq}:
+        return first_seen(df, by, seq).select(*df.columns)
     return df.join(first_seen(df, by, seq).select(seq), seq, "left_semi")
 
 

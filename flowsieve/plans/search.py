@@ -65,17 +65,27 @@ def config_matrix(view: DataFrame, window: int = 100_000) -> DataFrame:
 
     A filter that is never emptied has no misses, so in front of a local exact
     check it changes cost, not verdicts. All configurations with a local check
-    go through one run.
+    go through one run, those with equal verdicts as one.
     """
+    equal: dict[tuple, list[str]] = {}
+    for name, (workers, routing, _, generation, exact) in CONFIGURATIONS.items():
+        if exact == "local":
+            equal.setdefault((workers, routing if workers > 1 else "", generation), []).append(name)
     local = {
-        name: _local_config(workers, routing, generation, window)
-        for name, (workers, routing, _, generation, exact) in CONFIGURATIONS.items()
-        if exact == "local"
+        names[0]: _local_config(workers, routing, generation, window)
+        for (workers, routing, generation), names in equal.items()
     }
     copies = _copies(view, {name: columns for name, (columns, _) in local.items()})
     counts = sweep_counts(copies, {name: setting for name, (_, setting) in local.items()}, ["worker_id"])
+    same = reduce(
+        lambda c, names: c.when(F.col("setting") == names[0], F.array(*map(F.lit, names))), equal.values(), F
+    )
     rows = [
-        counts.select("setting", "total_records", (F.col("total_records") - F.col("evaluations")).alias("duplicates"))
+        counts.select(
+            F.explode(same).alias("setting"),
+            "total_records",
+            (F.col("total_records") - F.col("evaluations")).alias("duplicates"),
+        )
     ]
     for name, (workers, routing, capacity, _, exact) in CONFIGURATIONS.items():
         if exact == "local":

@@ -340,6 +340,15 @@ def test_registered_policies(arrivals):
     assert verdicts(d.dedupe(df, "drop all")) == [True] * 3
 
 
+def test_keeping_firsts_with_and_without_other_columns(arrivals):
+    df = arrivals(stream(200, 3, 12, 78))
+    want = sorted(r["seq"] for r in d.passed(d.dedupe_scoped_exact(df)).collect())
+    key = ["tenant", "log_type", "fp"]
+    assert sorted(r["seq"] for r in d.keep_first(df, key).collect()) == want
+    narrow = d.keep_first(df.select("seq", *key), key)
+    assert narrow.columns == ["seq", *key] and sorted(r["seq"] for r in narrow.collect()) == want
+
+
 def test_counting_keys_gives_the_counters_of_the_flags(arrivals):
     from flowsieve.operators.report import exact_stats
 
