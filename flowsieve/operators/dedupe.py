@@ -172,7 +172,9 @@ def filter_misses(
 
 
 def _misses(rows: DataFrame, by: Sequence[str], size: FilterSize, seq: str) -> DataFrame:
-    return filter_misses(rows, by, {"": size}, seq).select(seq)
+    """`filter_misses` for one size: narrower keys, and `seq` alone in the end."""
+    bits = rows.select(*by, seq, F.explode(filter_positions(F.col("fp"), size)).alias("bit"))
+    return bits.groupBy(*by, "bit").agg(F.min(seq).alias(seq)).select(seq).distinct()
 
 
 def dedupe_filter_only(

@@ -57,8 +57,8 @@ def main(sf_dir: str, only: list[str]) -> int:
     import __spark_entry__ as entry
     from flowsieve.session import local_session
 
-    partitions = os.environ.get("PARTITIONS", "8")
-    spark = local_session(**{"spark.sql.shuffle.partitions": partitions})
+    partitions, zone = os.environ.get("PARTITIONS", "8"), os.environ.get("ZONE", "UTC")
+    spark = local_session(**{"spark.sql.shuffle.partitions": partitions, "spark.sql.session.timeZone": zone})
     con, failed = connect(sf_dir), 0
     sql = entry.oracle_sql()
     for name, query in entry.queries().items():
