@@ -123,7 +123,7 @@ def _block_keys(min_chars: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, dict[bytes, list[int]]] = {}
         for batch in batches:
-            for block, doc, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, doc, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own = seen.setdefault(block, {})
                 doc = NO_ID if doc is None else doc
                 for key in {k for line in (body or b"").split(b"\n") if (k := line_key(line, min_chars))}:
@@ -241,7 +241,7 @@ def drop_frequent_lines(
         body.alias("_body"),
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)],
     ).repartition(pieces(blocks, PARTITION_BLOCKS), "_block")  # one exchange, used by both passes
-    entries = dealt.select("_block", "_id", "_body").mapInArrow(
+    entries = dealt.mapInArrow(  # of all columns: with fewer, Spark would deal the texts out a second time
         _block_keys(min_chars, shards), "shard bigint, block bigint, entries binary"
     )
     hits = entries.groupBy("shard").applyInPandas(_probe_shard(min_docs), "block bigint, hits binary")
