@@ -37,6 +37,16 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, remainder, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = fit(docs, labels)
+    return score(docs, model, cut=0.7, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w
@@ -79,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_line_dedup": op7_line_dedup,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_toxicity": op9_toxicity,
         "op10_maxscore_topk": op10_maxscore_topk,
     }
 
