@@ -37,6 +37,16 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import learn, predict
+    from .toxicity import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = learn(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    return predict(docs, model, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, remainder, score
 
@@ -87,6 +97,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_language_mixture": op5_language_mixture,
         "op7_line_dedup": op7_line_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
