@@ -37,6 +37,12 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=4, words=4, bits=64)
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import learn, predict
     from .toxicity import remainder
@@ -97,6 +103,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op5_language_mixture": op5_language_mixture,
         "op7_line_dedup": op7_line_dedup,
         "op8_byte_bpe": op8_byte_bpe,
