@@ -43,6 +43,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4, words=4, bits=64)
 
 
+def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .edit_embedding import compared_with_next
+
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import learn, predict
     from .toxicity import remainder
@@ -104,6 +110,7 @@ FROM marked GROUP BY doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_edit_embedding": op2_edit_embedding,
         "op5_language_mixture": op5_language_mixture,
         "op7_line_dedup": op7_line_dedup,
         "op8_byte_bpe": op8_byte_bpe,
