@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the licenses found, how many places hold one, and the best containment (0 without any)."""
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
+    return found.select(
+        "doc_id",
+        F.array_join(names, ",").alias("licenses"),
+        F.size("licenses").alias("n_places"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda m: m["containment"])), F.lit(0.0)).alias("containment"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_frequent_lines
 
@@ -49,6 +63,14 @@ def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared_with_next(table(spark, sf_dir, "documents"))
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    drawn = mix(docs, target_entropy_share=0.95, max_repeats=2.0)
+    return drawn.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"), F.col("_weight").alias("weight"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import learn, predict
     from .toxicity import remainder
@@ -111,7 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_edit_embedding": op2_edit_embedding,
+        "op3_temperature_mixing": op3_temperature_mixing,
         "op5_language_mixture": op5_language_mixture,
+        "op6_license_scan": op6_license_scan,
         "op7_line_dedup": op7_line_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
