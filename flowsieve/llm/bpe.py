@@ -17,10 +17,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import decoded, free_name, sha256
+from .common import by_bytes, decoded, free_name, sha256
 
 LONG = 1 << 15
 #: No match of the pattern reaches over this place: what follows a non-space ends a match, what starts with
@@ -101,23 +102,27 @@ def tokenize(
     schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept] + [f"{o} {_OUTPUTS[o][0]}" for o in outputs])
     need_decoded = any(o.startswith("decoded") for o in outputs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoding, names = _encoding(rank_file, pattern)
+        made: dict[str, list] = {o: [] for o in outputs}
+        for value in batch.column(len(kept)):
+            ids = encode_text(decoded(value.as_py()), rank_file, pattern)
+            raw = encoding.decode_bytes(ids) if need_decoded else b""
+            for o in outputs:
+                if o == "n_tokens":
+                    made[o].append(len(ids))
+                elif o == "ids":
+                    made[o].append(np.array(ids, np.int32))
+                elif o == "ids_sha256":
+                    made[o].append(sha256(" ".join([names[i] for i in ids]).encode()))
+                else:
+                    made[o].append(raw if o == "decoded" else sha256(raw))
+        arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(made[o], _OUTPUTS[o][1]) for o in outputs]
+        return pa.RecordBatch.from_arrays(arrays, names=[*kept, *outputs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: dict[str, list] = {o: [] for o in outputs}
-            for value in batch.column(len(kept)):
-                ids = encode_text(decoded(value.as_py()), rank_file, pattern)
-                raw = encoding.decode_bytes(ids) if need_decoded else b""
-                for o in outputs:
-                    if o == "n_tokens":
-                        made[o].append(len(ids))
-                    elif o == "ids":
-                        made[o].append(ids)
-                    elif o == "ids_sha256":
-                        made[o].append(sha256(" ".join([names[i] for i in ids]).encode()))
-                    else:
-                        made[o].append(raw if o == "decoded" else sha256(raw))
-            arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(made[o], _OUTPUTS[o][1]) for o in outputs]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *outputs])
+            for part in by_bytes(batch, len(kept)):
+                yield encoded(part)
 
     return source.mapInArrow(run, schema)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: What a row without an id sorts as: below every id.
@@ -40,3 +43,16 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of `batch` with about `size` bytes in the column, so that what is made from them stays small."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, length in enumerate(lengths.tolist()):
+        if held and held + length > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += length
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -246,3 +246,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, bits: int
     marked = written(fingerprints(docs.select(doc_id, text), words, bits=bits, text=text, keep=(doc_id,)), "simhash")
     named = classes(marked, radius, bits, keys, doc_id)
     return marked.join(named, "fp").select(doc_id, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int, words: int = 5, bits: int = 256, keys: Callable[[int, int, int], list[np.ndarray]] = exact_keys, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Of each component the row with the smallest id (then text, by its hash), with all its columns.
+
+    Rows alike in id and text are one row. A null id is the smallest.
+    """
+    first, second = free_name(docs, "_h1"), free_name(docs, "_h2")
+    named = docs.withColumns({first: F.xxhash64(doc_id, text), second: F.xxhash64(F.lit("row"), text, doc_id)})
+    marked = written(
+        fingerprints(named.select(F.struct(doc_id, first, second).alias("_row"), text), words, bits=bits, text=text, keep=("_row",)), "simhash"
+    )
+    kept = classes(marked, radius, bits, keys, "_row").select(F.col(f"component_id.{first}").alias(first), F.col(f"component_id.{second}").alias(second)).distinct()
+    return named.join(kept, [first, second], "left_semi").dropDuplicates([first, second]).select(docs.columns)
