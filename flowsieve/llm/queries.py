@@ -71,6 +71,13 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"), F.col("_weight").alias("weight"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, depth=200, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import learn, predict
     from .toxicity import remainder
@@ -134,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_edit_embedding": op2_edit_embedding,
         "op3_temperature_mixing": op3_temperature_mixing,
+        "op4_repeats": op4_repeats,
         "op5_language_mixture": op5_language_mixture,
         "op6_license_scan": op6_license_scan,
         "op7_line_dedup": op7_line_dedup,
