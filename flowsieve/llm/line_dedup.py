@@ -227,10 +227,10 @@ def drop_frequent_lines(
 ) -> DataFrame:
     """Documents without their frequent lines; see the module for the rule and for nulls and ties.
 
-    keep: columns that stay beside the outputs, all but the text by default. outputs: some of n_lines (before
+    keep: columns that stay beside the outputs, all but the text by default; an output replaces a column of its name. outputs: some of n_lines (before
     dropping), n_dropped, kept (the text as bytes, cast it to string), kept_sha256.
     """
-    kept = [c for c in docs.columns if c != text] if keep is None else list(keep)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != text and c.lower() not in outputs]
     _, size = text_bytes(docs, text)
     blocks, shards = pieces(size, block_bytes), pieces(size, shard_bytes)
     body = F.col(text).cast("binary")

@@ -90,7 +90,7 @@ class SourcePlan:
 
 def plan(totals: Mapping[str, tuple[int, int]], target_entropy_share: float | None = None, max_repeats: float | None = None, budget: int | None = None) -> list[SourcePlan]:
     """totals: documents and tokens by source. target_entropy_share: of the entropy of equal weights."""
-    tokens = {s: t for s, (_, t) in totals.items()}
+    tokens = {s: totals[s][1] for s in sorted(totals)}  # in a fixed order: sums of doubles depend on it
     filled = sum(1 for t in tokens.values() if t)
     target = None if target_entropy_share is None else target_entropy_share * math.log2(max(1, filled))
     weights = tempered(tokens, find_exponent(tokens, target, max_repeats, budget))
@@ -119,7 +119,7 @@ def mix(
 ) -> DataFrame:
     """A row for every time that a document is drawn: its columns, and _epoch, _block and _place.
 
-    By (_epoch, _block, _place) a source's rows are in the order of its permutations. _weight is the source's.
+    These replace columns of the same name. By (_epoch, _block, _place) a source's rows are in the order of its permutations. _weight is the source's.
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
@@ -142,7 +142,8 @@ def mix(
     stops = summed.groupBy("_source", "_lead", "_block").agg(F.max(F.when(F.col("_sum") <= F.col("_rest"), F.col("_place"))).alias("_stop"))
     borders = settings.join(stops.select("_source", F.col("_lead").alias("_at_lead"), F.col("_block").alias("_at_block"), "_stop"), "_source", "left")
 
-    drawn = docs.select(*docs.columns, name.alias("_source"), identity.alias("_doc")).join(borders, "_source").withColumn("_epoch", F.col("_passes"))
+    columns = [c for c in docs.columns if c.lower() not in ("_epoch", "_block", "_place", "_weight")]
+    drawn = docs.select(F.struct(*columns).alias("_row"), name.alias("_source"), identity.alias("_doc")).join(borders, "_source").withColumn("_epoch", F.col("_passes"))
     before = (
         (lead < F.col("_at_lead"))
         | ((lead == F.col("_at_lead")) & (block < F.col("_at_block")))
@@ -153,7 +154,7 @@ def mix(
         drawn.withColumn("_times", times)
         .where("_times > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)))
-        .select(*docs.columns, "_epoch", block.alias("_block"), place.alias("_place"), "_weight")
+        .select("_row.*", "_epoch", block.alias("_block"), place.alias("_place"), "_weight")
     )
 
 

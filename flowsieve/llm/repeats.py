@@ -246,16 +246,16 @@ def remove_repeats(
 ) -> DataFrame:
     """Documents without their repeated strings of `depth` (33 to 286) bytes.
 
-    keep: columns that stay, all but the text by default. outputs: some of n_bytes, n_removed, n_spans (maximal removed
+    keep: columns that stay, all but the text by default; an output replaces a column of its name. outputs: some of n_bytes, n_removed, n_spans (maximal removed
     runs), kept (the remaining bytes), kept_sha256.
     """
     if not GRAM < depth <= 254 + GRAM:
         raise ValueError(f"depth must be in {GRAM + 1}..{254 + GRAM}")
-    kept = [c for c in docs.columns if c != text] if keep is None else list(keep)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != text and c.lower() not in outputs]
     keyed = docs.select(
         F.xxhash64(doc_id, text).alias("_k1"),
         F.xxhash64(F.lit("row"), text, doc_id).alias("_k2"),
-        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias("_id"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias("_id"),
         F.col(text).cast("binary").alias("_body"),
     )
     spans = repeated_spans(keyed, depth, shard_bytes, memory).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))  # of one document

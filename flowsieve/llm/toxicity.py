@@ -109,8 +109,8 @@ class ToxicityModel:
     steps: list[tuple[float, float]] = field(default_factory=list)
 
     def score(self, statistic: float) -> float:
-        """Between the steps the curve is linear."""
-        return float(np.interp(statistic, [s for s, _ in self.steps], [p for _, p in self.steps]))
+        """Between the steps the curve is linear in the logarithm: the first telling window says more than the tenth."""
+        return float(np.interp(math.log1p(statistic), [math.log1p(s) for s, _ in self.steps], [p for _, p in self.steps]))
 
 
 def _toxic_content(ranked: list[tuple[float, bytes]], share: float) -> bytes:
