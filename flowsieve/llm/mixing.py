@@ -27,6 +27,8 @@ from ..session import written
 from .common import pieces
 
 BLOCK_DOCS = 1000
+#: Up to so many sources, tables of a row a source are broadcast; beyond, they are joined by shuffles.
+BROADCAST_SOURCES = 100_000
 _GROUPS = 1024
 _ROUNDS = 60
 WORD = r"[^\x20\x09-\x0D]+"
@@ -132,18 +134,21 @@ def mix(
     )  # a row a source
     lead, block, place = _order(seed)
 
-    last = slim.join(settings, "_source").where("_rest > 0").withColumn("_epoch", F.col("_passes"))
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if len(plans) <= BROADCAST_SOURCES else rows
+
+    last = slim.join(small(settings), "_source").where("_rest > 0").withColumn("_epoch", F.col("_passes"))
     blocks = last.select("_source", "_rest", lead.alias("_lead"), block.alias("_block"), "_tokens").groupBy("_source", "_rest", "_lead", "_block").agg(F.sum("_tokens").alias("_tokens"))
     groups = blocks.groupBy("_source", "_rest", "_lead").agg(F.sum("_tokens").alias("_tokens"))
     at_group = _boundary(groups, ["_source"], "_lead", "_rest")
-    at_block = _boundary(blocks.drop("_rest").join(at_group, ["_source", "_lead"]), ["_source", "_lead"], "_block", "_rest")
-    inside = last.drop("_rest").withColumn("_lead", lead).withColumn("_block", block).withColumn("_place", place).join(at_block, ["_source", "_lead", "_block"])
+    at_block = _boundary(blocks.drop("_rest").join(small(at_group), ["_source", "_lead"]), ["_source", "_lead"], "_block", "_rest")
+    inside = last.drop("_rest").withColumn("_lead", lead).withColumn("_block", block).withColumn("_place", place).join(small(at_block), ["_source", "_lead", "_block"])
     summed = inside.withColumn("_sum", F.sum("_tokens").over(Window.partitionBy("_source", "_lead", "_block").orderBy("_place")))
     stops = summed.groupBy("_source", "_lead", "_block").agg(F.max(F.when(F.col("_sum") <= F.col("_rest"), F.col("_place"))).alias("_stop"))
     borders = settings.join(stops.select("_source", F.col("_lead").alias("_at_lead"), F.col("_block").alias("_at_block"), "_stop"), "_source", "left")
 
     columns = [c for c in docs.columns if c.lower() not in ("_epoch", "_block", "_place", "_weight")]
-    drawn = docs.select(F.struct(*columns).alias("_row"), name.alias("_source"), identity.alias("_doc")).join(borders, "_source").withColumn("_epoch", F.col("_passes"))
+    drawn = docs.select(F.struct(*columns).alias("_row"), name.alias("_source"), identity.alias("_doc")).join(small(borders), "_source").withColumn("_epoch", F.col("_passes"))
     before = (
         (lead < F.col("_at_lead"))
         | ((lead == F.col("_at_lead")) & (block < F.col("_at_block")))
