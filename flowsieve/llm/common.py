@@ -45,7 +45,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of `batch` with about `size` bytes in the column, so that what is made from them stays small."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0

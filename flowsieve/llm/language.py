@@ -32,7 +32,7 @@ _SMOOTHING = 0.5
 #: Least gain in log-likelihood per trigram by a further language.
 _LEAST_GAIN = 0.01
 _ROUNDS = 30
-_SLICE = 1 << 20  # bytes of text that are worked on together
+_SLICE = 1 << 18  # bytes of text that are worked on together
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[: ord("A")] = 32

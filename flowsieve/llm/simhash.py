@@ -34,8 +34,8 @@ from .components import components
 
 GROUP = 2048
 _ROWS_PER_PARTITION = 1 << 19
-_ROWS_AT_ONCE = 1 << 16
-_PAIRS_AT_ONCE = 1 << 20
+_ROWS_AT_ONCE = 1 << 15
+_PAIRS_AT_ONCE = 1 << 17
 PIVOTS = 32
 
 
