@@ -90,16 +90,31 @@ def hex_digits(fp: Column) -> Column:
 def flow_fingerprint(df: DataFrame, delimiter: str = "|") -> Column:
     """Fingerprint of source, destination and forward bytes.
 
-    A `_dedupe_fp` column (any text) takes precedence where it is not null; it
-    is hashed again so that every fingerprint has the same form.
+    A `_dedupe_fp` column takes precedence where it is not null: a digest, as
+    32 bytes or 64 hex digits, is taken as it is, any other value is hashed so
+    that every fingerprint has the same form.
     """
     named = [column_name(df, n) for n in (SOURCE, DESTINATION, FWD_BYTES)]
     computed = fingerprint(df, named, delimiter)
     if "_dedupe_fp" in df.columns:
-        return F.coalesce(F.unhex(F.sha2(F.col("_dedupe_fp").cast("string"), 256)), computed)
+        return F.coalesce(carried_digest(df, "_dedupe_fp"), computed)
     return computed
 
 
+def carried_digest(df: DataFrame, name: str) -> Column:
+    """The 32-byte digest that a column carries, or that of its value."""
+    given = F.col(name)
+    if isinstance(df.schema[name].dataType, T.BinaryType):
+        return digest_bytes(given)
+    text = given.cast("string")
+    return F.when(text.rlike("^[0-9a-fA-F]{64}$"), F.unhex(text)).otherwise(F.unhex(F.sha2(text, 256)))
+
+
+def digest_bytes(fp: Column) -> Column:
+    """A fingerprint of 32 bytes as it is, one of any other length hashed to 32."""
+    return F.when(F.octet_length(fp) == 32, fp).otherwise(F.unhex(F.sha2(fp, 256)))
+
+
 def scope_columns(df: DataFrame, tenant_from_source_ip: bool = True) -> tuple[Column, Column]:
     """(tenant, log_type); the first column that exists decides, even if null.
 

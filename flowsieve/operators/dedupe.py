@@ -1,7 +1,10 @@
 """Deduplication that built-in operators express.
 
 All functions take a frame with a unique arrival number `seq`, the scope
-columns and `fp`, and return it with a verdict column. The verdict never uses a
+columns and `fp`, and return it with a verdict column. A row without an arrival
+number cannot be placed and is kept as new; rows that share one are kept or
+flagged together, kept if any of them is accepted. A null scope or fingerprint
+is a value like any other. The verdict never uses a
 window over a scope or fingerprint, whose rows may be a third of the table:
 accepted rows come from an aggregation (combined before the shuffle), and are
 matched to the table on `seq`, which is unique and so spreads evenly.
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.records import SCOPE, floor_div, hex_digits
+from ..functions.records import SCOPE, digest_bytes, floor_div, hex_digits
 from .ordering import dense_index
 
 # Verdict names of the two-stage check, by code.
@@ -28,9 +31,9 @@ def first_seen(df: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
 
 
 def flag_duplicates(df: DataFrame, accepted: DataFrame, seq: str = "seq") -> DataFrame:
-    """`df` with is_dup = the row is not among `accepted`."""
-    marks = accepted.select(seq, F.lit(False).alias("_dup"))
-    return df.join(marks, seq, "left").withColumn("is_dup", F.coalesce("_dup", F.lit(True))).drop("_dup")
+    """`df` with is_dup = the row has a `seq`, and not one of `accepted`."""
+    marks = accepted.select(seq, F.lit(False).alias("_dup")).where(F.col(seq).isNotNull()).distinct()
+    return df.join(marks, seq, "left").withColumn("is_dup", F.coalesce("_dup", F.col(seq).isNotNull())).drop("_dup")
 
 
 def passed(df: DataFrame) -> DataFrame:
@@ -62,7 +65,8 @@ def keep_first(df: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
     """
     if set(df.columns) == {*by, seq}:
         return first_seen(df, by, seq).select(*df.columns)
-    return df.join(first_seen(df, by, seq).select(seq), seq, "left_semi")
+    first = first_seen(df, by, seq).select(F.col(seq).alias("_first"))
+    return df.join(first, F.col(seq) == F.col("_first"), "left_semi")
 
 
 # ---------------------------------------------------------------- lookbacks
@@ -109,11 +113,18 @@ def dedupe_arrival_lookback(
 def dedupe_ttl(
     df: DataFrame, ttl_seconds: int, time: str = "ts", scope: Sequence[str] = SCOPE, seq: str = "seq"
 ) -> DataFrame:
-    """A repeat at most `ttl_seconds` after the previous arrival of its key."""
-    rows = df.select(*scope, "fp", F.col(seq).alias("seq"), F.unix_micros(time).alias("at"))
+    """A repeat at most `ttl_seconds` after the previous row of its key.
+
+    Rows are in the order of their time, and of `seq` where that is equal,
+    whatever order they arrived in. A row without a time is kept and is no
+    other row's predecessor.
+    """
+    timed = df.where(F.col(time).isNotNull())
+    rows = timed.select(*scope, "fp", F.col(seq).alias("seq"), F.unix_micros(time).alias("at"))
     first = F.min(F.when(F.col("own").isNotNull(), F.struct("own", "seq")))["seq"]
     accepted = _spaced(rows, [*scope, "fp"], ttl_seconds * 1_000_000, first)
-    return flag_duplicates(df, accepted.select(F.col("seq").alias(seq)), seq)
+    flagged = flag_duplicates(df, accepted.select(F.col("seq").alias(seq)), seq)
+    return flagged.withColumn("is_dup", F.col("is_dup") & F.col(time).isNotNull())
 
 
 # ---------------------------------------------------------------- filters
@@ -137,6 +148,7 @@ def filter_positions(fp: Column, size: FilterSize) -> Column:
 
     A digest has eight slices; more come from re-hashing it with a number.
     """
+    fp = digest_bytes(fp)
     slices = []
     for j in range(size.hashes):
         digest = fp if j < 8 else F.unhex(F.sha2(F.concat(hex_digits(fp), F.lit(f"#{j // 8}")), 256))
@@ -187,10 +199,10 @@ def dedupe_filter_only(
 def with_outcome(df: DataFrame, verdicts: DataFrame, seq: str = "seq") -> DataFrame:
     """`df` with `outcome` and is_dup, from (seq, verdict) of accepted rows."""
     name = F.when(F.col("_v") == 0, OUTCOMES[0]).when(F.col("_v") == 2, OUTCOMES[2]).otherwise(OUTCOMES[1])
-    marks = verdicts.select(seq, F.col("verdict").alias("_v"))
+    marks = verdicts.groupBy(seq).agg(F.min("verdict").alias("_v"))
     return (
         df.join(marks, seq, "left")
-        .withColumn("outcome", name)
+        .withColumn("outcome", F.when(F.col(seq).isNull(), OUTCOMES[0]).otherwise(name))
         .withColumn("is_dup", F.col("outcome") == OUTCOMES[1])
         .drop("_v")
     )

@@ -290,15 +290,42 @@ def rescan_heads(
 
 
 def continue_scope(key: tuple, frames, state, new_window: Callable, outcomes: tuple[str, ...]):
-    """Continue one scope's window over its rows of a micro-batch, in order."""
-    import pandas as pd
+    """Continue one scope's window over its rows of a micro-batch, in order.
 
+    Only arrival numbers and fingerprints are put in order; the frames, with
+    whatever else they carry, go out as they came.
+    """
     window = new_window()
     if state.exists:
         window.load(state.get[0])
-    rows = pd.concat(list(frames)).sort_values("seq")
-    codes = window.steps([bytes(fp) for fp in rows["fp"]])
-    state.update((window.save(),))
-    rows["outcome"] = [outcomes[c] for c in codes]
-    rows["is_dup"] = [c == DUPLICATE for c in codes]
-    yield rows
+    held = list(frames)
+    order = np.argsort(np.concatenate([f["seq"].to_numpy() for f in held]), kind="stable")
+    fps = [bytes(fp) for f in held for fp in f["_fp"]]
+    codes = np.empty(len(fps), np.int64)
+    codes[order] = window.steps([fps[i] for i in order])
+    # Where room is made on arrival, duplicates change a window too.
+    if (codes != DUPLICATE).any() or not state.exists or getattr(window, "on_arrival", False):
+        state.update((window.save(),))
+    start = 0
+    for f in held:
+        own = codes[start : start + len(f)]
+        start += len(f)
+        yield f.drop(columns="_fp").assign(outcome=[outcomes[c] for c in own], is_dup=own == DUPLICATE)
+
+
+def continue_key(key: tuple, frames, state, ttl_micros: int, time: str):
+    """Verdicts of one scope and fingerprint by the time since its last row."""
+    last = state.get[0] if state.exists else None
+    held = list(frames)
+    times = [None if isnull else int(t.value // 1000) for f in held for t, isnull in zip(f[time], f[time].isna())]
+    seqs = [s for f in held for s in f["seq"]]
+    verdicts = [False] * len(times)
+    for i in sorted((i for i, t in enumerate(times) if t is not None), key=lambda i: (times[i], seqs[i])):
+        verdicts[i] = last is not None and abs(times[i] - last) <= ttl_micros
+        last = times[i] if last is None else max(last, times[i])
+    if last is not None:
+        state.update((last,))
+    start = 0
+    for f in held:
+        yield f.assign(is_dup=verdicts[start : start + len(f)])
+        start += len(f)

@@ -28,10 +28,10 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import partial, reduce
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.records import SCOPE
-from ..session import new_table_path, task_count, written
+from ..functions.records import SCOPE, digest_bytes, quoted
+from ..session import new_table_path, written
 from . import window_state
 from .dedupe import FilterSize, filter_verdicts, register_dedupe, two_stage_verdicts, with_outcome
 from .ordering import in_order
@@ -189,12 +189,20 @@ def scan_in_order(
 # Rows per piece: enough windows to forget where the scan began, and enough
 # work to be worth a task.
 _PIECE_WINDOWS = 8
+_DIGEST = window_state._DIGEST
 _PIECE_ROWS = 20_000
 # FIFO windows tend to agree after a while wherever they began; the phase of a
 # filter generation does not, so its pieces wait for a final start at once.
 _FIFO_ROUNDS = 2
 
 
+def _scope_text(df: DataFrame, name: str) -> Column:
+    """A scope column of any type as text without nulls: null is a scope of its own."""
+    kind = df.schema[name].dataType
+    text = F.hex(quoted(name)) if isinstance(kind, T.BinaryType) else quoted(name).cast("string")
+    return F.coalesce(F.concat(F.lit("="), text), F.lit("")).alias(name)
+
+
 def _verdicts(
     df: DataFrame,
     new_window: Callable,
@@ -208,7 +216,9 @@ def _verdicts(
 ) -> DataFrame:
     """(seq, verdict) of accepted rows; `native` serves scopes that never evict,
     which are those of up to `settled_up_to` fingerprints."""
-    narrow = df.select(*scope, "fp", F.col(seq).alias("seq"))
+    placed = df.where(F.col(seq).isNotNull())
+    fp = F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(_DIGEST)))
+    narrow = placed.select(*[_scope_text(df, c) for c in scope], fp.alias("fp"), F.col(seq).alias("seq"))
     firsts = written(
         narrow.groupBy(*scope, "fp").agg(F.min("seq").alias("seq"), F.count("*").alias("rows")), "firsts"
     )
@@ -224,7 +234,7 @@ def _verdicts(
         rows = narrow.join(large, list(scope), "left_semi")
         small = native(firsts.join(large, list(scope), "left_anti"))
     per_piece = max(_PIECE_WINDOWS * window, _PIECE_ROWS)
-    pieces = pieces or max(1, min(task_count(df.sparkSession), rows_to_scan // per_piece))
+    pieces = pieces or max(1, rows_to_scan // per_piece)
     scanned = scan_in_order(rows, new_window, scope, pieces, speculative_rounds)
     return scanned if small is None else small.unionByName(scanned)
 
@@ -355,9 +365,9 @@ def sweep_counts(
     """
     names = sorted(settings)
     code = reduce(lambda c, i: c.when(F.col("setting") == names[i], i), range(len(names)), F)
-    limit = reduce(lambda c, n: c.when(F.col("setting") == n, settings[n][1]), names, F)
+    limit = reduce(lambda c, n: c.when(F.col("setting") == f"={n}", settings[n][1]), names, F)
     numbered = rows.select("setting", *scope, "fp", (F.col("seq") * len(names) + code).alias("seq"))
-    make = NewWindow({n: m for n, (m, _) in settings.items()})
+    make = NewWindow({f"={n}": m for n, (m, _) in settings.items()})  # as `_scope_text` writes it
     widest = max(n for _, n in settings.values())
     found = _verdicts(numbered, make, widest, limit, _all_new, ["setting", *scope], "seq", pieces)
     accepted = (

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.records import (
+    EVENT_TIME,
     NINE_FIELDS,
     as_text,
     clean_flows,
@@ -23,8 +24,9 @@ from ..operators import dedupe as d, report as r, windowed as w
 from ..operators.ordering import chronological_split, dense_index
 from ..operators.routing import dedupe_partitioned, dedupe_two_level, partition_rollup, route
 from ..operators.sequences import anomaly_threshold, scale_on_train, sequences, vector_distance, with_history
-from ..operators.workload import duplicate_pressure, synthetic_flows
-from ..sources.flows import head_rows
+from ..operators.workload import duplicate_pressure
+from ..session import new_table_path
+from ..sources.flows import head_rows, read_flows
 from . import search
 from .detection import DETECTORS, detect, prepared, residuals
 from .event_flows import FEATURES, event_flows, event_view
@@ -167,6 +169,13 @@ def q_dedupe_hot_scope_fifo(spark, sf):
     return _verdict(w.dedupe_scoped_fifo(hot, HOT_WINDOW, pieces=HOT_PIECES))
 
 
+def q_dedupe_scoped_fifo_null_scope(spark, sf):
+    """A third of the users without a tenant: the null scope evicts beside small ones."""
+    view = event_view(spark, sf, keep=["k"])
+    nameless = view.withColumn("tenant", F.when(F.col("tenant").cast("bigint") % 3 != 0, F.col("tenant")))
+    return _verdict(w.dedupe_scoped_fifo(nameless, WINDOW))
+
+
 def q_dedupe_worker_window(spark, sf):
     routed = route(event_view(spark, sf), 8, "hash")
     return _verdict(w.dedupe_worker_window(routed, 512), "worker_id")
@@ -217,6 +226,21 @@ def q_dedupe_ttl(spark, sf):
     return _verdict(d.dedupe_ttl(event_view(spark, sf, keep=["ts"]), TTL_SECONDS))
 
 
+def q_dedupe_ttl_disordered(spark, sf):
+    """Times that do not follow the arrivals, some unknown: the order is that of the time."""
+    view = event_view(spark, sf, keep=["ts", "k"])
+    moved = F.expr("ts + make_dt_interval(0, int((k * 5) % 11))")
+    view = view.withColumn("ts", F.when(F.col("k") != 6, moved))
+    return _verdict(d.dedupe_ttl(view, TTL_SECONDS))
+
+
+def q_carried_fingerprints(spark, sf):
+    """Half of the records carry their digest; they equal those that are computed."""
+    flows = event_flows(spark, sf)
+    carried = flows.withColumn("_dedupe_fp", F.when(F.col("k") % 2 == 0, flow_fingerprint(flows)))
+    return _verdict(d.dedupe_scoped_exact(flow_view(carried)))
+
+
 # ---------------------------------------------------------- dedupe reports
 
 
@@ -291,32 +315,6 @@ def q_duplicate_pressure(spark, sf):
     return loaded.select("seq", "origin", "tenant", _fp())
 
 
-def _event_numbers(spark, sf) -> tuple[DataFrame, int]:
-    numbered, n = dense_index(event_view(spark, sf).select("seq"), ["seq"], out="i")
-    return numbered.select("i"), n
-
-
-def q_synthetic_flows(spark, sf):
-    """As many flows as the table has events, half of them repeats."""
-    numbers, n = _event_numbers(spark, sf)
-    return _named(synthetic_flows(numbers, n, 0.5))
-
-
-def q_synthetic_flows_bursty(spark, sf):
-    numbers, n = _event_numbers(spark, sf)
-    return _named(synthetic_flows(numbers, n, 0.5, bursty=True, shuffle=False))
-
-
-def _named(flows: DataFrame) -> DataFrame:
-    return flows.select(
-        "seq",
-        F.col("Source IP").alias("source"),
-        F.col("Destination IP").alias("destination"),
-        F.col("Total Length of Fwd Packets").alias("fwd_bytes"),
-        F.col("_id").alias("flow_id"),
-    )
-
-
 # -------------------------------------------------------------- detection
 
 
@@ -395,6 +393,19 @@ def q_detector_comparison(spark, sf):
     return r.detector_comparison(detect(event_flows(spark, sf), FEATURES), DETECTORS)
 
 
+def q_detector_comparison_csv(spark, sf):
+    """From text files of two layouts, with the time as day-first text, to the detectors."""
+    flows = event_flows(spark, sf)
+    flows = flows.withColumn(EVENT_TIME[0], F.date_format("ts", "d/M/yyyy H:mm:ss")).drop("ts")
+    path, names = new_table_path(spark, "flow-csv"), flows.columns
+    for layout, rest in ((names, 0), (names[::-1], 1)):
+        flows.where(F.col("k") % 2 == rest).select(*layout).write.option("header", True).csv(f"{path}/layout-{rest}")
+    kinds = {n: t for n, t in flows.dtypes if t != "string"}
+    read = read_flows(spark, [f"{path}/layout-0", f"{path}/layout-1"], types=kinds)
+    timed = read.withColumn("ts", parse_event_time(F.col(column_name(read, EVENT_TIME))))
+    return r.detector_comparison(detect(timed, FEATURES), DETECTORS)
+
+
 def _labelled(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     return labels.select(F.col("toxic").alias("label"), (1 - F.col("quality")).alias("prediction"))

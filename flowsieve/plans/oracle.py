@@ -219,14 +219,6 @@ def pressured(rate: float, name: str, seed: int = 42) -> str:
   FROM {name}_rows)"""
 
 
-def synthetic_columns(seed: int = 42) -> str:
-    def part(name):
-        return number(f"'{name}{seed}'", "u")
-
-    return f"""'10.0.0.' || ({part('tenant')} % 10 + 1) AS source, '192.168.1.' || (u % 255) AS destination,
-      CAST({part('length')} % 1461 + 40 AS VARCHAR) AS fwd_bytes, CAST(u AS VARCHAR) AS flow_id"""
-
-
 def trials() -> str:
     """Trials of the bounded search, one branch per rate and setting."""
     ctes, rows = [], []
@@ -361,6 +353,16 @@ def oracle_sql() -> dict[str, str]:
           SELECT seq, tenant, {lookback(f"p - {lagged('p')}", w)} AS is_dup FROM pos""",
         "dedupe_ttl": f"""{flows} SELECT seq, tenant,
           {lookback(f"epoch_us(ts) - {lagged('epoch_us(ts)')}", c.TTL_SECONDS * 1_000_000)} AS is_dup FROM flows""",
+        "dedupe_ttl_disordered": f"""{flows}, moved AS (SELECT seq, tenant, fp,
+            CASE WHEN k <> 6 THEN ts + to_hours(CAST((k * 5) % 11 AS INTEGER)) END AS ts FROM flows)
+          SELECT seq, tenant, coalesce(ts IS NOT NULL AND epoch_us(ts) - lag(epoch_us(ts)) OVER (
+              PARTITION BY tenant, fp, ts IS NULL ORDER BY ts, seq) <= {c.TTL_SECONDS * 1_000_000}, false) AS is_dup
+          FROM moved""",
+        "carried_fingerprints": f"{flows} {verdict} FROM ({scoped})",
+        "dedupe_scoped_fifo_null_scope": f"""{flows}, nameless AS (
+            SELECT seq, CASE WHEN CAST(tenant AS BIGINT) % 3 <> 0 THEN tenant END AS tenant,
+              CASE WHEN CAST(tenant AS BIGINT) % 3 <> 0 THEN tenant ELSE '' END AS named, fp FROM flows),
+          {fifo(w, 'named', 'nameless')} {verdict} FROM flagged""",
         "dedupe_stats": f"{flows}, flagged AS ({scoped}) {stats('flagged')}",
         "dedupe_scan_cost": f"""{flows}, flagged AS ({first_seen('fp')})
           SELECT *, CAST(evaluations AS DOUBLE) * (evaluations + 1) / 2 AS scan_comparisons FROM ({stats('flagged')})""",
@@ -393,17 +395,6 @@ def oracle_sql() -> dict[str, str]:
           round_even(CAST(2000000 AS DOUBLE) / total_records, 2) AS avg_latency_us, dedupe_rate_pct AS dedup_rate_pct,
           {pct('false_positives', 'total_records')} AS bloom_fp_rate_pct FROM ({stats('flagged', '', FALSE_HIT)})""",
         "duplicate_pressure": f"{flows}, {pressured(0.5, 'loaded')} SELECT seq, origin, tenant, fp FROM loaded",
-        "synthetic_flows": f"""{flows}, picked AS (
-          SELECT i, CASE WHEN i < n // 2 THEN i ELSE {number("'pick42'", 'i')} % (n // 2) END AS u
-          FROM (SELECT row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM flows))
-          SELECT row_number() OVER (ORDER BY {number("'order42'", 'i')}, i) - 1 AS seq, {synthetic_columns()} FROM picked""",
-        "synthetic_flows_bursty": f"""{flows}, size AS (SELECT count(*) AS n FROM flows),
-          bursts AS (SELECT i // 50 AS cell, i % 50 + 1 AS length, {number("'burst42'", 'i')} AS h,
-            {number("'pick42'", 'i')} % (n // 2) AS u, n FROM size, unnest(range((n + 1274) // 1275 * 50)) AS t(i)),
-          placed AS (SELECT *, cell * 1275 + CAST(coalesce(sum(length) OVER (PARTITION BY cell ORDER BY h, length
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM bursts),
-          picked AS (SELECT u, unnest(range(start, least(start + length, n))) AS seq FROM placed WHERE start < n)
-          SELECT seq, {synthetic_columns()} FROM picked""",
         "chronological_index": f"{detection} SELECT seq, idx FROM ordered",
         "chronological_split": f"{detection} SELECT seq, split FROM marked",
         "train_only_scaling": f"{detection} SELECT seq, round_even(z_value, 6) AS z_value, round_even(z_k, 6) AS z_k FROM scaled",
@@ -429,11 +420,14 @@ def oracle_sql() -> dict[str, str]:
         "classification_report": f"SELECT {report()} FROM (SELECT {confusion('toxic', '1 - quality')} FROM labels)",
         "fused_signature_report": f"""{flows} SELECT {report()} FROM (SELECT {confusion('label', 's')} FROM (
           SELECT label, CASE WHEN {SIGNATURE} = 1 THEN 1 WHEN value > 50 THEN 1 ELSE 0 END AS s FROM flows))""",
-        "stream_fifo": f"{fifo_rows} {verdict} FROM flagged",
+        "stream_fifo": f"{fifo_rows} {verdict}, destination FROM flagged",
+        "stream_ttl_dedupe": f"""{flows} SELECT seq, tenant,
+          {lookback(f"epoch_us(ts) - {lagged('epoch_us(ts)')}", c.TTL_SECONDS * 1_000_000)} AS is_dup FROM flows""",
         "stream_rotating": f"{rotating} {verdict}, outcome FROM flagged",
         "stream_signature_rules": f"{flows} SELECT seq, {SIGNATURE} AS signature FROM flows",
         "stream_dedupe_stats": f"{fifo_rows} {stats('flagged')}",
     }
+    sql["detector_comparison_csv"] = sql["detector_comparison"]
     settings = [(e, n) for e in (0.01, 0.05) for n in (1000, 5000)]
     sql["filter_error_sweep"] = f"{flows}, firsts AS (SELECT fp, min(seq) AS seq FROM flows GROUP BY fp) " + " UNION ALL ".join(
         f"""SELECT '{e}/{n}' AS setting, unique_records, false_positives,

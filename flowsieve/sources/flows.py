@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.records import quoted
 
+CORRUPT = "_corrupt_record"
+
 
 def trim_headers(df: DataFrame) -> DataFrame:
     """Drop blanks around column names, which flow CSVs often carry."""
@@ -20,18 +22,24 @@ def read_flows(
     paths: str | Sequence[str],
     format: str = "csv",
     types: Mapping[str, str] | None = None,
+    corrupt: bool = False,
 ) -> DataFrame:
     """Flow table from one or more files or folders.
 
-    Each path is one layout; paths with other columns are aligned by name and
-    filled with null. CSV columns arrive as text, and `types` names those to
-    cast: no inference pass over the data, and a bad number is null.
+    Files of one layout are read together, and layouts are aligned by name,
+    with nulls where a layout lacks a column. The layout of a CSV file is its
+    header, so a folder may hold files whose columns differ or stand in another
+    order. A line with too many or too few fields lacks values or is cut; with
+    `corrupt` its text is in `_corrupt_record` (`malformed_lines` counts
+    them). CSV columns arrive as
+    text, and `types` names those to cast: no inference pass over the data, and
+    a bad number is null.
     """
     sources = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.format(format)
     if format == "csv":
-        reader = reader.option("header", True)
-    parts = [trim_headers(reader.load(p)) for p in sources]
+        parts = [_csv_layout(spark, files, corrupt) for files in _layouts(spark, sources)]
+    else:
+        parts = [trim_headers(spark.read.format(format).load(p)) for p in sources]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     for name, kind in (types or {}).items():
         if name in df.columns:
@@ -39,6 +47,44 @@ def read_flows(
     return df
 
 
+def _layouts(spark: SparkSession, sources: Sequence[str]) -> list[list[str]]:
+    """CSV files grouped by the text of their header, which is the line at byte 0 of a file.
+
+    Only the first block of each file is read for it; to the driver go the
+    names of the files, which it lists anyway.
+    """
+    lines = spark.read.text(list(sources)).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = F.min_by("value", "line")  # the lines of a block are numbered in their order
+    found: dict[str, list[str]] = {}
+
+    def place(row) -> tuple:
+        return next((i for i, s in enumerate(sources) if s.rstrip("/") in row["file"]), len(sources)), row["file"]
+
+    for row in sorted(lines.where("start = 0").groupBy("file").agg(first.alias("header")).collect(), key=place):
+        found.setdefault(row["header"].lstrip("\ufeff"), []).append(row["file"])
+    return list(found.values())
+
+
+def _csv_layout(spark: SparkSession, files: list[str], corrupt: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    names = spark.read.option("header", True).csv(files[0]).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *[CORRUPT] * corrupt]])
+    return trim_headers(reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(sorted(files)))
+
+
+def malformed_lines(flows: DataFrame) -> int:
+    """How many CSV lines did not have the number of fields of their header."""
+    if CORRUPT not in flows.columns:
+        return 0
+    others = [F.max(quoted(c)) for c in flows.columns if c != CORRUPT]  # Spark parses a line only for its fields
+    return flows.agg(F.count_if(F.col(CORRUPT).isNotNull()), *others).first()[0]
+
+
 def stream_flows(spark: SparkSession, path: str, schema, format: str = "parquet", **options) -> DataFrame:
     """The same table as an unbounded stream of files (or of Kafka, with its package)."""
     reader = spark.readStream.format(format).schema(schema)

@@ -8,18 +8,19 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.records import SCOPE
+from ..functions.records import SCOPE, digest_bytes
 from ..functions.rules import signature_rule
 from ..operators.dedupe import OUTCOMES
 from ..operators.report import dedupe_stats
 from ..operators.windowed import FifoWindow, ScreenedWindow, continue_scope
+from ..operators.window_state import continue_key
 
 
 def _windowed(stream: DataFrame, new_window: Callable, scope: Sequence[str]) -> DataFrame:
-    columns = [*scope, "fp", "seq"]
-    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in columns)
+    """All columns of the stream, with outcome and is_dup."""
+    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in stream.columns)
     return (
-        stream.select(*columns)
+        stream.withColumn("_fp", F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(32))))
         .groupBy(*scope)
         .applyInPandasWithState(
             partial(continue_scope, new_window=new_window, outcomes=OUTCOMES),
@@ -34,10 +35,11 @@ def _windowed(stream: DataFrame, new_window: Callable, scope: Sequence[str]) ->
 def stream_scoped_fifo(stream: DataFrame, window: int = 100_000, scope: Sequence[str] = SCOPE) -> DataFrame:
     """`dedupe_scoped_fifo` on a stream: a scope's window is kept as state.
 
-    Rows of a scope must reach later micro-batches in `seq` order; within a
-    micro-batch they are sorted. State per scope is at most one window, and a
-    task holds at most one micro-batch of a scope: bound it at the source
-    (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    The stream's other columns come through. Rows of a scope must reach later
+    micro-batches in `seq` order; within a micro-batch they are sorted. State
+    per scope is at most one window, rewritten when a row is accepted, and a task
+    holds at most one micro-batch of a scope: bound that by a number of rows at
+    the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
     """
     return _windowed(stream, partial(FifoWindow, window), scope)
 
@@ -47,13 +49,22 @@ def stream_scoped_rotating(stream: DataFrame, window: int = 100_000, scope: Sequ
     return _windowed(stream, partial(ScreenedWindow, window, window, None), scope)
 
 
-def stream_ttl(stream: DataFrame, ttl: str, time: str = "ts", scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Keep one row per scope and fingerprint within the watermark delay.
+def stream_ttl(stream: DataFrame, ttl_seconds: int, time: str = "ts", scope: Sequence[str] = SCOPE) -> DataFrame:
+    """`dedupe_ttl` on a stream: the time of each key's last row is kept as state.
 
-    State is keyed by fingerprint, so a large scope spreads over all tasks. The
-    delay is a lower bound, and rows later than it are dropped.
+    State is keyed by scope and fingerprint, so a large scope spreads over all
+    tasks. Within a micro-batch rows are in the order of their time. A row that
+    comes later than one of its key with a greater time is compared with that
+    one; no row is dropped for being late. A row without a time is kept.
     """
-    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark([*scope, "fp"])
+    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in stream.columns)
+    return stream.groupBy(*scope, "fp").applyInPandasWithState(
+        partial(continue_key, ttl_micros=ttl_seconds * 1_000_000, time=time),
+        f"{fields}, is_dup boolean",
+        "last bigint",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def stream_signatures(stream: DataFrame) -> DataFrame:

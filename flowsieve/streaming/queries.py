@@ -4,33 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.records import flow_view, hex_digits
+from ..functions.records import flow_view
 from ..operators.report import percent
 from ..plans.event_flows import event_flows
-from ..session import new_table_path, task_count
+from ..session import new_table_path
 from ..sources.flows import stream_flows
 from .dedupe import batch_stats, stream_scoped_fifo, stream_scoped_rotating, stream_signatures, stream_ttl
 
 _WINDOW = 16
-_BATCHES = 4
-_FILE_ROWS = 1000
+_BATCH_ROWS = 2500
+_TTL_SECONDS = 6 * 3600
 
 
 def _flow_stream(spark, sf: str, columns: list[str]) -> DataFrame:
-    """The flows as a replayed stream of `_BATCHES` micro-batches in arrival order.
+    """The flows as a replayed stream of micro-batches of about `_BATCH_ROWS` in arrival order.
 
     The source takes files by age, so each range of arrivals is written after
-    the one before it, as a fixed number of files: a micro-batch is one range.
+    the one before it, as one file: a micro-batch is one range.
     """
     view = flow_view(event_flows(spark, sf), keep=columns)
     path = new_table_path(spark, "arrivals")
-    low, high = view.agg(F.min("seq"), F.max("seq")).first()
-    step = (high - low) // _BATCHES + 1
-    files = min(task_count(spark), step // _FILE_ROWS + 1)
+    low, high, rows = view.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    if not rows:
+        view.write.parquet(path)
+        return stream_flows(spark, path, view.schema)
+    step = -(-(high - low + 1) // -(-rows // _BATCH_ROWS))
     for start in range(low, high + 1, step):
         batch = view.where((F.col("seq") >= start) & (F.col("seq") < start + step))
-        batch.repartition(files).write.mode("append").parquet(path)
-    return stream_flows(spark, path, view.schema, maxFilesPerTrigger=files)
+        batch.coalesce(1).write.mode("append").parquet(path)
+    return stream_flows(spark, path, view.schema, maxFilesPerTrigger=1)
 
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -50,8 +52,9 @@ def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_fifo(spark, sf):
-    out = _drained(stream_scoped_fifo(_flow_stream(spark, sf, []), _WINDOW))
-    return out.select("seq", "tenant", "is_dup")
+    """The records come through with their verdict."""
+    out = _drained(stream_scoped_fifo(_flow_stream(spark, sf, ["Destination IP"]), _WINDOW))
+    return out.select("seq", "tenant", "is_dup", F.col("Destination IP").alias("destination"))
 
 
 def stream_rotating(spark, sf):
@@ -60,8 +63,8 @@ def stream_rotating(spark, sf):
 
 
 def stream_ttl_dedupe(spark, sf):
-    out = _drained(stream_ttl(_flow_stream(spark, sf, ["ts"]), "6 hours"))
-    return out.select("seq", "tenant", hex_digits(F.col("fp")).alias("fp"))
+    out = _drained(stream_ttl(_flow_stream(spark, sf, ["ts"]), _TTL_SECONDS))
+    return out.select("seq", "tenant", "is_dup")
 
 
 def stream_signature_rules(spark, sf):

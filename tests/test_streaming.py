@@ -1,13 +1,16 @@
 """Streams must give what the batch operators give."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators.dedupe import dedupe_scoped_exact
+from flowsieve.operators.dedupe import dedupe_ttl
 from flowsieve.operators.report import dedupe_stats
 from flowsieve.operators.windowed import dedupe_scoped_fifo, dedupe_scoped_rotating
 from flowsieve.plans.event_flows import event_view
 from flowsieve.streaming import queries as streams
+from flowsieve.streaming.dedupe import stream_scoped_fifo, stream_ttl
 
 
 def rows(df, *columns):
@@ -15,17 +18,39 @@ def rows(df, *columns):
 
 
 @pytest.mark.parametrize("name, batch", [("stream_fifo", dedupe_scoped_fifo), ("stream_rotating", dedupe_scoped_rotating)])
-def test_stream_carries_windows_over_micro_batches(spark, sf, name, batch):
+def test_stream_carries_windows_over_micro_batches(spark, sf, name, batch, monkeypatch):
+    monkeypatch.setattr(streams, "_BATCH_ROWS", 250)
     streamed = streams.queries()[name](spark, sf)
     assert rows(streamed, "is_dup") == rows(batch(event_view(spark, sf), 16), "is_dup")
 
 
-def test_ttl_stream_keeps_no_pair_within_the_delay(spark, sf):
-    kept = streams.stream_ttl_dedupe(spark, sf).join(event_view(spark, sf, keep=["ts"]).drop("tenant", "fp"), "seq")
-    gap = F.expr("unix_micros(ts) - lag(unix_micros(ts)) OVER (PARTITION BY tenant, fp ORDER BY ts)")
-    close = kept.withColumn("gap", gap).where(F.col("gap") < 6 * 3600 * 1_000_000)
-    firsts = dedupe_scoped_exact(event_view(spark, sf)).where("not is_dup").count()
-    assert close.count() == 0 and kept.count() >= firsts
+def test_ttl_stream_gives_the_batch_verdicts(spark, sf):
+    batch = dedupe_ttl(event_view(spark, sf, keep=["ts"]), 6 * 3600)
+    assert rows(streams.stream_ttl_dedupe(spark, sf), "is_dup") == rows(batch, "is_dup")
+
+
+def test_hot_scope_over_many_small_batches(spark, sf, tmp_path):
+    """One scope, a payload column, 20 micro-batches: as in one pass."""
+    view = event_view(spark, sf, keep=["k"]).withColumn("tenant", F.lit("all"))
+    low, high = view.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // 20 + 1
+    for start in range(low, high + 1, step):
+        view.where((F.col("seq") >= start) & (F.col("seq") < start + step)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(view.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streams._drained(stream_scoped_fifo(stream, 40))
+    assert rows(got, "is_dup", "k") == rows(dedupe_scoped_fifo(view, 40), "is_dup", "k")
+
+
+def test_late_and_timeless_rows_are_kept_by_the_ttl_stream(spark, tmp_path):
+    schema = "seq bigint, tenant string, log_type string, fp binary, ts timestamp, extra int"
+    start = datetime(2024, 1, 1)
+    batches = [[(1, 0), (2, 30), (3, None)], [(4, 1000), (5, 20)], [(6, 1050), (7, 200), (8, None)]]
+    for batch in batches:
+        data = [(s, "t", "", bytearray(b"x" * 32), t if t is None else start + timedelta(seconds=t), s * 10) for s, t in batch]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = rows(streams._drained(stream_ttl(stream, 60)), "is_dup", "extra")
+    assert got == [(1, False, 10), (2, True, 20), (3, False, 30), (4, False, 40), (5, True, 50), (6, True, 60), (7, False, 70), (8, False, 80)]
 
 
 def test_batch_counters_add_up(spark, sf):
