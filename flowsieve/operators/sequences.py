@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 from pyspark.sql.window import WindowSpec
 
 from ..functions.records import floor_div
+from ..session import written
 
 # Fixed value: rows of history per sequence.
 HISTORY = 10
@@ -74,25 +76,52 @@ def mean_forecast(df: DataFrame, features: Sequence[str], length: int = HISTORY)
 
 
 def linear_forecast(df: DataFrame, features: Sequence[str], length: int = HISTORY, label: str = "label") -> DataFrame:
-    """Add p_<feature>: a linear model of all preceding values, fitted on the
-    benign rows of train (one least-squares pass per feature)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """Add p_<feature>: an autoregression on the feature's own preceding values,
+    fitted by least squares on the benign rows of train.
 
-    lags = [f"_{f}_{k}" for f in features for k in range(1, length + 1)]
+    The lagged rows are written once. One pass adds up the normal equations of
+    all features, a row per feature and task; what goes to the driver is
+    (length + 1) x (length + 2) numbers per feature.
+    """
+    lags = {f: [f"_{f}_{k}" for k in range(1, length + 1)] for f in features}
 
     def lagged(w):
-        return {f"_{f}_{k}": F.nth_value(f, length - k + 1).over(w) for f in features for k in range(1, length + 1)}
+        return {n: F.nth_value(f, length - k).over(w) for f in features for k, n in enumerate(lags[f])}
 
-    rows = with_history(df, lagged, length)
-    rows = VectorAssembler(inputCols=lags, outputCol="_x", handleInvalid="keep").transform(rows)
+    rows = written(with_history(df, lagged, length), "lags")
     train = rows.where((F.col("split") == "train") & (F.col(label) == 0))
-    for f in features:
-        model = LinearRegression(
-            featuresCol="_x", labelCol=f, predictionCol=f"p_{f}", solver="normal", regParam=1e-6, standardization=False
+    width = length + 1
+
+    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(features), width, width + 1))
+        for batch in batches:
+            for i in range(len(features)):
+                own = [batch.column(i * width + j).to_numpy(zero_copy_only=False) for j in range(width)]
+                known = np.column_stack([np.ones(batch.num_rows), *own[1:]])
+                sums[i] += known.T @ np.column_stack([known, own[0]])
+        at = np.indices(sums.shape).reshape(3, -1)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x, pa.int32()) for x in at), pa.array(sums.ravel())], names=["feature", "i", "j", "total"]
         )
-        rows = model.fit(train).transform(rows)
-    return rows.drop("_x", *lags)
+
+    columns = [F.col(c).cast("double") for f in features for c in (f, *lags[f])]
+    totals = (
+        train.select(*columns)
+        .mapInArrow(equations, "feature int, i int, j int, total double")
+        .groupBy("feature", "i", "j")
+        .agg(F.sum("total").alias("total"))
+        .collect()
+    )
+    system = np.zeros((len(features), width, width + 1))
+    for r in totals:
+        system[r["feature"], r["i"], r["j"]] = r["total"]
+    for f, equation in zip(features, system, strict=True):
+        solution = np.linalg.lstsq(equation[:, :-1], equation[:, -1], rcond=None)[0].tolist()
+        forecast = F.lit(solution[0])
+        for weight, lag in zip(solution[1:], lags[f], strict=True):
+            forecast = forecast + F.lit(weight) * F.col(lag)
+        rows = rows.withColumn(f"p_{f}", forecast)
+    return rows.drop(*[n for names in lags.values() for n in names])
 
 
 def custom_forecast(

@@ -358,7 +358,7 @@ def q_forecast_mean(spark, sf):
 
 
 def q_forecast_linear(spark, sf):
-    return _residuals(spark, sf, "linear").select("seq", "split", "residual")
+    return _residuals(spark, sf, "linear").select("seq", "split", F.bround("residual", 6).alias("residual"))
 
 
 def q_forecast_residual(spark, sf):

@@ -187,6 +187,38 @@ verdicts AS (
   FROM residuals, threshold WHERE split = 'test')"""
 
 
+def autoregression(features: tuple[str, ...] = ("z_value", "z_k"), lags: int = 10) -> str:
+    """p_<feature> by least squares on the feature's lags: normal equations, solved by elimination row by row."""
+    known = {f: "[1.0, " + ", ".join(f"lag({f}, {k}) OVER w" for k in range(1, lags + 1)) + "]" for f in features}
+    n = lags + 1
+
+    def equations(f: str) -> str:
+        sides = [f"x_{f}[{j}]" for j in range(1, n + 1)] + [f]
+        rows = ("[" + ", ".join(f"sum(x_{f}[{i}] * {side})" for side in sides) + "]" for i in range(1, n + 1))
+        return "[" + ", ".join(rows) + "]"
+
+    ctes = [
+        f"""lagged AS (SELECT *, {", ".join(f"{x} AS x_{f}" for f, x in known.items())}, count(*) OVER h AS length FROM scaled
+  WINDOW w AS (PARTITION BY split ORDER BY idx),
+         h AS (PARTITION BY split ORDER BY idx ROWS BETWEEN {lags} PRECEDING AND 1 PRECEDING))"""
+    ]
+    for f in features:
+        ctes.append(f"""solve_{f} AS (
+  SELECT 1 AS k, {equations(f)} AS m FROM lagged WHERE split = 'train' AND label = 0 AND length = {lags}
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = k
+      THEN list_transform(m[k], lambda v: v / m[k][k])
+      ELSE list_transform(range(1, {n + 2}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END)
+  FROM solve_{f} WHERE k <= {n}),
+weights_{f} AS (SELECT list_transform(m, lambda r: r[{n + 1}]) AS b_{f} FROM solve_{f} WHERE k = {n + 1})""")
+    forecasts = ", ".join(
+        " + ".join(f"b_{f}[{j}] * x_{f}[{j}]" for j in range(1, n + 1)) + f" AS p_{f}" for f in features
+    )
+    sources = ", ".join(f"weights_{f}" for f in features)
+    ctes.append(f"forecasts AS (SELECT lagged.*, {forecasts} FROM lagged, {sources} WHERE length = {lags})")
+    return ", ".join(ctes)
+
+
 def confusion(truth: str, prediction: str) -> str:
     def n(t, p):
         return f"CAST(sum(CASE WHEN {truth} = {t} AND {prediction} = {p} THEN 1 ELSE 0 END) AS BIGINT)"
@@ -405,6 +437,8 @@ def oracle_sql() -> dict[str, str]:
           WHERE length = 10""",
         "forecast_mean": f"""{detection} SELECT seq, round_even(p_z_value, 6) AS p_z_value,
           round_even(p_z_k, 6) AS p_z_k FROM residuals""",
+        "forecast_linear": f"""{detection}, {autoregression()} SELECT seq, split, round_even(sqrt(
+            (z_value - p_z_value) * (z_value - p_z_value) + (z_k - p_z_k) * (z_k - p_z_k)), 6) AS residual FROM forecasts""",
         "forecast_residual": f"{detection} SELECT seq, split, round_even(residual, 6) AS residual FROM residuals",
         "vector_residual": """WITH pairs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a,
             CAST(lag(embedding) OVER (ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings)
