@@ -147,9 +147,9 @@ def efficiency_report(stats: DataFrame, elapsed_seconds: float) -> DataFrame:
 def trial_log(trials: DataFrame, exact_rate: Column) -> DataFrame:
     """Mark trials whose rate is too far from the exact one as invalid."""
     gap = F.abs(F.col("dedupe_rate_pct") - exact_rate)
-    anomalous = gap > RATE_TOLERANCE
-    note = F.when(anomalous, F.concat(F.lit("anomalous dedupe rate: diff="), F.format_string("%.2f", gap), F.lit("%")))
-    return trials.withColumn("valid", ~anomalous).withColumn("notes", F.coalesce(note, F.lit("")))
+    far = gap > RATE_TOLERANCE
+    note = F.when(far, F.format_string("%.2f points away from the rate of exact dedupe", gap))
+    return trials.withColumn("valid", ~far).withColumn("notes", F.coalesce(note, F.lit("")))
 
 
 def best_config(trials: DataFrame, config: Sequence[str], metric: str) -> DataFrame:

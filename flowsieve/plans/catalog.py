@@ -298,6 +298,12 @@ def q_best_config(spark, sf):
     return r.best_config(searched, ["error_rate", "capacity"], "score")
 
 
+def q_best_partitioned_config(spark, sf):
+    trials = search.search_trials(event_view(spark, sf))
+    searched = trials.where(F.col("mode") == "partitioned filter+exact")
+    return r.best_config(searched, ["error_rate", "capacity", "workers"], "score")
+
+
 def q_efficiency_report(spark, sf):
     """Elapsed time is an argument; two seconds keep the table repeatable."""
     return r.efficiency_report(r.dedupe_stats(d.dedupe_two_stage(event_view(spark, sf), FILTER)), 2.0)

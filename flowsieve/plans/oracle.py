@@ -288,7 +288,7 @@ def trials() -> str:
 trials AS (
   SELECT * EXCLUDE (exact), NOT abs(dedupe_rate_pct - exact) > 5.0 AS valid,
     CASE WHEN abs(dedupe_rate_pct - exact) > 5.0
-         THEN 'anomalous dedupe rate: diff=' || printf('%.2f', abs(dedupe_rate_pct - exact)) || '%' ELSE '' END AS notes
+         THEN printf('%.2f points away from the rate of exact dedupe', abs(dedupe_rate_pct - exact)) ELSE '' END AS notes
   FROM rated)"""
     union = " UNION ALL ".join(rows)
     return f"WITH {FLOWS}, {', '.join(ctes)}, rows AS ({union}), {rated}"
@@ -423,6 +423,9 @@ def oracle_sql() -> dict[str, str]:
         "best_config": f"""{trials()} SELECT error_rate, capacity, round_even(avg(score), 4) AS mean_score FROM trials
           WHERE valid AND mode = 'filter+exact' GROUP BY error_rate, capacity
           ORDER BY mean_score DESC, error_rate, capacity LIMIT 1""",
+        "best_partitioned_config": f"""{trials()} SELECT error_rate, capacity, workers, round_even(avg(score), 4) AS mean_score
+          FROM trials WHERE valid AND mode = 'partitioned filter+exact' GROUP BY error_rate, capacity, workers
+          ORDER BY mean_score DESC, error_rate, capacity, workers LIMIT 1""",
         "efficiency_report": f"""{two_stage} SELECT total_records, round_even(total_records / CAST(2 AS DOUBLE), 2) AS throughput_rec_s,
           round_even(CAST(2000000 AS DOUBLE) / total_records, 2) AS avg_latency_us, dedupe_rate_pct AS dedup_rate_pct,
           {pct('false_positives', 'total_records')} AS bloom_fp_rate_pct FROM ({stats('flagged', '', FALSE_HIT)})""",

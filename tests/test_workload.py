@@ -67,7 +67,7 @@ def test_search_chooses_and_confirms(spark, sf):
     assert anchors[0.1] < anchors[0.5] < anchors[1.0]
     none = trials.where("mode = 'no dedupe'")
     assert none.where("valid").count() == 0  # far from the exact rate, hence marked
-    assert none.where("notes like 'anomalous%'").count() == 3
+    assert none.where("notes like '%points away%'").count() == 3
     best = r.best_config(trials.where("mode = 'filter+exact'"), ["error_rate", "capacity"], "score").first()
     assert (best["error_rate"], best["capacity"], best["mean_score"]) == (0.01, 1000, 100.0)  # first of a tie
     final = search.confirm(view, best["error_rate"], best["capacity"], 4)
