@@ -1,4 +1,5 @@
 import math
+import re
 from collections import defaultdict
 
 import pytest
@@ -7,6 +8,10 @@ from flowsieve.llm import mixing
 from .conftest import AWKWARD
 
 
+def words(text):
+    return len(re.findall(mixing.WORD, text or ""))
+
+
 def test_exponent_meets_the_targets():
     tokens = {"a": 8000, "b": 1000, "c": 900, "d": 100, "empty": 0}
     for share in (0.75, 0.9, 0.97):
@@ -27,7 +32,7 @@ def rows():
 
 
 def draws(df):
-    return sorted(((r["doc_id"], r["source"], r["_epoch"], r["_block"], r["_place"], len((r["text"] or "").split())) for r in df.collect()), key=str)
+    return sorted(((r["doc_id"], r["source"], r["_epoch"], r["_block"], r["_place"], words(r["text"])) for r in df.collect()), key=str)
 
 
 @pytest.mark.parametrize("budget", [None, 1500, 20_000])
@@ -38,7 +43,7 @@ def test_passes_and_budgets(documents, budget, monkeypatch):
     totals = defaultdict(lambda: [0, 0])
     for _, t, _, s in rows():
         totals[s or ""][0] += 1
-        totals[s or ""][1] += len((t or "").split())
+        totals[s or ""][1] += words(t)
     plans = {p.source: p for p in mixing.plan({s: tuple(x) for s, x in totals.items()}, 0.9, None, budget)}
     for source, p in plans.items():
         own = [g for g in got if (g[1] or "") == source]
@@ -52,8 +57,8 @@ def test_passes_and_budgets(documents, budget, monkeypatch):
         everything = sorted((mixing_key(i, t, s, p) for i, t, _, s in rows() if (s or "") == source), key=lambda x: x[:2])
         taken = 0
         expected = []
-        for block, place, words in everything:
-            taken += words
+        for block, place, size in everything:
+            taken += size
             if taken > p.rest or not p.rest:
                 break
             expected.append((block, place))
@@ -66,7 +71,7 @@ _KEYS = {}
 
 
 def mixing_key(i, t, s, p):
-    return (*_KEYS[i, t, p.passes, p.blocks], len((t or "").split()))
+    return (*_KEYS[i, t, p.passes, p.blocks], words(t))
 
 
 @pytest.fixture(autouse=True, scope="module")
