@@ -145,7 +145,7 @@ def _cut(n_kept: int, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list] = {o: [] for o in outputs}
-            for value, marks in zip(batch.column(n_kept), batch.column(n_kept + 1), strict=True):
+            for value, marks in zip(batch.column(1), batch.column(2), strict=True):
                 body = value.as_py() or b""
                 spans = merged([(m["lo"], m["hi"]) for m in marks.as_py() or ()])
                 left, at = [], 0
@@ -156,7 +156,7 @@ def _cut(n_kept: int, outputs: tuple[str, ...]):
                 kept = b"".join(left)
                 for o in outputs:
                     made[o].append({"n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(spans), "kept": kept}[o] if o != "kept_sha256" else sha256(kept))
-            arrays = [batch.column(i) for i in range(n_kept)] + [pa.array(made[o], _TYPES[o]) for o in outputs]
+            arrays = batch.column(0).flatten()[1:] + [pa.array(made[o], _TYPES[o]) for o in outputs]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"_c{i}" for i in range(n_kept)] + list(outputs))
 
     return run
@@ -259,8 +259,8 @@ def remove_repeats(
         F.col(text).cast("binary").alias("_body"),
     )
     spans = repeated_spans(keyed, depth, shard_bytes, memory).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))  # of one document
-    columns = [F.col(f"_id.c{i}").alias(f"_c{i}") for i in range(len(kept))]
-    joined = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*columns, "_body", "_spans")
+    # All columns are used here as in `repeated_spans`, so both read one exchange of the texts.
+    joined = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_id", "_body", "_spans")
     types = {pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string"}
     schema = ", ".join([f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + [f"{o} {types[_TYPES[o]]}" for o in outputs])
     return joined.mapInArrow(_cut(len(kept), outputs), schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], *outputs)
