@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, decoded, free_name, sha256
+from .common import by_bytes, decoded, free_name, sha256, trimmed
 
 LONG = 1 << 15
 #: No match of the pattern reaches over this place: what follows a non-space ends a match, what starts with
@@ -125,4 +125,4 @@ def tokenize(
             for part in by_bytes(batch, len(kept)):
                 yield encoded(part)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name
+from .common import free_name, trimmed
 
 UNDETERMINED = "und"
 #: Entries of a language's table of trigram counts; what goes to the driver is this many numbers a language.
@@ -165,7 +165,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("body"))
     # A task's counts are added up before they leave it: at most a table a language and task is shuffled.
-    found = rows.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(trimmed(count), "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = found.column("lang").to_pylist()
     languages = sorted(set(names))
     place = {name: i for i, name in enumerate(languages)}
@@ -200,4 +200,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
                 arrays.append(pa.array(maps, pa.map_(pa.string(), pa.float64())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *outputs])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NO_ID, free_name, pieces, sha256, text_bytes
+from .common import NO_ID, pieces, sha256, text_bytes, trimmed
 
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 32 << 20
@@ -242,7 +242,7 @@ def drop_frequent_lines(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)],
     ).repartition(pieces(blocks, PARTITION_BLOCKS), "_block")  # one exchange, used by both passes
     entries = dealt.mapInArrow(  # of all columns: with fewer, Spark would deal the texts out a second time
-        _block_keys(min_chars, shards), "shard bigint, block bigint, entries binary"
+        trimmed(_block_keys(min_chars, shards)), "shard bigint, block bigint, entries binary"
     )
     hits = entries.groupBy("shard").applyInPandas(_probe_shard(min_docs), "block bigint, hits binary")
     schema = ", ".join(

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .common import free_name, pieces
+from .common import free_name, pieces, trimmed
 from .components import components
 
 GROUP = 2048
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, bits: int = 64
             made = pa.array([fingerprint(v.as_py(), words, seed, bits) for v in batch.column(len(kept))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), made], names=[*kept, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def _bit_keys(bits: np.ndarray, table: int, chosen: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def links(members: DataFrame, radius: int = 4, bits: int = 64, keys: Callable[[i
     """Edges (a, b) between distinct fingerprints (column fp) with the same components as all links within `radius`."""
     n = members.count()
     tables = keys(n, bits, radius)
-    keyed = members.select("fp").mapInArrow(_keyed(tables), "key bigint, fp binary")
+    keyed = members.select("fp").mapInArrow(trimmed(_keyed(tables)), "key bigint, fp binary")
     large = keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > group)
     chunks = F.ceil(F.coalesce("_n", F.lit(1)) / group).cast("int")
     chunk = F.pmod(F.xxhash64("fp"), F.col("_chunks")).cast("int")
@@ -229,7 +229,7 @@ def links(members: DataFrame, radius: int = 4, bits: int = 64, keys: Callable[[i
         .repartition(pieces(n * len(tables), _ROWS_PER_PARTITION), "key", "_a", "_b")
         .sortWithinPartitions("key", "_a", "_b")
     )
-    return cells.mapInArrow(_link(radius, bits), "a binary, b binary")
+    return cells.mapInArrow(trimmed(_link(radius, bits)), "a binary, b binary")
 
 
 def classes(marked: DataFrame, radius: int = 4, bits: int = 64, keys: Callable[[int, int, int], list[np.ndarray]] = exact_keys, doc_id: str = "doc_id") -> DataFrame:
