@@ -11,8 +11,7 @@ Every stage but the last returns the columns of `documents`.
 
 from __future__ import annotations
 
-from functools import partial
-
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,11 +20,15 @@ from flowsieve.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Of 256 fingerprint bits; shingle sets with a Jaccard similarity of 0.8 differ in 39 on average.
+NEAR_JACCARD = 0.8
+#: Of 256 fingerprint bits; shingle sets with that similarity differ in 39 on average, with a deviation of 6.
 NEAR_BITS = 256
-NEAR_RADIUS = 42
-#: A pair at the radius is compared with this probability, closer pairs nearly always.
-NEAR_SURE = 0.97
+NEAR_RADIUS = 64
+#: A pair that differs in so many bits is compared with this probability, closer pairs more surely.
+NEAR_MET = 48
+NEAR_SURE = 0.99
+#: Unlike members that share a key; the fewer, the more tables.
+NEAR_TOGETHER = 256
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +42,12 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+def near_keys(members: int, bits: int, radius: int) -> list[np.ndarray]:
+    return simhash.sampled_keys(members, bits, NEAR_MET, NEAR_SURE, NEAR_TOGETHER)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keys = partial(simhash.sampled_keys, sure=NEAR_SURE)
-    return simhash.keep_one(docs, radius=NEAR_RADIUS, words=5, bits=NEAR_BITS, keys=keys)
+    return simhash.keep_one(docs, radius=NEAR_RADIUS, words=5, bits=NEAR_BITS, keys=near_keys, jaccard=NEAR_JACCARD)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
