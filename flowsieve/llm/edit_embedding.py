@@ -8,8 +8,8 @@ the class below, so texts on either side of a class border share a part.
 
 A fingerprint is: 8 digits for the number of code points, 2 for the class, `SAMPLES` for the class, `SAMPLES` for the
 class below. `likeness` compares two of them: the share of samples that agree among those where either text still goes
-on, corrected for chance agreement. Bit-sampled bands of the same digits retrieve candidates, `near_links` verifies
-them by likeness.
+on, corrected for chance agreement. Not built: retrieval of near pairs by bit-sampled bands of these digits and their
+verification. The module compares given pairs only and finds no near pair by itself.
 
 Nulls are empty texts; equal texts have equal fingerprints; the fingerprint of an empty text has no sample but
 padding. Walks run side by side for texts of similar length, whole texts are walked, in bounded memory.
