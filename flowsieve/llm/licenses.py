@@ -6,6 +6,12 @@ template lies whole in one of them. A window's MinHash signature is cut into ban
 band is retrieved. The number of bands follows from the least Jaccard similarity that a window can have with a template it
 contains to the wanted degree, so that one is missed with a probability of at most `MISS`.
 
+Notices of sibling licenses share most of their shingles. `Scanner.scan` gives all templates that are contained; `Scanner.licenses`, and so
+the scan of a table, tells siblings apart: a match needs at least half of the shingles that tell its template from
+each template of another license that holds it to the wanted degree, and half of those with a number (versions).
+Where matches of different licenses lie on the same shingles, the one with the highest containment stays, then the one of the longest
+template. The first sentence of the BSD licenses alone counts as BSD-3-Clause.
+
 A window without any shingle of any template cannot share a minimum with one and is passed over before signatures
 are made; nothing else is. Whole texts are scanned, row by row, without a shuffle. Null and empty texts have no match.
 Repeated rows are scanned each for itself.
@@ -43,12 +49,55 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
         " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as"
+        " published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as"
+        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     ),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC-BY-NC-SA-4.0": (
+        "Licensed under CC BY-NC-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "Licensed under CC BY-NC-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    ),
+    "CC0-1.0": ("This work is licensed under the Creative Commons CC0 1.0 Universal Public Domain Dedication",),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+        " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+        " disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by",
+    ),
     "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+        " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+        " disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder"
+        " nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior"
+        " written permission. This software is provided by",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
         " conditions are met",
     ),
@@ -87,6 +136,7 @@ class TemplateClass:
     stride: int
     seeds: np.ndarray
     bands: dict[tuple[int, bytes], list[int]]
+    telling: list[list[np.ndarray]]  # of each template, sets of shingles of which half must be there
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -114,6 +164,7 @@ class Scanner:
             raise ValueError(f"a template needs {SHINGLE} words at least")
         self.codes = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
         self.classes: list[TemplateClass] = []
+        every = [(name, np.unique(_shingles(t))) for _, name, t in known]
         while known:
             members = [x for x in known if x[0] <= max(known[0][0] * _SPREAD, known[0][0] + 2)]
             known = known[len(members) :]
@@ -124,7 +175,11 @@ class Scanner:
             fewest = min(map(len, shingles))
             jaccard = containment * fewest / (width - SHINGLE + 1 + (1 - containment) * fewest)
             count = math.ceil(math.log(miss) / math.log1p(-(jaccard**_ROWS)))
-            own = TemplateClass([n for _, n, _ in members], shingles, width, stride, np.random.default_rng(6).integers(0, 1 << 63, count * _ROWS, np.uint64), {})
+            own = TemplateClass([n for _, n, _ in members], shingles, width, stride, np.random.default_rng(6).integers(0, 1 << 63, count * _ROWS, np.uint64), {}, [])
+            for (_, name, t), own_set in zip(members, shingles, strict=True):
+                others = [own_set[~np.isin(own_set, x)] for n, x in every if n != name and np.isin(own_set, x).mean() >= containment]
+                numbered = [w for w in range(max(1, len(t) - SHINGLE + 1)) if any(x.isdigit() for x in t[w : w + SHINGLE])]
+                own.telling.append([x for x in (*others, np.unique(_shingles(t)[numbered])) if len(x)])
             for t, s in enumerate(shingles):
                 for i, row in enumerate(own.signature(s).reshape(-1, _ROWS)):
                     own.bands.setdefault((i, row.tobytes()), []).append(t)
@@ -140,12 +195,24 @@ class Scanner:
 
     def scan(self, body: bytes | None) -> list[tuple[str, int, int, float]]:
         """Matches: license, first token and end of the window, containment. Of a license's overlapping matches, the best."""
+        return sorted((m for m, *_ in _best(self._found(body))), key=lambda m: (m[1], m[0]))
+
+    def licenses(self, body: bytes | None) -> list[tuple[str, int, int, float]]:
+        """Matches as of `scan` that have what tells them from other licenses; of those on the same shingles, the best."""
+        kept: list[tuple[tuple[str, int, int, float], np.ndarray]] = []
+        for match, places, _ in sorted(_best([x for x in self._found(body) if x[2]]), key=lambda x: (-x[0][3], -len(x[1]), x[0])):
+            if not any(m[0] != match[0] and 2 * np.isin(places, others).sum() > len(places) for m, others in kept):
+                kept.append((match, places))
+        return sorted((m for m, _ in kept), key=lambda m: (m[1], m[0]))
+
+    def _found(self, body: bytes | None) -> list[tuple[tuple[str, int, int, float], np.ndarray, bool]]:
+        """Every match, the places of its shingles, and whether it has enough of the telling ones."""
         words = tokens(body) if body else []
         if len(words) < SHINGLE:
             return []
         known = self.vocabulary.get
         hits = np.flatnonzero(np.isin(self._codes(np.array([known(w, 0) for w in words])), self.codes))
-        found: list[tuple[str, int, int, float]] = []
+        found: list[tuple[tuple[str, int, int, float], np.ndarray, bool]] = []
         for kind in self.classes:
             # Windows (start, start + width) that hold at least one of the shingles.
             starts: set[int] = set()
@@ -153,16 +220,25 @@ class Scanner:
                 first = max(0, -(-(hit + SHINGLE - kind.width) // kind.stride))
                 starts.update(range(first * kind.stride, hit + 1, kind.stride))
             for start in sorted(starts):
-                own = np.unique(_shingles(words[start : start + kind.width]))
+                placed = _shingles(words[start : start + kind.width])
+                own = np.unique(placed)
                 for t in kind.retrieve(own):
                     share = float(np.isin(kind.shingles[t], own).mean())
                     if share >= self.containment:
-                        found.append((kind.names[t], start, min(len(words), start + kind.width), share))
-        best: list[tuple[str, int, int, float]] = []
-        for match in sorted(found, key=lambda m: (m[0], -m[3], m[1], m[2])):
-            if not any(m[0] == match[0] and m[1] < match[2] and match[1] < m[2] for m in best):
-                best.append(match)
-        return sorted(best, key=lambda m: (m[1], m[0]))
+                        told = all(2 * np.isin(x, own).sum() >= len(x) for x in kind.telling[t])
+                        places = start + np.flatnonzero(np.isin(placed, kind.shingles[t]))
+                        found.append(((kind.names[t], start, min(len(words), start + kind.width), share), places, told))
+        return found
+
+
+def _best(found: list[tuple[tuple[str, int, int, float], np.ndarray, bool]]) -> list[tuple[tuple[str, int, int, float], np.ndarray, bool]]:
+    """Of a license's overlapping matches, the best."""
+    best: list[tuple[tuple[str, int, int, float], np.ndarray, bool]] = []
+    for x in sorted(found, key=lambda x: (x[0][0], -x[0][3], x[0][1], x[0][2])):
+        match = x[0]
+        if not any(m[0] == match[0] and m[1] < match[2] and match[1] < m[2] for m, *_ in best):
+            best.append(x)
+    return best
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, containment: float = CONTAINMENT, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -177,7 +253,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, con
         scanner = Scanner(templates, containment)
         names = [f.name for f in arrow.value_type]
         for batch in batches:
-            made = pa.array([[dict(zip(names, m, strict=True)) for m in scanner.scan(v.as_py())] for v in batch.column(len(kept))], arrow)
+            made = pa.array([[dict(zip(names, m, strict=True)) for m in scanner.licenses(v.as_py())] for v in batch.column(len(kept))], arrow)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), made], names=[*kept, "licenses"])
 
     return source.mapInArrow(run, schema)

@@ -58,3 +58,20 @@ def test_no_license_no_match(documents):
     rows = AWKWARD + [(50, "licensed under the moon, this work is a song"), (51, "MIT license")]
     assert all(r["licenses"] == [] for r in l.scan(documents(rows)).collect())
     assert l.scan(documents([(1, "a")]).where("false")).collect() == []
+
+
+def test_sibling_licenses_are_told_apart():
+    from flowsieve.llm.licenses import TEMPLATES, Scanner
+
+    scanner = Scanner()
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            for body in (text, f"# Some words before. {text}. And some words behind it, of the file."):
+                assert {m[0] for m in scanner.licenses(body.encode())} == {name}, (name, text)
+    unlisted = "This work is licensed under the GNU General Public License, version 1"
+    assert not scanner.licenses(unlisted.encode())
+    assert not scanner.licenses(b"This work is licensed under a Creative Commons Attribution 3.0 International License")
+    both = "Licensed under CC BY-SA 4.0. Released under the MIT License. Licensed under the Apache License, Version 2.0"
+    assert {m[0] for m in scanner.licenses(both.encode())} == {"CC-BY-SA-4.0", "MIT", "Apache-2.0"}
+    three = TEMPLATES["BSD-2-Clause"][0].replace("This software is", "Neither the name of the copyright holder nor the names of its contributors may be used. This software is")
+    assert {m[0] for m in scanner.licenses(three.encode())} == {"BSD-3-Clause"}
