@@ -98,6 +98,42 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, cut=0.7, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; the tampered ones are versions, whose root differs."""
+    from .merkle import versions
+
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = versions(
+        docs,
+        fields=("doc_id", "source", "lang", "n_chars", "text"),
+        group="lang",
+        order="doc_id",
+        changed=tampered,
+        changes={"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1},
+    )
+    digests = {"leaf": "leaf", "subroot": "subroot", "root": "root", "folded_root": "version_root"}
+    proof = F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256).alias("proof_sha256")
+    shown = {name: F.lower(F.hex(of)).alias(name) for name, of in digests.items()}
+    verified = (F.col("version_root") == F.col("root")).alias("verified")
+    return made.select("doc_id", shown["leaf"], shown["subroot"], shown["root"], proof, shown["folded_root"], verified)
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tree_bpe import tokenize
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))
+
+
+def op13_blas_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .blas_rank import rank
+
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w
@@ -136,6 +172,91 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: crc32 of the decimal id, bit by bit; then level by level: the nodes, each leaf's siblings, and the fold of the tampered leaves.
+OP11_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT *, row_number() OVER () AS r,
+         doc_id IS NOT NULL AND xor(list_reduce(
+           list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INTEGER, 1))::BIGINT),
+           lambda c, b: list_reduce(range(8)::BIGINT[], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)),
+           4294967295::BIGINT), 4294967295::BIGINT) % 7 = 0 AS tampered
+  FROM documents
+), texts AS (
+  SELECT r, doc_id, lang, tampered,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS chars,
+         coalesce(strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1), '-') AS more_chars,
+         coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM rows
+), leaves AS (
+  SELECT r, doc_id, tampered, sha256(head || chars || body) AS leaf, sha256(head || more_chars || body) AS changed,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(head || chars || body)) - 1 AS pos
+  FROM texts
+), nodes AS (
+  SELECT g, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY g, level, pos // 2
+), upper AS (
+  SELECT 0 AS level, g AS pos, h, count(*) OVER () AS n FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM upper WHERE n > 1 GROUP BY level, pos // 2
+), heights AS (
+  SELECT g, max(level) AS height FROM nodes GROUP BY g
+), steps AS (
+  SELECT l.r, s.level, s.h, s.pos < (l.pos >> s.level) AS before
+  FROM leaves l JOIN nodes s ON s.g = l.g AND s.pos = xor(l.pos >> s.level, 1) AND s.n > 1
+  UNION ALL
+  SELECT l.r, t.height + s.level, s.h, s.pos < (l.g >> s.level)
+  FROM leaves l JOIN heights t ON t.g = l.g JOIN upper s ON s.pos = xor(l.g >> s.level, 1) AND s.n > 1
+), fold AS (
+  SELECT r, 0::BIGINT AS level, changed AS h FROM leaves WHERE tampered
+  UNION ALL
+  SELECT f.r, f.level + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.before THEN s.h || f.h ELSE f.h || s.h END)
+  FROM fold f JOIN leaves l ON l.r = f.r JOIN heights t ON t.g = l.g LEFT JOIN steps s ON s.r = f.r AND s.level = f.level
+  WHERE f.level < t.height + (SELECT max(level) FROM upper)
+), proofs AS (
+  SELECT r, sha256(string_agg(h, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY r
+)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, root.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       coalesce(f.h, root.h) AS folded_root, coalesce(f.h, root.h) = root.h AS verified
+FROM leaves l JOIN nodes sub ON sub.g = l.g AND sub.n = 1 JOIN upper root ON root.n = 1
+JOIN heights t ON t.g = l.g LEFT JOIN proofs p ON p.r = l.r
+LEFT JOIN fold f ON f.r = l.r AND f.level = t.height + (SELECT max(level) FROM upper)
+"""
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark
+), held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term
+), asked AS (
+  SELECT i, term, count(*) AS q FROM (SELECT i, unnest(terms) AS term FROM items) GROUP BY i, term
+), corpus AS (
+  SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM docs WHERE len(terms) > 0
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), corpus
+), norms AS (
+  SELECT r, doc_id, 25 + (75 * len(terms) * n) // l AS m FROM docs, corpus WHERE len(terms) > 0
+), scores AS (
+  SELECT i, r, any_value(doc_id) AS doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN norms USING (r) GROUP BY i, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN items USING (i) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -148,8 +269,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_maxscore_topk": op10_maxscore_topk,
+        "op11_merkle_versions": op11_merkle_versions,
+        "op12_tree_bpe": op12_tree_bpe,
+        "op13_blas_rank": op13_blas_rank,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op10_maxscore_topk": OP10_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op10_maxscore_topk": OP10_SQL, "op11_merkle_versions": OP11_SQL, "op13_blas_rank": OP13_SQL}

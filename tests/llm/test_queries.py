@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF)
     cols = ", ".join(sorted(got.columns))
@@ -30,12 +30,15 @@ COLUMNS = {
     "op8": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9": ["doc_id", "held_out", "score", "predicted"],
     "op10": ["query_id", "rank", "vec_id", "score"],
+    "op11": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op12": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op13": ["item_id", "rank", "doc_id", "score"],
 }
 
 
 def test_contracts_name_all_operators():
     names = queries.queries()
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("op", COLUMNS)
@@ -43,7 +46,7 @@ def test_contract_columns(spark, op):
     (name,) = [n for n in queries.queries() if n.split("_")[0] == op]
     df = queries.queries()[name](spark, SF)
     assert df.columns == COLUMNS[op]
-    if op != "op10":
+    if op not in ("op10", "op13"):
         docs = spark.read.parquet(f"{SF}/documents.parquet")
         assert sorted(r[0] for r in df.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
 
