@@ -20,6 +20,7 @@ Short texts are encoded where they are read; only texts that are halved are shuf
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 from collections.abc import Iterator
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import written
 from .common import by_bytes, decoded, free_name, pieces, trimmed
 
-LONG = 1 << 15
-PART = 1 << 13
+LONG = 1 << 16
+PART = 1 << 14
 WINDOW = 64
 _BYTES_PER_TASK = 4 << 20
-_DECODED_AT_ONCE = 1 << 16
+_DECODED_AT_ONCE = 1 << 20
 _WORD, _WHOLE = 1, 2  # a token that starts a word; one that starts with a whole character
 _OUTPUTS = {
     "n_tokens": ("bigint", pa.int64()),
@@ -66,6 +67,17 @@ def _margin(file: str) -> int:
     return 8 + max((len(t.content) for t in _tokenizer(file).get_added_tokens_decoder().values()), default=0)
 
 
+@lru_cache(maxsize=4)
+def _token_bytes(file: str) -> list[bytes]:
+    """The bytes of every id: a token's characters stand for bytes, printable ones for themselves, the others in order from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    tokenizer = _tokenizer(file)
+    texts = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+    return [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in texts]
+
+
 class Part(NamedTuple):
     """An encoded text: ids, the character at which each token starts, and what it starts."""
 
@@ -152,15 +164,13 @@ def halves(text: str, part: int = PART) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b] or [""]
 
 
-def decode_part(whole: Part, file: str) -> Iterator[str]:
-    """The library's decoding, cut where a token starts with a whole character."""
-    start, n = 0, len(whole.ids)
-    while start < n:
-        end = min(n, start + _DECODED_AT_ONCE)
-        while end < n and not whole.starts[end] & _WHOLE:
-            end += 1
-        yield _tokenizer(file).decode(whole.ids[start:end].tolist(), skip_special_tokens=False)
-        start = end
+def decode_ids(ids: list[int], file: str) -> Iterator[str]:
+    """The library's decoding without skipping special tokens: the tokens' bytes as UTF-8, invalid ones replaced; in pieces."""
+    of = _token_bytes(file).__getitem__
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    for start in range(0, len(ids), _DECODED_AT_ONCE):
+        yield decoder.decode(b"".join(map(of, ids[start : start + _DECODED_AT_ONCE])))
+    yield decoder.decode(b"", True)
 
 
 def _output(name: str, ids: np.ndarray, text) -> object:
@@ -204,8 +214,8 @@ def tokenize(
 
     def short(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         ids = [e.ids for e in _tokenizer(tokenizer_file).encode_batch_fast(texts, add_special_tokens=False)]
-        back = _tokenizer(tokenizer_file).decode_batch(ids, skip_special_tokens=False) if need_text else [""] * len(ids)
-        made = [pa.array([_output(o, np.array(i, np.int32), [t]) for i, t in zip(ids, back, strict=True)], _OUTPUTS[o][1]) for o in outputs]
+        rows = ((np.array(i, np.int32), list(decode_ids(i, tokenizer_file)) if need_text else None) for i in ids)
+        made = [pa.array(x, _OUTPUTS[o][1]) for o, x in zip(outputs, zip(*([_output(o, *r) for o in outputs] for r in rows), strict=True), strict=True)]
         blank = [pa.nulls(len(ids), k) for k in (pa.int64(), pa.int32(), pa.string())]
         return pa.RecordBatch.from_arrays([*batch.columns[:n], *made, *blank], names=names)
 
@@ -252,7 +262,7 @@ def tokenize(
         parts = parts.sort_by("_place")
         columns = [parts.column(c).to_pylist() if c == "_half" else [x.values.to_numpy(zero_copy_only=False) for x in parts.column(c)] for c in ("_half", "_ids", "_at", "_starts")]
         made = concatenated_all([Part(t, i, a, s.astype(np.uint8)) for t, i, a, s in zip(*columns, strict=True)], tokenizer_file, window)
-        values = [pa.array([_output(o, made.ids, decode_part(made, tokenizer_file) if need_text else None)], _OUTPUTS[o][1]) for o in outputs]
+        values = [pa.array([_output(o, made.ids, decode_ids(made.ids.tolist(), tokenizer_file) if need_text else None)], _OUTPUTS[o][1]) for o in outputs]
         return pa.Table.from_arrays([parts.column("_row").slice(0, 1), *values], names=["_row", *outputs])
 
     parts = first.where(F.col(row).isNotNull()).select(F.col(row).alias("_row"), F.col(place).alias("_place"), F.col(half).alias("_half"))

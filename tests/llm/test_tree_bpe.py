@@ -35,7 +35,7 @@ def test_any_cut_gives_the_librarys_tokens(seed):
         alone = tree_bpe.encode_part(text, FILE)
         assert whole.text == text and np.array_equal(whole.ids, alone.ids) and np.array_equal(whole.at, alone.at) and np.array_equal(whole.starts, alone.starts)
         decoded = tree_bpe._tokenizer(FILE).decode(alone.ids.tolist(), skip_special_tokens=False)
-        assert "".join(tree_bpe.decode_part(whole, FILE)) == decoded
+        assert "".join(tree_bpe.decode_ids(whole.ids.tolist(), FILE)) == decoded
 
 
 def test_one_long_word_needs_small_windows(monkeypatch):
@@ -49,6 +49,15 @@ def test_one_long_word_needs_small_windows(monkeypatch):
     assert len(seen) >= 7 and max(seen) < 4_000
 
 
+def test_decoding_any_ids_is_the_librarys(monkeypatch):
+    rng = random.Random(3)
+    ids = [rng.randrange(50_257) for _ in range(20_000)] + list(range(300))
+    expected = tree_bpe._tokenizer(FILE).decode(ids, skip_special_tokens=False)
+    assert "".join(tree_bpe.decode_ids(ids, FILE)) == expected
+    monkeypatch.setattr(tree_bpe, "_DECODED_AT_ONCE", 7)
+    assert "".join(tree_bpe.decode_ids(ids, FILE)) == expected
+
+
 def expected(rows):
     tokenizer = tree_bpe._tokenizer(FILE)
     out = []
