@@ -44,6 +44,7 @@ class FifoWindow:
 
     def __init__(self, window: int):
         self.window, self.order, self.held = window, deque(), set()
+        self.idle_repeats = window > 0
 
     def steps(self, fps: list[bytes]) -> list[int]:
         order, held, window, out = self.order, self.held, self.window, []
@@ -59,6 +60,9 @@ class FifoWindow:
                 held.add(fp)
         return out
 
+    def guess(self) -> "FullFifoWindow":
+        return FullFifoWindow(self.window)
+
     def save(self) -> bytes:
         return _pack(self.order)
 
@@ -67,6 +71,36 @@ class FifoWindow:
         self.held = set(self.order)
 
 
+class FullFifoWindow(FifoWindow):
+    """A window whose content before its first row is not known, taken to hold every older fingerprint.
+
+    Until `window` rows were accepted, only a fingerprint's first row of all is. Where repeats come from among the last
+    `window` accepted, that is what a window with the right content decides; an empty one accepts them anew
+    and may never forget it. `settled` tells whether later rows bear the assumption out.
+    """
+
+    def __init__(self, window: int):
+        super().__init__(window)
+        self.unknown, self.settled = window, True
+
+    def first_steps(self, fps: list[bytes], firsts: list[bool]) -> list[int]:
+        order, held, window, out = self.order, self.held, self.window, []
+        for fp, first in zip(fps, firsts):
+            if fp in held or (self.unknown > 0 and not first):
+                out.append(DUPLICATE)
+                continue
+            out.append(NEW)
+            if self.unknown > 0:
+                self.unknown -= 1
+            elif not first:
+                self.settled = False
+            if len(order) >= window:
+                held.discard(order.popleft())
+            order.append(fp)
+            held.add(fp)
+        return out
+
+
 class BitFilter:
     """Fixed-size filter over 32-byte digests; positions as in `filter_positions`."""
 
@@ -109,6 +143,8 @@ class ScreenedWindow:
     ):
         self.window, self.generation, self.size = window, generation, size
         self.exact, self.on_arrival = exact, on_arrival
+        # Where room is made on arrival, a repeat of the row before changes the window too.
+        self.idle_repeats = not on_arrival and (window > 0 or not exact)
         self.order, self.held, self.inserted = deque(), set(), 0
         self.screen = self._empty()
 
@@ -212,38 +248,82 @@ def _runs(columns: list[pa.Array]) -> list[int]:
     return [0, *(np.flatnonzero(change) + 1).tolist(), n]
 
 
+def _steps(window, fps: pa.Array, repeats: np.ndarray, firsts: np.ndarray | None = None) -> np.ndarray:
+    """Verdicts; rows that repeat the row before are settled without the window."""
+    verdicts = np.full(len(fps), DUPLICATE, "int32")
+    asked = np.flatnonzero(~repeats) if window.idle_repeats else np.arange(len(fps))
+    wanted = fps.take(pa.array(asked)).to_pylist()
+    verdicts[asked] = window.steps(wanted) if firsts is None else window.first_steps(wanted, firsts[asked].tolist())
+    return verdicts
+
+
+def _repeats(fps: pa.Array) -> np.ndarray:
+    out = np.zeros(len(fps), bool)
+    if len(fps) > 1:
+        out[1:] = pc.equal(fps[1:], fps[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+# Verdicts of a head's first scan hold those from a full window above the lower bits.
+GUESS_SHIFT = 2
+
+
 def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth: int) -> Iterator[pa.RecordBatch]:
     """First scan of one sorted piece, from an empty window.
 
-    Input columns: `depth` scope columns, seq, fp.
+    Input columns: `depth` scope columns, seq, fp, mark; a marked row announces
+    that the next one is the first of its scope and fingerprint. Where marks
+    are given, rows of the first scope are also scanned from a full window, and
+    the piece goes on with the better guess: the full one, where all that its
+    window accepted later were first rows, the empty one otherwise.
     """
     piece = TaskContext.get().partitionId()
-    window, first, current = None, None, None
+    window, full, first, current, marked, marks = None, None, None, None, False, False
     for batch in batches:
         if not batch.num_rows:
             continue
+        mark = batch.column(depth + 2).to_numpy(zero_copy_only=False)
+        firsts = np.concatenate(([marked], mark[:-1]))
+        marked, marks = bool(mark[-1]), marks or bool(mark.any())
+        if mark.any():
+            rows = np.flatnonzero(~mark)
+            batch, firsts = batch.take(pa.array(rows)), firsts[rows]
+            if not batch.num_rows:
+                continue
         scopes, seq, fp = batch.columns[:depth], batch.column(depth), batch.column(depth + 1)
-        fps, verdicts, heads = fp.to_pylist(), [], 0
+        verdicts, heads = [], 0
         edges = _runs(scopes)
         for start, end in zip(edges, edges[1:]):
             scope = tuple(c[start].as_py() for c in scopes)
             if scope != current:
+                if current == first and full is not None:
+                    yield _summary(piece, guess=full.settled)
                 first = scope if current is None else first
                 current, window = scope, new_window(scope)
-            verdicts += window.steps(fps[start:end])
+                full = window.guess() if first == scope and marks and hasattr(window, "guess") and window.idle_repeats else None
+            own = fp[start:end]
+            repeats = _repeats(own)
+            decided = _steps(window, own, repeats)
             if scope == first:
                 heads = end
-        verdicts = np.array(verdicts, "int32")
+                other = decided if full is None else _steps(full, own, repeats, firsts[start:end])
+                decided = decided | other << GUESS_SHIFT
+            verdicts.append(decided)
+        verdicts = np.concatenate(verdicts)
         if heads:
             yield _batch(HEAD, piece, seq[:heads], fp[:heads], verdicts[:heads])
         kept = np.flatnonzero(verdicts[heads:] != DUPLICATE) + heads
         yield _batch(SETTLED, piece, seq.take(pa.array(kept)), None, verdicts[kept])
     if current is not None:
-        blob = window.save()
-        yield _window_parts(piece, blob)
-        empty = _digest(new_window(first).save())
         whole = first == current
-        yield _summary(piece, first=list(first), last=list(current), whole=whole, start=empty, end=_digest(blob))
+        empty = _digest(new_window(first).save())
+        guess = whole and full is not None and full.settled
+        blob = (full if guess else window).save()
+        yield _window_parts(piece, blob)
+        facts = {"first": list(first), "last": list(current), "whole": whole, "start": empty, "end": _digest(blob)}
+        if whole and full is not None:
+            facts["guess"] = guess
+        yield _summary(piece, **facts)
 
 
 def rescan_heads(
@@ -281,8 +361,8 @@ def rescan_heads(
                 blob = b"".join(parts)
                 window, begin, parts = new_window(facts[piece][0]), _digest(blob), []
                 window.load(blob)
-            verdicts = np.array(window.steps(fp[start:end].to_pylist()), "int32")
-            yield _batch(HEAD, piece, seq[start:end], fp[start:end], verdicts)
+            own = fp[start:end]
+            yield _batch(HEAD, piece, seq[start:end], own, _steps(window, own, _repeats(own)))
     yield from finish()
 
 

@@ -38,6 +38,7 @@ from .ordering import in_order
 from .window_state import (
     DUPLICATE,
     FALSE_HIT,
+    GUESS_SHIFT,
     HEAD,
     NEW,
     SCAN_SCHEMA,
@@ -96,8 +97,11 @@ class _Chain:
 
 
 def _read_summaries(table: DataFrame) -> dict[int, dict]:
-    rows = table.where(F.col("kind") == SUMMARY).select("piece", "fp").collect()
-    return {r["piece"]: json.loads(bytes(r["fp"])) for r in rows}
+    """What each piece reports, in one or more records."""
+    found: dict[int, dict] = {}
+    for r in table.where(F.col("kind") == SUMMARY).select("piece", "fp").collect():
+        found.setdefault(r["piece"], {}).update(json.loads(bytes(r["fp"])))
+    return found
 
 
 def scan_in_order(
@@ -106,11 +110,15 @@ def scan_in_order(
     scope: Sequence[str],
     pieces: int | None = None,
     speculative_rounds: int = 0,
+    firsts: DataFrame | None = None,
 ) -> DataFrame:
     """(seq, verdict) of the accepted rows of `rows` (scope..., seq, fp).
 
     In a speculative round every piece that started wrong runs again at once,
     from the best window known; after those, only pieces whose start is final.
+    firsts: the first row of each scope and fingerprint, which every window
+    accepts. They travel as marks beside the rows and let a piece's first scan
+    guess the window that it starts from.
     """
     spark = rows.sparkSession
     base = new_table_path(spark, "scan")
@@ -118,10 +126,14 @@ def scan_in_order(
     def table(round_no: int) -> DataFrame:
         return spark.read.schema(SCAN_SCHEMA).parquet(f"{base}/round={round_no}")
 
-    scanned = (
-        in_order(rows.select(*scope, "seq", "fp"), [*scope, "seq"], pieces)
-        .mapInArrow(partial(scan_pieces, new_window=new_window, depth=len(scope)), SCAN_SCHEMA)
-    )
+    marked = rows.select(*scope, "seq", "fp", F.lit(False).alias("mark"))
+    if firsts is None:
+        sorted_rows = in_order(marked, [*scope, "seq"], pieces)
+    else:
+        marked = marked.unionByName(firsts.select(*scope, "seq", "fp", F.lit(True).alias("mark")))
+        ranged = marked.repartitionByRange(pieces, *scope, "seq") if pieces else marked.repartitionByRange(*scope, "seq")
+        sorted_rows = ranged.sortWithinPartitions(*scope, "seq", "fp", F.desc("mark"))
+    scanned = sorted_rows.mapInArrow(partial(scan_pieces, new_window=new_window, depth=len(scope)), SCAN_SCHEMA)
     scanned.write.parquet(f"{base}/round=0")
     chain = _Chain(_read_summaries(table(0)))
 
@@ -171,6 +183,9 @@ def scan_in_order(
             chain.update(round_no, piece, facts)
 
     settled = table(0).where(F.col("kind") == SETTLED).select("seq", "verdict")
+    # A head that needed no other scan began with its scope, where both guesses agree.
+    lower = (1 << GUESS_SHIFT) - 1
+    verdict = F.col("verdict").bitwiseAND(lower).alias("verdict")
     heads = table(0).where(F.col("kind") == HEAD)
     if round_no:
         latest = spark.createDataFrame(sorted(chain.rows_round.items()), "piece int, round int")
@@ -180,7 +195,7 @@ def scan_in_order(
             .where(F.col("kind") == HEAD)
             .join(F.broadcast(latest), ["piece", "round"])  # a row per piece
         )
-    return settled.unionByName(heads.where(F.col("verdict") != DUPLICATE).select("seq", "verdict"))
+    return settled.unionByName(heads.select("seq", verdict).where(F.col("verdict") != DUPLICATE))
 
 
 # --------------------------------------------------------------- operators
@@ -213,6 +228,7 @@ def _verdicts(
     seq: str,
     pieces: int | None,
     speculative_rounds: int = 0,
+    guess: bool = False,
 ) -> DataFrame:
     """(seq, verdict) of accepted rows; `native` serves scopes that never evict,
     which are those of up to `settled_up_to` fingerprints."""
@@ -235,7 +251,11 @@ def _verdicts(
         small = native(firsts.join(large, list(scope), "left_anti"))
     per_piece = max(_PIECE_WINDOWS * window, _PIECE_ROWS)
     pieces = pieces or max(1, rows_to_scan // per_piece)
-    scanned = scan_in_order(rows, new_window, scope, pieces, speculative_rounds)
+    if not guess:
+        marks = None
+    else:
+        marks = firsts if small is None else firsts.join(large, list(scope), "left_semi")
+    scanned = scan_in_order(rows, new_window, scope, pieces, speculative_rounds, marks)
     return scanned if small is None else small.unionByName(scanned)
 
 
@@ -256,7 +276,7 @@ def dedupe_scoped_fifo(
     pieces: int | None = None,
 ) -> DataFrame:
     """A repeat of one of the last `window` accepted fingerprints of its scope."""
-    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, window, _all_new, scope, seq, pieces, _FIFO_ROUNDS)
+    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, window, _all_new, scope, seq, pieces, _FIFO_ROUNDS, guess=True)
     return _flag(df, found, seq, outcome=False)
 
 
