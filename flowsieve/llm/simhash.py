@@ -11,10 +11,6 @@
    inequality two members within the radius differ by no more than it in any coordinate: pairs are made along the
    first coordinate alone, those that differ by more in another are discarded, the survivors' fingerprints are compared.
 4. A task keeps a spanning forest of its links, not the links; components are found by stars.
-5. With `jaccard` the links are candidates only, and a pair is an edge iff its sets of shingles (as 64-bit hashes) have that
-   similarity. First each member is compared with its nearest candidate and with one member of its candidates' component
-   in the task, which are linearly many pairs; then all candidates that are not in one component yet. Fingerprints
-   are then of distinct shingles, so that their distance follows the similarity of the sets.
 
 Groups beyond `GROUP` members are cut into chunks and every two chunks meet in a task of their own: no cap, no single
 large task. Documents without words have the fingerprint zero, linked like any other. A null text has no words. Rows
@@ -33,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .common import by_bytes, free_name, pieces, trimmed
+from .common import free_name, pieces, trimmed
 from .components import components
 
 GROUP = 2048
@@ -53,18 +49,11 @@ def _shingles(body: bytes | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(first, last[words - 1 :])] or [joined]  # noqa: B905  fewer ends than starts
 
 
-def shingle_set(body: bytes | None, words: int, seed: int = 42) -> np.ndarray:
-    """Hashes of the distinct shingles; empty without words."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, seed) for s in _shingles(body, words)], np.uint64).view(np.int64))
-
-
-def fingerprint(body: bytes | None, words: int = 4, seed: int = 42, bits: int = 64, distinct: bool = False) -> bytes:
+def fingerprint(body: bytes | None, words: int = 4, seed: int = 42, bits: int = 64) -> bytes:
     """Big-endian fingerprint of `bits` (a multiple of 64); bits beyond 64 come from the seeds after `seed`."""
     shingles = _shingles(body, words)
     if not shingles:
         return bytes(bits // 8)
-    if distinct:
-        shingles = list(dict.fromkeys(shingles))
     out = []
     for part in range(bits // 64):
         digest, own = xxhash.xxh64_digest, seed + part
@@ -76,7 +65,7 @@ def fingerprint(body: bytes | None, words: int = 4, seed: int = 42, bits: int =
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, bits: int = 64, text: str = "text", keep: tuple[str, ...] | None = None, out: str = "fp", distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, bits: int = 64, text: str = "text", keep: tuple[str, ...] | None = None, out: str = "fp") -> DataFrame:
     """Adds the fingerprint as binary to the columns in `keep`, by default all."""
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     source = docs.select(*kept, F.col(text).cast("binary").alias(free_name(docs, "_body")))
@@ -84,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, bits: int = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([fingerprint(v.as_py(), words, seed, bits, distinct) for v in batch.column(len(kept))], pa.binary())
+            made = pa.array([fingerprint(v.as_py(), words, seed, bits) for v in batch.column(len(kept))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), made], names=[*kept, out])
 
     return source.mapInArrow(trimmed(run), schema)
@@ -145,8 +134,8 @@ def pivots(bits: int, count: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, (count, bits // 64), np.uint64, endpoint=False)
 
 
-def _links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int, references: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group, of different sides where there are two, within `radius`, and how far they are apart; rows are sorted by group."""
+def _links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int, references: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group, of different sides where there are two, within `radius`; rows are sorted by group."""
     words = np.ascontiguousarray(fps.T)
     table = np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int32) for p in references], 1)
     two_sided = side >= 0
@@ -170,7 +159,7 @@ def _links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int, re
             left, right = left[near], right[near]
         apart = sum(np.bitwise_count(c[left] ^ c[right]).astype(np.int16) for c in words)
         near = apart <= radius
-        yield left[near], right[near], apart[near]
+        yield left[near], right[near]
         start = end
 
 
@@ -187,42 +176,18 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def _forest(n: int, pairs: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows and the smallest row of their component."""
-    root = local_roots(n, *(np.concatenate(x) for x in list(zip(*pairs, strict=True))[:2]))
-    moved = np.flatnonzero(root != np.arange(n))
-    yield moved, root[moved]
-
-
-def _proposed(n: int, pairs: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Besides these, rows and the nearest row."""
-    yield from _forest(n, pairs)
-    best = np.full(n, np.iinfo(np.int64).max)
-    for left, right, apart in pairs:
-        np.minimum.at(best, left, apart.astype(np.int64) * n + right)
-        np.minimum.at(best, right, apart.astype(np.int64) * n + left)
-    own = np.flatnonzero(best < np.iinfo(np.int64).max)
-    yield own, best[own] % n
-
-
-def _link(radius: int, bits: int, chosen: Callable | None = _forest):
-    """chosen: which pairs, from all of some groups; with None, all pairs whose labels, the eight bytes behind the fingerprints, differ."""
-    # The distances of random fingerprints to a reference differ by some sqrt(bits / 2); a far larger radius discards none.
-    references = pivots(bits, PIVOTS if radius < 2 * math.sqrt(bits) else 1)
+def _link(radius: int, bits: int):
+    references = pivots(bits)
 
     def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         cell, side, fps, raw = (np.concatenate(x) for x in zip(*rows, strict=True))
         change = (cell[1:] != cell[:-1]).any(1)
         group = np.concatenate(([0], np.cumsum(change)))
-        found = (x for x in _links(group, side, fps[:, : bits // 64], radius, references) if len(x[0]))
-        if chosen:
-            every = list(found)
-            made = chosen(len(fps), every) if every else ()
-        else:
-            made = ((x[0][open_], x[1][open_]) for x in found for open_ in (fps[x[0], -1] != fps[x[1], -1],))
-        for left, right in made:
-            if len(left):
-                yield pa.RecordBatch.from_arrays([pa.array(raw[left], pa.binary()), pa.array(raw[right], pa.binary())], names=["a", "b"])
+        found = [x for x in _links(group, side, fps, radius, references) if len(x[0])]
+        if found:
+            root = local_roots(len(fps), *(np.concatenate(x) for x in zip(*found, strict=True)))
+            moved = np.flatnonzero(root != np.arange(len(fps)))
+            yield pa.RecordBatch.from_arrays([pa.array(raw[moved], pa.binary()), pa.array(raw[root[moved]], pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -254,10 +219,7 @@ def _link(radius: int, bits: int, chosen: Callable | None = _forest):
 def links(members: DataFrame, radius: int = 4, bits: int = 64, keys: Callable[[int, int, int], list[np.ndarray]] = exact_keys, group: int = GROUP) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) with the same components as all links within `radius`."""
     n = members.count()
-    return _within(members, n, keys(n, bits, radius), radius, bits, group, _forest)
-
-
-def _within(members: DataFrame, n: int, tables: list[np.ndarray], radius: int, bits: int, group: int, chosen: Callable | None) -> DataFrame:
+    tables = keys(n, bits, radius)
     keyed = members.select("fp").mapInArrow(trimmed(_keyed(tables)), "key bigint, fp binary")
     large = keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > group)
     chunks = F.ceil(F.coalesce("_n", F.lit(1)) / group).cast("int")
@@ -278,59 +240,13 @@ def _within(members: DataFrame, n: int, tables: list[np.ndarray], radius: int, b
         .repartition(pieces(n * len(tables), _ROWS_PER_PARTITION), "key", "_a", "_b")
         .sortWithinPartitions("key", "_a", "_b")
     )
-    return cells.mapInArrow(trimmed(_link(radius, bits, chosen)), "a binary, b binary")
-
-
-def shingle_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """fp, and the hashes of the distinct shingles of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, 1):
-                made = pa.array([shingle_set(v.as_py(), words) for v in part.column(1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), made], names=["fp", "_set"])
-
-    return docs.select("fp", F.col(text).cast("binary").alias("_body")).mapInArrow(trimmed(run), "fp binary, _set array<bigint>")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """The pairs whose sets have the similarity."""
-    one, other = (sets.select(F.col("fp").alias(c), F.col("_set").alias(f"_{c}")) for c in "ab")
-    common = F.size(F.array_intersect("_a", "_b"))
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(one, "a").join(other, "b")
-    return both.where(common / (F.size("_a") + F.size("_b") - common) >= jaccard).select("a", "b")
-
+    return cells.mapInArrow(trimmed(_link(radius, bits)), "a binary, b binary")
 
-def similar_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], jaccard: float, radius: int, bits: int, keys: Callable[[int, int, int], list[np.ndarray]], words: int, text: str = "text", group: int = GROUP) -> DataFrame:
-    """Edges (a, b) with the same components as all candidates within `radius` whose shingle sets have the similarity.
 
-    texts: from fingerprints (column fp) to the fingerprint and a text with it, one row each.
-    """
-    n = members.count()
-    tables = keys(n, bits, radius)
-    proposed = written(_within(members, n, tables, radius, bits, group, _proposed).distinct(), "simhash-proposed")
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = written(shingle_sets(texts(ends), words, text), "simhash-sets")
-    sure = written(_alike(proposed, sets, jaccard), "simhash-alike")
-    # Candidates' components that are not one component yet.
-    wide = components(proposed, "simhash-wide").select(F.col("node").alias("fp"), F.col("root").alias("_wide"))
-    close = components(sure, "simhash-close").select(F.col("node").alias("fp"), F.col("root").alias("_close"))
-    placed = written(sets.select("fp").join(wide, "fp", "left").join(close, "fp", "left").select("fp", F.coalesce("_wide", "fp").alias("_wide"), F.coalesce("_close", "fp").alias("_close")), "simhash-placed")
-    parted = placed.groupBy("_wide").agg((F.min("_close") != F.max("_close")).alias("_open")).where("_open").select("_wide")
-    # Eight bytes behind the fingerprint say in which component it is.
-    label = F.unhex(F.lpad(F.hex(F.xxhash64("_close")), 16, "0"))
-    rest = written(placed.join(parted, "_wide", "left_semi").select(F.concat("fp", label).alias("fp")), "simhash-open")
-    own = F.substring
-    others = _within(rest, rest.count(), tables, radius, bits, group, None).select(own("a", 1, bits // 8).alias("a"), own("b", 1, bits // 8).alias("b"))
-    return sure.unionByName(_alike(others, sets, jaccard))
-
-
-def classes(
-    marked: DataFrame, radius: int = 4, bits: int = 64, keys: Callable[[int, int, int], list[np.ndarray]] = exact_keys, doc_id: str = "doc_id", linked: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """(fp, component_id) for every fingerprint of `marked` (columns fp and the id). linked: makes the edges, by default all links within the radius."""
+def classes(marked: DataFrame, radius: int = 4, bits: int = 64, keys: Callable[[int, int, int], list[np.ndarray]] = exact_keys, doc_id: str = "doc_id") -> DataFrame:
+    """(fp, component_id) for every fingerprint of `marked` (columns fp and the id)."""
     members = written(marked.groupBy("fp").agg(F.min(doc_id).alias("_least")), "simhash-members")
-    roots = components(linked(members) if linked else links(members, radius, bits, keys), "simhash-components")
+    roots = components(links(members, radius, bits, keys), "simhash-components")
     of = members.join(roots, members["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
     smallest = of.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return of.join(smallest, "_root").select("fp", "component_id")
@@ -343,27 +259,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, bits: int
     return marked.join(named, "fp").select(doc_id, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(
-    docs: DataFrame, radius: int, words: int = 5, bits: int = 256, keys: Callable[[int, int, int], list[np.ndarray]] = exact_keys, text: str = "text", doc_id: str = "doc_id", jaccard: float | None = None
-) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int, words: int = 5, bits: int = 256, keys: Callable[[int, int, int], list[np.ndarray]] = exact_keys, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Of each component the row with the smallest id (then text, by its hash), with all its columns.
 
-    Rows alike in id and text are one row. A null id is the smallest. jaccard: the similarity of shingle sets that an edge needs; then
-    `radius` only selects the pairs to compare.
+    Rows alike in id and text are one row. A null id is the smallest.
     """
     first, second = free_name(docs, "_h1"), free_name(docs, "_h2")
     named = docs.withColumns({first: F.xxhash64(doc_id, text), second: F.xxhash64(F.lit("row"), text, doc_id)})
     row = F.struct(doc_id, first, second).alias("_row")
-    marked = written(fingerprints(named.select(row, text), words, bits=bits, text=text, keep=("_row",), distinct=jaccard is not None), "simhash")
-    linked = None
-    if jaccard is not None:
-
-        def linked(members: DataFrame) -> DataFrame:
-            def texts(wanted: DataFrame) -> DataFrame:
-                one = members.join(wanted, "fp", "left_semi").select("fp", F.col(f"_least.{first}").alias(first), F.col(f"_least.{second}").alias(second))
-                return named.select(first, second, text).join(one, [first, second]).dropDuplicates(["fp"])
-
-            return similar_links(members, texts, jaccard, radius, bits, keys, words, text)
-
-    kept = classes(marked, radius, bits, keys, "_row", linked).select(F.col(f"component_id.{first}").alias(first), F.col(f"component_id.{second}").alias(second)).distinct()
+    marked = written(fingerprints(named.select(row, text), words, bits=bits, text=text, keep=("_row",)), "simhash")
+    kept = classes(marked, radius, bits, keys, "_row").select(F.col(f"component_id.{first}").alias(first), F.col(f"component_id.{second}").alias(second)).distinct()
     return named.join(kept, [first, second], "left_semi").dropDuplicates([first, second]).select(docs.columns)

@@ -114,57 +114,39 @@ def test_empty_table(documents):
     assert simhash.near_duplicates(documents([(1, "a")]).where("false")).collect() == []
 
 
-def shingle_pair(rng, similarity, n=300):
-    """Two texts of different words with about that Jaccard similarity of five-word shingles, by changed words far apart."""
-    base = [f"w{rng.getrandbits(40)}" for _ in range(n)]
-    changed = round((n - 4) * (1 - similarity) / (1 + similarity) / 5)
-    other = list(base)
-    for k in range(changed):
-        other[4 + k * (n - 8) // max(changed, 1)] = f"x{rng.getrandbits(40)}"
-    return " ".join(base), " ".join(other)
-
-
-def slow_jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
-    return len(a & b) / len(a | b)
+@pytest.mark.parametrize("copies", [200, 800])
+def test_a_dense_group_gives_as_many_edges_as_members(spark, copies):
+    """All pairs of such a group are links; what leaves the tasks is a forest."""
+    rng = random.Random(copies)
+    center, values = rng.getrandbits(64), set()
+    while len(values) < copies:
+        v = center
+        for b in rng.sample(range(64), 2):
+            v ^= 1 << b
+        values.add(v)
+    members = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")),) for v in values], "fp binary")
+    tables = len(simhash.exact_keys(copies, 64, 4))
+    edges = simhash.links(members, 4, 64)
+    assert copies - 1 <= edges.count() <= tables * copies
+    assert len({r["root"] for r in components(edges).collect()}) == 1
 
 
-def test_pipeline_links_by_shingle_similarity(spark, documents):
+def test_the_pipeline_keeps_one_of_each_component(spark, documents):
     import corpus_pipeline
 
     rng = random.Random(12)
-    pairs = [shingle_pair(rng, 0.70 + 0.2 * k / 200) for k in range(200)]
-    for repeated in (40, 80):  # repeated shingles count once
-        same = " ".join(["again and again and so on"] * repeated)
-        pairs += [(f"{same} {a}", f"{same} {b}") for a, b in (shingle_pair(rng, s) for s in (0.5, 0.6, 0.9))]
-    rows = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
-    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()}
-    alike = [slow_jaccard(*pair) >= 0.8 for pair in pairs]
-    assert {2 * k for k in range(len(pairs))} <= kept
-    assert all(2 * k + 1 in kept for k, near in enumerate(alike) if not near)
-    missed = sum(2 * k + 1 in kept for k, near in enumerate(alike) if near)
-    assert sum(alike) > 80 and missed <= 0.02 * sum(alike)
-
-
-def test_verified_components_in_a_dense_group(spark, documents):
-    """Copies of one text that differ from each other by more than from it, with and without that text."""
-    rng = random.Random(13)
     rows = []
-    for group, similarity in enumerate((0.9, 0.87)):
-        base, _ = shingle_pair(rng, 1.0)
-        texts = [base] if group else []
-        for _ in range(40):
-            words = base.split()
-            for k in rng.sample(range(0, 300, 5), round(296 * (1 - similarity) / (1 + similarity) / 5)):
-                words[k] = f"y{rng.getrandbits(40)}"
-            texts.append(" ".join(words))
-        rows += [(1000 * group + k, t) for k, t in enumerate(texts)]
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if root[i] != root[j] and slow_jaccard(rows[i][1], rows[j][1]) >= 0.8:
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
-    keys = partial(simhash.sampled_keys, sure=0.999)
-    kept = simhash.keep_one(documents(rows), 64, keys=keys, jaccard=0.8).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(rows[r][0] for r in set(root))
+    for k in range(120):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(rng.randint(30, 400))]
+        rows.append((10 * k, " ".join(words)))
+        for side in range(1, rng.randint(1, 4)):  # copies with few or many changed words, and exact ones
+            for _ in range(rng.choice([0, 1, 2, 20])):
+                words[rng.randrange(len(words))] = f"x{rng.getrandbits(40)}"
+            rows.append((10 * k + side, " ".join(words)))
+    marks = [int.from_bytes(simhash.fingerprint(t.encode(), 4), "big") for _, t in rows]
+    root = slow_components(marks, 4)
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({min(rows[j][0] for j in range(len(rows)) if root[j] == r) for r in root})
+    assert 120 <= len(kept) < len(rows)
+    empty = corpus_pipeline.drop_near_duplicates(spark, documents([(1, "a")]).where("false"), "")
+    assert empty.collect() == []
