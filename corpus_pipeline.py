@@ -2,16 +2,18 @@
 
 1. `language`: documents without a language go, the others carry the predicted one.
 2. `lines`: lines that three documents or more share stay in one of them.
-3. `near_duplicates`: of documents alike in 0.8 or more of their five-word shingles one stays.
+3. `near_duplicates`: of documents whose SimHash of four-word shingles differs in 4 bits of 64 or fewer, directly or through others, one stays.
 4. `mixture`: sources are flattened by a temperature; every document is drawn at least once, none more often than twice.
 5. `tokens`: byte-level BPE, with the hash of the decoded bytes.
 
-Every stage but the last returns the columns of `documents`.
+Every stage but the last returns the columns of `documents`; other columns of the table are not read. Null texts and texts without a
+letter end in the first stage, so later ones see neither; a null lang, source or id is a value like any other. Rows alike in id and text
+become one row in the third stage, rows that share an id alone stay apart. Of near duplicates the smallest id stays, a null one
+before all. Texts of any length go through whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,15 +22,10 @@ from flowsieve.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-NEAR_JACCARD = 0.8
-#: Of 256 fingerprint bits; shingle sets with that similarity differ in 39 on average, with a deviation of 6.
-NEAR_BITS = 256
-NEAR_RADIUS = 64
-#: A pair that differs in so many bits is compared with this probability, closer pairs more surely.
-NEAR_MET = 48
-NEAR_SURE = 0.99
-#: Unlike members that share a key; the fewer, the more tables.
-NEAR_TOGETHER = 256
+#: As the SimHash operator's query: words of a shingle, bits of a fingerprint, and how many may differ.
+NEAR_WORDS = 4
+NEAR_BITS = 64
+NEAR_RADIUS = 4
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +39,8 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
-def near_keys(members: int, bits: int, radius: int) -> list[np.ndarray]:
-    return simhash.sampled_keys(members, bits, NEAR_MET, NEAR_SURE, NEAR_TOGETHER)
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, radius=NEAR_RADIUS, words=5, bits=NEAR_BITS, keys=near_keys, jaccard=NEAR_JACCARD)
+    return simhash.keep_one(docs, radius=NEAR_RADIUS, words=NEAR_WORDS, bits=NEAR_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
