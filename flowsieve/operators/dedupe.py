@@ -16,9 +16,10 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.records import SCOPE, digest_bytes, floor_div, hex_digits
+from ..session import new_table_path
 from .ordering import dense_index
 
 # Verdict names of the two-stage check, by code.
@@ -32,7 +33,8 @@ def first_seen(df: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
 
 def flag_duplicates(df: DataFrame, accepted: DataFrame, seq: str = "seq") -> DataFrame:
     """`df` with is_dup = the row has a `seq`, and not one of `accepted`."""
-    marks = accepted.select(seq, F.lit(False).alias("_dup")).where(F.col(seq).isNotNull()).distinct()
+    # The mark is added to the distinct numbers, which are then dealt as the join needs them.
+    marks = accepted.select(seq).where(F.col(seq).isNotNull()).distinct().withColumn("_dup", F.lit(False))
     return df.join(marks, seq, "left").withColumn("is_dup", F.coalesce("_dup", F.col(seq).isNotNull())).drop("_dup")
 
 
@@ -44,6 +46,16 @@ def dropped(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_dup"))
 
 
+def split(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(passed, dropped) of a batch from one evaluation: written once, a folder per verdict, of which a side reads its own."""
+    spark = flagged.sparkSession
+    path = new_table_path(spark, "split")
+    flagged.write.partitionBy("is_dup").parquet(path)
+    schema = T.StructType([f for f in flagged.schema if f.name != "is_dup"] + [flagged.schema["is_dup"]])
+    both = spark.read.schema(schema).parquet(path).select(*flagged.columns)
+    return passed(both), dropped(both)
+
+
 def dedupe_none(df: DataFrame) -> DataFrame:
     return df.withColumn("is_dup", F.lit(False))
 
@@ -59,14 +71,8 @@ def dedupe_scoped_exact(df: DataFrame, scope: Sequence[str] = SCOPE, seq: str =
 
 
 def keep_first(df: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
-    """Only the accepted rows, when no flag is needed on the others.
-
-    A frame of nothing but the key and `seq` is the aggregation itself.
-    """
-    if set(df.columns) == {*by, seq}:
-        return first_seen(df, by, seq).select(*df.columns)
-    first = first_seen(df, by, seq).select(F.col(seq).alias("_first"))
-    return df.join(first, F.col(seq) == F.col("_first"), "left_semi")
+    """Only the rows that an exact dedupe on `by` accepts."""
+    return passed(flag_duplicates(df, first_seen(df, by, seq), seq)).drop("is_dup")
 
 
 # ---------------------------------------------------------------- lookbacks

@@ -84,6 +84,31 @@ def exact_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def verdict_stats(df: DataFrame, verdicts: DataFrame, by: Sequence[str] = (), seq: str = "seq") -> DataFrame:
+    """`dedupe_stats` from the table and the (seq, verdict) of its accepted rows: no row is flagged.
+
+    With `by`, the accepted rows are counted where their arrival number is in
+    the table. Rows without a number are accepted; numbers are unique.
+    """
+    named = [F.col(c) for c in by]
+    nothing = F.lit(0).cast("bigint")
+    placed = verdicts.withColumnRenamed("seq", seq)
+    if by:
+        placed = placed.join(df.where(F.col(seq).isNotNull()).select(seq, *named), seq)
+    hits = placed.select(*named, nothing.alias("n"), F.lit(1).alias("a"), (F.col("verdict") == 2).cast("int").alias("f"))
+    rows = df.select(*named, F.lit(1).cast("bigint").alias("n"), F.col(seq).isNull().cast("int").alias("a"), F.lit(0).alias("f"))
+    sums = [F.coalesce(F.sum(c), nothing).cast("bigint") for c in "naf"]
+    counted = rows.unionByName(hits).groupBy(*by).agg(*[s.alias(c) for s, c in zip(sums, "naf")])
+    return counted.select(
+        *by,
+        F.col("n").alias("total_records"),
+        (F.col("n") - F.col("a")).alias("duplicates"),
+        F.col("f").alias("false_positives"),
+        F.col("a").alias("evaluations"),
+        percent(F.col("n") - F.col("a"), F.col("n")).alias("dedupe_rate_pct"),
+    )
+
+
 def observed(flagged: DataFrame) -> tuple[DataFrame, Observation]:
     """The frame, and its counters once it has been written: no second pass."""
     watch = Observation("dedupe")
@@ -115,13 +140,13 @@ def state_size(flagged: DataFrame, window: int, filter_bits: int = 0, scope: Seq
     )
 
 
-def comparison(flagged: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per algorithm, with the modelled downstream cost.
+def comparison(stats: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per algorithm from its counters, with the modelled downstream cost.
 
     The modelled time depends on counts only, so the table is repeatable; wall
     time belongs to the bench.
     """
-    rows = [dedupe_stats(df).withColumn("algorithm", F.lit(name)) for name, df in flagged.items()]
+    rows = [df.withColumn("algorithm", F.lit(name)) for name, df in stats.items()]
     total, accepted = F.col("total_records"), F.col("evaluations")
     micros = accepted * DOWNSTREAM_MICROS
     tenths = rounded_division(total * (10_000_000 // DOWNSTREAM_MICROS), F.greatest(accepted, F.lit(SHORTEST_MICROS // DOWNSTREAM_MICROS)))

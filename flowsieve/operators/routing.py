@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.records import SCOPE, hex_digits, md5_slot
+from ..session import written
 from .dedupe import first_seen, register_dedupe
-from .report import dedupe_stats
+from .report import percent, verdict_stats
 from .windowed import dedupe_scoped_rotating
 
 
@@ -41,11 +42,20 @@ def dedupe_partitioned(
     return dedupe_scoped_rotating(route(df, workers, "tenant", seq=seq), window, scope=scope, seq=seq)
 
 
-def partition_rollup(flagged: DataFrame) -> DataFrame:
-    """Dedupe counters per worker, and their total as worker -1."""
-    per_worker = dedupe_stats(flagged, ["worker_id"])
-    total = dedupe_stats(flagged).withColumn("worker_id", F.lit(-1))
-    return per_worker.unionByName(total)
+def partition_rollup(routed: DataFrame, verdicts: DataFrame, seq: str = "seq") -> DataFrame:
+    """Dedupe counters per worker, and their total as worker -1, with the records of the busiest worker.
+
+    The total adds up the workers' rows, one a worker.
+    """
+    per_worker = written(verdict_stats(routed, verdicts, ["worker_id"], seq).drop("dedupe_rate_pct"), "workers")
+    counters = ["total_records", "duplicates", "false_positives", "evaluations"]
+    total = per_worker.agg(
+        F.lit(-1).alias("worker_id"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counters],
+        F.coalesce(F.max("total_records"), F.lit(0)).alias("largest_worker"),
+    )
+    rows = per_worker.withColumn("largest_worker", F.col("total_records")).unionByName(total)
+    return rows.withColumn("dedupe_rate_pct", percent(F.col("duplicates"), F.col("total_records")))
 
 
 def dedupe_two_level(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -53,20 +63,18 @@ def dedupe_two_level(df: DataFrame, seq: str = "seq") -> DataFrame:
 
     Both hits and misses are forwarded, so the global check alone decides;
     `local_repeat` tells what the worker had seen before. The global minimum is
-    taken over the workers' minima.
+    taken over the workers' minima. A row without an arrival number is new at
+    both levels; rows that share one are new together, if any of them is.
     """
-    local = df.groupBy("worker_id", "fp").agg(F.min(seq).alias(seq))
+    local = df.where(F.col(seq).isNotNull()).groupBy("worker_id", "fp").agg(F.min(seq).alias(seq))
     overall = first_seen(local, ["fp"], seq)
-    marks = (
-        local.select(seq)
-        .join(overall.select(seq, F.lit(False).alias("_dup")), seq, "left")
-        .select(seq, F.lit(False).alias("_local"), F.coalesce("_dup", F.lit(True)).alias("_dup"))
-    )
+    both = local.select(seq, F.lit(True).alias("_again")).unionByName(overall.select(seq, F.lit(False).alias("_again")))
+    marks = both.groupBy(seq).agg(F.min("_again").alias("_again"))
     return (
         df.join(marks, seq, "left")
-        .withColumn("local_repeat", F.coalesce("_local", F.lit(True)))
-        .withColumn("is_dup", F.coalesce("_dup", F.lit(True)))
-        .drop("_local", "_dup")
+        .withColumn("local_repeat", F.col("_again").isNull() & F.col(seq).isNotNull())
+        .withColumn("is_dup", F.coalesce("_again", F.col(seq).isNotNull()))
+        .drop("_again")
     )
 
 

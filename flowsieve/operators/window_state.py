@@ -42,6 +42,8 @@ def _split(blob: bytes) -> list[bytes]:
 class FifoWindow:
     """The last `window` accepted fingerprints; a hit does not refresh its place."""
 
+    nothing = DUPLICATE  # the verdict of a row that leaves no trace in the result
+
     def __init__(self, window: int):
         self.window, self.order, self.held = window, deque(), set()
         self.idle_repeats = window > 0
@@ -102,26 +104,31 @@ class FullFifoWindow(FifoWindow):
 
 
 class BitFilter:
-    """Fixed-size filter over 32-byte digests; positions as in `filter_positions`."""
+    """Fixed-size filter over 32-byte digests, a byte per bit; positions as in `filter_positions`."""
 
     def __init__(self, bits: int, hashes: int, data: bytes | None = None):
         self.size, self.hashes = bits, hashes
-        self.data = bytearray(data) if data is not None else bytearray((bits + 7) // 8)
+        held = np.zeros(bits, np.uint8) if data is None else np.unpackbits(np.frombuffer(data, np.uint8), count=bits)
+        self.data = bytearray(held)
+
+    def positions(self, fps: list[bytes]) -> list[list[int]]:
+        """The bits of each digest, all at once: its four-byte slices, or those of its next hashes, modulo the size."""
+        parts = []
+        for start in range(0, self.hashes, 8):
+            of = fps if not start else [hashlib.sha256(f.hex().encode() + f"#{start // 8}".encode()).digest() for f in fps]
+            slices = np.frombuffer(b"".join(of), ">u4").reshape(len(of), -1)
+            parts.append(slices[:, : min(8, self.hashes - start)].astype(np.int64) % self.size)
+        return np.concatenate(parts, 1).tolist()
 
-    def _positions(self, fp: bytes) -> Iterator[int]:
-        digest = fp
-        for j in range(self.hashes):
-            if j and j % 8 == 0:
-                digest = hashlib.sha256(fp.hex().encode() + f"#{j // 8}".encode()).digest()
-            at = 4 * (j % 8)
-            yield int.from_bytes(digest[at : at + 4], "big") % self.size
+    def __contains__(self, positions: list[int]) -> bool:
+        return all(map(self.data.__getitem__, positions))
 
-    def __contains__(self, fp: bytes) -> bool:
-        return all(self.data[p >> 3] >> (p & 7) & 1 for p in self._positions(fp))
+    def add(self, positions: list[int]) -> None:
+        for p in positions:
+            self.data[p] = 1
 
-    def add(self, fp: bytes) -> None:
-        for p in self._positions(fp):
-            self.data[p >> 3] |= 1 << (p & 7)
+    def save(self) -> bytes:
+        return np.packbits(np.frombuffer(self.data, np.uint8)).tobytes()
 
 
 class ScreenedWindow:
@@ -138,6 +145,8 @@ class ScreenedWindow:
     hit are not counted as insertions.
     """
 
+    nothing = DUPLICATE
+
     def __init__(
         self, window: int, generation: int, size: tuple[int, int] | None, exact: bool = True, on_arrival: bool = False
     ):
@@ -159,18 +168,19 @@ class ScreenedWindow:
         if self.generation and self.inserted >= self.generation:
             self.screen, self.inserted = self._empty(), 0
 
-    def step(self, fp: bytes) -> int:
+    def step(self, fp: bytes, mark) -> int:
+        """mark: what the filter knows the fingerprint by, itself or its bits."""
         if self.on_arrival:
             self._make_room()
             self._turn_over()
-        hit = fp in self.screen
+        hit = mark in self.screen
         if hit and (not self.exact or fp in self.held):
             return DUPLICATE
         if not self.on_arrival:
             self._make_room()
             self._turn_over()
         if not hit or not self.on_arrival:
-            self.screen.add(fp)
+            self.screen.add(mark)
             self.inserted += 1
         if self.exact and self.window > 0:
             self.order.append(fp)
@@ -178,10 +188,11 @@ class ScreenedWindow:
         return FALSE_HIT if hit else NEW
 
     def steps(self, fps: list[bytes]) -> list[int]:
-        return [self.step(fp) for fp in fps]
+        marks = fps if self.size is None or not fps else self.screen.positions(fps)
+        return [self.step(*x) for x in zip(fps, marks)]
 
     def save(self) -> bytes:
-        screen = sorted(self.screen) if self.size is None else [bytes(self.screen.data)]
+        screen = sorted(self.screen) if self.size is None else [self.screen.save()]
         return _pack(self.order, sorted(self.held), screen, [struct.pack("<Q", self.inserted)])
 
     def load(self, blob: bytes) -> None:
@@ -191,11 +202,39 @@ class ScreenedWindow:
         self.inserted = struct.unpack("<Q", inserted)[0]
 
 
+class ManyWindows:
+    """Several windows over one log of arrivals. A row's verdicts are one number, two bits a window."""
+
+    MOST = 31
+
+    def __init__(self, makes: tuple[Callable, ...]):
+        self.windows = [make() for make in makes]
+        self.idle_repeats = all(w.idle_repeats for w in self.windows)
+        self.nothing = self.all_have(DUPLICATE, len(makes))
+
+    @staticmethod
+    def all_have(verdict: int, windows: int) -> int:
+        return sum(verdict << 2 * i for i in range(windows))
+
+    def steps(self, fps: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(fps), np.int64)
+        for i, window in enumerate(self.windows):
+            out |= np.array(window.steps(fps), np.int64) << 2 * i
+        return out
+
+    def save(self) -> bytes:
+        return _pack(*[[w.save()] for w in self.windows])
+
+    def load(self, blob: bytes) -> None:
+        for window, own in zip(self.windows, _unpack(blob, len(self.windows))):
+            window.load(own)
+
+
 class NewWindow:
     """Makes the empty window of a scope: one kind for all, or by its first column."""
 
-    def __init__(self, make: Callable | dict[str, Callable]):
-        self.make = make
+    def __init__(self, make: Callable | dict[str, Callable], nothing: int = DUPLICATE):
+        self.make, self.nothing = make, nothing
 
     def __call__(self, scope: tuple):
         return self.make[scope[0]]() if isinstance(self.make, dict) else self.make()
@@ -206,9 +245,9 @@ class NewWindow:
 # Row kinds of a scan table: rows settled at once, rows of a piece's first
 # scope (a later round may revise them), parts of the final window, summaries.
 SETTLED, HEAD, WINDOW, SUMMARY = 0, 1, 2, 3
-SCAN_SCHEMA = "kind int, piece int, seq bigint, fp binary, verdict int"
+SCAN_SCHEMA = "kind int, piece int, seq bigint, fp binary, verdict bigint"
 _ARROW_SCHEMA = pa.schema(
-    [("kind", pa.int32()), ("piece", pa.int32()), ("seq", pa.int64()), ("fp", pa.binary()), ("verdict", pa.int32())]
+    [("kind", pa.int32()), ("piece", pa.int32()), ("seq", pa.int64()), ("fp", pa.binary()), ("verdict", pa.int64())]
 )
 _PART_BYTES = 1 << 20
 
@@ -220,7 +259,7 @@ def _batch(kind: int, piece: int, seq, fp=None, verdict=None) -> pa.RecordBatch:
         np.full(n, piece, "int32"),
         seq,
         pa.nulls(n, pa.binary()) if fp is None else fp,
-        pa.nulls(n, pa.int32()) if verdict is None else verdict,
+        pa.nulls(n, pa.int64()) if verdict is None else verdict,
     ]
     arrays = [pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, _ARROW_SCHEMA)]
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
@@ -250,7 +289,7 @@ def _runs(columns: list[pa.Array]) -> list[int]:
 
 def _steps(window, fps: pa.Array, repeats: np.ndarray, firsts: np.ndarray | None = None) -> np.ndarray:
     """Verdicts; rows that repeat the row before are settled without the window."""
-    verdicts = np.full(len(fps), DUPLICATE, "int32")
+    verdicts = np.full(len(fps), window.nothing, "int64")
     asked = np.flatnonzero(~repeats) if window.idle_repeats else np.arange(len(fps))
     wanted = fps.take(pa.array(asked)).to_pylist()
     verdicts[asked] = window.steps(wanted) if firsts is None else window.first_steps(wanted, firsts[asked].tolist())
@@ -264,10 +303,6 @@ def _repeats(fps: pa.Array) -> np.ndarray:
     return out
 
 
-# Verdicts of a head's first scan hold those from a full window above the lower bits.
-GUESS_SHIFT = 2
-
-
 def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth: int) -> Iterator[pa.RecordBatch]:
     """First scan of one sorted piece, from an empty window.
 
@@ -296,8 +331,6 @@ def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth:
         for start, end in zip(edges, edges[1:]):
             scope = tuple(c[start].as_py() for c in scopes)
             if scope != current:
-                if current == first and full is not None:
-                    yield _summary(piece, guess=full.settled)
                 first = scope if current is None else first
                 current, window = scope, new_window(scope)
                 full = window.guess() if first == scope and marks and hasattr(window, "guess") and window.idle_repeats else None
@@ -306,13 +339,13 @@ def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth:
             decided = _steps(window, own, repeats)
             if scope == first:
                 heads = end
-                other = decided if full is None else _steps(full, own, repeats, firsts[start:end])
-                decided = decided | other << GUESS_SHIFT
+                if full is not None:  # only for the window it ends with: a piece that began inside its scope is scanned again
+                    _steps(full, own, repeats, firsts[start:end])
             verdicts.append(decided)
         verdicts = np.concatenate(verdicts)
         if heads:
             yield _batch(HEAD, piece, seq[:heads], fp[:heads], verdicts[:heads])
-        kept = np.flatnonzero(verdicts[heads:] != DUPLICATE) + heads
+        kept = np.flatnonzero(verdicts[heads:] != new_window.nothing) + heads
         yield _batch(SETTLED, piece, seq.take(pa.array(kept)), None, verdicts[kept])
     if current is not None:
         whole = first == current
@@ -320,10 +353,7 @@ def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth:
         guess = whole and full is not None and full.settled
         blob = (full if guess else window).save()
         yield _window_parts(piece, blob)
-        facts = {"first": list(first), "last": list(current), "whole": whole, "start": empty, "end": _digest(blob)}
-        if whole and full is not None:
-            facts["guess"] = guess
-        yield _summary(piece, **facts)
+        yield _summary(piece, first=list(first), last=list(current), whole=whole, start=empty, end=_digest(blob))
 
 
 def rescan_heads(

@@ -31,14 +31,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.records import SCOPE, digest_bytes, quoted
-from ..session import new_table_path, written
+from ..session import new_table_path, task_count, written
 from . import window_state
-from .dedupe import FilterSize, filter_verdicts, register_dedupe, two_stage_verdicts, with_outcome
+from .dedupe import FilterSize, filter_misses, filter_verdicts, register_dedupe, two_stage_verdicts, with_outcome
 from .ordering import in_order
 from .window_state import (
     DUPLICATE,
     FALSE_HIT,
-    GUESS_SHIFT,
     HEAD,
     NEW,
     SCAN_SCHEMA,
@@ -46,6 +45,7 @@ from .window_state import (
     SUMMARY,
     WINDOW,
     FifoWindow,
+    ManyWindows,
     NewWindow,
     ScreenedWindow,
     continue_scope,
@@ -183,9 +183,6 @@ def scan_in_order(
             chain.update(round_no, piece, facts)
 
     settled = table(0).where(F.col("kind") == SETTLED).select("seq", "verdict")
-    # A head that needed no other scan began with its scope, where both guesses agree.
-    lower = (1 << GUESS_SHIFT) - 1
-    verdict = F.col("verdict").bitwiseAND(lower).alias("verdict")
     heads = table(0).where(F.col("kind") == HEAD)
     if round_no:
         latest = spark.createDataFrame(sorted(chain.rows_round.items()), "piece int, round int")
@@ -195,15 +192,16 @@ def scan_in_order(
             .where(F.col("kind") == HEAD)
             .join(F.broadcast(latest), ["piece", "round"])  # a row per piece
         )
-    return settled.unionByName(heads.select("seq", verdict).where(F.col("verdict") != DUPLICATE))
+    return settled.unionByName(heads.where(F.col("verdict") != new_window.nothing).select("seq", "verdict"))
 
 
 # --------------------------------------------------------------- operators
 
 
 # Rows per piece: enough windows to forget where the scan began, and enough
-# work to be worth a task.
+# work to be worth a task; the longer ones where there are tasks for all.
 _PIECE_WINDOWS = 8
+_LONG_PIECE_WINDOWS = 16
 _DIGEST = window_state._DIGEST
 _PIECE_ROWS = 20_000
 # FIFO windows tend to agree after a while wherever they began; the phase of a
@@ -249,8 +247,10 @@ def _verdicts(
         large = written(scopes.where(evicts).select(*scope), "large-scopes")
         rows = narrow.join(large, list(scope), "left_semi")
         small = native(firsts.join(large, list(scope), "left_anti"))
-    per_piece = max(_PIECE_WINDOWS * window, _PIECE_ROWS)
-    pieces = pieces or max(1, rows_to_scan // per_piece)
+    if not pieces:
+        most = max(1, rows_to_scan // max(_PIECE_WINDOWS * window, _PIECE_ROWS))
+        fewest = max(1, rows_to_scan // max(_LONG_PIECE_WINDOWS * window, _PIECE_ROWS))
+        pieces = max(fewest, min(most, task_count(df.sparkSession)))
     if not guess:
         marks = None
     else:
@@ -260,7 +260,7 @@ def _verdicts(
 
 
 def _all_new(firsts: DataFrame) -> DataFrame:
-    return firsts.select("seq", F.lit(NEW).alias("verdict"))
+    return firsts.select("seq", F.lit(NEW).cast("bigint").alias("verdict"))
 
 
 def _flag(df: DataFrame, verdicts: DataFrame, seq: str, outcome: bool) -> DataFrame:
@@ -268,6 +268,12 @@ def _flag(df: DataFrame, verdicts: DataFrame, seq: str, outcome: bool) -> DataFr
     return flagged if outcome else flagged.drop("outcome")
 
 
+def fifo_verdicts(df: DataFrame, window: int, scope: Sequence[str] = SCOPE, seq: str = "seq", pieces: int | None = None) -> DataFrame:
+    """(seq, verdict) of the rows that `dedupe_scoped_fifo` accepts, for those who only count or keep them."""
+    make = NewWindow(partial(FifoWindow, window))
+    return _verdicts(df, make, window, window, _all_new, scope, seq, pieces, _FIFO_ROUNDS, guess=True)
+
+
 def dedupe_scoped_fifo(
     df: DataFrame,
     window: int = 100_000,
@@ -276,8 +282,22 @@ def dedupe_scoped_fifo(
     pieces: int | None = None,
 ) -> DataFrame:
     """A repeat of one of the last `window` accepted fingerprints of its scope."""
-    found = _verdicts(df, NewWindow(partial(FifoWindow, window)), window, window, _all_new, scope, seq, pieces, _FIFO_ROUNDS, guess=True)
-    return _flag(df, found, seq, outcome=False)
+    return _flag(df, fifo_verdicts(df, window, scope, seq, pieces), seq, outcome=False)
+
+
+def rotating_verdicts(
+    df: DataFrame,
+    window: int,
+    size: FilterSize | None = None,
+    scope: Sequence[str] = SCOPE,
+    seq: str = "seq",
+    pieces: int | None = None,
+) -> DataFrame:
+    """(seq, verdict) of the rows that `dedupe_scoped_rotating` accepts."""
+    bits = None if size is None else (size.bits, size.hashes)
+    native = _all_new if size is None else partial(two_stage_verdicts, by=scope, size=size)
+    make = NewWindow(partial(ScreenedWindow, window, window, bits))
+    return _verdicts(df, make, window, window, native, scope, seq, pieces)
 
 
 def dedupe_scoped_rotating(
@@ -294,11 +314,7 @@ def dedupe_scoped_rotating(
     `size` the filter is ideal, and `outcome` still shows false hits: rows the
     filter knows whose cache entry went with an older copy.
     """
-    bits = None if size is None else (size.bits, size.hashes)
-    native = _all_new if size is None else partial(two_stage_verdicts, by=scope, size=size)
-    make = NewWindow(partial(ScreenedWindow, window, window, bits))
-    found = _verdicts(df, make, window, window, native, scope, seq, pieces)
-    return _flag(df, found, seq, outcome=True)
+    return _flag(df, rotating_verdicts(df, window, size, scope, seq, pieces), seq, outcome=True)
 
 
 def dedupe_worker_window(
@@ -331,6 +347,15 @@ def dedupe_worker_rotating(
     return _flag(df, found, seq, outcome=True)
 
 
+def tumbling_verdicts(
+    df: DataFrame, size: FilterSize, window: int, scope: Sequence[str] = SCOPE, seq: str = "seq", pieces: int | None = None
+) -> DataFrame:
+    """(seq, verdict) of the rows that `dedupe_filter_tumbling` accepts."""
+    native = partial(filter_verdicts, by=scope, size=size)
+    make = NewWindow(partial(ScreenedWindow, 0, window, (size.bits, size.hashes), exact=False))
+    return _verdicts(df, make, window, window, native, scope, seq, pieces)
+
+
 def dedupe_filter_tumbling(
     df: DataFrame,
     size: FilterSize,
@@ -340,11 +365,7 @@ def dedupe_filter_tumbling(
     pieces: int | None = None,
 ) -> DataFrame:
     """Filter membership alone, the filter emptied every `window` insertions."""
-
-    native = partial(filter_verdicts, by=scope, size=size)
-    make = NewWindow(partial(ScreenedWindow, 0, window, (size.bits, size.hashes), exact=False))
-    found = _verdicts(df, make, window, window, native, scope, seq, pieces)
-    return _flag(df, found, seq, outcome=False)
+    return _flag(df, tumbling_verdicts(df, size, window, scope, seq, pieces), seq, outcome=False)
 
 
 for _name, _policy in {
@@ -364,8 +385,8 @@ def fifo_setting(window: int) -> tuple[Callable, int]:
     return partial(FifoWindow, window), window
 
 
-def rotating_setting(window: int) -> tuple[Callable, int]:
-    return partial(ScreenedWindow, window, window, None), window
+def rotating_setting(window: int, size: FilterSize | None = None) -> tuple[Callable, int]:
+    return partial(ScreenedWindow, window, window, size and (size.bits, size.hashes)), window
 
 
 def worker_setting(window: int, generation: int = 0) -> tuple[Callable, int]:
@@ -399,3 +420,61 @@ def sweep_counts(
         )
     )
     return rows.groupBy("setting").agg(F.count("*").alias("total_records")).join(accepted, "setting")
+
+
+def _first_codes(firsts: DataFrame, scope: Sequence[str], sizes: Mapping[int, FilterSize], windows: int) -> DataFrame:
+    """The verdicts of first arrivals where nothing is evicted, as `ManyWindows` writes them.
+
+    A window without a filter of its own accepts them as new, another one as
+    new or as a false hit, depending on whether its filter knows them.
+    """
+    if not sizes:
+        return _all_new(firsts)
+    hit = {str(i): FALSE_HIT << 2 * i for i in sizes}
+    misses = filter_misses(firsts, scope, {str(i): size for i, size in sizes.items()})
+    code = F.create_map(*[F.lit(x) for pair in hit.items() for x in pair])[F.col("setting")]
+    known = misses.groupBy("seq").agg(F.sum(code).alias("_less"))
+    verdict = (F.lit(sum(hit.values())) - F.coalesce("_less", F.lit(0))).cast("bigint").alias("verdict")
+    return firsts.select("seq").join(known, "seq", "left").select("seq", verdict)
+
+
+def many_verdicts(
+    df: DataFrame,
+    settings: Sequence[tuple[Callable, int]],
+    scope: Sequence[str] = SCOPE,
+    sizes: Mapping[int, FilterSize] | None = None,
+    seq: str = "seq",
+    pieces: int | None = None,
+) -> DataFrame:
+    """(seq, verdict) under several windows at once, for rows that any of them accepts.
+
+    Each record is read, shuffled and scanned once, however many windows there
+    are, up to 31; window i's verdict is bits 2i and 2i + 1 (`verdict_of`). sizes: the
+    filters of those windows that have one.
+    """
+    if len(settings) > ManyWindows.MOST:
+        raise ValueError(f"at most {ManyWindows.MOST} windows in one pass")
+    make = partial(ManyWindows, tuple(m for m, _ in settings))
+    nothing = ManyWindows.all_have(DUPLICATE, len(settings))
+    native = partial(_first_codes, scope=scope, sizes=sizes or {}, windows=len(settings))
+    limits = [limit for _, limit in settings]
+    return _verdicts(df, NewWindow(make, nothing), max(limits), min(limits), native, scope, seq, pieces)
+
+
+def verdict_of(i: int) -> Column:
+    return F.shiftright("verdict", 2 * i).bitwiseAND(3)
+
+
+def many_counts(verdicts: DataFrame, windows: int, by: Sequence[Column] = ()) -> DataFrame:
+    """Per window (column `window`): accepted rows and false hits among the verdicts of `many_verdicts`."""
+    counts = [
+        F.struct(
+            F.lit(i).alias("window"),
+            F.count_if(verdict_of(i) != DUPLICATE).alias("evaluations"),
+            F.count_if(verdict_of(i) == FALSE_HIT).alias("false_positives"),
+        )
+        for i in range(windows)
+    ]
+    counted = verdicts.groupBy(*by).agg(F.array(*counts).alias("_w"))
+    kept = [c for c in counted.columns if c != "_w"]
+    return counted.select(*kept, F.explode("_w").alias("_w")).select(*kept, "_w.*")

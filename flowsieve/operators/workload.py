@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from ..functions.records import floor_div, hash_number
 from .ordering import dense_index
@@ -12,9 +12,20 @@ _BURSTS = 50
 _CELL = _BURSTS * (_BURSTS + 1) // 2
 
 
+def draw_rows(spark: SparkSession, n: int, draws: int, seed: int = 42) -> DataFrame:
+    """Row numbers drawn from 0..n-1 with replacement, in `_i`; `_row` numbers the draws from n on."""
+    drawn = hash_number(F.lit(f"draw{seed}"), F.col("id")) % max(n, 1)
+    return spark.range(draws).select((F.col("id") + n).alias("_row"), drawn.alias("_i"))
+
+
+def draw_order(row: Column, seed: int = 42) -> Column:
+    """What rows are sorted by for a repeatable random order."""
+    return hash_number(F.lit(f"order{seed}"), row)
+
+
 def shuffled(df: DataFrame, key: str, seed: int, out: str = "seq") -> DataFrame:
     """A repeatable random order: rows numbered by the hash of `key`."""
-    order = df.withColumn("_h", hash_number(F.lit(f"order{seed}"), F.col(key)))
+    order = df.withColumn("_h", draw_order(F.col(key), seed))
     return dense_index(order, ["_h", key], out=out)[0].drop("_h")
 
 
@@ -36,9 +47,7 @@ def duplicate_pressure(df: DataFrame, rate: float | None, seed: int = 42, seq: s
     if extra == 0:
         return df
     # One row per draw, spread over the table's own partitions.
-    draws = df.sparkSession.range(extra).select(
-        (F.col("id") + n).alias("_row"), (hash_number(F.lit(f"draw{seed}"), F.col("id")) % n).alias("_i")
-    )
+    draws = draw_rows(df.sparkSession, n, extra, seed)
     base = base.withColumnRenamed(seq, "origin")
     copies = draws.join(base, "_i")  # a draw matches exactly one row
     all_rows = base.withColumn("_row", F.col("_i")).unionByName(copies).drop("_i")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.records import (
     EVENT_TIME,
     NINE_FIELDS,
+    SCOPE,
     as_text,
     clean_flows,
     column_name,
@@ -22,11 +23,11 @@ from ..functions.records import (
 from ..functions.rules import fuse, signature_rule
 from ..operators import dedupe as d, report as r, windowed as w
 from ..operators.ordering import chronological_split, dense_index
-from ..operators.routing import dedupe_partitioned, dedupe_two_level, partition_rollup, route
+from ..operators.routing import dedupe_two_level, partition_rollup, route
 from ..operators.sequences import anomaly_threshold, scale_on_train, sequences, vector_distance, with_history
 from ..operators.workload import duplicate_pressure
 from ..session import new_table_path
-from ..sources.flows import head_rows, read_flows
+from ..sources.flows import head_rows, read_flows, write_result
 from . import search
 from .detection import DETECTORS, detect, prepared, residuals
 from .event_flows import FEATURES, event_flows, event_view
@@ -39,6 +40,7 @@ WORKERS = 4
 HEAD = 500
 TTL_SECONDS = 6 * 3600
 HOT_WINDOW = 64
+SEARCH_WINDOW = 38
 HOT_PIECES = 6
 
 SCALED = [f"z_{f}" for f in FEATURES]
@@ -139,11 +141,11 @@ def q_dedupe_scoped_exact(spark, sf):
 
 
 def q_dedupe_passed(spark, sf):
-    return d.passed(d.dedupe_scoped_exact(event_view(spark, sf))).select("seq", "tenant", _fp())
+    return d.split(d.dedupe_scoped_exact(event_view(spark, sf)))[0].select("seq", "tenant", _fp())
 
 
 def q_dedupe_dropped(spark, sf):
-    return d.dropped(d.dedupe_scoped_exact(event_view(spark, sf))).select("seq", "tenant", _fp())
+    return d.split(d.dedupe_scoped_exact(event_view(spark, sf)))[1].select("seq", "tenant", _fp())
 
 
 def q_dedupe_keep_first(spark, sf):
@@ -203,7 +205,8 @@ def q_dedupe_two_stage_windowed(spark, sf):
 
 
 def q_dedupe_partitioned_stats(spark, sf):
-    return partition_rollup(dedupe_partitioned(event_view(spark, sf), WORKERS, WINDOW))
+    view = event_view(spark, sf)
+    return partition_rollup(route(view, WORKERS), w.rotating_verdicts(view, WINDOW))
 
 
 def q_route_records(spark, sf):
@@ -218,6 +221,24 @@ def q_dedupe_two_level(spark, sf):
     return _verdict(dedupe_two_level(route(event_view(spark, sf), WORKERS, "random")), "worker_id", "local_repeat")
 
 
+def q_dedupe_two_level_null_seq(spark, sf):
+    """Some records without an arrival number, some that share one with the record before."""
+    view = event_view(spark, sf, keep=["k"])
+    number = F.when(F.col("k") == 5, F.col("seq") - 1).when(F.col("k") != 3, F.col("seq"))
+    routed = route(view.withColumn("seq", number), WORKERS, "hash")
+    return _verdict(dedupe_two_level(routed), "worker_id", "local_repeat")
+
+
+def q_dedupe_policy(spark, sf):
+    """A policy of one's own by name: every destination of a tenant has a window of its own."""
+
+    def per_destination(df, window):
+        return w.dedupe_scoped_fifo(df, window, scope=["tenant", "Destination IP"])
+
+    d.register_dedupe("per destination", per_destination)
+    return _verdict(d.dedupe(event_view(spark, sf, keep=["Destination IP"]), "per destination", window=4))
+
+
 def q_dedupe_arrival_lookback(spark, sf):
     return _verdict(d.dedupe_arrival_lookback(event_view(spark, sf), WINDOW))
 
@@ -256,20 +277,33 @@ def q_dedupe_state_size(spark, sf):
     return r.state_size(w.dedupe_scoped_fifo(event_view(spark, sf), WINDOW), WINDOW, FILTER.bits)
 
 
-def q_dedupe_comparison(spark, sf):
+def _comparison(spark, sf):
     view = event_view(spark, sf)
-    partitioned = dedupe_partitioned(view, WORKERS)
+    by = list(SCOPE)
+    firsts = d.first_seen(view, [*by, "fp"])
     return r.comparison(
         {
-            "no dedupe": d.dedupe_none(view),
-            "global exact": d.dedupe_global_exact(view),
-            "filter only": w.dedupe_filter_tumbling(view, FILTER),
-            "filter+exact": d.dedupe_two_stage(view, FILTER),
-            "partitioned filter+exact": partitioned,
+            "no dedupe": r.exact_stats(view, ["seq"]),
+            "global exact": r.exact_stats(view, ["fp"]),
+            "filter only": r.verdict_stats(view, w.tumbling_verdicts(view, FILTER, 100_000)),
+            "filter+exact": r.verdict_stats(view, d.two_stage_verdicts(firsts, by, FILTER)),
+            "partitioned filter+exact": r.verdict_stats(view, w.rotating_verdicts(view, 100_000)),
         }
     )
 
 
+def q_dedupe_comparison(spark, sf):
+    return _comparison(spark, sf)
+
+
+def q_result_file(spark, sf):
+    """The comparison written as a result file, and read again as a user would."""
+    table, path = _comparison(spark, sf), new_table_path(spark, "result")
+    write_result(table, path)
+    kinds = {n: t for n, t in table.dtypes if t != "string"}
+    return read_flows(spark, path, types=kinds).select(*table.columns)
+
+
 def q_window_sweep(spark, sf):
     return search.window_sweep(event_view(spark, sf), (4, 16, 64))
 
@@ -289,19 +323,27 @@ def q_config_ranking(spark, sf):
 
 
 def q_trial_log(spark, sf):
-    return search.search_trials(event_view(spark, sf))
+    return search.search_trials(event_view(spark, sf), SEARCH_WINDOW)
 
 
 def q_best_config(spark, sf):
-    trials = search.search_trials(event_view(spark, sf))
+    trials = search.search_trials(event_view(spark, sf), SEARCH_WINDOW)
     searched = trials.where(F.col("mode") == "filter+exact")
     return r.best_config(searched, ["error_rate", "capacity"], "score")
 
 
 def q_best_partitioned_config(spark, sf):
-    trials = search.search_trials(event_view(spark, sf))
+    trials = search.search_trials(event_view(spark, sf), SEARCH_WINDOW)
     searched = trials.where(F.col("mode") == "partitioned filter+exact")
-    return r.best_config(searched, ["error_rate", "capacity", "workers"], "score")
+    return r.best_config(searched, ["error_rate", "capacity", "workers"], "speedup")
+
+
+def q_confirm_search(spark, sf):
+    """Searched on the validation slice of the time order, confirmed on all records."""
+    view = event_view(spark, sf, keep=["ts"])
+    marked = chronological_split(*dense_index(view, ["ts", "seq"]))
+    slice_ = marked.where(F.col("split") == "validation").select("seq", "tenant", "log_type", "fp")
+    return search.confirm_search(slice_, view.drop("ts"), SEARCH_WINDOW)
 
 
 def q_efficiency_report(spark, sf):

@@ -236,12 +236,12 @@ def report(by: str = "") -> str:
       {share('fp', '(fp + tn)')} AS far"""
 
 
-def pressured(rate: float, name: str, seed: int = 42) -> str:
+def pressured(rate: float, name: str, seed: int = 42, source: str = "flows") -> str:
     """`name`: the view with int(rate * n) drawn copies, in hashed order."""
-    return f"""{name}_base AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM flows),
+    return f"""{name}_base AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM {source}),
 {name}_draws AS (
   SELECT n + d AS row, {number(f"'draw{seed}'", 'd')} % n AS i
-  FROM (SELECT count(*) AS n FROM flows), unnest(range(CAST(floor(n * {rate}) AS BIGINT))) AS t(d)),
+  FROM (SELECT count(*) AS n FROM {source}), unnest(range(CAST(floor(n * {rate}) AS BIGINT))) AS t(d)),
 {name}_rows AS (
   SELECT i AS row, seq AS origin, tenant, fp FROM {name}_base
   UNION ALL
@@ -251,47 +251,106 @@ def pressured(rate: float, name: str, seed: int = 42) -> str:
   FROM {name}_rows)"""
 
 
-def trials() -> str:
-    """Trials of the bounded search, one branch per rate and setting."""
-    ctes, rows = [], []
-    for i, rate in enumerate(search.DUPLICATE_RATES):
-        p = f"p{i}"
-        ctes.append(pressured(rate, p))
-        ctes.append(f"{p}_n AS (SELECT count(*) AS total, count(DISTINCT fp) AS uniques FROM {p})")
-        for mode, evaluations in (("no dedupe", "total"), ("global exact", "uniques")):
-            rows.append(
-                f"""SELECT CAST({rate} AS DOUBLE) AS duplicate_rate, '{mode}' AS mode, CAST(NULL AS DOUBLE) AS error_rate,
-                CAST(NULL AS INTEGER) AS capacity, 1 AS workers, {evaluations} AS evaluations,
-                CAST(0 AS BIGINT) AS false_positives, total, uniques FROM {p}_n"""
-            )
-        for j, (error, capacity, workers) in enumerate(search.SEARCH_SETTINGS):
-            size = FilterSize.for_rate(capacity, error)
-            t = f"{p}_{j}"
-            worker = "0" if workers == 1 else slot("tenant", workers)
-            ctes.append(f"""{t}_firsts AS (
-  SELECT w, fp, min(seq) AS seq FROM (SELECT {worker} AS w, fp, seq FROM {p}) GROUP BY w, fp),
-{t}_bits AS (SELECT w, seq, unnest({positions('fp', size)}) AS bit FROM {t}_firsts),
-{t}_set AS (SELECT w, bit, min(seq) AS since FROM {t}_bits GROUP BY w, bit),
-{t}_hits AS (SELECT seq, max(since) < seq AS hit FROM {t}_bits JOIN {t}_set USING (w, bit) GROUP BY seq)""")
-            mode = "filter+exact" if workers == 1 else "partitioned filter+exact"
-            rows.append(
-                f"""SELECT CAST({rate} AS DOUBLE), '{mode}', CAST({error} AS DOUBLE), {capacity}, {workers},
-                (SELECT count(*) FROM {t}_hits),
-                (SELECT CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) FROM {t}_hits), total, uniques FROM {p}_n"""
-            )
-    rated = f"""rated AS (
-  SELECT * EXCLUDE (total, uniques), total AS total_records,
-    {pct('(total - evaluations)', 'total')} AS dedupe_rate_pct,
-    {pct('(evaluations - false_positives)', 'evaluations')} AS score,
-    {pct('(total - uniques)', 'total')} AS exact
-  FROM rows),
+FILTERS = list(dict.fromkeys((e, n) for e, n, _ in search.SEARCH_SETTINGS))
+
+
+def loaded(rates, source: str = "flows") -> str:
+    """`loaded`: the view at several duplicate rates, each a set of scopes of its own."""
+    parts = [pressured(rate, f"p{i}", source=source) for i, rate in enumerate(rates)]
+    rows = " UNION ALL ".join(
+        f"""SELECT CAST({rate} AS DOUBLE) AS duplicate_rate, seq + {i} * 100000000000 AS seq, '{i}:' || tenant AS rated, tenant, fp
+        FROM p{i}""" for i, rate in enumerate(rates)
+    )
+    return f"{', '.join(parts)}, loaded AS ({rows})"
+
+
+def filter_counts(window: int, rates, before: str, source: str) -> str:
+    """Accepted rows and false hits per rate and filter of the search."""
+    return " UNION ALL ".join(
+        f"""SELECT * FROM (WITH RECURSIVE {before}, {loaded(rates, source)},
+        {screened(window, window, positions('fp', FilterSize.for_rate(n, e)), by='rated', source='loaded')}
+        SELECT {i} AS f, duplicate_rate, CAST(sum(CASE WHEN is_dup THEN 0 ELSE 1 END) AS BIGINT) AS evaluations,
+          CAST(sum({FALSE_HIT}) AS BIGINT) AS false_positives FROM flagged GROUP BY duplicate_rate)"""
+        for i, (e, n) in enumerate(FILTERS)
+    )
+
+
+def trials(window: int, before: str = FLOWS, source: str = "flows") -> str:
+    """CTEs up to `trials`: the bounded search, in its order."""
+    rates = sorted(search.DUPLICATE_RATES)
+    counts = sorted({w for _, _, w in search.SEARCH_SETTINGS})
+    load = " UNION ALL ".join(
+        f"""SELECT duplicate_rate, {w} AS workers, max(n) AS largest_worker FROM (
+          SELECT duplicate_rate, {'0' if w == 1 else slot('tenant', w)} AS worker, count(*) AS n FROM loaded GROUP BY ALL)
+        GROUP BY duplicate_rate""" for w in counts
+    )
+    settings = [("no dedupe", None, None, 1, None), ("global exact", None, None, 1, None)] + [
+        ("filter+exact" if w == 1 else "partitioned filter+exact", e, n, w, FILTERS.index((e, n))) for e, n, w in search.SEARCH_SETTINGS
+    ]
+    null = {None: "NULL"}
+    listed = ", ".join(f"({i}, '{m}', {null.get(e, e)}, {null.get(n, n)}, {w}, {null.get(f, f)})" for i, (m, e, n, w, f) in enumerate(settings))
+    order = " ".join(f"WHEN {rate} THEN {i}" for i, rate in enumerate(rates))
+    return f"""{before}, {loaded(rates, source)},
+counts AS ({filter_counts(window, rates, before, source)}),
+load AS ({load}),
+settings AS (SELECT * FROM (VALUES {listed}) AS t(place, mode, error_rate, capacity, workers, f)),
+totals AS (SELECT duplicate_rate, count(*) AS total, count(DISTINCT fp) AS uniques FROM loaded GROUP BY duplicate_rate),
+rated AS (
+  SELECT CAST((CASE duplicate_rate {order} END) * {len(settings)} + place + 1 AS INTEGER) AS trial_id, mode, duplicate_rate,
+    CAST(error_rate AS DOUBLE) AS error_rate, CAST(capacity AS INTEGER) AS capacity, CAST(workers AS INTEGER) AS workers,
+    (SELECT count(*) FROM {source}) AS rows_before, total AS rows_after, total AS total_records,
+    coalesce(evaluations, CASE mode WHEN 'no dedupe' THEN total ELSE uniques END) AS evaluations,
+    coalesce(false_positives, 0) AS false_positives, largest_worker, uniques
+  FROM totals CROSS JOIN settings JOIN load USING (duplicate_rate, workers) LEFT JOIN counts USING (duplicate_rate, f)),
+scored AS (
+  SELECT * EXCLUDE (uniques), {pct('(total_records - evaluations)', 'total_records')} AS dedupe_rate_pct,
+    {pct('(evaluations - false_positives)', 'evaluations')} AS score, {pct('total_records', 'largest_worker * 100')} AS speedup,
+    {pct('(total_records - uniques)', 'total_records')} AS exact FROM rated),
 trials AS (
   SELECT * EXCLUDE (exact), NOT abs(dedupe_rate_pct - exact) > 5.0 AS valid,
     CASE WHEN abs(dedupe_rate_pct - exact) > 5.0
          THEN printf('%.2f points away from the rate of exact dedupe', abs(dedupe_rate_pct - exact)) ELSE '' END AS notes
-  FROM rated)"""
-    union = " UNION ALL ".join(rows)
-    return f"WITH {FLOWS}, {', '.join(ctes)}, rows AS ({union}), {rated}"
+  FROM scored)"""
+
+
+def best(mode: str, config: str, metric: str) -> str:
+    return f"""SELECT {config}, round_even(avg({metric}), 4) AS mean_{metric} FROM trials WHERE valid AND mode = '{mode}'
+      GROUP BY {config} ORDER BY mean_{metric} DESC, {config} LIMIT 1"""
+
+
+def confirmed(window: int) -> str:
+    """The winners of a search on the validation slice, on the whole table at the rate of the confirmation."""
+    slice_ = f"""{FLOWS}, placed AS (SELECT *, row_number() OVER (ORDER BY ts, seq) - 1 AS idx, count(*) OVER () AS n FROM flows),
+slice AS (SELECT * FROM placed WHERE idx >= n * 7 // 10 AND idx < n * 8 // 10)"""
+    rate = search.CONFIRM_RATE
+    worker = " ".join(f"WHEN {w} THEN {slot('tenant', w)}" for _, _, w in search.SEARCH_SETTINGS if w > 1)
+    filters = ", ".join(f"({i}, {e}, {n})" for i, (e, n) in enumerate(FILTERS))
+    branches = (
+        ("no dedupe", "total", "0", "NULL", "NULL", "1", "total"),
+        ("global exact", "uniques", "0", "NULL", "NULL", "1", "total"),
+        ("filter+exact", "evaluations", "false_positives", "error_rate", "capacity", "1", "total"),
+        ("partitioned filter+exact", "evaluations", "false_positives", "error_rate", "capacity", "workers", "busiest"),
+    )
+    rows = " UNION ALL ".join(
+        f"""SELECT '{name}' AS algorithm, total AS total_records, total - {kept} AS duplicates, CAST({hits} AS BIGINT) AS false_positives,
+        {kept} AS evaluations, {pct(f'(total - {kept})', 'total')} AS dedupe_rate_pct,
+        {rounded(f'{kept} * 50', '100')} / CAST(10000 AS DOUBLE) AS downstream_s,
+        {rounded('total * 200000', f'greatest({kept}, 2)')} / CAST(10 AS DOUBLE) AS downstream_rec_s,
+        CAST({error} AS DOUBLE) AS error_rate, CAST({capacity} AS INTEGER) AS capacity, CAST({workers} AS INTEGER) AS workers,
+        {largest} AS largest_worker FROM chosen"""
+        for name, kept, hits, error, capacity, workers, largest in branches
+    )
+    return f"""WITH RECURSIVE {trials(window, slice_, 'slice')},
+plain AS ({best('filter+exact', 'error_rate, capacity', 'score')}),
+spread AS (SELECT workers FROM ({best('partitioned filter+exact', 'error_rate, capacity, workers', 'speedup')})),
+full_counts AS ({filter_counts(window, [rate], FLOWS, 'flows')}),
+{pressured(rate, 'whole')},
+chosen AS (
+  SELECT *, (SELECT count(*) FROM whole) AS total, (SELECT count(DISTINCT fp) FROM whole) AS uniques,
+    (SELECT max(n) FROM (SELECT count(*) AS n FROM whole GROUP BY CASE workers {worker} END)) AS busiest
+  FROM plain, spread, full_counts JOIN (VALUES {filters}) AS t(f, e, n) USING (f)
+  WHERE CAST(e AS DOUBLE) = error_rate AND n = capacity)
+{rows}"""
 
 
 def config_rows() -> str:
@@ -374,12 +433,23 @@ def oracle_sql() -> dict[str, str]:
           {verdict}, outcome FROM flagged""",
         "dedupe_partitioned_stats": f"""{rotating},
           routed AS (SELECT *, {slot('tenant', c.WORKERS)} AS worker_id FROM flagged)
-          {stats('routed', 'worker_id', FALSE_HIT)} UNION ALL {stats('routed', '', FALSE_HIT, '-1 AS worker_id, ')}""",
+          SELECT *, total_records AS largest_worker FROM ({stats('routed', 'worker_id', FALSE_HIT)}) UNION ALL
+          SELECT *, (SELECT max(n) FROM (SELECT count(*) AS n FROM routed GROUP BY worker_id)) AS largest_worker
+          FROM ({stats('routed', '', FALSE_HIT, '-1 AS worker_id, ')})""",
         "route_records": f"""{flows} SELECT seq, {slot('tenant', c.WORKERS)} AS by_tenant,
           {slot('fp', c.WORKERS)} AS by_hash, {slot("'42:' || seq", c.WORKERS)} AS by_random, 0 AS single FROM flows""",
         "dedupe_two_level": f"""{flows}, routed AS (SELECT *, {slot("'42:' || seq", c.WORKERS)} AS worker_id FROM flows)
           SELECT seq, tenant, worker_id, row_number() OVER (PARTITION BY fp ORDER BY seq) > 1 AS is_dup,
             row_number() OVER (PARTITION BY worker_id, fp ORDER BY seq) > 1 AS local_repeat FROM routed""",
+        "dedupe_two_level_null_seq": f"""{flows}, numbered AS (
+            SELECT CASE k WHEN 5 THEN seq - 1 WHEN 3 THEN NULL ELSE seq END AS seq, tenant, {slot('fp', c.WORKERS)} AS worker_id, fp
+            FROM flows)
+          SELECT seq, tenant, worker_id, seq IS NOT NULL AND seq NOT IN (
+              SELECT min(seq) FROM numbered WHERE seq IS NOT NULL GROUP BY fp) AS is_dup,
+            seq IS NOT NULL AND seq NOT IN (
+              SELECT min(seq) FROM numbered WHERE seq IS NOT NULL GROUP BY worker_id, fp) AS local_repeat FROM numbered""",
+        "dedupe_policy": f"""{flows}, apart AS (SELECT *, tenant || '/' || destination AS place FROM flows),
+          {fifo(4, 'place', 'apart')} {verdict} FROM flagged""",
         "dedupe_arrival_lookback": f"""{flows}, pos AS (
           SELECT *, row_number() OVER (PARTITION BY tenant, log_type ORDER BY seq) AS p FROM flows)
           SELECT seq, tenant, {lookback(f"p - {lagged('p')}", w)} AS is_dup FROM pos""",
@@ -419,13 +489,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "config_matrix": f"{flows} {config_rows()}",
         "config_ranking": f"{flows} SELECT * FROM ({config_rows()}) ORDER BY dup_rate_pct DESC, config",
-        "trial_log": f"{trials()} SELECT * FROM trials",
-        "best_config": f"""{trials()} SELECT error_rate, capacity, round_even(avg(score), 4) AS mean_score FROM trials
-          WHERE valid AND mode = 'filter+exact' GROUP BY error_rate, capacity
-          ORDER BY mean_score DESC, error_rate, capacity LIMIT 1""",
-        "best_partitioned_config": f"""{trials()} SELECT error_rate, capacity, workers, round_even(avg(score), 4) AS mean_score
-          FROM trials WHERE valid AND mode = 'partitioned filter+exact' GROUP BY error_rate, capacity, workers
-          ORDER BY mean_score DESC, error_rate, capacity, workers LIMIT 1""",
+        "trial_log": f"WITH RECURSIVE {trials(c.SEARCH_WINDOW)} SELECT * FROM trials",
+        "best_config": f"""WITH RECURSIVE {trials(c.SEARCH_WINDOW)} {best('filter+exact', 'error_rate, capacity', 'score')}""",
+        "best_partitioned_config": f"""WITH RECURSIVE {trials(c.SEARCH_WINDOW)}
+          {best('partitioned filter+exact', 'error_rate, capacity, workers', 'speedup')}""",
+        "confirm_search": confirmed(c.SEARCH_WINDOW),
         "efficiency_report": f"""{two_stage} SELECT total_records, round_even(total_records / CAST(2 AS DOUBLE), 2) AS throughput_rec_s,
           round_even(CAST(2000000 AS DOUBLE) / total_records, 2) AS avg_latency_us, dedupe_rate_pct AS dedup_rate_pct,
           {pct('false_positives', 'total_records')} AS bloom_fp_rate_pct FROM ({stats('flagged', '', FALSE_HIT)})""",
@@ -488,4 +556,5 @@ def oracle_sql() -> dict[str, str]:
           FROM ({stats(f'({rows})', '', false_hits)})"""
         for name, (rows, false_hits) in branches.items()
     )
+    sql["result_file"] = sql["dedupe_comparison"]
     return sql

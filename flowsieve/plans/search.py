@@ -8,19 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.records import SCOPE
-from ..operators.dedupe import (
-    FilterSize,
-    dedupe_filter_only,
-    dedupe_global_exact,
-    dedupe_none,
-    dedupe_two_stage,
-    first_seen,
-    filter_misses,
+from ..operators.dedupe import FilterSize, dedupe_filter_only, dedupe_none, first_seen, filter_misses
+from ..operators.ordering import dense_index
+from ..operators.report import best_config, comparison, dedupe_stats, exact_stats, percent, trial_log, verdict_stats
+from ..operators.routing import dedupe_two_level, partition_rollup, route, worker_column
+from ..operators.windowed import (
+    fifo_setting,
+    many_counts,
+    many_verdicts,
+    rotating_setting,
+    rotating_verdicts,
+    sweep_counts,
+    worker_setting,
 )
-from ..operators.report import comparison, count_where, dedupe_stats, percent, trial_log
-from ..operators.routing import dedupe_two_level, route, worker_column
-from ..operators.windowed import fifo_setting, rotating_setting, sweep_counts, worker_setting
-from ..operators.workload import duplicate_pressure
+from ..operators.workload import draw_order, draw_rows, duplicate_pressure
 from ..session import written
 
 # The ten configurations (workers, routing, filter capacity,
@@ -108,20 +109,25 @@ def config_matrix(view: DataFrame, window: int = 100_000) -> DataFrame:
 
 
 def window_sweep(view: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Dedupe rate per window size, for both window semantics, in one run."""
+    """Dedupe rate per window size, for both window semantics, in one pass over the records."""
     kinds = {"fifo": fifo_setting, "rotating": rotating_setting}
-    settings = {f"{kind}/{w}": make(w) for kind, make in kinds.items() for w in windows}
-    counts = sweep_counts(_copies(view, {name: {} for name in settings}), settings)
-    name = F.split("setting", "/")
-    duplicates = F.col("total_records") - F.col("evaluations")
-    return counts.select(
-        name[0].alias("semantics"),
-        name[1].cast("int").alias("window_size"),
-        "total_records",
-        duplicates.alias("duplicates"),
-        "false_positives",
-        "evaluations",
-        percent(duplicates, F.col("total_records")).alias("dedupe_rate_pct"),
+    names = [(kind, w) for kind in kinds for w in windows]
+    found = many_verdicts(view, [kinds[kind](w) for kind, w in names])
+    named = F.array(*[F.struct(F.lit(kind).alias("semantics"), F.lit(w).alias("window_size")) for kind, w in names])
+    # Two numbers of the whole table; rows without an arrival number are accepted everywhere.
+    total, placeless = view.agg(F.count("*"), F.count_if(F.col("seq").isNull())).first()
+    accepted = F.col("evaluations") + placeless
+    return (
+        many_counts(found, len(names))
+        .withColumn("_s", named[F.col("window")])
+        .select(
+            "_s.*",
+            F.lit(total).cast("bigint").alias("total_records"),
+            (total - accepted).alias("duplicates"),
+            "false_positives",
+            accepted.alias("evaluations"),
+            percent(total - accepted, F.lit(total).cast("bigint")).alias("dedupe_rate_pct"),
+        )
     )
 
 
@@ -159,100 +165,156 @@ def filter_error_sweep(
     )
 
 
-def search_trials(view: DataFrame, rates: Sequence[float] = DUPLICATE_RATES) -> DataFrame:
-    """Trials of the bounded search: anchors, filter settings, worker counts.
+def pressured_rates(view: DataFrame, rates: Sequence[float], keep: Sequence[str]) -> tuple[DataFrame, int, list[tuple[float, int]]]:
+    """`duplicate_pressure` at several rates in one table, the rows without it, and the rows of each rate.
 
-    Every worker has one filter in front of its exact check. All settings of
-    all duplicate rates go through one plan: each row counts once per worker
-    count, each first arrival once per filter size. The score is the share of
-    accepted rows that need no exact check, which is repeatable where a
-    measured throughput is not.
+    The table is numbered once; a draw has the same number at every rate, so the
+    draws of a lower rate are the first ones of a higher rate. All rates are put
+    in order together: `seq` ascends within a rate, and rates follow each other.
     """
-    pressured = written(
-        reduce(
-            DataFrame.unionByName,
-            [
-                duplicate_pressure(view, d).select("seq", "tenant", "fp", F.lit(d).alias("duplicate_rate"))
-                for d in rates
-            ],
-        ),
-        "pressured",
-    )
-    by = ["duplicate_rate", "workers", "worker_id"]
-    places = F.array(
-        *[
-            F.struct(F.lit(w).alias("workers"), worker_column(w).alias("worker_id"))
-            for w in sorted({w for _, _, w in SEARCH_SETTINGS})
-        ]
-    )
-    placed = pressured.select("duplicate_rate", "fp", "seq", F.explode(places).alias("p"))
-    firsts = written(first_seen(placed.select("duplicate_rate", "p.*", "fp", "seq"), [*by, "fp"]), "firsts")
-    misses = []
-    for workers_match, settings in (
-        (F.col("workers") == 1, [s for s in SEARCH_SETTINGS if s[2] == 1]),
-        (F.col("workers") > 1, [s for s in SEARCH_SETTINGS if s[2] > 1]),
-    ):
-        sizes = {f"{e}/{c}": FilterSize.for_rate(c, e) for e, c, _ in settings}
-        misses.append(filter_misses(firsts.where(workers_match), by, sizes))
-    known = (
-        reduce(DataFrame.unionByName, misses)
-        .groupBy("duplicate_rate", "workers", "setting")
-        .agg(F.count("*").alias("misses"))
-    )
-    accepted = firsts.groupBy("duplicate_rate", "workers").agg(F.count("*").alias("evaluations"))
-    setting = F.split("setting", "/")
-    trials = known.join(accepted, ["duplicate_rate", "workers"]).select(
-        "duplicate_rate",
-        F.when(F.col("workers") == 1, "filter+exact").otherwise("partitioned filter+exact").alias("mode"),
-        setting[0].cast("double").alias("error_rate"),
-        setting[1].cast("int").alias("capacity"),
-        "workers",
-        "evaluations",
-        (F.col("evaluations") - F.col("misses")).alias("false_positives"),
+    base, n = dense_index(view.select("seq", *keep), ["seq"], out="_i")
+    sizes = [(rate, n + int(n * rate)) for rate in sorted(rates)]
+    most = max(size for _, size in sizes) - n
+    draws = draw_rows(view.sparkSession, n, most)
+    rows = base.withColumn("_row", F.col("_i")).unionByName(draws.join(base, "_i")).select("_row", *keep)
+    held = [F.when(F.col("_row") < size, F.lit(float(rate))) for rate, size in sizes]
+    loaded = rows.withColumn("duplicate_rate", F.explode(F.array_compact(F.array(*held))))
+    ordered = loaded.withColumn("_h", draw_order(F.col("_row")))
+    return dense_index(ordered, ["duplicate_rate", "_h", "_row"], out="seq")[0].drop("_h", "_row"), n, sizes
+
+
+def search_trials(view: DataFrame, window: int = 100_000, rates: Sequence[float] = DUPLICATE_RATES) -> DataFrame:
+    """Trials of the bounded search, numbered in its order: per duplicate rate two anchors, filter settings, worker counts.
+
+    A trial is the windowed two-stage dedupe per tenant and log type: a filter
+    that is emptied every `window` insertions before a cache of `window`
+    fingerprints. Routing by tenant keeps a scope on one worker, so the worker
+    count moves no verdict, only how much the busiest worker has to do. All filter
+    settings of all rates are windows over one log of arrivals, and the rate is
+    part of the scope: one pass serves the search. Trials whose dedupe rate is
+    more than five points from that of an exact dedupe without scope and window
+    are invalid: there the window forgets too much.
+
+    Scores are counts, since a measured throughput is not repeatable: `score` is
+    the share of accepted rows that need no exact check, `speedup` how many
+    times fewer records the busiest worker has than one worker would.
+    """
+    loaded, n, sizes = pressured_rates(view, rates, [*SCOPE, "fp"])
+    loaded = written(loaded, "pressured")
+    filters = list(dict.fromkeys((e, c) for e, c, _ in SEARCH_SETTINGS))
+    bits = {i: FilterSize.for_rate(c, e) for i, (e, c) in enumerate(filters)}
+    settings = [rotating_setting(window, size) for size in bits.values()]
+    found = many_verdicts(loaded, settings, ["duplicate_rate", *SCOPE], bits)
+    ends, rate = 0, F
+    for d, size in sizes:  # rates lie one behind the other in the arrival numbers
+        ends += size
+        rate = rate.when(F.col("seq") < ends, F.lit(float(d)))
+    counts = many_counts(found, len(filters), [rate.alias("duplicate_rate")])
+
+    workers = sorted({w for _, _, w in SEARCH_SETTINGS})
+    places = F.array(*[F.struct(F.lit(w).alias("workers"), worker_column(w).alias("worker_id")) for w in workers])
+    load = (
+        loaded.select("duplicate_rate", F.explode(places).alias("p"))
+        .groupBy("duplicate_rate", "p")
+        .agg(F.count("*").alias("n"))
+        .groupBy("duplicate_rate", F.col("p.workers").alias("workers"))
+        .agg(F.max("n").alias("largest_worker"))
     )
-    nothing = F.lit(0).cast("bigint")
     exact = (
-        firsts.where(F.col("workers") == 1)
+        loaded.groupBy("duplicate_rate", "fp")
+        .agg(F.count("*").alias("n"))
         .groupBy("duplicate_rate")
-        .agg(F.countDistinct("fp").alias("evaluations"))
+        .agg(F.sum("n").cast("bigint").alias("total_records"), F.count("*").alias("unique_records"))
     )
-    totals = pressured.groupBy("duplicate_rate").agg(F.count("*").alias("total_records"))
-    anchors = [
-        frame.select(
-            "duplicate_rate",
+    listed = [
+        F.struct(
+            F.lit(place).alias("place"),
             F.lit(mode).alias("mode"),
-            F.lit(None).cast("double").alias("error_rate"),
-            F.lit(None).cast("int").alias("capacity"),
-            F.lit(1).alias("workers"),
-            count.alias("evaluations"),
-            nothing.alias("false_positives"),
+            F.lit(e).cast("double").alias("error_rate"),
+            F.lit(c).cast("int").alias("capacity"),
+            F.lit(w).alias("workers"),
+            F.lit(i).cast("int").alias("window"),
         )
-        for mode, frame, count in (
-            ("no dedupe", totals, F.col("total_records")),
-            ("global exact", exact, F.col("evaluations")),
+        for place, (mode, e, c, w, i) in enumerate(
+            [("no dedupe", None, None, 1, None), ("global exact", None, None, 1, None)]
+            + [
+                ("filter+exact" if w == 1 else "partitioned filter+exact", e, c, w, filters.index((e, c)))
+                for e, c, w in SEARCH_SETTINGS
+            ]
         )
     ]
-    duplicates = F.col("total_records") - F.col("evaluations")
-    rated = (
-        reduce(DataFrame.unionByName, [trials, *anchors])
-        .join(totals, "duplicate_rate")
-        .withColumn("dedupe_rate_pct", percent(duplicates, F.col("total_records")))
-        .withColumn("score", percent(F.col("evaluations") - F.col("false_positives"), F.col("evaluations")))
+    order = reduce(lambda c, x: c.when(F.col("duplicate_rate") == float(x[1]), x[0]), enumerate(sorted(rates)), F)
+    plain = F.when(F.col("mode") == "no dedupe", F.col("total_records")).otherwise(F.col("unique_records"))
+    trials = (
+        exact.withColumn("_t", F.explode(F.array(*listed)))
+        .select("*", "_t.*")
+        .drop("_t")
+        .join(F.broadcast(counts), ["duplicate_rate", "window"], "left")  # a row per rate and filter
+        .join(F.broadcast(load), ["duplicate_rate", "workers"])  # a row per rate and worker count
+        .withColumn("evaluations", F.coalesce("evaluations", plain))
+        .withColumn("false_positives", F.coalesce("false_positives", F.lit(0)).cast("bigint"))
     )
-    anchor = exact.join(totals, "duplicate_rate").select(
-        "duplicate_rate", percent(duplicates, F.col("total_records")).alias("_exact")
+    total, accepted = F.col("total_records"), F.col("evaluations")
+    rated = trials.select(
+        (order * len(listed) + F.col("place") + 1).cast("int").alias("trial_id"),
+        "mode",
+        "duplicate_rate",
+        "error_rate",
+        "capacity",
+        "workers",
+        F.lit(n).cast("bigint").alias("rows_before"),
+        total.alias("rows_after"),
+        total.alias("total_records"),
+        "evaluations",
+        "false_positives",
+        "largest_worker",
+        percent(total - accepted, total).alias("dedupe_rate_pct"),
+        percent(accepted - F.col("false_positives"), accepted).alias("score"),
+        percent(total, F.col("largest_worker") * 100).alias("speedup"),
+        percent(total - F.col("unique_records"), total).alias("_exact"),
     )
-    return trial_log(rated.join(anchor, "duplicate_rate"), F.col("_exact")).drop("_exact")
+    return trial_log(rated, F.col("_exact")).drop("_exact")
+
+
+def best_settings(trials: DataFrame) -> tuple[tuple[float, int], int]:
+    """The winners of the search: a filter's error rate and capacity by `score`, a worker count by `speedup`."""
+    plain = best_config(trials.where(F.col("mode") == "filter+exact"), ["error_rate", "capacity"], "score").first()
+    spread = best_config(
+        trials.where(F.col("mode") == "partitioned filter+exact"), ["error_rate", "capacity", "workers"], "speedup"
+    ).first()
+    if plain is None or spread is None:
+        raise ValueError("no valid trial: the window is too small for these records")
+    return (plain["error_rate"], plain["capacity"]), spread["workers"]
+
 
+def confirm_search(searched: DataFrame, view: DataFrame, window: int = 100_000, rate: float = CONFIRM_RATE) -> DataFrame:
+    """Search on one table, then the winners head to head with the anchors on another: two rows of winners pass the driver."""
+    trials = written(search_trials(searched, window), "trials")
+    (error_rate, capacity), workers = best_settings(trials)
+    return confirm(view, error_rate, capacity, workers, window, rate)
 
-def confirm(view: DataFrame, error_rate: float, capacity: int, workers: int, rate: float = CONFIRM_RATE) -> DataFrame:
+
+def confirm(
+    view: DataFrame, error_rate: float, capacity: int, workers: int, window: int = 100_000, rate: float = CONFIRM_RATE
+) -> DataFrame:
     """The chosen settings head to head with the anchors on one workload."""
-    loaded = route(written(duplicate_pressure(view, rate), "confirm"), workers)
-    size = FilterSize.for_rate(capacity, error_rate)
+    loaded = written(route(duplicate_pressure(view, rate), workers), "confirm")
+    found = written(rotating_verdicts(loaded, window, FilterSize.for_rate(capacity, error_rate)), "confirm-verdicts")
+    none = exact_stats(loaded, ["seq"])
+    split = partition_rollup(loaded, found).where(F.col("worker_id") == -1)
     runs: Mapping[str, DataFrame] = {
-        "no dedupe": dedupe_none(loaded),
-        "global exact": dedupe_global_exact(loaded),
-        "filter+exact": dedupe_two_stage(loaded, size, []),
-        "partitioned filter+exact": dedupe_two_stage(loaded, size, ["worker_id"]),
+        "no dedupe": none,
+        "global exact": exact_stats(loaded, ["fp"]),
+        "filter+exact": verdict_stats(loaded, found),
+        "partitioned filter+exact": split.drop("worker_id", "largest_worker"),
     }
-    return comparison(runs)
+    busiest = split.select("largest_worker").first()[0]
+    searched = F.col("algorithm").contains("filter")
+    spread = F.col("algorithm").startswith("partitioned")
+    return comparison(runs).select(
+        "*",
+        F.when(searched, F.lit(error_rate)).alias("error_rate"),
+        F.when(searched, F.lit(capacity)).alias("capacity"),
+        F.when(spread, F.lit(workers)).otherwise(1).alias("workers"),
+        F.when(spread, F.lit(busiest)).otherwise(F.col("total_records")).cast("bigint").alias("largest_worker"),
+    )

@@ -4,8 +4,9 @@ import pytest
 from oracle_check import connect, differences
 
 import __spark_entry__ as entry
+from flowsieve.plans import catalog, oracle
 
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -13,17 +14,16 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf, con, name):
-    df = entry.queries()[name](spark, sf)
-    if name in SQL:
-        assert differences(df, con, SQL[name]) is None
-    else:
-        assert df.count() > 0
+    df = catalog.queries()[name](spark, sf)
+    assert differences(df, con, SQL[name]) is None
 
 
-def test_only_these_have_no_sql_twin():
-    assert set(entry.queries()) - set(SQL) == {"forecast_linear", "stream_ttl_dedupe"}
+def test_every_query_has_a_sql_twin_and_is_registered():
+    """The text operators, where they are present, are tested beside them."""
+    assert set(catalog.queries()) == set(SQL)
+    assert set(SQL) <= set(entry.oracle_sql()) and set(catalog.queries()) <= set(entry.queries())
 
 
 def test_entry(spark):
