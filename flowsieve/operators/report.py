@@ -13,8 +13,6 @@ from ..functions.records import SCOPE
 DOWNSTREAM_MICROS = 50  # per accepted record
 SHORTEST_MICROS = 100
 RATE_TOLERANCE = 5.0  # points a trial may differ from the exact rate
-BYTES_PER_FINGERPRINT = 32
-BYTES_PER_QUEUE_SLOT = 8
 
 
 def count_where(condition: Column) -> Column:
@@ -124,19 +122,15 @@ def scan_cost(stats: DataFrame) -> DataFrame:
     return stats.withColumn("scan_comparisons", u * (u + 1) / 2)
 
 
-def state_size(flagged: DataFrame, window: int, filter_bits: int = 0, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Scopes, cached fingerprints and bytes of a FIFO window after the run."""
-    cached = F.least(F.lit(window), F.col("accepted"))
-    return (
-        flagged.groupBy(*scope)
-        .agg(count_where(~F.col("is_dup")).alias("accepted"))
-        .agg(
-            F.count("*").alias("scopes"),
-            F.sum(cached).cast("bigint").alias("cached_fingerprints"),
-            F.sum(cached * (BYTES_PER_FINGERPRINT + BYTES_PER_QUEUE_SLOT) + (filter_bits + 7) // 8)
-            .cast("bigint")
-            .alias("state_bytes"),
-        )
+def state_size(windows: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Scopes, fingerprints and bytes of stored windows: rows (scope, seq, fp), as a run leaves them behind."""
+    per_scope = windows.groupBy(*scope).agg(
+        F.count("*").alias("cached"), F.sum(F.octet_length("fp") + 8).alias("bytes")  # a number beside each fingerprint
+    )
+    return per_scope.agg(
+        F.count("*").alias("scopes"),
+        F.coalesce(F.sum("cached"), F.lit(0)).cast("bigint").alias("cached_fingerprints"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("state_bytes"),
     )
 
 

@@ -439,3 +439,14 @@ def continue_key(key: tuple, frames, state, ttl_micros: int, time: str):
     for f in held:
         yield f.assign(is_dup=verdicts[start : start + len(f)])
         start += len(f)
+
+
+def expire_key(key: tuple, frames, state, ttl_micros: int, time: str):
+    """`continue_key`, and the end of a key's state once the watermark has passed it by the time to live."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    yield from continue_key(key, frames, state, ttl_micros, time)
+    if state.exists:
+        # A row at exactly the time to live is still a repeat.
+        state.setTimeoutTimestamp((state.get[0] + ttl_micros) // 1000 + 1)

@@ -28,7 +28,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import partial, reduce
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.records import SCOPE, digest_bytes, quoted
 from ..session import new_table_path, task_count, written
@@ -378,6 +378,19 @@ for _name, _policy in {
     register_dedupe(_name, _policy)
 
 
+def last_accepted(
+    df: DataFrame, verdicts: DataFrame, window: int, scope: Sequence[str] = SCOPE, seq: str = "seq"
+) -> DataFrame:
+    """The windows after the last row, as rows (scope, seq, fp): each scope's last `window` accepted ones.
+
+    Tasks keep a scope's last rows each before these meet.
+    """
+    kept = df.select(*scope, seq, "fp").join(verdicts.select(F.col("seq").alias(seq)), seq)
+    newest = Window.partitionBy(*scope).orderBy(F.desc(seq))
+    placed = kept.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= window)
+    return placed.select(*scope, seq, "fp")
+
+
 # ------------------------------------------------------------------- sweeps
 
 

@@ -274,7 +274,9 @@ def q_dedupe_scan_cost(spark, sf):
 
 
 def q_dedupe_state_size(spark, sf):
-    return r.state_size(w.dedupe_scoped_fifo(event_view(spark, sf), WINDOW), WINDOW, FILTER.bits)
+    """Of the windows as they stand after the last record."""
+    view = event_view(spark, sf)
+    return r.state_size(w.last_accepted(view, w.fifo_verdicts(view, WINDOW), WINDOW))
 
 
 def _comparison(spark, sf):

@@ -469,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_scan_cost": f"""{flows}, flagged AS ({first_seen('fp')})
           SELECT *, CAST(evaluations AS DOUBLE) * (evaluations + 1) / 2 AS scan_comparisons FROM ({stats('flagged')})""",
         "dedupe_state_size": f"""{fifo_rows} SELECT count(*) AS scopes, CAST(sum(cached) AS BIGINT) AS cached_fingerprints,
-          CAST(sum(cached * 40 + {(f.bits + 7) // 8}) AS BIGINT) AS state_bytes FROM (
+          CAST(sum(cached * 40) AS BIGINT) AS state_bytes FROM (
             SELECT tenant, least({w}, count(*)) AS cached FROM flagged WHERE NOT is_dup GROUP BY tenant)""",
         "window_sweep": f"WITH RECURSIVE {FLOWS} " + " UNION ALL ".join(
             f"""SELECT '{name}' AS semantics, {size} AS window_size, * FROM (
@@ -528,10 +528,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_fifo": f"{fifo_rows} {verdict}, destination FROM flagged",
         "stream_ttl_dedupe": f"""{flows} SELECT seq, tenant,
           {lookback(f"epoch_us(ts) - {lagged('epoch_us(ts)')}", c.TTL_SECONDS * 1_000_000)} AS is_dup FROM flows""",
+        "stream_fifo_state": f"{fifo_rows} {verdict} FROM flagged",
         "stream_rotating": f"{rotating} {verdict}, outcome FROM flagged",
         "stream_signature_rules": f"{flows} SELECT seq, {SIGNATURE} AS signature FROM flows",
         "stream_dedupe_stats": f"{fifo_rows} {stats('flagged')}",
     }
+    sql["stream_ttl_bounded_state"] = sql["stream_ttl_dedupe"]
     sql["detector_comparison_csv"] = sql["detector_comparison"]
     settings = [(e, n) for e in (0.01, 0.05) for n in (1000, 5000)]
     sql["filter_error_sweep"] = f"{flows}, firsts AS (SELECT fp, min(seq) AS seq FROM flows GROUP BY fp) " + " UNION ALL ".join(

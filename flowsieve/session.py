@@ -55,13 +55,40 @@ def release_tables(spark: SparkSession) -> int:
 
     For use once the results that read them have been stored.
     """
-    hadoop, released = spark._jvm.org.apache.hadoop.fs.Path, 0
+    released = 0
     while _paths:
-        path = hadoop(_paths.pop())
-        released += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        released += delete_path(spark, _paths.pop())
     return released
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever store it is; False if there was none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def age_by_name(spark: SparkSession, path: str) -> None:
+    """Give the files of a written table times that follow their names, one after the other.
+
+    A file stream admits the oldest files first; tasks end in any order. Only the
+    names and times pass the driver, which lists them for the stream anyway.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def parts():
+        found = [f for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        return sorted(found, key=lambda f: f.getPath().getName())
+
+    files = parts()
+    latest = max((f.getModificationTime() for f in files), default=0)
+    for place, f in enumerate(files):
+        store.setTimes(f.getPath(), latest - 10 * (len(files) - place), -1)
+    times = [f.getModificationTime() for f in parts()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise OSError(f"the store of {path} does not keep file times; replay from one that does")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 

@@ -10,10 +10,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.records import SCOPE, digest_bytes
 from ..functions.rules import signature_rule
-from ..operators.dedupe import OUTCOMES
+from ..operators.dedupe import OUTCOMES, flag_duplicates
 from ..operators.report import dedupe_stats
-from ..operators.windowed import FifoWindow, ScreenedWindow, continue_scope
-from ..operators.window_state import continue_key
+from ..operators.windowed import FifoWindow, ScreenedWindow, continue_scope, fifo_verdicts, last_accepted
+from ..operators.window_state import continue_key, expire_key
+from ..session import delete_path, written
 
 
 def _windowed(stream: DataFrame, new_window: Callable, scope: Sequence[str]) -> DataFrame:
@@ -67,6 +68,77 @@ def stream_ttl(stream: DataFrame, ttl_seconds: int, time: str = "ts", scope: Seq
     )
 
 
+def stream_ttl_expiring(
+    stream: DataFrame, ttl_seconds: int, delay_seconds: int, time: str = "ts", scope: Sequence[str] = SCOPE
+) -> DataFrame:
+    """`stream_ttl` with state that goes: a key is forgotten once no row can be within the time to live of it.
+
+    That is when the watermark, `delay_seconds` behind the greatest time, has
+    passed its last row by `ttl_seconds`. The rule: rows not more than the delay
+    behind get the verdicts of `stream_ttl`; Spark drops rows that are later (it
+    reports their number as numRowsDroppedByWatermark), so the delay has to cover
+    the source's disorder. Rows without a time are kept, beside the state.
+    """
+    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in stream.columns)
+    timed = stream.where(F.col(time).isNotNull()).withWatermark(time, f"{delay_seconds} seconds")
+    flagged = timed.groupBy(*scope, "fp").applyInPandasWithState(
+        partial(expire_key, ttl_micros=ttl_seconds * 1_000_000, time=time),
+        f"{fields}, is_dup boolean",
+        "last bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return flagged.unionByName(stream.where(F.col(time).isNull()).withColumn("is_dup", F.lit(False)))
+
+
+def stream_first_within(stream: DataFrame, ttl_seconds: int, time: str = "ts", scope: Sequence[str] = SCOPE) -> DataFrame:
+    """The bounded form with Spark's own operator: first rows of a key, which it forgets after the time to live.
+
+    A repeat within `ttl_seconds` of the first row is dropped for certain; how
+    much longer it is dropped depends on how far the watermark has come. Late and timeless rows
+    go as Spark's operator has them go.
+    """
+    return stream.withWatermark(time, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([*scope, "fp"])
+
+
+class FifoBatches:
+    """A foreachBatch sink: `dedupe_scoped_fifo` on a stream, a scope's micro-batch spread over many tasks.
+
+    The window of every scope is a table of rows (scope, seq, fp), written as a
+    new version with each micro-batch. A micro-batch is the batch operator on the
+    rows of the version before and its own: feeding a window's rows to an empty window
+    restores it. Rows have to reach later micro-batches in `seq` order.
+
+    Verdicts and version are folders with the number of the micro-batch: one that
+    is replayed reads the same version as before and replaces what it had
+    written. Versions that no replay can ask for any more are deleted.
+    """
+
+    def __init__(self, path: str, window: int = 100_000, scope: Sequence[str] = SCOPE):
+        self.path, self.window, self.scope = path, window, tuple(scope)
+
+    def rows_path(self) -> str:
+        return f"{self.path}/rows"
+
+    def version_path(self, batch_id: int) -> str:
+        return f"{self.path}/windows/version={batch_id}"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = written(batch, "micro-batch")
+        fp = F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(32))).alias("fp")
+        own = batch.where(F.col("seq").isNotNull()).select(*self.scope, "seq", fp)
+        if batch_id:
+            own = spark.read.schema(own.schema).parquet(self.version_path(batch_id - 1)).unionByName(own)
+        found = written(fifo_verdicts(own, self.window, self.scope), "micro-verdicts")
+        flagged = flag_duplicates(batch, found)
+        flagged.write.mode("overwrite").parquet(f"{self.rows_path()}/batch={batch_id}")
+        windows = last_accepted(own, found, self.window, self.scope)
+        windows.write.mode("overwrite").parquet(self.version_path(batch_id))
+        if batch_id > 1:
+            delete_path(spark, self.version_path(batch_id - 2))
+
+
 def stream_signatures(stream: DataFrame) -> DataFrame:
     """Signature rules need no state: the batch expression serves."""
     return stream.withColumn("signature", signature_rule(stream))

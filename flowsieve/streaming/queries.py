@@ -7,32 +7,42 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.records import flow_view
 from ..operators.report import percent
 from ..plans.event_flows import event_flows
-from ..session import new_table_path
+from ..session import age_by_name, new_table_path
 from ..sources.flows import stream_flows
-from .dedupe import batch_stats, stream_scoped_fifo, stream_scoped_rotating, stream_signatures, stream_ttl
+from .dedupe import (
+    FifoBatches,
+    batch_stats,
+    stream_scoped_fifo,
+    stream_scoped_rotating,
+    stream_signatures,
+    stream_ttl,
+    stream_ttl_expiring,
+)
 
 _WINDOW = 16
-_BATCH_ROWS = 2500
 _TTL_SECONDS = 6 * 3600
+#: A replay's files: so many rows each at most, and so many files at least, for several micro-batches of a small table.
+FILE_ROWS = 1 << 18
+LEAST_FILES = 4
 
 
-def _flow_stream(spark, sf: str, columns: list[str]) -> DataFrame:
-    """The flows as a replayed stream of micro-batches of about `_BATCH_ROWS` in arrival order.
+def replayed(
+    view: DataFrame, file_rows: int = FILE_ROWS, files_per_batch: int = 1, least_files: int = LEAST_FILES
+) -> DataFrame:
+    """A table as a stream in the order of `seq`: written once, a file per range of arrivals, and admitted by files.
 
-    The source takes files by age, so each range of arrivals is written after
-    the one before it, as one file: a micro-batch is one range.
+    The number of jobs does not depend on the rows; a micro-batch has about
+    `file_rows * files_per_batch` rows, an argument of the caller's.
     """
-    view = flow_view(event_flows(spark, sf), keep=columns)
-    path = new_table_path(spark, "arrivals")
-    low, high, rows = view.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
-    if not rows:
-        view.write.parquet(path)
-        return stream_flows(spark, path, view.schema)
-    step = -(-(high - low + 1) // -(-rows // _BATCH_ROWS))
-    for start in range(low, high + 1, step):
-        batch = view.where((F.col("seq") >= start) & (F.col("seq") < start + step))
-        batch.coalesce(1).write.mode("append").parquet(path)
-    return stream_flows(spark, path, view.schema, maxFilesPerTrigger=1)
+    spark, path = view.sparkSession, new_table_path(view.sparkSession, "arrivals")
+    files = max(least_files, -(-view.count() // file_rows))
+    view.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.parquet(path)
+    age_by_name(spark, path)
+    return stream_flows(spark, path, view.schema, maxFilesPerTrigger=files_per_batch)
+
+
+def _flow_stream(spark, sf: str, columns: list[str]) -> DataFrame:
+    return replayed(flow_view(event_flows(spark, sf), keep=columns))
 
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -51,10 +61,30 @@ def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def _in_batches(stream: DataFrame, sink) -> None:
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{sink.path}/progress")
+        .foreachBatch(sink)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
 def stream_fifo(spark, sf):
-    """The records come through with their verdict."""
-    out = _drained(stream_scoped_fifo(_flow_stream(spark, sf, ["Destination IP"]), _WINDOW))
-    return out.select("seq", "tenant", "is_dup", F.col("Destination IP").alias("destination"))
+    """The records come through with their verdict; a scope's micro-batch is spread over tasks."""
+    stream = _flow_stream(spark, sf, ["Destination IP"])
+    sink = FifoBatches(new_table_path(spark, "stream-fifo"), _WINDOW)
+    _in_batches(stream, sink)
+    schema = stream.schema.add("is_dup", "boolean")
+    rows = spark.read.schema(schema).parquet(sink.rows_path())
+    return rows.select("seq", "tenant", "is_dup", F.col("Destination IP").alias("destination"))
+
+
+def stream_fifo_state(spark, sf):
+    """The same with a scope's window as keyed state."""
+    out = _drained(stream_scoped_fifo(_flow_stream(spark, sf, []), _WINDOW))
+    return out.select("seq", "tenant", "is_dup")
 
 
 def stream_rotating(spark, sf):
@@ -67,6 +97,13 @@ def stream_ttl_dedupe(spark, sf):
     return out.select("seq", "tenant", "is_dup")
 
 
+def stream_ttl_bounded_state(spark, sf):
+    """Keys are forgotten as the watermark passes; the records arrive in the order of their time."""
+    stream = _flow_stream(spark, sf, ["ts"])
+    out = _drained(stream_ttl_expiring(stream, _TTL_SECONDS, delay_seconds=3600))
+    return out.select("seq", "tenant", "is_dup")
+
+
 def stream_signature_rules(spark, sf):
     stream = _flow_stream(spark, sf, ["Destination Port", "Total Backward Packets"])
     return _drained(stream_signatures(stream).select("seq", "signature"))
@@ -91,5 +128,13 @@ def stream_dedupe_stats(spark, sf):
 def queries():
     return {
         f.__name__: f
-        for f in (stream_fifo, stream_rotating, stream_ttl_dedupe, stream_signature_rules, stream_dedupe_stats)
+        for f in (
+            stream_fifo,
+            stream_fifo_state,
+            stream_rotating,
+            stream_ttl_dedupe,
+            stream_ttl_bounded_state,
+            stream_signature_rules,
+            stream_dedupe_stats,
+        )
     }
