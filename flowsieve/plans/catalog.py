@@ -411,6 +411,11 @@ def q_forecast_linear(spark, sf):
     return _residuals(spark, sf, "linear").select("seq", "split", F.bround("residual", 6).alias("residual"))
 
 
+def q_forecast_recurrent(spark, sf):
+    """From a network trained on the table; sums of tasks may differ in the last digits, hence two decimals."""
+    return _residuals(spark, sf, "recurrent").select("seq", "split", F.bround("residual", 2).alias("residual"))
+
+
 def q_forecast_residual(spark, sf):
     return _residuals(spark, sf).select("seq", "split", F.bround("residual", 6).alias("residual"))
 

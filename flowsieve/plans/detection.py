@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.records import clean_flows
 from ..functions.rules import fuse, signature_rule
 from ..operators.ordering import chronological_split, dense_index
+from ..operators.recurrent import recurrent_forecast
 from ..operators.sequences import FORECASTS, anomaly_threshold, residual, scale_on_train
 from ..session import written
 
@@ -35,7 +36,7 @@ def prepared(
 def residuals(rows: DataFrame, features: Sequence[str], forecast: str | Callable = "mean") -> DataFrame:
     """Rows with a full history and the distance from their forecast."""
     scaled = [f"z_{f}" for f in features]
-    predict = FORECASTS[forecast] if isinstance(forecast, str) else forecast
+    predict = {**FORECASTS, "recurrent": recurrent_forecast}[forecast] if isinstance(forecast, str) else forecast
     return predict(rows, scaled).withColumn("residual", residual(scaled))
 
 

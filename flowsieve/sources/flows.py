@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.records import quoted
+from ..session import task_count
 
 CORRUPT = "_corrupt_record"
 
@@ -47,12 +51,44 @@ def read_flows(
     return df
 
 
-def _layouts(spark: SparkSession, sources: Sequence[str]) -> list[list[str]]:
-    """CSV files grouped by the text of their header, which is the line at byte 0 of a file.
+_HEAD_BYTES = 1 << 14
+
+
+def header_lines(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
+    """(file, header): the first line of every text file that has one.
 
-    Only the first block of each file is read for it; to the driver go the
-    names of the files, which it lists anyway.
+    The names are dealt to tasks, which open each file and read up to its first line end. Stores that Arrow has no file
+    system for are read by Spark, which passes over whole files for it.
     """
+    files = spark.read.text(list(sources)).inputFiles()
+    try:
+        for store in {f.partition("://")[0] for f in files}:
+            pafs.FileSystem.from_uri(next(f for f in files if f.startswith(store)))
+    except (OSError, ValueError, NotImplementedError):
+        return _lines_of_blocks(spark, sources)
+    head = _HEAD_BYTES
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            names, lines = [], []
+            for name in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(name)
+                with store.open_input_stream(path, compression="detect") as stream:
+                    text = b""
+                    while b"\n" not in text and b"\r" not in text and (more := stream.read(head)):
+                        text += more
+                if text:
+                    names.append(name)
+                    lines.append(re.split(rb"\r\n|\n|\r", text, maxsplit=1)[0].decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lines, pa.string())], names=["file", "header"])
+
+    named = spark.createDataFrame([(f,) for f in files], "file string")
+    return named.repartition(min(max(1, len(files)), task_count(spark)), "file").mapInArrow(read, "file string, header string")
+
+
+def _lines_of_blocks(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
     lines = spark.read.text(list(sources)).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
@@ -60,12 +96,17 @@ def _layouts(spark: SparkSession, sources: Sequence[str]) -> list[list[str]]:
         F.monotonically_increasing_id().alias("line"),
     )
     first = F.min_by("value", "line")  # the lines of a block are numbered in their order
+    return lines.where("start = 0").groupBy("file").agg(first.alias("header"))
+
+
+def _layouts(spark: SparkSession, sources: Sequence[str]) -> list[list[str]]:
+    """CSV files grouped by the text of their header; to the driver go the names of the files, which it lists anyway."""
     found: dict[str, list[str]] = {}
 
     def place(row) -> tuple:
         return next((i for i, s in enumerate(sources) if s.rstrip("/") in row["file"]), len(sources)), row["file"]
 
-    for row in sorted(lines.where("start = 0").groupBy("file").agg(first.alias("header")).collect(), key=place):
+    for row in sorted(header_lines(spark, sources).collect(), key=place):
         found.setdefault(row["header"].lstrip("\ufeff"), []).append(row["file"])
     return list(found.values())
 

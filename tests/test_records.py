@@ -165,3 +165,31 @@ def test_trimmed_headers_head_and_result_file(spark, tmp_path):
     assert [r["seq"] for r in top.collect()] == [1, 2]
     write_result(top, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+
+
+def test_headers_are_read_without_the_files(spark, tmp_path):
+    """The pass over the headers reads a row per file, and none of its lines."""
+    import gzip
+
+    from flowsieve.sources import flows
+
+    for i in range(3):
+        lines = [f"a{i % 2},b,c"] + [f"{n},{'x' * 40},{n}" for n in range(20_000)]
+        (tmp_path / f"f{i}.csv").write_text("\n".join(lines))
+    long = ",".join(["a0", "b", "c", *(f"n{k}" for k in range(9_000))])
+    (tmp_path / "long name.csv").write_text(f"\ufeff{long}\r\n1,2,3\r\n")
+    (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"a0,b,c\n7,8,9\n"))
+    (tmp_path / "empty.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = sorted(r["header"] for r in flows.header_lines(spark, [str(tmp_path)]).collect())
+    jobs = list(tracker.getJobIdsForGroup("headers"))
+    spark.sparkContext.setJobGroup("", "")
+    assert found == ["a0,b,c", "a0,b,c", "a0,b,c", "a1,b,c", f"\ufeff{long}"]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+    assert sum(store.lastStageAttempt(s).inputRecords() for s in stages) == 0
+    plain = sorted((r["file"], r["header"].lstrip("\ufeff")) for r in flows._lines_of_blocks(spark, [str(tmp_path)]).collect())
+    assert sorted(h.lstrip("\ufeff") for h in found) == sorted(h for _, h in plain)
+    got = read_flows(spark, str(tmp_path))
+    assert {"a0", "a1", "b", "c", "n8999"} <= set(got.columns) and got.count() == 60_002
