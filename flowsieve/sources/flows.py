@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -107,7 +108,8 @@ def _layouts(spark: SparkSession, sources: Sequence[str]) -> list[list[str]]:
         return next((i for i, s in enumerate(sources) if s.rstrip("/") in row["file"]), len(sources)), row["file"]
 
     for row in sorted(header_lines(spark, sources).collect(), key=place):
-        found.setdefault(row["header"].lstrip("\ufeff"), []).append(row["file"])
+        # Spark names files as URIs, and takes them as plain paths.
+        found.setdefault(row["header"].lstrip("\ufeff"), []).append(unquote(row["file"]))
     return list(found.values())
 
 
