@@ -7,14 +7,15 @@ the largest id that holds them.
 1. Documents are dealt into blocks of a bounded size. A block's distinct keys, as 128-bit hashes with the number of
    documents and the largest id, go packed to shards of the hash space. A line that every document has is one entry
    per block, so no shard gets more than its share.
-2. A shard adds its entries up, builds a minimal perfect hash over the keys that are frequent enough, with arrays of
-   64-bit fingerprints, counts and keepers by slot, and probes it with every block's keys. Only hits go back.
+2. A shard adds its entries up, builds a minimal perfect hash over its distinct keys, with arrays of 64-bit fingerprints, 32-bit
+   counts and keepers by slot, and probes it with every block's keys. Keys whose count is high enough go back.
 3. Each block gets its hits and rewrites its documents. Lines themselves are never joined or shuffled apart from
    their document.
 
 Blocks and shards are numbered by the size of the data, so their size stays the same when the data grow. A row
-counts as a document of its own. A null id sorts below all others; rows that share the largest id all keep the
-line. A null or empty text is one empty line; it comes back as an empty text.
+counts as a document of its own, also one of several with an id, or alike in id and text. A null id sorts below all others; rows that share the
+largest id all keep the line. A null or empty text is one empty line; it comes back as an empty text. Very long texts and lines are
+split and hashed whole. An empty table gives an empty one; an output replaces a column of its name, other columns stay.
 """
 
 from __future__ import annotations
@@ -90,13 +91,13 @@ class MinimalPerfectHash:
 
 
 class LineIndex:
-    """Fingerprints, counts and keepers of the frequent keys, by slot of a minimal perfect hash."""
+    """Fingerprints, counts and keepers of distinct keys, by slot of a minimal perfect hash."""
 
     def __init__(self, hi: np.ndarray, lo: np.ndarray, docs: np.ndarray, keeper: np.ndarray):
         self.hash = MinimalPerfectHash(hi, lo)
         slot = self.hash.slots(hi, lo)
         self.fingerprints = np.empty(len(hi), np.uint64)
-        self.docs, self.keepers = np.empty(len(hi), np.int64), np.empty(len(hi), np.int64)
+        self.docs, self.keepers = np.empty(len(hi), np.uint32), np.empty(len(hi), np.int64)
         self.fingerprints[slot], self.docs[slot], self.keepers[slot] = hi, docs, keeper
 
     def probe(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,11 +159,12 @@ def _probe_shard(min_docs: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         per_block = [np.frombuffer(e, _ENTRY) for e in shard["entries"]]
         total = totals(np.concatenate(per_block))
-        hot = total[total["docs"] >= min_docs]
-        index = LineIndex(hot["hi"], hot["lo"], hot["docs"], hot["keeper"])
+        index = LineIndex(total["hi"], total["lo"], total["docs"], total["keeper"])
         blocks, hits = [], []
         for block, entries in zip(shard["block"], per_block, strict=True):
             hit, slot = index.probe(entries["hi"], entries["lo"])
+            frequent = index.docs[slot] >= min_docs
+            hit[hit], slot = frequent, slot[frequent]
             if hit.any():
                 found = np.zeros(len(slot), _HIT)
                 found["hi"], found["lo"], found["keeper"] = entries["hi"][hit], entries["lo"][hit], index.keepers[slot]

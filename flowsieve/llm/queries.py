@@ -150,28 +150,27 @@ FROM pairs QUALIFY rank <= 20
 """
 
 OP7_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-  FROM documents
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs
 ), keyed AS (
-  SELECT doc_id, i, line,
+  SELECT r, doc_id, i, line,
          translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), hot AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+  GROUP BY k HAVING count(DISTINCT r) >= 3
 ), marked AS (
-  SELECT doc_id, i, line, keeper IS NOT NULL AND keeper <> doc_id AS dropped
+  SELECT r, doc_id, i, line, keeper IS NOT NULL AND keeper IS DISTINCT FROM doc_id AS dropped
   FROM keyed LEFT JOIN hot USING (k)
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r
 """
 
-
 #: crc32 of the decimal id, bit by bit; then level by level: the nodes, each leaf's siblings, and the fold of the tampered leaves.
 OP11_SQL = """
 WITH RECURSIVE rows AS (
