@@ -14,9 +14,12 @@ the query's weight, the most a posting can add. A query walks a shard in blocks
 Ids ascend, so a later candidate has to exceed the k-th score, not to equal it. Each shard's best k are merged per
 query. Queries are dealt into groups, and a task gets one shard and one group: all of the work is split both ways.
 
+Where there are many shards, one in `SAMPLE` is searched first. A query's k-th score there is its floor everywhere: candidates
+below it are no results, and a shard hands on only those that reach it, about `SAMPLE` times k a query in all, however many shards there are.
+
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. A row
 repeated with the same id and vector counts once. Shorter vectors count as padded with zeros. A query is not its own
-candidate. Scores are 64-bit integers.
+candidate. Scores are 64-bit integers. An empty table gives an empty one; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -25,11 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import task_count, written
 from .common import pieces
 
-SHARD_ROWS = 4096
-GROUP_ROWS = 4096
+#: A shard of 64 dimensions takes 16 MB; small tables get smaller shards, as long as there are tasks without one.
+SHARD_ROWS = 1 << 16
+GROUP_ROWS = 1 << 13
+LEAST_SHARD_ROWS = 4096
+SAMPLE = 64
+_NO_FLOOR = -(1 << 62)
 _FIRST_BLOCK = 1024
+_QUERIES_AT_ONCE = 1024
 _PROBED_AT_ONCE = 8
 
 
@@ -57,19 +66,25 @@ class Shard:
         self.most = self.lists.max(axis=1) if self.lists.size else np.zeros(shape, weights.dtype)
         self.least = self.lists.min(axis=1) if self.lists.size else np.zeros(shape, weights.dtype)
 
-    def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and scores of the k best candidates of each query, other than `own`, best first."""
+    def best(self, own: np.ndarray, queries: np.ndarray, k: int, floors: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best candidates of each query, other than `own`, best first; of those that reach its floor."""
         end = min(_FIRST_BLOCK, len(self.ids))
-        first = queries @ self.lists[:, :end]  # with no score to beat yet, every term is essential
-        return [self._walk(o, q, k, s) for o, q, s in zip(own, queries, first, strict=True)]
-
-    def _walk(self, own: int, query: np.ndarray, k: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        floors = [_NO_FLOOR] * len(queries) if floors is None else floors
+        out = []
+        for start in range(0, len(queries), _QUERIES_AT_ONCE):
+            part = slice(start, start + _QUERIES_AT_ONCE)
+            first = queries[part] @ self.lists[:, :end]  # with no score to beat yet, every term is essential
+            out += [self._walk(o, q, k, s, f) for o, q, s, f in zip(own[part], queries[part], first, floors[part], strict=True)]
+        return out
+
+    def _walk(self, own: int, query: np.ndarray, k: int, first: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
         bound = np.maximum(np.where(query > 0, query * self.most, query * self.least), 0)
         terms = np.flatnonzero(query)
         terms = terms[np.argsort(bound[terms], kind="stable")]
         reach = np.cumsum(bound[terms])
-        ids, scores, to_beat = np.empty(0, np.int64), np.empty(0, query.dtype), None
-        ids, scores, to_beat = self._enter(own, k, ids, scores, np.arange(len(first)), first, to_beat)
+        ids, scores, to_beat = np.empty(0, np.int64), np.empty(0, query.dtype), None if floor == _NO_FLOOR else floor - 1
+        rows = np.arange(len(first)) if to_beat is None else np.flatnonzero(first > to_beat)
+        ids, scores, to_beat = self._enter(own, k, ids, scores, rows, first[rows], to_beat)
         start, n = len(first), len(self.ids)
         while start < n:
             end = min(n, 4 * start)
@@ -135,8 +150,8 @@ def _search(k: int):
                 break
         shard = Shard(candidates.column("_id").to_numpy(), weights)
         query_ids, ids, scores = [], [], []
-        owns = asked.column("_id").to_pylist()
-        for own, (found, score) in zip(owns, shard.best(owns, queries, k), strict=True):
+        owns, floors = asked.column("_id").to_pylist(), asked.column("_floor").to_pylist()
+        for own, (found, score) in zip(owns, shard.best(owns, queries, k, floors), strict=True):
             query_ids.append(np.full(len(found), own, np.int64))
             ids.append(found)
             scores.append(score.astype(np.int64))
@@ -150,6 +165,21 @@ def _each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
 
+def _local(candidates: DataFrame, queries: DataFrame, shards: Column, groups: int, k: int) -> DataFrame:
+    """Each shard's best of each query. shards: the numbers of those that are searched, as an array."""
+    dealt = candidates.withColumn("_group", _each(groups))
+    asked = queries.select(  # under new names, as both sides come from one table
+        *[F.col(c).alias(c) for c in ("_id", "_w", "_floor")], F.explode(shards).alias("_shard"), F.pmod(F.xxhash64("_id", F.lit("query")), F.lit(groups)).alias("_group")
+    )
+    both = dealt.groupBy("_shard", "_group").cogroup(asked.groupBy("_shard", "_group"))
+    return both.applyInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+
+
+def _ranked(local: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(
     vectors: DataFrame,
     k: int = 20,
@@ -159,6 +189,8 @@ def top_k(
     scale: int = 64,
     shard_rows: int = SHARD_ROWS,
     group_rows: int = GROUP_ROWS,
+    sample: int = SAMPLE,
+    least_shard_rows: int = LEAST_SHARD_ROWS,
 ) -> DataFrame:
     """The k best candidates of every row whose id is divisible by `query_every`: query_id, rank, vec_id, score."""
     rows = (
@@ -169,21 +201,17 @@ def top_k(
     )
     is_query = F.col("_id") % query_every == 0
     n, asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    shards, groups = pieces(n, shard_rows), pieces(asked, group_rows)
-    candidates = rows.select(
-        "_id", "_w", F.pmod(F.xxhash64("_id"), F.lit(shards)).alias("_shard"), _each(groups).alias("_group")
-    )
-    queries = rows.where(is_query).select(
-        "_id", "_w", _each(shards).alias("_shard"), F.pmod(F.xxhash64("_id", F.lit("query")), F.lit(groups)).alias("_group")
-    )
-    local = (
-        candidates.groupBy("_shard", "_group")
-        .cogroup(queries.groupBy("_shard", "_group"))
-        .applyInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        local.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    shards = max(pieces(n, shard_rows), min(pieces(n, least_shard_rows), task_count(vectors.sparkSession)))
+    groups = pieces(asked, group_rows)
+    candidates = rows.select("_id", "_w", F.pmod(F.xxhash64("_id"), F.lit(shards)).alias("_shard"))
+    queries = rows.where(is_query).withColumn("_floor", F.lit(_NO_FLOOR))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))
+    first = shards // sample
+    if not first:
+        return _ranked(_local(candidates, queries, every, groups, k), k).select("query_id", "rank", "vec_id", "score")
+    searched = written(_local(candidates.where(F.col("_shard") < first), queries, F.slice(every, 1, first), groups, k), "maxscore-sample")
+    floors = _ranked(searched, k).where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("_floor"))
+    informed = queries.drop("_floor").join(floors, "_id", "left").withColumn("_floor", F.coalesce("_floor", F.lit(_NO_FLOOR)))
+    others = F.slice(every, first + 1, shards - first)
+    rest = _local(candidates.where(F.col("_shard") >= first), informed, others, groups, k)
+    return _ranked(searched.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")

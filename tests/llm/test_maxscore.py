@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from flowsieve.llm.maxscore import top_k
 
@@ -24,14 +25,14 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS score", "2 AS _id")
 
 
-@pytest.mark.parametrize("shard_rows", [7, 50, 4096])
-def test_agrees_with_brute_force(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "sample"), [(7, 64), (7, 4), (50, 2), (4096, 64)])
+def test_agrees_with_brute_force(spark, shard_rows, sample):
     rng = random.Random(shard_rows)
     dims = 12
     rows = [(i, [rng.choice([rng.gauss(0, 0.2), 0.0, 0.25]) for _ in range(dims)]) for i in range(160)]
     rows += [(200 + i, rows[5][1]) for i in range(30)] + [rows[3], rows[20]]  # ties, rows alike
     rows += [(300, None), (320, []), (340, [0.5] * 5), (360, [float("nan")] * dims), (380, [None, *[0.1] * (dims - 1)]), (400, [float("inf"), *[0.1] * (dims - 1)]), (None, [0.3] * dims)]
-    got = top_k(vectors(spark, rows), k=20, query_every=20, shard_rows=shard_rows, group_rows=5).collect()
+    got = top_k(vectors(spark, rows), k=20, query_every=20, shard_rows=shard_rows, group_rows=5, sample=sample, least_shard_rows=shard_rows).collect()
     assert sorted(map(tuple, got)) == brute_force(rows, 20, 20)
 
 
@@ -58,3 +59,19 @@ def test_pruning_skips_most_of_a_peaked_shard():
     exact = weights.sum(1)
     order = np.lexsort((np.arange(5000), -exact))[:20]
     assert ids.tolist() == order.tolist() and scores.tolist() == exact[order].tolist()
+
+
+def test_floors_bound_what_shards_hand_on():
+    """A floor from a sample: a shard hands on what reaches it, ties with it included, and no more."""
+    from flowsieve.llm.maxscore import Shard
+
+    rng = np.random.default_rng(1)
+    weights = rng.integers(-9, 10, (4000, 8)).astype(np.float64)
+    query = rng.integers(-9, 10, 8).astype(np.float64)
+    scores = weights @ query
+    floor = int(np.sort(scores)[-7])
+    ids, found = Shard(np.arange(4000), weights).best([-1], query[None], 20, [floor])[0]
+    order = np.lexsort((np.arange(4000), -scores))
+    want = [i for i in order if scores[i] >= floor][:20]
+    assert ids.tolist() == want and found.tolist() == scores[want].tolist()
+    assert Shard(np.arange(4000), weights).best([-1], query[None], 20, [int(scores.max()) + 1])[0][0].tolist() == []
