@@ -10,11 +10,14 @@ are judged on the input and never cross documents.
    its anchor has other pieces too, and those are the only texts that are sorted.
 3. Open pieces are dealt into shards by anchor, so a string and its copies are in one shard; an anchor with more text
    than a shard is split by the windows' place relative to it. A shard is sorted by external induced sorting
-   (`induced_sort`), whose common-prefix values show the repeated windows.
+   (`induced_sort`), whose common-prefix values show the repeated windows. An anchor with more text than a shard for each
+   place of a window has too many pieces for that: its windows are counted by 128-bit hashes in an aggregation, which needs no
+   memory for them.
 4. Each document gets its repeated stretches and is cut.
 
 Rows are told apart by hashes of id and text, so copies with different ids do not meet in one task, and rows alike in
-both are copies of each other. A null text is empty; texts shorter than `depth` stay as they are.
+both are copies of each other: their spans are counted once. A null text is empty; texts shorter than `depth` stay as they are. A null id is
+a value like any other. Very long texts are read in overlapping chunks. An empty table gives an empty one; other columns stay, and an output replaces one of its name.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from .common import pieces, sha256
+from .common import by_bytes, pieces, sha256
 from .induced_sort import Shard
 
 GRAM = 32
@@ -166,13 +169,36 @@ def _field(place: str, low: int, bits: int) -> Column:
     return F.shiftright(F.col(place), low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
+def _counted_windows(pieces_: DataFrame, depth: int) -> DataFrame:
+    """(k1, k2, lo, hi) of the windows that occur in more than one of the pieces (k1, k2, n, low, text), for single pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, 4, 1 << 15):  # a window is some 40 bytes here, and a piece has up to `depth`
+                texts = part.column(4).to_pylist()
+                count = [len(t) - depth + 1 for t in texts]
+                raw = b"".join(xxhash.xxh3_128_digest(t[i : i + depth]) for t, n in zip(texts, count, strict=True) for i in range(n))
+                halves = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                owner = pa.array(np.repeat(np.arange(len(texts)), count))
+                at = np.arange(len(halves)) - np.repeat(np.cumsum(count) - count, count) + part.column(3).to_numpy().repeat(count)
+                columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(part.column(i).take(owner) for i in range(3)), pa.array(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "k1", "k2", "n", "lo"])
+
+    hashed = pieces_.mapInArrow(run, "h1 bigint, h2 bigint, k1 bigint, k2 bigint, n bigint, lo bigint")
+    windows = written(hashed, "repeat-windows")
+    common = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").select("h1", "h2"), "repeat-common")
+    single = windows.where("n = 1").join(common, ["h1", "h2"], "left_semi")
+    return single.select("k1", "k2", "lo", (F.col("lo") + depth).alias("hi"))
+
+
 def repeated_spans(keyed: DataFrame, depth: int, shard_bytes: int = SHARD_BYTES, memory: int = 1 << 22) -> DataFrame:
     """(k1, k2, lo, hi): stretches of bytes covered by repeated strings, for rows keyed by _k1, _k2 with _id and _body.
 
     `memory`: entries that a shard's queues hold before they go to disk.
     """
     found = keyed.select("_k1", "_k2", "_body").mapInArrow(_occurrences(depth), "k1 bigint, k2 bigint, at bigint, anchor bigint, content bigint")
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    # Written, so that the join deals both sides itself and can split a hot anchor's partition.
+    repeated = written(found.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), "repeat-anchors")
     candidates = written(found.join(repeated, "anchor", "left_semi"), "repeat-candidates")
     length = _field("at", _OFFSET, _WINDOWS) + (depth - 1)
     distinct = written(
@@ -180,23 +206,26 @@ def repeated_spans(keyed: DataFrame, depth: int, shard_bytes: int = SHARD_BYTES,
         "repeat-pieces",
     )
     span = depth - GRAM + 1
-    contested = (
+    contested = written(
         distinct.groupBy("anchor")
         .agg(F.count("*").alias("_pieces"), F.min("n").alias("_rarest"), F.sum(length.cast("bigint")).alias("_bytes"))
         .where((F.col("_pieces") > 1) & (F.col("_rarest") == 1))
-        .select("anchor", F.least(F.ceil(F.col("_bytes") / shard_bytes), F.lit(span)).cast("int").alias("parts"))
+        .select("anchor", F.ceil(F.col("_bytes") / shard_bytes).alias("parts")),
+        "repeat-contested",
     )
     open_ = distinct.join(contested, "anchor")
-    text = open_.agg(F.sum(length.cast("bigint"))).first()[0] or 0
-    shards = pieces(text, shard_bytes)
+    text, most = open_.agg(F.sum(length.cast("bigint")), F.max("parts")).first()
+    shards = pieces(text or 0, shard_bytes)
 
-    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "n", "at", "parts")).alias("_wanted"))  # of one document
+    # As parts of a hot anchor no shard can hold stand the parts 0.
+    parts = F.when(F.col("parts") <= span, F.col("parts")).otherwise(0).cast("int").alias("parts")
+    wanted = open_.select("k1", "k2", "anchor", "n", "at", parts).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "n", "at", "parts")).alias("_wanted"))  # of one document
     low, windows, offset = F.shiftright("at", _WINDOWS + _OFFSET), _field("at", _OFFSET, _WINDOWS), _field("at", 0, _OFFSET)
 
     def border(part: Column) -> Column:
         return F.ceil(F.lit(span) * part / F.col("parts")).cast("int") - (span - 1) + F.col("offset")
 
-    cut = (
+    held = (
         keyed.join(wanted, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
         .select(
             F.col("_k1").alias("k1"),
@@ -217,6 +246,9 @@ def repeated_spans(keyed: DataFrame, depth: int, shard_bytes: int = SHARD_BYTES,
             ).alias("_piece"),
         )
         .select("k1", "k2", "_id", "_piece.*")
+    )
+    cut = (
+        held.where(F.col("parts") > 0)
         .select("*", low.alias("low"), windows.alias("windows"), offset.alias("offset"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         .withColumn("_from", F.greatest(F.lit(0), border(F.col("part"))))
         .withColumn("_to", F.least(F.col("windows"), border(F.col("part") + 1)))
@@ -228,7 +260,11 @@ def repeated_spans(keyed: DataFrame, depth: int, shard_bytes: int = SHARD_BYTES,
             F.substring("text", F.col("_from") + 1, F.col("_to") - F.col("_from") + (depth - 1)).alias("text"),
         )
     )
-    partly = cut.groupBy("shard").applyInArrow(_sorted_shard(depth, memory), "k1 bigint, k2 bigint, lo bigint, hi bigint")
+    spans = "k1 bigint, k2 bigint, lo bigint, hi bigint"
+    partly = cut.groupBy("shard").applyInArrow(_sorted_shard(depth, memory), spans)
+    if (most or 0) > span:
+        hot = held.where(F.col("parts") == 0).select("k1", "k2", "n", low.alias("low"), "text")
+        partly = partly.unionByName(_counted_windows(hot, depth))
     common = distinct.where("n > 1").select("anchor", "content")
     wholly = candidates.join(common, ["anchor", "content"], "left_semi").select("k1", "k2", low.alias("lo"), (low + length).alias("hi"))
     return wholly.unionByName(partly)
@@ -258,7 +294,7 @@ def remove_repeats(
         F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias("_id"),
         F.col(text).cast("binary").alias("_body"),
     )
-    spans = repeated_spans(keyed, depth, shard_bytes, memory).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))  # of one document
+    spans = repeated_spans(keyed, depth, shard_bytes, memory).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))  # of one document, once for rows alike
     # All columns are used here as in `repeated_spans`, so both read one exchange of the texts.
     joined = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_id", "_body", "_spans")
     types = {pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string"}

@@ -85,3 +85,37 @@ def test_induced_sorting_finds_all_repeats(alphabet):
         assert shard.repeated().tolist() == expected
         spilled += getattr(shard, "written", 0)
     assert spilled  # the queues went to disk in some of the cases
+
+
+def test_rows_alike_cost_their_spans_once(spark, documents):
+    """Spans of identical rows are one set, not one a row for each row."""
+    text = "".join(random.Random(3).choices("abcdefgh ", k=2_000))
+    for copies in (50, 500):
+        df = documents([(1, text)] * copies)
+        out = remove_repeats(df, keep=("doc_id",), outputs=("n_removed", "n_spans"))
+        assert {tuple(r) for r in out.collect()} == {(1, 2_000, 1)} and out.count() == copies
+
+
+def test_a_hot_anchor_with_more_text_than_places(documents):
+    """A phrase in very many contexts: its windows are counted, not sorted, and give what sorting gives."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    phrase, tails = text(36), [text(60) for _ in range(3)]
+    rows = [(i, text(rng.randrange(30, 60)) + phrase + (rng.choice(tails) if i % 7 == 0 else text(60))) for i in range(150)]
+    outputs = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = remove_repeats(documents(rows), depth=48, keep=("doc_id",), outputs=outputs, shard_bytes=64, memory=100).collect()
+    want = brute_force(rows, 48)
+    assert sorted(map(tuple, got), key=str) == want and sum(r[2] > 0 for r in want) > 10
+
+
+def test_texts_beyond_a_chunk(documents, monkeypatch):
+    from flowsieve.llm import repeats
+
+    rng = random.Random(6)
+    shared = "".join(rng.choices("abcdefghij", k=500))
+    long = "".join(rng.choices("klmnopqrst", k=(1 << 20) - 150)) + shared + "".join(rng.choices("uvwxyz", k=300))
+    got = remove_repeats(documents([(1, long), (2, "0" * 10 + shared)]), keep=("doc_id",), outputs=("n_bytes", "n_removed", "n_spans")).collect()
+    assert sorted(map(tuple, got)) == [(1, len(long), 500, 1), (2, 510, 500, 1)]
+    pieces = list(repeats.window_pieces(long.encode(), 200))
+    assert [p[0] for p in pieces] == np.cumsum([0] + [p[1] for p in pieces])[:-1].tolist()
+    assert sum(p[1] for p in pieces) == len(long) - 199
