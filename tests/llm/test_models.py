@@ -66,6 +66,27 @@ def test_toxicity_on_awkward_rows(spark, documents):
     assert toxicity.score(docs.where("false"), model).collect() == []
 
 
+@pytest.mark.parametrize("word", ["snarfblatter", "zug", "qz"])
+def test_toxicity_in_words_of_any_length(spark, documents, word):
+    import random
+
+    rng = random.Random(len(word))
+    vocabulary = [f"w{k}ord" for k in range(300)]
+
+    def text(toxic):
+        words = [rng.choice(vocabulary) for _ in range(60)]
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(60), word)
+        return " ".join(words)
+
+    known = [(i, text(0)) for i in range(400)] + [(1_000 + i, text(1)) for i in range(200)]
+    held = [(5_000 + i, text(i < 100)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i >= 1_000)) for i, _ in known], "doc_id bigint, toxic int")
+    model = toxicity.fit(documents(known), labels)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(documents(held), model).collect()}
+    assert [found[i] for i, _ in held] == [1] * 100 + [0] * 100
+
+
 @pytest.mark.parametrize("share", [0, 1])
 def test_toxicity_with_one_label_only(spark, documents, share):
     labels = spark.createDataFrame([(1, share), (2, share)], "doc_id bigint, toxic int")
