@@ -7,7 +7,8 @@ which keeps the library's backtracking matcher away from it. Decoding joins raw
 through a lossy string.
 
 Nulls are empty texts, bytes that are not UTF-8 become U+FFFD before encoding. Other columns, repeated rows and
-repeated ids pass through untouched: every row is encoded by itself, without any shuffle.
+repeated ids pass through untouched: every row is encoded by itself, without any shuffle. An output replaces a column of its
+name, and an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -9,9 +9,12 @@ number of trigrams for each further language (BIC) plus a gain per trigram that
 EM is run only where it can matter: the log-likelihood is concave in the proportions, so a single language is
 known to be the best choice where its gradient bounds the possible gain by the penalty. This skips no case.
 
-Whole texts are used. `und` is the verdict for null texts and for texts without any letter; their score is 0. Rows
-are predicted one by one, whatever their id, language or source; other columns pass through. Without any training
-text every prediction is `und`.
+The model, which goes to every task, has at most `MODEL_BYTES`: with more languages than that holds tables for, neighbouring buckets
+are one, down to `LEAST_BUCKETS`. More languages than those serve are an error.
+
+Whole texts are used, of any length. `und` is the verdict for null texts and for texts without any letter; their score is 0. Rows
+are predicted one by one, whatever their id, language or source, repeated ones alike; other columns pass through, and an output replaces one of its
+name. Of equally likely languages the first by name counts. Without any training text every prediction is `und`; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .common import free_name, trimmed
 UNDETERMINED = "und"
 #: Entries of a language's table of trigram counts; what goes to the driver is this many numbers a language.
 BUCKETS = 1 << 16
+LEAST_BUCKETS = 1 << 10
+MODEL_BYTES = 256 << 20
 _SMOOTHING = 0.5
 #: Least gain in log-likelihood per trigram by a further language.
 _LEAST_GAIN = 0.01
@@ -84,6 +89,8 @@ class LanguageModel:
     languages: list[str]
     #: Probability of each bucket (row) under each language (column).
     table: np.ndarray
+    #: Bits by which buckets are folded.
+    shift: int = 0
 
     def mixtures(self, bodies: list[bytes]) -> np.ndarray:
         """Proportions of the languages, one row a text; a text without trigrams has zeros."""
@@ -94,6 +101,7 @@ class LanguageModel:
 
     def _mixtures(self, bodies: list[bytes]) -> np.ndarray:
         hashed, starts = trigrams(bodies)
+        hashed >>= self.shift
         sizes = np.diff(starts)
         out = np.zeros((len(bodies), len(self.languages)))
         some = np.flatnonzero(sizes)
@@ -146,7 +154,17 @@ def expectation_maximisation(likely: np.ndarray, counts: np.ndarray, rounds: int
     return shares, float(counts @ np.log(likely @ shares))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+def folding(languages: int, model_bytes: int) -> int:
+    """By how many bits the buckets are folded, so that a model of so many languages fits."""
+    shift = 0
+    while languages * (BUCKETS >> shift) * 8 > model_bytes:
+        shift += 1
+    if BUCKETS >> shift < LEAST_BUCKETS:
+        raise ValueError(f"{languages} languages have no model within {model_bytes} bytes")
+    return shift
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", model_bytes: int = MODEL_BYTES) -> LanguageModel:
     """Learn from all rows with a text and a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +183,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("body"))
     # A task's counts are added up before they leave it: at most a table a language and task is shuffled.
-    found = rows.mapInArrow(trimmed(count), "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(trimmed(count), "lang string, gram int, n bigint")
+    shift = folding(docs.agg(F.count_distinct(lang)).first()[0], model_bytes)  # of the column alone, texts are not read
+    folded = counted.groupBy("lang", F.shiftright("gram", shift).alias("gram")).agg(F.sum("n").alias("n"))
+    found = folded.toArrow()  # of a model's size
     names = found.column("lang").to_pylist()
     languages = sorted(set(names))
     place = {name: i for i, name in enumerate(languages)}
-    counts = np.zeros((BUCKETS, len(languages)))
+    counts = np.zeros((BUCKETS >> shift, len(languages)))
     if languages:
         counts[found.column("gram").to_numpy(), [place[x] for x in names]] = found.column("n").to_numpy()
     counts += _SMOOTHING
-    return LanguageModel(languages, counts / counts.sum(0, keepdims=True) if languages else counts)
+    return LanguageModel(languages, counts / counts.sum(0, keepdims=True) if languages else counts, shift)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] | None = None, mixture: bool = False) -> DataFrame:
@@ -184,7 +205,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
     source = docs.select(*kept, F.col(text).cast("binary").alias(body))
     types = {"lang_pred": "string", "score": "double", "mixture": "map<string,double>"}
     schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept] + [f"{o} {types[o]}" for o in outputs])
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # of at most MODEL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value

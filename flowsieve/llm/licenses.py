@@ -14,7 +14,8 @@ template. The first sentence of the BSD licenses alone counts as BSD-3-Clause.
 
 A window without any shingle of any template cannot share a minimum with one and is passed over before signatures
 are made; nothing else is. Whole texts are scanned, row by row, without a shuffle. Null and empty texts have no match.
-Repeated rows are scanned each for itself.
+Repeated rows, and rows that share an id, are scanned each for itself; other columns pass through, the output replaces one of its name.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

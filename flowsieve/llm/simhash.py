@@ -14,7 +14,9 @@
 
 Groups beyond `GROUP` members are cut into chunks and every two chunks meet in a task of their own: no cap, no single
 large task. Documents without words have the fingerprint zero, linked like any other. A null text has no words. Rows
-with a null id are linked too; the component's id is the smallest id that is not null, null if there is none.
+with a null id are linked too; the component's id is the smallest id that is not null, null if there is none. Rows that share an id, or are
+alike, are documents of their own; `keep_one` takes rows alike in id and text as one. Texts are read whole, however long. An empty table
+gives an empty one. Other columns, whatever their names, are not read but by `keep_one`, which returns them.
 """
 
 from __future__ import annotations

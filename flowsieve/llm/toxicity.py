@@ -18,7 +18,9 @@ What the distance can't see: toxicity that lies in the order of ordinary words a
 which is less than what words differ by.
 
 Null and empty texts have no window and get the score of the statistic zero. Rows that share an id share its label;
-of several labels the toxic one counts. Without any toxic or any ordinary sample every score is the toxic share.
+of several labels the toxic one counts; null labels and ids teach nothing. Copies of a text are learned from once, and scored each for itself.
+Without any toxic or any ordinary sample every score is the toxic share. Other columns pass through, an output replaces one of its name; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations

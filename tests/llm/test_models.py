@@ -37,6 +37,38 @@ def test_expectation_maximisation_finds_the_shares():
     assert np.abs(shares - [0.6, 0.1, 0.3]).max() < 0.03
 
 
+def test_the_gradient_bound_skips_no_case(spark):
+    """Whole selection for every document gives the mixtures of the bound, which runs it for few."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    model = language.learn(docs)
+    texts = [r["text"].encode() for r in docs.collect()]
+    texts += [a[:600] + b" " + b[:300] for a, b in zip(texts[::2], texts[1::2], strict=False)]
+    got, ran = model.mixtures(texts), 0
+    for text, shares in zip(texts, got, strict=True):
+        hashed, _ = language.trigrams([text])
+        if not len(hashed):
+            assert not shares.any()
+            continue
+        grams, counts = np.unique(hashed, return_counts=True)
+        alone = np.log(model.table[grams]).T @ counts
+        penalty = 0.5 * np.log(len(hashed)) + language._LEAST_GAIN * len(hashed)
+        full = model._select(model.table[grams], counts, int(alone.argmax()), float(alone.max()), penalty)
+        assert np.allclose(full, shares, atol=1e-9)
+        ran += np.count_nonzero(full) > 1
+    assert ran > 5
+
+
+def test_a_model_of_many_languages_is_folded(spark, documents):
+    rows = [(10 * k + i, f"{chr(97 + k)}{chr(98 + k)} {chr(99 + k)}{chr(97 + k)}{chr(98 + k)} word " * 20, f"l{k:02d}", "s") for k in range(20) for i in range(3)]
+    df = documents(rows)
+    model = language.learn(df, model_bytes=20 * 8 * 5_000)
+    assert model.shift == 4 and model.table.shape == (4096, 20)
+    got = language.predict(df, model, keep=("doc_id",)).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] // 10:02d}" for r in got) >= 57
+    with pytest.raises(ValueError):
+        language.folding(10**6, language.MODEL_BYTES)
+
+
 def test_language_without_training_text(documents):
     df = documents(AWKWARD)
     model = language.learn(df.where("false"))
