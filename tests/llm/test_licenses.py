@@ -75,3 +75,33 @@ def test_sibling_licenses_are_told_apart():
     assert {m[0] for m in scanner.licenses(both.encode())} == {"CC-BY-SA-4.0", "MIT", "Apache-2.0"}
     three = TEMPLATES["BSD-2-Clause"][0].replace("This software is", "Neither the name of the copyright holder nor the names of its contributors may be used. This software is")
     assert {m[0] for m in scanner.licenses(three.encode())} == {"BSD-3-Clause"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_licenses_equal_those_without_retrieval(seed, monkeypatch):
+    """What the query uses, against every template compared with every window."""
+    rng = random.Random(100 + seed)
+    texts = [t for ts in l.TEMPLATES.values() for t in ts]
+    bodies = []
+    for _ in range(25):
+        words = rng.choices(["of", "the", "and", "software", "x"], k=rng.randrange(80))
+        for _ in range(rng.randint(1, 3)):
+            piece = rng.choice(texts).split()
+            for _ in range(rng.choice([0, 0, len(piece) // 60, len(piece) // 25])):
+                piece[rng.randrange(len(piece))] = "changed"
+            words += piece + rng.choices(["of", "the", "notice"], k=rng.randrange(30))
+        bodies.append(" ".join(words).encode())
+    scanner = l.Scanner()
+    got = [scanner.licenses(b) for b in bodies]
+    monkeypatch.setattr(l.TemplateClass, "retrieve", lambda self, shingles: set(range(len(self.names))))
+    assert got == [scanner.licenses(b) for b in bodies] and sum(map(len, got)) > 25
+
+
+def test_whole_texts_as_they_stand_in_files():
+    scanner = l.Scanner()
+    for name, texts in l.WHOLE_TEXTS.items():
+        for text in texts:
+            lines = [" * " + " ".join(text.split()[i : i + 11]) for i in range(0, len(text.split()), 11)]
+            body = "/*\n * Copyright (c) 2020 Some Holder. All rights reserved.\n" + "\n".join(lines) + "\n */\nint main(void) { return 0; }\n"
+            found = scanner.licenses(body.encode())
+            assert {m[0] for m in found} == {name} and max(m[3] for m in found) == 1.0
