@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,17 +52,31 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return _paths[-1]
 
 
-def release_tables(spark: SparkSession) -> int:
-    """Delete the tables this process has written; returns how many there were.
+def release_tables(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables this process has written, but for the first `keep`; returns how many there were.
 
     For use once the results that read them have been stored.
     """
     released = 0
-    while _paths:
+    while len(_paths) > keep:
         released += delete_path(spark, _paths.pop())
     return released
 
 
+@contextlib.contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written in this block are deleted at its end, also if it fails; those of results made before stay.
+
+        with own_tables(spark):
+            dedupe_scoped_fifo(view).write.parquet(target)
+    """
+    before = len(_paths)
+    try:
+        yield
+    finally:
+        release_tables(spark, before)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder in whatever store it is; False if there was none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

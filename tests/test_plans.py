@@ -8,7 +8,7 @@ from flowsieve.operators.ordering import chronological_split, dense_index
 from flowsieve.operators.sequences import mean_forecast
 from flowsieve.plans import catalog
 from flowsieve.plans.event_flows import event_flows, event_view
-from flowsieve.session import release_tables, shared_dir, written
+from flowsieve.session import own_tables, release_tables, shared_dir, written
 
 
 def plan(df):
@@ -48,6 +48,16 @@ def test_written_tables_can_be_released(spark):
         spark.read.parquet(path).count()
 
 
+def test_tables_of_a_block_go_with_it_even_if_it_fails(spark):
+    earlier = written(spark.range(3), "earlier")
+    with pytest.raises(ZeroDivisionError), own_tables(spark):
+        path = written(spark.range(5), "inside").inputFiles()[0]
+        1 / 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+    assert earlier.count() == 3
+
+
 class _Session:
     """Just what `shared_dir` asks of a session."""
 
