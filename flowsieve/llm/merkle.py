@@ -238,6 +238,4 @@ def versions(
         return pa.Table.from_arrays([block.column("_order"), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
 
     out = ", ".join([f"`{order}` {order_type}"] + [f"{n} binary" for n in names[1:-1]] + ["copied int"])
-    if len(below) == 1:  # no round was needed: every group has one leaf
-        ways = ways.select("_group", "_pos", "_siblings", "_sides", "_subroot", "_root")
     return _with_ways(nodes, ways, bits).applyInArrow(finish, out)
