@@ -13,6 +13,10 @@ Tokens are a word's encoding iff every two neighbours among them are the encodin
 neighbours that do not stand side by side in one of the three encodings, so the result is that of the whole text, without exception. A window that reaches an end of
 its part needs no agreement there, so growth ends in encoding both parts anew at worst.
 
+Texts that are not halved are split into words, each of which the library encodes once while a worker remembers it. A word's encoding does
+not depend on its neighbours; where words begin does, and is found by the same pattern. Texts with characters of which engines may disagree
+whether they are letters, or with the string of an added token, are left to the library whole.
+
 Nulls are empty texts without a token, bytes that are not UTF-8 become U+FFFD before encoding. Other columns, repeated rows and
 repeated ids pass through untouched: every row is encoded by itself, under a number of its own. An empty table gives an empty one.
 Short texts are encoded where they are read; only texts that are halved are shuffled. What one row becomes is held by one task.
@@ -22,7 +26,9 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -40,6 +46,10 @@ PART = 1 << 14
 WINDOW = 64
 _BYTES_PER_TASK = 4 << 20
 _DECODED_AT_ONCE = 1 << 20
+_REMEMBERED = 1 << 19
+# The words of a byte-level tokenizer with its own pattern, and characters whose kind (letter, number, blank, other) is settled.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SETTLED = "\x00-\u052f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _WORD, _WHOLE = 1, 2  # a token that starts a word; one that starts with a whole character
 _OUTPUTS = {
     "n_tokens": ("bigint", pa.int64()),
@@ -78,6 +88,50 @@ def _token_bytes(file: str) -> list[bytes]:
     return [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in texts]
 
 
+class Words:
+    """Encodings of words, as little-endian 32-bit ids; the library's, remembered by the worker."""
+
+    def __init__(self, file: str):
+        import regex
+
+        self._file, self._known = file, {}
+        with open(file, "rb") as config:
+            kind = json.load(config)
+        own = kind["pre_tokenizer"] or {}
+        self.usable = own.get("type") == "ByteLevel" and not own.get("add_prefix_space") and own.get("use_regex", True) and not kind["normalizer"] and not kind["post_processor"]
+        added = "|".join(re.escape(t.content) for t in _tokenizer(file).get_added_tokens_decoder().values()) or r"(?!)"
+        self._split, self._settled, self._added = regex.compile(_PATTERN).findall, re.compile(f"[{_SETTLED}]*").fullmatch, re.compile(added).search
+
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text, None if the library has to find them."""
+        if not self.usable or not self._settled(text) or self._added(text):
+            return None
+        return self._split(text)
+
+    def encoded(self, texts: list[list[str]]) -> list[np.ndarray]:
+        new = list(set().union(*texts).difference(self._known))
+        if len(self._known) + len(new) > _REMEMBERED:
+            self._known.clear()
+            new = list(set().union(*texts))
+        for word, made in zip(new, _tokenizer(self._file).encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self._known[word] = np.array(made.ids, "<u4").tobytes()
+        of = self._known.__getitem__
+        return [np.frombuffer(b"".join(map(of, words)), "<i4") for words in texts]
+
+
+@lru_cache(maxsize=4)
+def _words(file: str) -> Words:
+    return Words(file)
+
+
+def encode_texts(texts: list[str], file: str) -> list[np.ndarray]:
+    """The ids of some texts that are not halved."""
+    words = [_words(file).split(t) for t in texts]
+    known = iter(_words(file).encoded([w for w in words if w is not None]))
+    others = iter(_tokenizer(file).encode_batch_fast([t for t, w in zip(texts, words, strict=True) if w is None], add_special_tokens=False))
+    return [np.array(next(others).ids, np.int32) if w is None else next(known) for w in words]
+
+
 class Part(NamedTuple):
     """An encoded text: ids, the character at which each token starts, and what it starts."""
 
@@ -213,8 +267,8 @@ def tokenize(
     n = len(kept)
 
     def short(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        ids = [e.ids for e in _tokenizer(tokenizer_file).encode_batch_fast(texts, add_special_tokens=False)]
-        rows = ((np.array(i, np.int32), list(decode_ids(i, tokenizer_file)) if need_text else None) for i in ids)
+        ids = encode_texts(texts, tokenizer_file)
+        rows = ((i, list(decode_ids(i.tolist(), tokenizer_file)) if need_text else None) for i in ids)
         made = [pa.array(x, _OUTPUTS[o][1]) for o, x in zip(outputs, zip(*([_output(o, *r) for o in outputs] for r in rows), strict=True), strict=True)]
         blank = [pa.nulls(len(ids), k) for k in (pa.int64(), pa.int32(), pa.string())]
         return pa.RecordBatch.from_arrays([*batch.columns[:n], *made, *blank], names=names)

@@ -49,6 +49,39 @@ def test_one_long_word_needs_small_windows(monkeypatch):
     assert len(seen) >= 7 and max(seen) < 4_000
 
 
+def test_settled_characters_are_of_one_kind_for_both():
+    """Every character that texts are split by here: the library splits alike beside a letter, a number, a mark and a blank."""
+    import re
+
+    words, pre = tree_bpe.Words(FILE), tree_bpe._tokenizer(FILE).pre_tokenizer.pre_tokenize_str
+    settled = re.compile(f"[{tree_bpe._SETTLED}]")
+    seen = 0
+    for point in range(0x110000):
+        c = chr(point)
+        if settled.match(c):
+            text = f"a{c}1{c}!{c} {c}{c}\n{c}'s{c}"
+            spans, at = [], 0
+            for w in words.split(text):
+                spans.append((at, at + len(w)))
+                at += len(w)
+            assert [o for _, o in pre(text)] == spans, hex(point)
+            seen += 1
+    assert seen > 30_000 and words.split("\u0558") is None and words.split("x<|endoftext|>") is None
+
+
+@pytest.mark.parametrize("most", [1 << 19, 50])
+def test_remembered_words_give_the_librarys_tokens(monkeypatch, most):
+    monkeypatch.setattr(tree_bpe, "_REMEMBERED", most)
+    rng = random.Random(most)
+    words = tree_bpe.Words(FILE)
+    monkeypatch.setattr(tree_bpe, "_words", lambda file: words)
+    for _ in range(6):
+        texts = ["", *(any_text(rng) for _ in range(40)), "ß ĳ ŉ ǆ Ω ж \x85 \xa0\xa0x \x1c\x1f.", "\u0558 new"]
+        made = tree_bpe.encode_texts(texts, FILE)
+        assert [m.tolist() for m in made] == [e.ids for e in tree_bpe._tokenizer(FILE).encode_batch(texts, add_special_tokens=False)]
+    assert words.usable and len(words._known) > 0
+
+
 def test_decoding_any_ids_is_the_librarys(monkeypatch):
     rng = random.Random(3)
     ids = [rng.randrange(50_257) for _ in range(20_000)] + list(range(300))
