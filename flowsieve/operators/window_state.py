@@ -243,8 +243,13 @@ class NewWindow:
 # ------------------------------------------------------------ ordered scan
 
 # Row kinds of a scan table: rows settled at once, rows of a piece's first
-# scope (a later round may revise them), parts of the final window, summaries.
-SETTLED, HEAD, WINDOW, SUMMARY = 0, 1, 2, 3
+# scope (a later round may revise them), parts of the final window, summaries,
+# and what the window was like after some of the head's rows.
+SETTLED, HEAD, WINDOW, SUMMARY, CHECK = 0, 1, 2, 3, 4
+# In the order in which a later scan reads them.
+AGAIN = {WINDOW: 0, CHECK: 1, HEAD: 2}
+# Verdicts of a head's first scan hold those from a full window above the lower bits.
+GUESS_SHIFT = 2
 SCAN_SCHEMA = "kind int, piece int, seq bigint, fp binary, verdict bigint"
 _ARROW_SCHEMA = pa.schema(
     [("kind", pa.int32()), ("piece", pa.int32()), ("seq", pa.int64()), ("fp", pa.binary()), ("verdict", pa.int64())]
@@ -303,6 +308,31 @@ def _repeats(fps: pa.Array) -> np.ndarray:
     return out
 
 
+class _Checks:
+    """Digests of a head's windows after about every `spacing` rows, never between rows of one arrival number."""
+
+    def __init__(self, window, full):
+        self.windows, self.spacing, self.since, self.last = (window, full), max(2 * window.window, 4096), 0, None
+
+    def stretches(self, seq: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Cut rows where the windows are to be looked at; look with `due` behind each stretch."""
+        start = 0
+        while start < len(seq):
+            end = min(len(seq), start + max(1, self.spacing - self.since))
+            while end < len(seq) and seq[end] == seq[end - 1]:
+                end += 1
+            yield start, end
+            self.since += end - start
+            self.last, start = int(seq[end - 1]), end
+
+    def due(self, following: int) -> tuple[int, bytes] | None:
+        """Where the windows stand before a row with the number `following`, if it is time to note that."""
+        if self.since < self.spacing or following == self.last:
+            return None
+        self.since = 0
+        return self.last, b"".join(hashlib.sha256(w.save()).digest() for w in self.windows)
+
+
 def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth: int) -> Iterator[pa.RecordBatch]:
     """First scan of one sorted piece, from an empty window.
 
@@ -310,10 +340,12 @@ def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth:
     that the next one is the first of its scope and fingerprint. Where marks
     are given, rows of the first scope are also scanned from a full window, and
     the piece goes on with the better guess: the full one, where all that its
-    window accepted later were first rows, the empty one otherwise.
+    window accepted later were first rows, the empty one otherwise. What the
+    windows are like is noted from time to time, so that a scan from another
+    window can stop where it has become one of these.
     """
     piece = TaskContext.get().partitionId()
-    window, full, first, current, marked, marks = None, None, None, None, False, False
+    window, full, checks, first, current, marked, marks, guess = None, None, None, None, None, False, False, False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -326,23 +358,36 @@ def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth:
             if not batch.num_rows:
                 continue
         scopes, seq, fp = batch.columns[:depth], batch.column(depth), batch.column(depth + 1)
-        verdicts, heads = [], 0
+        numbers = seq.to_numpy()
+        verdicts, heads, noted = [], 0, []
         edges = _runs(scopes)
         for start, end in zip(edges, edges[1:]):
             scope = tuple(c[start].as_py() for c in scopes)
             if scope != current:
+                if first is not None and current == first and full is not None:
+                    guess = full.settled
                 first = scope if current is None else first
                 current, window = scope, new_window(scope)
                 full = window.guess() if first == scope and marks and hasattr(window, "guess") and window.idle_repeats else None
+                checks = full and _Checks(window, full)
             own = fp[start:end]
             repeats = _repeats(own)
-            decided = _steps(window, own, repeats)
-            if scope == first:
-                heads = end
-                if full is not None:  # only for the window it ends with: a piece that began inside its scope is scanned again
-                    _steps(full, own, repeats, firsts[start:end])
-            verdicts.append(decided)
+            if scope != first:
+                verdicts.append(_steps(window, own, repeats))
+                continue
+            heads = end
+            if full is None:
+                verdicts.append(_steps(window, own, repeats))
+                continue
+            for a, b in checks.stretches(numbers[start:end]):
+                if note := checks.due(int(numbers[start + a])):
+                    noted.append(note)
+                part, again = own[a:b], repeats[a:b]
+                other = _steps(full, part, again, firsts[start + a : start + b])
+                verdicts.append(_steps(window, part, again) | other << GUESS_SHIFT)
         verdicts = np.concatenate(verdicts)
+        if noted:
+            yield _batch(CHECK, piece, np.array([n for n, _ in noted]), pa.array([d for _, d in noted], pa.binary()))
         if heads:
             yield _batch(HEAD, piece, seq[:heads], fp[:heads], verdicts[:heads])
         kept = np.flatnonzero(verdicts[heads:] != new_window.nothing) + heads
@@ -350,30 +395,34 @@ def scan_pieces(batches: Iterator[pa.RecordBatch], new_window: Callable, depth:
     if current is not None:
         whole = first == current
         empty = _digest(new_window(first).save())
-        guess = whole and full is not None and full.settled
-        blob = (full if guess else window).save()
+        if whole and full is not None:
+            guess = full.settled
+        blob = (full if whole and guess else window).save()
         yield _window_parts(piece, blob)
-        yield _summary(piece, first=list(first), last=list(current), whole=whole, start=empty, end=_digest(blob))
+        yield _summary(piece, first=list(first), last=list(current), whole=whole, start=empty, end=_digest(blob), guess=bool(guess))
 
 
 def rescan_heads(
     batches: Iterator[pa.RecordBatch], new_window: Callable, facts: dict[int, tuple]
 ) -> Iterator[pa.RecordBatch]:
-    """Scan first scopes again; each piece's window parts precede its rows.
+    """Scan first scopes again; each piece's window parts and checks precede its rows, in the order of `AGAIN`.
 
-    `facts` gives each piece's first scope and whether it is the only one.
+    `facts` gives each piece's first scope, whether it is the only one, and
+    which guess its first scan went on with. Where the window has become that of
+    the first scan, what that found stands from there on: no row is looked at or
+    written any more, and the summary says up to which arrival number this scan goes.
     """
-    piece, window, parts, begin = None, None, [], None
+    piece, window, parts, begin, checks, met = None, None, [], None, deque(), None
 
     def finish() -> Iterator[pa.RecordBatch]:
         if piece is None:
             return
-        if facts[piece][1]:
+        if facts[piece][1] and met is None:
             blob = window.save()
             yield _window_parts(piece, blob)
-            yield _summary(piece, start=begin, end=_digest(blob))
+            yield _summary(piece, start=begin, end=_digest(blob), upto=None)
         else:
-            yield _summary(piece, start=begin)
+            yield _summary(piece, start=begin, upto=met)
 
     for batch in batches:
         if not batch.num_rows:
@@ -383,16 +432,31 @@ def rescan_heads(
         for start, end in zip(edges, edges[1:]):
             if of[start].as_py() != piece:
                 yield from finish()
-                piece, window, parts = of[start].as_py(), None, []
-            if kind[start].as_py() == WINDOW:
+                piece, window, parts, checks, met = of[start].as_py(), None, [], deque(), None
+            if kind[start].as_py() == AGAIN[WINDOW]:
                 parts += fp[start:end].to_pylist()
                 continue
+            if kind[start].as_py() == AGAIN[CHECK]:
+                side = slice(_DIGEST, None) if facts[piece][2] else slice(0, _DIGEST)
+                checks.extend((s, d[side]) for s, d in zip(seq[start:end].to_pylist(), fp[start:end].to_pylist()))
+                continue
             if window is None:
                 blob = b"".join(parts)
                 window, begin, parts = new_window(facts[piece][0]), _digest(blob), []
                 window.load(blob)
-            own = fp[start:end]
-            yield _batch(HEAD, piece, seq[start:end], own, _steps(window, own, _repeats(own)))
+            numbers = seq[start:end].to_numpy()
+            at = 0
+            while met is None and at < len(numbers):
+                # Up to the next check, which is after all rows of its arrival number.
+                upto = int(np.searchsorted(numbers, checks[0][0], side="right")) if checks else len(numbers)
+                if checks and upto <= at:
+                    place, digest = checks.popleft()
+                    if hashlib.sha256(window.save()).digest() == digest:
+                        met = place
+                    continue
+                own = fp[start + at : start + upto]
+                yield _batch(HEAD, piece, seq[start + at : start + upto], own, _steps(window, own, _repeats(own)))
+                at = upto
     yield from finish()
 
 

@@ -36,8 +36,11 @@ from . import window_state
 from .dedupe import FilterSize, filter_misses, filter_verdicts, register_dedupe, two_stage_verdicts, with_outcome
 from .ordering import in_order
 from .window_state import (
+    AGAIN,
+    CHECK,
     DUPLICATE,
     FALSE_HIT,
+    GUESS_SHIFT,
     HEAD,
     NEW,
     SCAN_SCHEMA,
@@ -70,6 +73,7 @@ class _Chain:
         }
         self.rows_round = dict.fromkeys(self.pieces, 0)
         self.window_round = dict.fromkeys(self.pieces, 0)
+        self.first_end = {p: summaries[p]["end"] for p in self.pieces}
 
     def pending(self, frontier_only: bool) -> tuple[list[int], list[int]]:
         """Pieces to run again now, and all whose start is not final yet.
@@ -94,6 +98,8 @@ class _Chain:
         self.rows_round[piece] = round_no
         if "end" in facts:
             self.window_round[piece] = round_no
+        elif facts["upto"] is not None:  # it has met its first scan, and ends as that does
+            self.facts[piece]["end"], self.window_round[piece] = self.first_end[piece], 0
 
 
 def _read_summaries(table: DataFrame) -> dict[int, dict]:
@@ -158,22 +164,24 @@ def scan_in_order(
             .join(F.broadcast(needs), ["of", "round"])
             .select("kind", "piece", "seq", "fp")
         )
+        wanted = F.col("kind").isin(HEAD, CHECK)
         if apart is None and round_no > speculative_rounds and len(unsettled) > len(todo):
             # More rounds of few pieces follow: give each piece its own folder,
             # so that a round opens only the files it needs.
             apart = new_table_path(spark, "heads")
-            table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(unsettled)).repartition(
+            table(0).where(wanted & F.col("piece").isin(unsettled)).repartition(
                 len(unsettled), "piece"
             ).write.partitionBy("piece").parquet(apart)
         if apart is None:
-            heads = table(0).where((F.col("kind") == HEAD) & F.col("piece").isin(todo))
+            heads = table(0).where(wanted & F.col("piece").isin(todo))
         else:
             reader = spark.read.schema(SCAN_SCHEMA).option("basePath", apart)
             heads = reader.parquet(*[f"{apart}/piece={p}" for p in todo])
-        heads = heads.select((F.col("kind") + SUMMARY).alias("kind"), "piece", "seq", "fp")
-        facts = {p: (tuple(chain.facts[p]["first"]), chain.facts[p]["whole"]) for p in todo}
+        place = reduce(lambda c, k: c.when(F.col("kind") == k, AGAIN[k]), AGAIN, F)
+        facts = {p: (tuple(chain.facts[p]["first"]), chain.facts[p]["whole"], chain.facts[p]["guess"]) for p in todo}
         (
-            windows.unionByName(heads)
+            windows.unionByName(heads.select("kind", "piece", "seq", "fp"))
+            .withColumn("kind", place)
             .repartitionByRange(len(todo), "piece")
             .sortWithinPartitions("piece", "kind", "seq")
             .mapInArrow(partial(rescan_heads, new_window=new_window, facts=facts), SCAN_SCHEMA)
@@ -183,15 +191,24 @@ def scan_in_order(
             chain.update(round_no, piece, facts)
 
     settled = table(0).where(F.col("kind") == SETTLED).select("seq", "verdict")
-    heads = table(0).where(F.col("kind") == HEAD)
+    heads, guessed = table(0).where(F.col("kind") == HEAD), F.lit(False)
     if round_no:
-        latest = spark.createDataFrame(sorted(chain.rows_round.items()), "piece int, round int")
+        # A row per piece: which round's rows hold, up to where, and which guess of the first scan holds behind.
+        rows = [(p, r, chain.facts[p].get("upto"), chain.facts[p]["guess"]) for p, r in sorted(chain.rows_round.items())]
+        latest = spark.createDataFrame(rows, "piece int, _round int, _upto bigint, _guess boolean")
+        behind = (F.col("round") == 0) & (F.col("seq") > F.col("_upto"))
         heads = (
             spark.read.schema(SCAN_SCHEMA + ", round int")
             .parquet(base)
             .where(F.col("kind") == HEAD)
-            .join(F.broadcast(latest), ["piece", "round"])  # a row per piece
+            .join(F.broadcast(latest), "piece")
+            .where((F.col("round") == F.col("_round")) | F.coalesce(behind, F.lit(False)))
         )
+        guessed = F.col("_guess") & (F.col("round") == 0) & (F.col("_round") > 0)
+    if firsts is not None:
+        # A piece that needed no other scan began with its scope, where both guesses agree.
+        own = F.when(guessed, F.shiftright("verdict", GUESS_SHIFT)).otherwise(F.col("verdict"))
+        heads = heads.withColumn("verdict", own.bitwiseAND((1 << GUESS_SHIFT) - 1))
     return settled.unionByName(heads.where(F.col("verdict") != new_window.nothing).select("seq", "verdict"))
 
 

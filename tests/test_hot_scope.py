@@ -48,6 +48,54 @@ def test_rounds_do_not_grow_with_pieces(arrivals, rounds, reach):
     assert max(taken.values()) <= 3, taken
 
 
+def test_a_scan_again_ends_where_it_meets_the_first(arrivals, monkeypatch):
+    """Of a long piece only the beginning is scanned a second time, whichever guess the first scan went on with."""
+    from flowsieve.operators import window_state
+
+    monkeypatch.setattr(window_state, "_Checks", type("Close", (window_state._Checks,), {"__init__": close_checks(window_state._Checks)}))
+    for reach in (12, 200):
+        written = []
+        read = w._read_summaries
+        monkeypatch.setattr(w, "_read_summaries", lambda table, read=read: written.append(table.where("kind = 1").count()) or read(table))
+        pairs = arrivals_of(random.Random(reach), 24_000, 1 / 3, reach)
+        assert verdicts(w.dedupe_scoped_fifo(arrivals(pairs), 20, pieces=4)) == fifo(pairs, 20)
+        monkeypatch.setattr(w, "_read_summaries", read)
+        assert written[0] == 24_000 and 0 < sum(written[1:]) < 6_000
+
+
+def close_checks(base):
+    def make(self, window, full):
+        base.__init__(self, window, full)
+        self.spacing = 100
+
+    return make
+
+
+@pytest.mark.parametrize("spacing", [1, 3, 50])
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_numbers_and_any_checks_change_nothing(spark, monkeypatch, seed, spacing):
+    """Rows that share an arrival number stay on one side of a check."""
+    from flowsieve.operators import window_state
+
+    def make(self, window, full):
+        Base.__init__(self, window, full)
+        self.spacing = spacing
+
+    Base = window_state._Checks
+    monkeypatch.setattr(window_state, "_Checks", type("Close", (Base,), {"__init__": make}))
+    rng = random.Random(seed)
+    pairs = arrivals_of(rng, 1_500, rng.choice([0.1, 0.4]), rng.choice([5, 14, 60]))
+    seq, data = 0, []
+    for _, f in pairs:
+        seq += rng.choice([1, 1, 1, 2])
+        data += [(seq, "hot", "", bytearray(f.encode()))] * rng.choice([1, 1, 1, 2])
+    df = spark.createDataFrame(data, "seq bigint, tenant string, log_type string, fp binary")
+    want = fifo([("hot", bytes(r[3]).hex()) for r in data], 10)
+    kept = {r[0] for r, dup in zip(data, want) if not dup}
+    got = w.dedupe_scoped_fifo(df, 10, pieces=6)
+    assert {r["seq"] for r in got.where("not is_dup").collect()} == kept
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_any_mixture_equals_the_model(arrivals, seed):
     rng = random.Random(seed)
