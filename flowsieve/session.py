@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -45,36 +46,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _paths: list[str] = []
+_blocks = threading.local()  # of each thread, the tables of its open `own_tables` blocks
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _paths[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    open_blocks = getattr(_blocks, "open", [])
+    (open_blocks[-1] if open_blocks else _paths).append(path)
+    return path
 
 
-def release_tables(spark: SparkSession, keep: int = 0) -> int:
-    """Delete the tables this process has written, but for the first `keep`; returns how many there were.
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables this process has written, but for those of open blocks; returns how many there were.
 
     For use once the results that read them have been stored.
     """
     released = 0
-    while len(_paths) > keep:
+    while _paths:
         released += delete_path(spark, _paths.pop())
     return released
 
 
 @contextlib.contextmanager
 def own_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables written in this block are deleted at its end, also if it fails; those of results made before stay.
+    """Tables that this thread writes in the block are deleted at its end, also if it fails; all others stay.
 
         with own_tables(spark):
             dedupe_scoped_fifo(view).write.parquet(target)
     """
-    before = len(_paths)
+    if not hasattr(_blocks, "open"):
+        _blocks.open = []
+    _blocks.open.append([])
     try:
         yield
     finally:
-        release_tables(spark, before)
+        for path in _blocks.open.pop():
+            delete_path(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:

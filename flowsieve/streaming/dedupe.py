@@ -14,7 +14,7 @@ from ..operators.dedupe import OUTCOMES, flag_duplicates
 from ..operators.report import dedupe_stats
 from ..operators.windowed import FifoWindow, ScreenedWindow, continue_scope, fifo_verdicts, last_accepted
 from ..operators.window_state import continue_key, expire_key
-from ..session import delete_path, written
+from ..session import delete_path, own_tables, written
 
 
 def _windowed(stream: DataFrame, new_window: Callable, scope: Sequence[str]) -> DataFrame:
@@ -125,18 +125,21 @@ class FifoBatches:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = written(batch, "micro-batch")
+        with own_tables(spark):  # a stream leaves nothing behind but its rows and the last windows
+            self._run(written(batch, "micro-batch"), batch_id)
+        if batch_id > 1:
+            delete_path(spark, self.version_path(batch_id - 2))
+
+    def _run(self, batch: DataFrame, batch_id: int) -> None:
         fp = F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(32))).alias("fp")
         own = batch.where(F.col("seq").isNotNull()).select(*self.scope, "seq", fp)
         if batch_id:
-            own = spark.read.schema(own.schema).parquet(self.version_path(batch_id - 1)).unionByName(own)
+            before = batch.sparkSession.read.schema(own.schema).parquet(self.version_path(batch_id - 1))
+            own = before.unionByName(own)
         found = written(fifo_verdicts(own, self.window, self.scope), "micro-verdicts")
-        flagged = flag_duplicates(batch, found)
-        flagged.write.mode("overwrite").parquet(f"{self.rows_path()}/batch={batch_id}")
+        flag_duplicates(batch, found).write.mode("overwrite").parquet(f"{self.rows_path()}/batch={batch_id}")
         windows = last_accepted(own, found, self.window, self.scope)
         windows.write.mode("overwrite").parquet(self.version_path(batch_id))
-        if batch_id > 1:
-            delete_path(spark, self.version_path(batch_id - 2))
 
 
 def stream_signatures(stream: DataFrame) -> DataFrame:

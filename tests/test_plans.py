@@ -58,6 +58,23 @@ def test_tables_of_a_block_go_with_it_even_if_it_fails(spark):
     assert earlier.count() == 3
 
 
+def test_a_block_owns_only_the_tables_of_its_thread(spark):
+    import threading
+
+    from flowsieve import session
+
+    other = []
+    with own_tables(spark):
+        thread = threading.Thread(target=lambda: other.append(written(spark.range(4), "other")))
+        thread.start()
+        thread.join()
+        with own_tables(spark):
+            written(spark.range(1), "inner")
+        outer = written(spark.range(2), "outer")
+        assert outer.count() == 2 and len(session._blocks.open) == 1
+    assert other[0].count() == 4 and session._blocks.open == []
+
+
 class _Session:
     """Just what `shared_dir` asks of a session."""
 

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from flowsieve import session
 from flowsieve.operators.dedupe import dedupe_ttl
 from flowsieve.operators.report import dedupe_stats
 from flowsieve.operators.windowed import dedupe_scoped_fifo, dedupe_scoped_rotating
@@ -83,6 +84,7 @@ def test_a_hot_scope_in_batches_and_a_batch_replayed(spark, sf, tmp_path):
     """One scope over several micro-batches, and the last one done again: same rows, same windows."""
     view = event_view(spark, sf, keep=["k"]).withColumn("tenant", F.lit("all"))
     sink = FifoBatches(str(tmp_path / "out"), 40)
+    kept = len(session._paths)
     parts = [view.where(f"seq >= {a} and seq < {a + 260}") for a in range(0, 1000, 260)]
     for i, part in enumerate(parts):
         sink(part, i)
@@ -90,6 +92,7 @@ def test_a_hot_scope_in_batches_and_a_batch_replayed(spark, sf, tmp_path):
             once = sorted(map(tuple, spark.read.parquet(sink.version_path(2)).collect()))
             sink(part, 2)
             assert sorted(map(tuple, spark.read.parquet(sink.version_path(2)).collect())) == once
+    assert len(session._paths) == kept  # a micro-batch releases what it has written
     got = spark.read.parquet(sink.rows_path())
     assert rows(got, "is_dup", "k") == rows(dedupe_scoped_fifo(view, 40), "is_dup", "k")
     last = spark.read.parquet(sink.version_path(3))
