@@ -55,13 +55,18 @@ def trimmed(run: Callable) -> Callable:
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of `batch` with about `size` bytes in the column, so that what is made from them stays small."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

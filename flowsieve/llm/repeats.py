@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import written
-from .common import by_bytes, pieces, sha256
+from .common import by_bytes, give_back, pieces, sha256, trimmed
 from .induced_sort import Shard
 
 GRAM = 32
@@ -125,6 +125,8 @@ def _sorted_shard(depth: int, memory: int):
             owner, firsts, lasts = owner[keep], firsts[keep], lasts[keep]
             shift = base[owner] - shard.starts[owner]
             out = [k1[owner], k2[owner], firsts + shift, lasts + shift + depth]
+        del shard, marked
+        give_back()  # a shard takes some hundred bytes a byte of text while it is sorted
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
     return run
@@ -184,7 +186,7 @@ def _counted_windows(pieces_: DataFrame, depth: int) -> DataFrame:
                 columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(part.column(i).take(owner) for i in range(3)), pa.array(at)]
                 yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "k1", "k2", "n", "lo"])
 
-    hashed = pieces_.mapInArrow(run, "h1 bigint, h2 bigint, k1 bigint, k2 bigint, n bigint, lo bigint")
+    hashed = pieces_.mapInArrow(trimmed(run), "h1 bigint, h2 bigint, k1 bigint, k2 bigint, n bigint, lo bigint")
     windows = written(hashed, "repeat-windows")
     common = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").select("h1", "h2"), "repeat-common")
     single = windows.where("n = 1").join(common, ["h1", "h2"], "left_semi")
@@ -196,7 +198,7 @@ def repeated_spans(keyed: DataFrame, depth: int, shard_bytes: int = SHARD_BYTES,
 
     `memory`: entries that a shard's queues hold before they go to disk.
     """
-    found = keyed.select("_k1", "_k2", "_body").mapInArrow(_occurrences(depth), "k1 bigint, k2 bigint, at bigint, anchor bigint, content bigint")
+    found = keyed.select("_k1", "_k2", "_body").mapInArrow(trimmed(_occurrences(depth)), "k1 bigint, k2 bigint, at bigint, anchor bigint, content bigint")
     # Written, so that the join deals both sides itself and can split a hot anchor's partition.
     repeated = written(found.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), "repeat-anchors")
     candidates = written(found.join(repeated, "anchor", "left_semi"), "repeat-candidates")
@@ -299,4 +301,4 @@ def remove_repeats(
     joined = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_id", "_body", "_spans")
     types = {pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string"}
     schema = ", ".join([f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + [f"{o} {types[_TYPES[o]]}" for o in outputs])
-    return joined.mapInArrow(_cut(len(kept), outputs), schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], *outputs)
+    return joined.mapInArrow(trimmed(_cut(len(kept), outputs)), schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], *outputs)
