@@ -122,15 +122,19 @@ def scan_cost(stats: DataFrame) -> DataFrame:
     return stats.withColumn("scan_comparisons", u * (u + 1) / 2)
 
 
-def state_size(windows: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Scopes, fingerprints and bytes of stored windows: rows (scope, seq, fp), as a run leaves them behind."""
+def state_size(windows: DataFrame, filter_bits: int = 0, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Scopes, fingerprints and bytes of stored windows: rows (scope, seq, fp), as a run leaves them behind.
+
+    filter_bits: the bits of the filter that each scope keeps beside its window.
+    """
     per_scope = windows.groupBy(*scope).agg(
         F.count("*").alias("cached"), F.sum(F.octet_length("fp") + 8).alias("bytes")  # a number beside each fingerprint
     )
+    held = F.col("bytes") + (filter_bits + 7) // 8
     return per_scope.agg(
         F.count("*").alias("scopes"),
         F.coalesce(F.sum("cached"), F.lit(0)).cast("bigint").alias("cached_fingerprints"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("state_bytes"),
+        F.coalesce(F.sum(held), F.lit(0)).cast("bigint").alias("state_bytes"),
     )
 
 

@@ -274,9 +274,9 @@ def q_dedupe_scan_cost(spark, sf):
 
 
 def q_dedupe_state_size(spark, sf):
-    """Of the windows as they stand after the last record."""
+    """Of the windows as they stand after the last record, and of a filter beside each."""
     view = event_view(spark, sf)
-    return r.state_size(w.last_accepted(view, w.fifo_verdicts(view, WINDOW), WINDOW))
+    return r.state_size(w.last_accepted(view, w.fifo_verdicts(view, WINDOW), WINDOW), FILTER.bits)
 
 
 def _comparison(spark, sf):

@@ -9,7 +9,7 @@ from conftest import verdicts
 from pyspark.sql import functions as F
 
 from flowsieve.operators import dedupe as d, windowed as w
-from flowsieve.operators.report import dedupe_stats
+from flowsieve.operators.report import dedupe_stats, state_size
 from flowsieve.operators.routing import dedupe_partitioned, dedupe_two_level, route
 
 
@@ -385,3 +385,11 @@ def test_counters_come_with_a_write(arrivals, tmp_path):
     df, watch = observed(d.dedupe_scoped_exact(arrivals(one("aab"))))
     df.write.parquet(str(tmp_path / "out"))
     assert watch.get == {"total_records": 3, "duplicates": 1, "false_positives": 0, "evaluations": 2}
+
+
+def test_state_size_counts_the_filter_beside_each_window(spark, arrivals):
+    df = arrivals([("a", "x"), ("a", "y"), ("a", "x"), ("b", "z"), ("b", "z")])
+    windows = df.where("seq in (0, 1, 3)").select("tenant", "log_type", "seq", "fp")
+    # 40 bytes a fingerprint with its number, and the filter's 12 bits in 2 bytes a scope.
+    assert tuple(state_size(windows, 12).first()) == (2, 3, 3 * 40 + 2 * 2)
+    assert tuple(state_size(windows).first()) == (2, 3, 3 * 40)
