@@ -463,54 +463,99 @@ def rescan_heads(
 # ---------------------------------------------------------------- streaming
 
 
-def continue_scope(key: tuple, frames, state, new_window: Callable, outcomes: tuple[str, ...]):
-    """Continue one scope's window over its rows of a micro-batch, in order.
+def _pack_scopes(windows: dict[bytes, bytes]) -> bytes:
+    return struct.pack("<Q", len(windows)) + _pack(windows, *[[w] for w in windows.values()])
 
-    Only arrival numbers and fingerprints are put in order; the frames, with
-    whatever else they carry, go out as they came.
+
+def _unpack_scopes(blob: bytes) -> dict[bytes, bytes]:
+    count = struct.unpack_from("<Q", blob)[0]
+    names, *windows = _unpack(blob[8:], count + 1)
+    return dict(zip(_split(names), windows))
+
+
+def continue_scopes(key: tuple, frames, state, new_window: Callable, outcomes: tuple[str, ...], own_columns: list[str]):
+    """Continue the windows of a bucket's scopes over their rows of a micro-batch, each scope in order.
+
+    Only arrival numbers, scopes and fingerprints are put in order; the frames, with
+    whatever else they carry, go out as they came. Windows of scopes without a row stay packed.
     """
-    window = new_window()
-    if state.exists:
-        window.load(state.get[0])
+    saved = _unpack_scopes(state.get[0]) if state.exists else {}
     held = list(frames)
-    order = np.argsort(np.concatenate([f["seq"].to_numpy() for f in held]), kind="stable")
+    scopes = [bytes(s) for f in held for s in f["_scope"]]
+    numbers: dict[bytes, int] = {}
+    place = np.array([numbers.setdefault(s, len(numbers)) for s in scopes], np.int64)
+    order = np.lexsort((np.concatenate([f["seq"].to_numpy() for f in held]), place))
     fps = [bytes(fp) for f in held for fp in f["_fp"]]
-    codes = np.empty(len(fps), np.int64)
-    codes[order] = window.steps([fps[i] for i in order])
-    # Where room is made on arrival, duplicates change a window too.
-    if (codes != DUPLICATE).any() or not state.exists or getattr(window, "on_arrival", False):
-        state.update((window.save(),))
-    start = 0
+    codes, changed = np.empty(len(fps), np.int64), False
+    ends = np.cumsum(np.bincount(place, minlength=len(numbers))).tolist()
+    for scope, start, end in zip(numbers, [0, *ends], ends):
+        rows, window = order[start:end], new_window()
+        if scope in saved:
+            window.load(saved[scope])
+        found = codes[rows] = np.array(window.steps([fps[i] for i in rows]), np.int64)
+        # Where room is made on arrival, duplicates change a window too.
+        if (found != DUPLICATE).any() or scope not in saved or getattr(window, "on_arrival", False):
+            saved[scope], changed = window.save(), True
+    if changed:
+        state.update((_pack_scopes(saved),))
+    names, start = np.array(outcomes, object), 0
     for f in held:
         own = codes[start : start + len(f)]
         start += len(f)
-        yield f.drop(columns="_fp").assign(outcome=[outcomes[c] for c in own], is_dup=own == DUPLICATE)
+        yield f.drop(columns=own_columns).assign(outcome=names[own], is_dup=own == DUPLICATE)
+
 
+def _pack_times(last: dict[bytes, int]) -> bytes:
+    return _pack(last, [np.fromiter(last.values(), "<i8", len(last)).tobytes()])
 
-def continue_key(key: tuple, frames, state, ttl_micros: int, time: str):
-    """Verdicts of one scope and fingerprint by the time since its last row."""
-    last = state.get[0] if state.exists else None
+
+def _unpack_times(blob: bytes) -> dict[bytes, int]:
+    keys, times = _unpack(blob, 2)
+    return dict(zip(_split(keys), np.frombuffer(times, "<i8").tolist()))
+
+
+def _verdicts_by_time(frames, last: dict[bytes, int], ttl_micros: int, own_columns: list[str]):
+    """The frames with verdicts by the time since the last row of the same key; `last` is brought up to date."""
     held = list(frames)
-    times = [None if isnull else int(t.value // 1000) for f in held for t, isnull in zip(f[time], f[time].isna())]
-    seqs = [s for f in held for s in f["seq"]]
-    verdicts = [False] * len(times)
-    for i in sorted((i for i, t in enumerate(times) if t is not None), key=lambda i: (times[i], seqs[i])):
-        verdicts[i] = last is not None and abs(times[i] - last) <= ttl_micros
-        last = times[i] if last is None else max(last, times[i])
-    if last is not None:
-        state.update((last,))
-    start = 0
+    timed = np.concatenate([f["_timed"].to_numpy() for f in held])
+    times = np.concatenate([f["_at"].to_numpy() for f in held])
+    keys = [bytes(k) for f in held for k in f["_key"]]
+    verdicts = np.zeros(len(keys), bool)
+    order = np.lexsort((np.concatenate([f["seq"].to_numpy() for f in held]), times))
+    for i, t in zip(order[timed[order]].tolist(), times[order[timed[order]]].tolist()):
+        before = last.get(keys[i])
+        if before is None:
+            last[keys[i]] = t
+            continue
+        verdicts[i] = abs(t - before) <= ttl_micros
+        if t > before:
+            last[keys[i]] = t
+    out, start = [], 0
     for f in held:
-        yield f.assign(is_dup=verdicts[start : start + len(f)])
+        out.append(f.drop(columns=own_columns).assign(is_dup=verdicts[start : start + len(f)]))
         start += len(f)
+    return out
 
 
-def expire_key(key: tuple, frames, state, ttl_micros: int, time: str):
-    """`continue_key`, and the end of a key's state once the watermark has passed it by the time to live."""
-    if state.hasTimedOut:
+def continue_keys(key: tuple, frames, state, ttl_micros: int, own_columns: list[str]):
+    """Verdicts of a bucket's scopes and fingerprints by the time since the last row of each."""
+    last = _unpack_times(state.get[0]) if state.exists else {}
+    out = _verdicts_by_time(frames, last, ttl_micros, own_columns)
+    if last:
+        state.update((_pack_times(last),))
+    yield from out
+
+
+def expire_keys(key: tuple, frames, state, ttl_micros: int, own_columns: list[str]):
+    """`continue_keys`, and the end of each key's state once the watermark has passed it by the time to live."""
+    last = _unpack_times(state.get[0]) if state.exists else {}
+    out = [] if state.hasTimedOut else _verdicts_by_time(frames, last, ttl_micros, own_columns)
+    now = state.getCurrentWatermarkMs()
+    # A row at exactly the time to live is still a repeat.
+    last = {k: t for k, t in last.items() if (t + ttl_micros) // 1000 + 1 > now}
+    if last:
+        state.update((_pack_times(last),))
+        state.setTimeoutTimestamp((min(last.values()) + ttl_micros) // 1000 + 1)
+    elif state.exists:
         state.remove()
-        return
-    yield from continue_key(key, frames, state, ttl_micros, time)
-    if state.exists:
-        # A row at exactly the time to live is still a repeat.
-        state.setTimeoutTimestamp((state.get[0] + ttl_micros) // 1000 + 1)
+    yield from out

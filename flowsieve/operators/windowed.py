@@ -51,7 +51,7 @@ from .window_state import (
     ManyWindows,
     NewWindow,
     ScreenedWindow,
-    continue_scope,
+    continue_scopes,
     rescan_heads,
     scan_pieces,
 )
@@ -226,7 +226,7 @@ _PIECE_ROWS = 20_000
 _FIFO_ROUNDS = 2
 
 
-def _scope_text(df: DataFrame, name: str) -> Column:
+def scope_text(df: DataFrame, name: str) -> Column:
     """A scope column of any type as text without nulls: null is a scope of its own."""
     kind = df.schema[name].dataType
     text = F.hex(quoted(name)) if isinstance(kind, T.BinaryType) else quoted(name).cast("string")
@@ -249,7 +249,7 @@ def _verdicts(
     which are those of up to `settled_up_to` fingerprints."""
     placed = df.where(F.col(seq).isNotNull())
     fp = F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(_DIGEST)))
-    narrow = placed.select(*[_scope_text(df, c) for c in scope], fp.alias("fp"), F.col(seq).alias("seq"))
+    narrow = placed.select(*[scope_text(df, c) for c in scope], fp.alias("fp"), F.col(seq).alias("seq"))
     firsts = written(
         narrow.groupBy(*scope, "fp").agg(F.min("seq").alias("seq"), F.count("*").alias("rows")), "firsts"
     )
@@ -438,7 +438,7 @@ def sweep_counts(
     code = reduce(lambda c, i: c.when(F.col("setting") == names[i], i), range(len(names)), F)
     limit = reduce(lambda c, n: c.when(F.col("setting") == f"={n}", settings[n][1]), names, F)
     numbered = rows.select("setting", *scope, "fp", (F.col("seq") * len(names) + code).alias("seq"))
-    make = NewWindow({f"={n}": m for n, (m, _) in settings.items()})  # as `_scope_text` writes it
+    make = NewWindow({f"={n}": m for n, (m, _) in settings.items()})  # as `scope_text` writes it
     widest = max(n for _, n in settings.values())
     found = _verdicts(numbered, make, widest, limit, _all_new, ["setting", *scope], "seq", pieces)
     accepted = (

@@ -5,31 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import partial
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.records import SCOPE, digest_bytes
 from ..functions.rules import signature_rule
 from ..operators.dedupe import OUTCOMES, flag_duplicates
 from ..operators.report import dedupe_stats
-from ..operators.windowed import FifoWindow, ScreenedWindow, continue_scope, fifo_verdicts, last_accepted
-from ..operators.window_state import continue_key, expire_key
+from ..operators.windowed import FifoWindow, ScreenedWindow, continue_scopes, fifo_verdicts, last_accepted, scope_text
+from ..operators.window_state import continue_keys, expire_keys
 from ..session import delete_path, own_tables, written
 
 
+#: Groups of a stream's keyed state, each with the state of many scopes or keys: a group costs some 50 ms a micro-batch.
+BUCKETS = 256
+
+
+def _digest(df: DataFrame, names: Sequence[str]) -> Column:
+    """32 bytes that tell the values of some columns from all others, nulls included."""
+    return F.unhex(F.sha2(F.to_json(F.array(*[scope_text(df, c) for c in names])), 256))
+
+
+def _by_bucket(stream: DataFrame, key: str):
+    return stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).groupBy("_bucket")
+
+
+def _fields(stream: DataFrame) -> str:
+    return ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in stream.columns)
+
+
 def _windowed(stream: DataFrame, new_window: Callable, scope: Sequence[str]) -> DataFrame:
     """All columns of the stream, with outcome and is_dup."""
-    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in stream.columns)
-    return (
-        stream.withColumn("_fp", F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(32))))
-        .groupBy(*scope)
-        .applyInPandasWithState(
-            partial(continue_scope, new_window=new_window, outcomes=OUTCOMES),
-            f"{fields}, outcome string, is_dup boolean",
-            "window binary",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+    fp = F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(32)))
+    keyed = stream.withColumn("_fp", fp).withColumn("_scope", _digest(stream, scope))
+    own = ["_fp", "_scope", "_bucket"]
+    return _by_bucket(keyed, "_scope").applyInPandasWithState(
+        partial(continue_scopes, new_window=new_window, outcomes=OUTCOMES, own_columns=own),
+        f"{_fields(stream)}, outcome string, is_dup boolean",
+        "windows binary",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def _by_time(stream: DataFrame, verdicts: Callable, ttl_seconds: int, time: str, scope: Sequence[str], timeout: str) -> DataFrame:
+    """All columns of the stream, with is_dup."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    keyed = stream.withColumns(
+        {"_key": _digest(stream, [*scope, "fp"]), "_timed": at.isNotNull(), "_at": F.coalesce(at, F.lit(0).cast("bigint"))}
+    )
+    own = ["_key", "_timed", "_at", "_bucket"]
+    return _by_bucket(keyed, "_key").applyInPandasWithState(
+        partial(verdicts, ttl_micros=ttl_seconds * 1_000_000, own_columns=own),
+        f"{_fields(stream)}, is_dup boolean",
+        "last binary",
+        "append",
+        timeout,
     )
 
 
@@ -37,10 +68,11 @@ def stream_scoped_fifo(stream: DataFrame, window: int = 100_000, scope: Sequence
     """`dedupe_scoped_fifo` on a stream: a scope's window is kept as state.
 
     The stream's other columns come through. Rows of a scope must reach later
-    micro-batches in `seq` order; within a micro-batch they are sorted. State
-    per scope is at most one window, rewritten when a row is accepted, and a task
-    holds at most one micro-batch of a scope: bound that by a number of rows at
-    the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    micro-batches in `seq` order; within a micro-batch they are sorted. State is
+    at most one window per scope, kept by buckets of scopes. A bucket's is rewritten
+    when a row is accepted, and a task holds a bucket's windows and its rows of one
+    micro-batch: bound these by a number of rows at the source (maxFilesPerTrigger,
+    maxOffsetsPerTrigger).
     """
     return _windowed(stream, partial(FifoWindow, window), scope)
 
@@ -53,19 +85,13 @@ def stream_scoped_rotating(stream: DataFrame, window: int = 100_000, scope: Sequ
 def stream_ttl(stream: DataFrame, ttl_seconds: int, time: str = "ts", scope: Sequence[str] = SCOPE) -> DataFrame:
     """`dedupe_ttl` on a stream: the time of each key's last row is kept as state.
 
-    State is keyed by scope and fingerprint, so a large scope spreads over all
-    tasks. Within a micro-batch rows are in the order of their time. A row that
+    State is kept by buckets of scopes and fingerprints, so a large scope spreads
+    over all tasks; a bucket's is rewritten with each micro-batch that has a row for it.
+    Within a micro-batch rows are in the order of their time. A row that
     comes later than one of its key with a greater time is compared with that
     one; no row is dropped for being late. A row without a time is kept.
     """
-    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in stream.columns)
-    return stream.groupBy(*scope, "fp").applyInPandasWithState(
-        partial(continue_key, ttl_micros=ttl_seconds * 1_000_000, time=time),
-        f"{fields}, is_dup boolean",
-        "last bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    return _by_time(stream, continue_keys, ttl_seconds, time, scope, GroupStateTimeout.NoTimeout)
 
 
 def stream_ttl_expiring(
@@ -79,15 +105,8 @@ def stream_ttl_expiring(
     reports their number as numRowsDroppedByWatermark), so the delay has to cover
     the source's disorder. Rows without a time are kept, beside the state.
     """
-    fields = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in stream.columns)
     timed = stream.where(F.col(time).isNotNull()).withWatermark(time, f"{delay_seconds} seconds")
-    flagged = timed.groupBy(*scope, "fp").applyInPandasWithState(
-        partial(expire_key, ttl_micros=ttl_seconds * 1_000_000, time=time),
-        f"{fields}, is_dup boolean",
-        "last bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    flagged = _by_time(timed, expire_keys, ttl_seconds, time, scope, GroupStateTimeout.EventTimeTimeout)
     return flagged.unionByName(stream.where(F.col(time).isNull()).withColumn("is_dup", F.lit(False)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.records import flow_view
@@ -24,25 +26,35 @@ _TTL_SECONDS = 6 * 3600
 #: A replay's files: so many rows each at most, and so many files at least, for several micro-batches of a small table.
 FILE_ROWS = 1 << 18
 LEAST_FILES = 4
+#: Rows of a micro-batch of the queries, whose fixed costs are those of hundreds of thousands of rows.
+BATCH_ROWS = 1 << 22
 
 
 def replayed(
-    view: DataFrame, file_rows: int = FILE_ROWS, files_per_batch: int = 1, least_files: int = LEAST_FILES
+    view: DataFrame,
+    file_rows: int = FILE_ROWS,
+    files_per_batch: int = 1,
+    least_files: int = LEAST_FILES,
+    *,
+    batch_rows: int = 0,
+    by: Sequence[str] = ("seq",),
 ) -> DataFrame:
-    """A table as a stream in the order of `seq`: written once, a file per range of arrivals, and admitted by files.
+    """A table as a stream in the order of `by`: written once, a file per range of arrivals, and admitted by files.
 
     The number of jobs does not depend on the rows; a micro-batch has about
-    `file_rows * files_per_batch` rows, an argument of the caller's.
+    `file_rows * files_per_batch` rows, an argument of the caller's, or up to `batch_rows`
+    where that leaves `least_files` micro-batches.
     """
     spark, path = view.sparkSession, new_table_path(view.sparkSession, "arrivals")
     files = max(least_files, -(-view.count() // file_rows))
-    view.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.parquet(path)
+    files_per_batch = max(files_per_batch, min(batch_rows // file_rows, files // least_files))
+    view.repartitionByRange(files, *by).sortWithinPartitions(*by).write.parquet(path)
     age_by_name(spark, path)
     return stream_flows(spark, path, view.schema, maxFilesPerTrigger=files_per_batch)
 
 
-def _flow_stream(spark, sf: str, columns: list[str]) -> DataFrame:
-    return replayed(flow_view(event_flows(spark, sf), keep=columns))
+def _flow_stream(spark, sf: str, columns: list[str], by: Sequence[str] = ("seq",)) -> DataFrame:
+    return replayed(flow_view(event_flows(spark, sf), keep=columns), batch_rows=BATCH_ROWS, by=by)
 
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -99,7 +111,7 @@ def stream_ttl_dedupe(spark, sf):
 
 def stream_ttl_bounded_state(spark, sf):
     """Keys are forgotten as the watermark passes; the records arrive in the order of their time."""
-    stream = _flow_stream(spark, sf, ["ts"])
+    stream = _flow_stream(spark, sf, ["ts"], by=("ts", "seq"))
     out = _drained(stream_ttl_expiring(stream, _TTL_SECONDS, delay_seconds=3600))
     return out.select("seq", "tenant", "is_dup")
 

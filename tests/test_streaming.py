@@ -146,3 +146,43 @@ def test_spark_forgets_first_rows_after_the_time_to_live(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     kept = streams._drained(stream_first_within(stream, 60))
     assert sorted(r["seq"] for r in kept.collect()) == [0, 2, 4, 5]
+
+
+def test_keyed_state_is_held_by_buckets(spark, tmp_path):
+    """Thousands of keys and scopes are some hundred groups of a micro-batch, and their verdicts those of the batch."""
+    view = spark.range(3000).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 7 != 0, (F.col("id") % 800).cast("string")).alias("tenant"),
+        F.lit("").alias("log_type"),
+        F.when(F.col("id") % 11 != 0, F.unhex(F.sha2((F.col("id") % 1500).cast("string"), 256))).alias("fp"),
+        F.when(F.col("id") % 13 != 0, F.timestamp_seconds(F.col("id") * 2)).alias("ts"),
+    )
+    forms = {
+        "ttl": (lambda s: stream_ttl(s, 3500), lambda v: dedupe_ttl(v, 3500)),
+        "expiring": (lambda s: stream_ttl_expiring(s, 3500, 100), lambda v: dedupe_ttl(v, 3500)),
+        "fifo": (lambda s: stream_scoped_fifo(s, 2), lambda v: dedupe_scoped_fifo(v, 2)),
+    }
+    for name, (streamed, batch) in forms.items():
+        path = str(tmp_path / name)
+        out = streamed(streams.replayed(view, file_rows=1000)).writeStream.format("parquet").option("path", f"{path}/rows")
+        query = out.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert rows(spark.read.parquet(f"{path}/rows"), "is_dup") == rows(batch(view), "is_dup")
+        assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 256
+
+
+def test_a_replay_of_many_files_has_few_micro_batches(spark, sf, tmp_path):
+    seen = []
+    stream = streams.replayed(event_view(spark, sf), file_rows=50, batch_rows=400)
+    query = stream.writeStream.foreachBatch(lambda b, i: seen.append(b.count()))
+    query.option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert 4 <= len(seen) <= 5 and sum(seen) == 1000
+
+
+def test_no_row_of_a_table_out_of_the_order_of_time_is_dropped(spark, sf, tmp_path):
+    """Arrival numbers that go on while the times begin anew: the replay is in the order of the time."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    later = events.withColumns({"event_id": F.col("event_id") + 1000, "user_id": F.col("user_id") + 1000})
+    events.unionByName(later).write.parquet(str(tmp_path / "events.parquet"))
+    batch = dedupe_ttl(event_view(spark, str(tmp_path), keep=["ts"]), 6 * 3600)
+    assert rows(streams.stream_ttl_bounded_state(spark, str(tmp_path)), "is_dup") == rows(batch, "is_dup")
