@@ -189,7 +189,29 @@ class ScreenedWindow:
 
     def steps(self, fps: list[bytes]) -> list[int]:
         marks = fps if self.size is None or not fps else self.screen.positions(fps)
-        return [self.step(*x) for x in zip(fps, marks)]
+        if self.on_arrival:
+            return [self.step(*x) for x in zip(fps, marks)]
+        # As `step`, in one loop; `known` are fingerprints that the present filter has.
+        exact, window, generation, order, held, out, known = self.exact, self.window, self.generation, self.order, self.held, [], set()
+        for fp, mark in zip(fps, marks):
+            hit = fp in known or mark in self.screen
+            if hit and (not exact or fp in held):
+                out.append(DUPLICATE)
+                known.add(fp)
+                continue
+            if order and len(order) >= window:
+                held.discard(order.popleft())
+            if generation and self.inserted >= generation:
+                self._turn_over()
+                known.clear()
+            self.screen.add(mark)
+            self.inserted += 1
+            known.add(fp)
+            if exact and window > 0:
+                order.append(fp)
+                held.add(fp)
+            out.append(FALSE_HIT if hit else NEW)
+        return out
 
     def save(self) -> bytes:
         screen = sorted(self.screen) if self.size is None else [self.screen.save()]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.records import SCOPE, digest_bytes, quoted
 from ..session import new_table_path, task_count, written
 from . import window_state
-from .dedupe import FilterSize, filter_misses, filter_verdicts, register_dedupe, two_stage_verdicts, with_outcome
+from .dedupe import FilterSize, filter_verdicts, register_dedupe, two_stage_verdicts, with_outcome
 from .ordering import in_order
 from .window_state import (
     AGAIN,
@@ -238,7 +238,7 @@ def _verdicts(
     new_window: Callable,
     window: int,
     settled_up_to: int | Column,
-    native: Callable[[DataFrame], DataFrame],
+    native: Callable[[DataFrame], DataFrame] | None,
     scope: Sequence[str],
     seq: str,
     pieces: int | None,
@@ -246,7 +246,8 @@ def _verdicts(
     guess: bool = False,
 ) -> DataFrame:
     """(seq, verdict) of accepted rows; `native` serves scopes that never evict,
-    which are those of up to `settled_up_to` fingerprints."""
+    which are those of up to `settled_up_to` fingerprints. Without it their first
+    arrivals, which alone can be accepted, are scanned with the other scopes' rows."""
     placed = df.where(F.col(seq).isNotNull())
     fp = F.coalesce(digest_bytes(F.col("fp").cast("binary")), F.lit(bytes(_DIGEST)))
     narrow = placed.select(*[scope_text(df, c) for c in scope], fp.alias("fp"), F.col(seq).alias("seq"))
@@ -255,15 +256,23 @@ def _verdicts(
     )
     scopes = firsts.groupBy(*scope).agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
     evicts = F.col("n") > settled_up_to
-    rows_to_scan, all_rows = scopes.agg(F.sum(F.when(evicts, F.col("rows"))), F.sum("rows")).first()
-    if rows_to_scan is None:
-        return native(firsts)
-    if rows_to_scan == all_rows:
-        rows, small = narrow, None
+    evicting, all_rows, first_rows = scopes.agg(
+        F.sum(F.when(evicts, F.col("rows"))), F.sum("rows"), F.sum(F.when(~evicts, F.col("n")))
+    ).first()
+    if evicting is None and (native or all_rows is None):
+        return native(firsts) if native else _all_new(firsts)
+    rows_to_scan, small = evicting or 0, None
+    if evicting is None:
+        rows, rows_to_scan = firsts.select(*scope, "fp", "seq"), first_rows
+    elif evicting == all_rows:
+        rows = narrow
     else:
         large = written(scopes.where(evicts).select(*scope), "large-scopes")
-        rows = narrow.join(large, list(scope), "left_semi")
-        small = native(firsts.join(large, list(scope), "left_anti"))
+        rows, settled = narrow.join(large, list(scope), "left_semi"), firsts.join(large, list(scope), "left_anti")
+        if native:
+            small = native(settled)
+        else:
+            rows, rows_to_scan = rows.unionByName(settled.select(*scope, "fp", "seq")), evicting + first_rows
     if not pieces:
         most = max(1, rows_to_scan // max(_PIECE_WINDOWS * window, _PIECE_ROWS))
         fewest = max(1, rows_to_scan // max(_LONG_PIECE_WINDOWS * window, _PIECE_ROWS))
@@ -452,22 +461,6 @@ def sweep_counts(
     return rows.groupBy("setting").agg(F.count("*").alias("total_records")).join(accepted, "setting")
 
 
-def _first_codes(firsts: DataFrame, scope: Sequence[str], sizes: Mapping[int, FilterSize], windows: int) -> DataFrame:
-    """The verdicts of first arrivals where nothing is evicted, as `ManyWindows` writes them.
-
-    A window without a filter of its own accepts them as new, another one as
-    new or as a false hit, depending on whether its filter knows them.
-    """
-    if not sizes:
-        return _all_new(firsts)
-    hit = {str(i): FALSE_HIT << 2 * i for i in sizes}
-    misses = filter_misses(firsts, scope, {str(i): size for i, size in sizes.items()})
-    code = F.create_map(*[F.lit(x) for pair in hit.items() for x in pair])[F.col("setting")]
-    known = misses.groupBy("seq").agg(F.sum(code).alias("_less"))
-    verdict = (F.lit(sum(hit.values())) - F.coalesce("_less", F.lit(0))).cast("bigint").alias("verdict")
-    return firsts.select("seq").join(known, "seq", "left").select("seq", verdict)
-
-
 def many_verdicts(
     df: DataFrame,
     settings: Sequence[tuple[Callable, int]],
@@ -486,7 +479,8 @@ def many_verdicts(
         raise ValueError(f"at most {ManyWindows.MOST} windows in one pass")
     make = partial(ManyWindows, tuple(m for m, _ in settings))
     nothing = ManyWindows.all_have(DUPLICATE, len(settings))
-    native = partial(_first_codes, scope=scope, sizes=sizes or {}, windows=len(settings))
+    # A filter may know a first arrival: where there is one, windows decide, and no bit of a filter becomes a row.
+    native = None if sizes else _all_new
     limits = [limit for _, limit in settings]
     return _verdicts(df, NewWindow(make, nothing), max(limits), min(limits), native, scope, seq, pieces)
 

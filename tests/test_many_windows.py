@@ -142,3 +142,17 @@ def test_confirmation_carries_the_winners_to_another_table(spark, sf):
     assert best["evaluations"] == found["filter+exact"]["evaluations"] and best["largest_worker"] < 1500
     with pytest.raises(ValueError):
         search.confirm_search(view, view, 2)
+
+
+def test_no_bit_of_a_filter_becomes_a_row(arrivals):
+    """Scopes that evict nothing, some that do, and both: first arrivals are scanned, verdicts are those one by one."""
+    size = d.FilterSize(32, 2)
+    small = [(f"t{i % 5}", f"{i * 7 % 6}") for i in range(60)]
+    large = [("l", f"{i * 5 % 23}") for i in range(120)]
+    for pairs in (small, large, small + large):
+        df = arrivals(pairs)
+        found = w.many_verdicts(df, [w.rotating_setting(9, size), w.rotating_setting(9)], sizes={0: size})
+        assert "Generate" not in found._jdf.queryExecution().toString()
+        for i, own in enumerate((size, None)):
+            of = found.select("seq", w.verdict_of(i).cast("int").alias("v")).where("v <> 1")
+            assert sorted(map(tuple, of.collect())) == sorted(map(tuple, w.rotating_verdicts(df, 9, own).collect()))
