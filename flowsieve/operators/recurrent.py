@@ -22,6 +22,8 @@ from .sequences import HISTORY, custom_forecast, sequences
 EPOCHS = 20
 PATIENCE = 3
 LEAST_GAIN = 1e-4
+#: Rows whose states along a window stay in a processor's cache.
+BLOCK_ROWS = 1000
 
 
 class Network:
@@ -133,9 +135,11 @@ def _spark_sums(rows: DataFrame, features: int) -> Callable[[Network], np.ndarra
                 train = batch.column(0).to_numpy(zero_copy_only=False)
                 windows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, features)
                 targets = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, features)
-                gradient, error = network.gradient(windows[train], targets[train])
-                total[:-4] += gradient
-                total[-4:] += (error, train.sum(), network.squared_error(windows[~train], targets[~train]), (~train).sum())
+                for start in range(0, batch.num_rows, BLOCK_ROWS):
+                    own, w, t = (x[start : start + BLOCK_ROWS] for x in (train, windows, targets))
+                    gradient, error = network.gradient(w[own], t[own])
+                    total[:-4] += gradient
+                    total[-4:] += (error, own.sum(), network.squared_error(w[~own], t[~own]), (~own).sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "total"])
 
         out = np.zeros(network.size + 4)

@@ -87,3 +87,19 @@ def test_forecasts_beat_the_mean_on_a_wave(spark):
     trained = rec.recurrent_forecast(df, features, hidden=8, rate=0.03, epochs=40)
     assert set(trained.columns) == {*df.columns, "p_x", "p_y"} and trained.count() == 570
     assert error(trained) < 0.5 * error(mean_forecast(df, features))
+
+
+def test_gradients_are_added_up_by_blocks_of_rows(spark):
+    class Watched(rec.Network):
+        def gradient(self, windows, targets):
+            assert len(windows) <= 1000
+            return super().gradient(windows, targets)
+
+    draw = np.random.default_rng(3)
+    windows, targets, train = draw.normal(size=(2500, 4, 2)), draw.normal(size=(2500, 2)), draw.random(2500) < 0.7
+    data = [(bool(t), w.ravel().tolist(), y.tolist()) for t, w, y in zip(train, windows, targets)]
+    rows = spark.createDataFrame(data, "is_train boolean, window array<double>, next array<double>").coalesce(1)
+    sums = rec._spark_sums(rows, 2)(Watched(2, 5))
+    gradient, error = rec.Network(2, 5).gradient(windows[train], targets[train])
+    assert np.allclose(sums[:-4], gradient)
+    assert np.allclose(sums[-4:], [error, train.sum(), rec.Network(2, 5).squared_error(windows[~train], targets[~train]), (~train).sum()])
