@@ -7,7 +7,9 @@ flagged together, kept if any of them is accepted. A null scope or fingerprint
 is a value like any other. The verdict never uses a
 window over a scope or fingerprint, whose rows may be a third of the table:
 accepted rows come from an aggregation (combined before the shuffle), and are
-matched to the table on `seq`, which is unique and so spreads evenly.
+matched to the table on `seq`, which is unique and so spreads evenly. They are as
+many as the table's rows, so these joins are merges: left to Spark, accepted rows that
+are small on disk would be broadcast, all of them through the driver.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def flag_duplicates(df: DataFrame, accepted: DataFrame, seq: str = "seq") -> Dat
     """`df` with is_dup = the row has a `seq`, and not one of `accepted`."""
     # The mark is added to the distinct numbers, which are then dealt as the join needs them.
     marks = accepted.select(seq).where(F.col(seq).isNotNull()).distinct().withColumn("_dup", F.lit(False))
-    return df.join(marks, seq, "left").withColumn("is_dup", F.coalesce("_dup", F.col(seq).isNotNull())).drop("_dup")
+    return df.join(marks.hint("merge"), seq, "left").withColumn("is_dup", F.coalesce("_dup", F.col(seq).isNotNull())).drop("_dup")
 
 
 def passed(df: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def with_outcome(df: DataFrame, verdicts: DataFrame, seq: str = "seq") -> DataFr
     name = F.when(F.col("_v") == 0, OUTCOMES[0]).when(F.col("_v") == 2, OUTCOMES[2]).otherwise(OUTCOMES[1])
     marks = verdicts.groupBy(seq).agg(F.min("verdict").alias("_v"))
     return (
-        df.join(marks, seq, "left")
+        df.join(marks.hint("merge"), seq, "left")
         .withColumn("outcome", F.when(F.col(seq).isNull(), OUTCOMES[0]).otherwise(name))
         .withColumn("is_dup", F.col("outcome") == OUTCOMES[1])
         .drop("_v")
@@ -222,7 +224,7 @@ def filter_verdicts(firsts: DataFrame, by: Sequence[str], size: FilterSize, seq:
 def two_stage_verdicts(firsts: DataFrame, by: Sequence[str], size: FilterSize, seq: str = "seq") -> DataFrame:
     """(seq, verdict) of rows a filter plus exact check accepts: 0 new, 2 false hit."""
     unknown = filter_verdicts(firsts, by, size, seq)
-    return firsts.select(seq).join(unknown, seq, "left").withColumn("verdict", F.coalesce("verdict", F.lit(2)))
+    return firsts.select(seq).join(unknown.hint("merge"), seq, "left").withColumn("verdict", F.coalesce("verdict", F.lit(2)))
 
 
 def dedupe_two_stage(

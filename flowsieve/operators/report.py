@@ -92,7 +92,7 @@ def verdict_stats(df: DataFrame, verdicts: DataFrame, by: Sequence[str] = (), se
     nothing = F.lit(0).cast("bigint")
     placed = verdicts.withColumnRenamed("seq", seq)
     if by:
-        placed = placed.join(df.where(F.col(seq).isNotNull()).select(seq, *named), seq)
+        placed = placed.join(df.where(F.col(seq).isNotNull()).select(seq, *named).hint("merge"), seq)
     hits = placed.select(*named, nothing.alias("n"), F.lit(1).alias("a"), (F.col("verdict") == 2).cast("int").alias("f"))
     rows = df.select(*named, F.lit(1).cast("bigint").alias("n"), F.col(seq).isNull().cast("int").alias("a"), F.lit(0).alias("f"))
     sums = [F.coalesce(F.sum(c), nothing).cast("bigint") for c in "naf"]

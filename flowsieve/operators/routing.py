@@ -71,7 +71,7 @@ def dedupe_two_level(df: DataFrame, seq: str = "seq") -> DataFrame:
     both = local.select(seq, F.lit(True).alias("_again")).unionByName(overall.select(seq, F.lit(False).alias("_again")))
     marks = both.groupBy(seq).agg(F.min("_again").alias("_again"))
     return (
-        df.join(marks, seq, "left")
+        df.join(marks.hint("merge"), seq, "left")
         .withColumn("local_repeat", F.col("_again").isNull() & F.col(seq).isNotNull())
         .withColumn("is_dup", F.coalesce("_again", F.col(seq).isNotNull()))
         .drop("_again")

@@ -411,7 +411,7 @@ def last_accepted(
 
     Tasks keep a scope's last rows each before these meet.
     """
-    kept = df.select(*scope, seq, "fp").join(verdicts.select(F.col("seq").alias(seq)), seq)
+    kept = df.select(*scope, seq, "fp").join(verdicts.select(F.col("seq").alias(seq)).hint("merge"), seq)
     newest = Window.partitionBy(*scope).orderBy(F.desc(seq))
     placed = kept.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= window)
     return placed.select(*scope, seq, "fp")

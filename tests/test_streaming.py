@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsieve import session
-from flowsieve.operators.dedupe import dedupe_ttl
-from flowsieve.operators.report import dedupe_stats
-from flowsieve.operators.windowed import dedupe_scoped_fifo, dedupe_scoped_rotating
+from flowsieve.operators.dedupe import FilterSize, dedupe_ttl, flag_duplicates, two_stage_verdicts, with_outcome
+from flowsieve.operators.report import dedupe_stats, verdict_stats
+from flowsieve.operators.routing import dedupe_two_level
+from flowsieve.operators.windowed import dedupe_scoped_fifo, dedupe_scoped_rotating, fifo_verdicts, last_accepted
 from flowsieve.plans.event_flows import event_view
 from flowsieve.streaming import queries as streams
 from flowsieve.streaming.dedupe import FifoBatches, stream_first_within, stream_scoped_fifo, stream_ttl, stream_ttl_expiring
@@ -186,3 +187,21 @@ def test_no_row_of_a_table_out_of_the_order_of_time_is_dropped(spark, sf, tmp_pa
     events.unionByName(later).write.parquet(str(tmp_path / "events.parquet"))
     batch = dedupe_ttl(event_view(spark, str(tmp_path), keep=["ts"]), 6 * 3600)
     assert rows(streams.stream_ttl_bounded_state(spark, str(tmp_path)), "is_dup") == rows(batch, "is_dup")
+
+
+def test_verdicts_of_a_micro_batch_do_not_go_through_the_driver(spark, sf):
+    """Accepted rows grow with the micro-batch: no join collects them for a broadcast."""
+    view = session.written(event_view(spark, sf, keep=["k"]), "view")
+    found = session.written(fifo_verdicts(view, 40), "found")
+    frames = [
+        flag_duplicates(view, found),
+        with_outcome(view, found),
+        last_accepted(view, found, 40),
+        verdict_stats(view, found, by=["tenant"]),
+        two_stage_verdicts(view, ["tenant"], FilterSize(1 << 12, 3)),
+        dedupe_two_level(view.withColumn("worker_id", F.col("seq") % 3)),
+    ]
+    for frame in frames:
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
