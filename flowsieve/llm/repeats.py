@@ -9,8 +9,9 @@ are judged on the input and never cross documents.
 2. Equal pieces are counted before any text moves. A piece that occurs twice is repeated as a whole. A single piece is open where
    its anchor has other pieces too, and those are the only texts that are sorted.
 3. Open pieces are dealt into shards by anchor, so a string and its copies are in one shard; an anchor with more text
-   than a shard is split by the windows' place relative to it. A shard is sorted by external induced sorting
-   (`induced_sort`), whose common-prefix values show the repeated windows. An anchor with more text than a shard for each
+   than a shard is split by the windows' place relative to it. Windows whose anchor lies at about the same place in them have
+   most of their bytes in common (a context); text whose contexts no other piece has holds no repeat and is left out. The rest of a shard is sorted by
+   external induced sorting (`induced_sort`), whose common-prefix values show the repeated windows. An anchor with more text than a shard for each
    place of a window has too many pieces for that: its windows are counted by 128-bit hashes in an aggregation, which needs no
    memory for them.
 4. Each document gets its repeated stretches and is cut.
@@ -36,6 +37,8 @@ from .induced_sort import Shard
 GRAM = 32
 SHARD_BYTES = 2 << 20
 _CHUNK = 1 << 20
+#: Groups of windows by the place of their anchor, each with its context.
+_CONTEXTS = 8
 #: Fields of a piece's place: first byte, windows (at most 255), offset of the anchor.
 _WINDOWS, _OFFSET = 8, 8
 
@@ -106,25 +109,53 @@ def _occurrences(depth: int):
     return run
 
 
+def shared_contexts(texts: list[bytes], places: np.ndarray, single: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of a text, first window, last window) for the texts that may hold a window which another text has too, one of them single.
+
+    places: where each text's anchor begins, which all its windows hold. Windows that begin `low` to `high` bytes before it have in common what is
+    from `low` bytes before it to the end of the one that begins `high` before it; equal windows begin as far before it, so what they share is equal.
+    """
+    windows = np.fromiter(map(len, texts), np.int64, len(texts)) - depth + 1
+    borders = [(depth - GRAM + 1) * i // _CONTEXTS for i in range(_CONTEXTS + 1)]
+    owners, firsts, lasts, keys = [], [], [], []
+    for i, (low, end) in enumerate(zip(borders, borders[1:])):
+        first, last = np.maximum(0, places - (end - 1)), np.minimum(windows - 1, places - low)
+        own = np.flatnonzero(first <= last)
+        size = depth - (end - 1 - low)
+        keys += [xxhash.xxh3_64_intdigest(texts[t][at : at + size], i) for t, at in zip(own.tolist(), (places[own] - low).tolist(), strict=True)]
+        owners.append(own)
+        firsts.append(first[own])
+        lasts.append(last[own])
+    owner, first, last = (np.concatenate(x) for x in (owners, firsts, lasts))
+    _, key, count = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
+    wanted = np.flatnonzero((count[key] > 1) & (np.bincount(key, single[owner], len(count))[key] > 0))
+    wanted = wanted[np.argsort(owner[wanted], kind="stable")]
+    if not len(wanted):
+        return wanted, wanted, wanted
+    owner = owner[wanted]
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return owner[starts], np.minimum.reduceat(first[wanted], starts), np.maximum.reduceat(last[wanted], starts)
+
+
 def _sorted_shard(depth: int, memory: int):
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         texts = table.column("text").to_pylist()
-        shard = Shard(texts, depth, memory)
-        marked = np.flatnonzero(shard.repeated())
+        k1, k2, base, place, n = (table.column(c).to_numpy() for c in ("k1", "k2", "first", "place", "n"))
         out: list[list[int]] = [[], [], [], []]
+        chosen, low, high = shared_contexts(texts, place, n == 1, depth)
+        shard = Shard([texts[i][a : b + depth] for i, a, b in zip(chosen.tolist(), low.tolist(), high.tolist(), strict=True)], depth, memory)
+        marked = np.flatnonzero(shard.repeated())
         if len(marked):
             # Runs of marked positions; a run never leaves its text, whose last bytes start no whole string.
             breaks = np.flatnonzero(np.diff(marked) > 1)
             firsts, lasts = marked[np.r_[0, breaks + 1]], marked[np.r_[breaks, len(marked) - 1]]
             owner = np.searchsorted(shard.starts, firsts, side="right") - 1
-            single = table.column("n").to_numpy() == 1
-            k1, k2, base = (table.column(c).to_numpy() for c in ("k1", "k2", "first"))
-            keep = single[owner]
+            keep = n[chosen[owner]] == 1
             owner, firsts, lasts = owner[keep], firsts[keep], lasts[keep]
-            shift = base[owner] - shard.starts[owner]
-            out = [k1[owner], k2[owner], firsts + shift, lasts + shift + depth]
+            shift = base[chosen[owner]] + low[owner] - shard.starts[owner]
+            out = [k1[chosen[owner]], k2[chosen[owner]], firsts + shift, lasts + shift + depth]
         del shard, marked
         give_back()  # a shard takes some hundred bytes a byte of text while it is sorted
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
@@ -259,6 +290,7 @@ def repeated_spans(keyed: DataFrame, depth: int, shard_bytes: int = SHARD_BYTES,
             F.pmod(F.xxhash64("anchor", "part"), F.lit(shards)).alias("shard"),
             "k1", "k2", "_id", "n",
             (F.col("low") + F.col("_from")).alias("first"),
+            (F.col("offset") - F.col("_from")).cast("bigint").alias("place"),
             F.substring("text", F.col("_from") + 1, F.col("_to") - F.col("_from") + (depth - 1)).alias("text"),
         )
     )

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from flowsieve.llm.induced_sort import Shard
 from flowsieve.llm.repeats import remove_repeats, window_pieces
@@ -119,3 +120,27 @@ def test_texts_beyond_a_chunk(documents, monkeypatch):
     pieces = list(repeats.window_pieces(long.encode(), 200))
     assert [p[0] for p in pieces] == np.cumsum([0] + [p[1] for p in pieces])[:-1].tolist()
     assert sum(p[1] for p in pieces) == len(long) - 199
+
+
+def test_only_text_that_may_repeat_is_sorted(monkeypatch):
+    """Pieces of one anchor whose surroundings differ are left out of a shard, and no repeat is lost by that."""
+    from flowsieve.llm import repeats
+
+    sorted_bytes, kept_shard = [], repeats.Shard
+    monkeypatch.setattr(repeats, "Shard", lambda texts, *a: (sorted_bytes.append(sum(map(len, texts))), kept_shard(texts, *a))[1])
+    rng = random.Random(8)
+    text = lambda n: bytes(rng.choices(b"abcdefghij", k=n))
+    for depth in (40, 200, 286):
+        phrases, long = [text(36) for _ in range(20)], [text(depth + 40) for _ in range(6)]
+        bodies = [text(rng.randrange(200)) + rng.choice(phrases) + text(depth) for _ in range(200)]
+        bodies += [text(rng.randrange(100)) + rng.choice(long)[rng.randrange(30) :] + text(rng.randrange(100)) for _ in range(20)]
+        found = [(i, *p) for i, b in enumerate(bodies) for p in window_pieces(b, depth)]
+        copies = Counter(bodies[i][at : at + w + depth - 1] for i, at, w, _, _ in found)
+        columns = {"k1": [f[0] for f in found], "k2": [0] * len(found), "first": [f[1] for f in found], "place": [f[3] for f in found]}
+        columns["text"] = [bodies[i][at : at + w + depth - 1] for i, at, w, _, _ in found]
+        columns["n"] = [copies[t] for t in columns["text"]]
+        got = repeats._sorted_shard(depth, 1000)(pa.table(columns)).to_pylist()
+        count = Counter(b[s : s + depth] for b in bodies for s in range(len(b) - depth + 1))
+        want = {(i, s) for i, at, w, _, _ in found if copies[bodies[i][at : at + w + depth - 1]] == 1 for s in range(at, at + w) if count[bodies[i][s : s + depth]] > 1}
+        assert {(r["k1"], s) for r in got for s in range(r["lo"], r["hi"] - depth + 1)} == want and want
+        assert sorted_bytes[-1] < sum(map(len, columns["text"])) / 4
